@@ -50,7 +50,7 @@ def prefix_sums(df: DataFrame, order: str, sums: list[str], by: list[str] | None
     key = F.col(order)
     if descending:
         key = -key
-    work = df.withColumn("_ord", key.cast("double"))
+    work = df.withColumn("_ord", key)
     probs = F.array(*[F.lit(i / b) for i in range(1, b)])
     split_agg = work.groupBy(*by).agg(
         F.percentile_approx("_ord", probs, 10000).alias("_splits"))

@@ -87,9 +87,9 @@ def with_row_id(df: DataFrame, keys: list[str] | None = None, name: str = "row_i
                 radix: int | None = None) -> DataFrame:
     """J1 support: a stable ``row_id`` assigned once, at load.
 
-    With one integral key the key itself is used.  With two keys
-    ``(major, minor)`` the id is ``major * radix + minor`` (``radix`` must
-    bound ``minor``).  Without keys, ``monotonically_increasing_id`` is taken
+    With one integral key the key itself is used.  With two keys and a
+    ``radix`` the id is ``major * radix + minor``; any other composite key
+    becomes the text ``k1-k2-...``.  Without keys, ``monotonically_increasing_id`` is taken
     directly after the scan, before any shuffle, so it depends only on the
     file splits.
     """
@@ -99,7 +99,8 @@ def with_row_id(df: DataFrame, keys: list[str] | None = None, name: str = "row_i
         elif len(keys) == 2 and radix:
             rid = F.col(keys[0]).cast("bigint") * F.lit(radix) + F.col(keys[1]).cast("bigint")
         else:
-            raise ValueError("use one key, or two keys with a radix")
+            # composite natural key as text: never overflows, same text in SQL
+            rid = F.concat_ws("-", *[F.col(k).cast("string") for k in keys])
     else:
         rid = F.monotonically_increasing_id()
     return df.withColumn(name, rid)
