@@ -52,17 +52,20 @@ def prefix_sums(df: DataFrame, order: str, sums: list[str], by: list[str] | None
         key = -key
     work = df.withColumn("_ord", key)
     probs = F.array(*[F.lit(i / b) for i in range(1, b)])
-    split_agg = work.groupBy(*by).agg(
-        F.percentile_approx("_ord", probs, 10000).alias("_splits"))
+    # The bucket bounds are approximate quantiles, and percentile_approx
+    # depends on input order.  They are therefore computed ONCE per query
+    # as a scalar subquery (Spark reuses one subquery result everywhere in
+    # the plan), so the totals and the running sums below see identical
+    # buckets.  Grouped input ships one bounds array per group (groups x
+    # buckets values): meant for a modest number of groups.
     if by:
-        work = work.join(split_agg, by, "left")
-        splits = F.col("_splits")
+        per = work.groupBy(*by).agg(F.percentile_approx("_ord", probs, 10000).alias("_splits"))
+        smap = per.agg(F.map_from_entries(F.collect_list(F.struct(F.struct(*by), "_splits")))).scalar()
+        splits = smap[F.struct(*[F.col(c) for c in by])]
     else:
-        splits = split_agg.select("_splits").scalar()
+        splits = work.agg(F.percentile_approx("_ord", probs, 10000)).scalar()
     work = work.withColumn("_sp", splits)
     work = work.withColumn("_bk", bucket_index(F.col("_ord"), F.col("_sp"), b - 1)).drop("_sp")
-    if by:
-        work = work.drop("_splits")
 
     # totals of each (group, bucket) slice -> exclusive offsets across slices
     tot = work.groupBy(*by, "_bk").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])

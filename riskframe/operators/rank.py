@@ -37,9 +37,12 @@ def latest_per_key(log: DataFrame, key: list[str], ts: str) -> DataFrame:
     A ``max_by`` aggregate (partial aggregation, no per-key sort); ties on
     the timestamp are broken by the full record so the pick is stable.
     """
+    from pyspark.sql.types import MapType
     others = [c for c in log.columns if c not in key]
     rec = F.struct(*[F.col(c) for c in others])
-    out = log.groupBy(*key).agg(F.max_by(rec, F.struct(F.col(ts), rec)).alias("_r"))
+    orderable = [F.col(f.name) for f in log.schema.fields
+                 if f.name in others and f.name != ts and not isinstance(f.dataType, MapType)]
+    out = log.groupBy(*key).agg(F.max_by(rec, F.struct(F.col(ts), *orderable)).alias("_r"))
     return out.select(*key, "_r.*")
 
 

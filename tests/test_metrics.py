@@ -105,3 +105,18 @@ def test_weight_search_matches_direct_auc(spark):
     for i, (w1, w2) in enumerate(grid):
         s = [w1 * a + w2 * b for _, _, a, b in rows]
         assert res[i] == pytest.approx(_auc_bruteforce([r[1] for r in rows], s), abs=1e-12)
+
+
+def test_grouped_metrics_stable_under_filter_pushdown(spark):
+    # bucket bounds must be computed once per query even when a filter on
+    # the group key is pushed below the prefix sums
+    rng = np.random.default_rng(9)
+    rows = [(i, m, int(rng.random() < 0.3), float(rng.random())) for m in ("a", "b", "c") for i in range(3000)]
+    s = _scores(spark, rows)
+    full = {r.model: r.roc_auc for r in mt.ranking_metrics(s).collect()}
+    for m in ("a", "b", "c"):
+        one = mt.ranking_metrics(s).where(F.col("model") == m).first().roc_auc
+        ys = [y for _, mm, y, _ in rows if mm == m]
+        ss = [x for _, mm, _, x in rows if mm == m]
+        assert one == pytest.approx(full[m], abs=1e-15)
+        assert one == pytest.approx(_auc_bruteforce(ys, ss), abs=1e-12)
