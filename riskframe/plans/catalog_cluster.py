@@ -106,3 +106,21 @@ def a25_silhouette_embeddings(spark, sf):
 def a26_davies_bouldin_embeddings(spark, sf):
     pts, labels = emb_points(spark, sf)
     return round_doubles(cl.davies_bouldin(pts, labels))
+
+
+@register("c1_c4_segment_customers")
+def c1_c4_segment_customers(spark, sf):
+    """The segmentation composition on per-customer order aggregates."""
+    from riskframe.plans.segment import segment
+    o = table(spark, sf, "orders")
+    cust = table(spark, sf, "customer").select("c_custkey", "c_acctbal")
+    agg = o.groupBy(F.col("o_custkey").alias("c_custkey")).agg(
+        F.sum("o_totalprice").alias("purchases"), F.max("o_totalprice").alias("oneoff"),
+        F.count(F.lit(1)).cast("double").alias("n_orders"), F.avg("o_totalprice").alias("avg_order"))
+    df = cust.join(agg, "c_custkey", "left")
+    res = segment(df, "c_custkey", impute=["purchases", "oneoff", "n_orders", "avg_order"],
+                  cap=["purchases", "oneoff", "avg_order", "c_acctbal"], skewed=["purchases", "oneoff", "avg_order"],
+                  ratios={"purchase_to_order": ("purchases", "n_orders"), "oneoff_share": ("oneoff", "purchases")},
+                  drop=["avg_order"], profile_cols=["purchases", "oneoff", "n_orders", "c_acctbal"],
+                  n_components=2, eps=0.3, min_samples=3)
+    return round_doubles(res.summary)
