@@ -27,6 +27,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskframe.operators.blocks import cluster_sums, collect_block, id_type_of
 from riskframe.operators.prefix import prefix_sums
 from riskframe.session import checkpoint_dir
 
@@ -226,27 +227,21 @@ def silhouette(points: DataFrame, labels: DataFrame, sample_size: int = 2000, se
     sample.  One-row ``(silhouette, n_sample, n_clusters)``; NULL when
     fewer than 2 or more than n-1 clusters.
 
-    The sample (a proven bound: ``sample_size`` points) is shipped once as
-    a scalar-subquery array grouped by cluster; each sample row sums its
-    distances per cluster with array functions — no pair rows are formed.
+    The sample (a proven bound: ``sample_size`` points) is shipped once to
+    every task; each sample partition sums its rows' distances per cluster
+    with numpy — no pair rows are formed.
     """
     j = points.join(labels.select("id", F.col(label).alias("_l")), "id").where(F.col("_l") != -1)
     sample = (j.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}-"), F.col("id").cast("string"))))
-              .orderBy("_h").limit(sample_size).select("id", "x", "_l"))
-    groups = (sample.groupBy("_l").agg(F.collect_list("x").alias("pts"))
-              .agg(F.collect_list(F.struct("_l", "pts")).alias("g")))
-    garr = groups.select("g").scalar()
-    per = sample.withColumn("_g", garr)
-    sums = F.transform(F.col("_g"), lambda c: F.struct(
-        c["_l"].alias("l"), F.size(c["pts"]).alias("n"),
-        F.aggregate(c["pts"], F.lit(0.0), lambda acc, p: acc + euclid(F.col("x"), p)).alias("s")))
-    per = per.withColumn("_s", sums)
-    own = F.filter(F.col("_s"), lambda e: e["l"] == F.col("_l"))[0]
-    others = F.filter(F.col("_s"), lambda e: e["l"] != F.col("_l"))
+              .orderBy("_h").limit(sample_size).select("id", "x", F.col("_l").alias("l")))
+    blk = collect_block(sample, sample_size, ("id", "x", "l"))
+    per = cluster_sums(sample, blk, id_type_of(sample))
+    own = F.filter(F.col("sums"), lambda e: e["l"] == F.col("l"))[0]
+    others = F.filter(F.col("sums"), lambda e: e["l"] != F.col("l"))
     a = F.when(own["n"] > 1, own["s"] / (own["n"] - 1))
     b = F.array_min(F.transform(others, lambda e: e["s"] / e["n"]))
     s = F.when(own["n"] <= 1, F.lit(0.0)).otherwise((b - a) / F.greatest(a, b))
-    res = per.select(s.alias("s"), F.size("_g").alias("k"))
+    res = per.select(s.alias("s"), F.size("sums").alias("k"))
     return res.agg(F.avg("s").alias("silhouette"), F.count(F.lit(1)).alias("n_sample"),
                    F.max("k").alias("n_clusters")).select(
         F.when((F.col("n_clusters") >= 2) & (F.col("n_clusters") <= F.col("n_sample") - 1),

@@ -2,9 +2,9 @@
 
 kNN never materialises pair rows: the candidate side is cut into blocks
 of at most ``block_size`` points (a checked bound), each block is shipped
-once as a scalar-subquery array, every query row keeps its own top-k of
-that block with array functions, and the per-block top-k lists are merged
-with one ``groupBy(id)``.  The work is exact and quadratic in the number
+once to every task, every query partition keeps its rows' top-k of that
+block with numpy, and the per-block top-k lists are merged with one
+``groupBy(id)``.  The work is exact and quadratic in the number
 of candidates (inherent to exact kNN in many dimensions); memory per task
 is bounded by ``block_size``.
 """
@@ -16,33 +16,30 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.operators.cluster import euclid
+from riskframe.operators.blocks import collect_block, id_type_of, topk_block
 from riskframe.operators.prefix import prefix_sums
 
 BLOCK_SIZE = 20_000
 
 
-def _topk_in_block(query: DataFrame, block: DataFrame, k: int, exclude_self: bool) -> DataFrame:
-    arr = block.agg(F.collect_list(F.struct(F.col("id").alias("nid"), F.col("x").alias("nx")))).scalar()
-    q = query.withColumn("_b", arr)
-    cands = F.transform(F.col("_b"), lambda e: F.struct(euclid(F.col("x"), e["nx"]).alias("dist"),
-                                                        e["nid"].alias("nid")))
-    if exclude_self:
-        cands = F.filter(cands, lambda e: e["nid"] != F.col("id"))
-    return q.select("id", F.slice(F.array_sort(cands), 1, k).alias("nn"))
-
-
 def knn(query: DataFrame, candidates: DataFrame, k: int, exclude_self: bool = True,
         block_size: int = BLOCK_SIZE) -> DataFrame:
     """Exact k nearest candidates of every query point.
 
     ``query``/``candidates``: ``(id, x array<double>)``.  Returns ``(id, nn
-    array<struct<dist double, nid>>)`` sorted by distance, ties by id."""
+    array<struct<dist double, nid>>)`` sorted by distance, ties by id.
+    Candidates are cut into hash blocks of at most ``block_size`` points;
+    each block is broadcast once and scanned by every query partition with
+    numpy (:mod:`riskframe.operators.blocks`); per-block top-k lists are
+    merged with one ``groupBy``."""
     m = candidates.count()
     blocks = max(1, math.ceil(m / block_size))
     cand = candidates.withColumn("_blk", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    parts = [_topk_in_block(query, cand.where(F.col("_blk") == b).select("id", "x"), k, exclude_self)
-             for b in range(blocks)]
+    itype = id_type_of(query)
+    parts = []
+    for b in range(blocks):
+        blk = collect_block(cand.where(F.col("_blk") == b).select("id", "x"), 2 * block_size)
+        parts.append(topk_block(query, blk, k, exclude_self, itype))
     allp = parts[0]
     for p in parts[1:]:
         allp = allp.unionByName(p)
@@ -113,11 +110,14 @@ def tomek_links(df: DataFrame, y: str = "y", id_col: str = "row_id", features: l
     pts = df.select(F.col(id_col).alias("id"), F.col(y).alias("_y"),
                     F.array(*[F.col(c).cast("double") for c in features]).alias("x"))
     nn1 = knn(pts.select("id", "x"), pts.select("id", "x"), 1, True, block_size)
-    nn1 = nn1.select("id", F.col("nn")[0]["nid"].alias("nid")).join(pts.select("id", "_y"), "id")
-    a, b = nn1.alias("a"), nn1.alias("b")
-    links = (a.join(b, (F.col("a.nid") == F.col("b.id")) & (F.col("b.nid") == F.col("a.id")))
-             .where((F.col("a._y") != F.col("b._y")) & (F.col("a.id") < F.col("b.id"))))
-    return links.select(F.col("a.id").alias("id_a"), F.col("b.id").alias("id_b"))
+    nn1 = nn1.where(F.size("nn") > 0).select("id", F.col("nn")[0]["nid"].alias("nid"))
+    # mutual nearest neighbours: the unordered pair appears from both ends
+    pair = nn1.select(F.least("id", "nid").alias("id_a"), F.greatest("id", "nid").alias("id_b"))
+    mutual = pair.groupBy("id_a", "id_b").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == 2)
+    ya = pts.select(F.col("id").alias("id_a"), F.col("_y").alias("_ya"))
+    yb = pts.select(F.col("id").alias("id_b"), F.col("_y").alias("_yb"))
+    links = mutual.join(ya, "id_a").join(yb, "id_b").where(F.col("_ya") != F.col("_yb"))
+    return links.select("id_a", "id_b")
 
 
 def remove_tomek(df: DataFrame, y: str = "y", id_col: str = "row_id", features: list[str] | None = None,

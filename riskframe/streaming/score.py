@@ -15,7 +15,8 @@ def freeze_stats(stats: DataFrame, key: str = "feature") -> dict[str, dict[str,
     out = {}
     for r in stats.collect():
         d = r.asDict()
-        out[d.pop(key)] = {k: (None if v is None else float(v)) for k, v in d.items()}
+        name = d.pop(key)
+        out[name] = {k: (None if v is None else float(v)) for k, v in d.items()}
     return out
 
 
