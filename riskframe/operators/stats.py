@@ -67,6 +67,11 @@ def outside_fences(x, lower, upper) -> Column:
     return F.coalesce((c < lower) | (c > upper), F.lit(False))
 
 
+def drop_noise(df: DataFrame, label: str = "cluster") -> DataFrame:
+    """keep clustered rows (``label != -1``)."""
+    return df.where(F.col(label) != -1)
+
+
 def outlier_counts(df: DataFrame, cols: list[str], k: float = 1.5, method: str = "exact") -> DataFrame:
     """A5: ``(column, outlier_count)`` for every column, largest first.
 

@@ -124,3 +124,8 @@ def c1_c4_segment_customers(spark, sf):
                   drop=["avg_order"], profile_cols=["purchases", "oneoff", "n_orders", "c_acctbal"],
                   n_components=2, eps=0.3, min_samples=3)
     return round_doubles(res.summary)
+
+
+@register("f2_drop_noise_dbscan_orders", DBSCAN_SQL + " SELECT id, cluster FROM res WHERE cluster <> -1")
+def f2_drop_noise_dbscan_orders(spark, sf):
+    return st.drop_noise(cl.dbscan(customer_points(spark, sf), EPS, MIN_SAMPLES), "cluster")

@@ -453,3 +453,63 @@ def f1_outside_fences_events(spark, sf):
     fences = iqr_fences(ev, ["value"]).select(F.struct("lower", "upper")).scalar()
     return round_doubles(ev.where(st.outside_fences("value", fences["lower"], fences["upper"]))
                          .select("event_id", "value"))
+
+
+@register("s2_read_optional_labels",
+          "SELECT doc_id, quality, toxic, 1 AS has_label FROM labels")
+def s2_read_optional_labels(spark, sf):
+    import os
+    from riskframe.sources import read_optional
+    missing, _ = read_optional(spark, os.path.join(sf, "no_such_table.parquet"), label="quality")
+    assert missing is None
+    df, has = read_optional(spark, os.path.join(sf, "labels.parquet"), label="quality")
+    return df.select("doc_id", "quality", "toxic", F.lit(int(has)).alias("has_label"))
+
+
+# ---- feature-set catalogue on a card-shaped frame ---------------------------------
+
+def card_frame(spark, sf):
+    """``embeddings`` as a card-transaction frame: V1..V28 = the first 28
+    coordinates, Amount = |coordinate 29| * 1000, Time = vec_id * 173 s,
+    Class = label < 2."""
+    em = table(spark, sf, "embeddings")
+    return em.select(F.col("vec_id").alias("row_id"), (F.col("label") < 2).cast("int").alias("Class"),
+                     (F.col("vec_id") * 173).cast("double").alias("Time"),
+                     *[F.col("embedding")[i].cast("double").alias(f"V{i + 1}") for i in range(28)],
+                     (F.abs(F.col("embedding")[28].cast("double")) * 1000).alias("Amount"))
+
+
+_CARD_SQL = ("c AS (SELECT vec_id AS row_id, CAST(label < 2 AS INTEGER) AS Class, (vec_id * 173)::DOUBLE AS Time, "
+             + ", ".join(f"embedding[{i + 1}]::DOUBLE AS V{i + 1}" for i in range(28))
+             + ", abs(embedding[29]::DOUBLE) * 1000 AS Amount FROM embeddings)")
+_T1 = ["V1", "V2", "V3", "V4", "V10", "V11", "V12", "V14", "V17"]
+
+
+@register("p_catalogue_t1_eng_embeddings",
+          f"WITH {_CARD_SQL} SELECT row_id, Class, "
+          + ", ".join(f"round(V{i}, 6) AS V{i}" for i in range(1, 29))
+          + ", round(ln(1 + Amount), 6) AS log_amount, round(sin(2 * pi() * Time / 86400.0), 6) AS time_sin, "
+            "round(cos(2 * pi() * Time / 86400.0), 6) AS time_cos, "
+            "floor((((Time % 86400) + 86400) % 86400) / 3600)::DOUBLE AS hour, "
+          + ", ".join(f"round(ln(1 + Amount) * {v}, 6) AS {v}_x_logamt" for v in _T1) + " FROM c")
+def p_catalogue_t1_eng_embeddings(spark, sf):
+    from riskframe.functions.catalogue import CATALOGUE, build_feature_set
+    out, _ = build_feature_set(card_frame(spark, sf), CATALOGUE["T1_eng"])
+    return round_doubles(out)
+
+
+@register("p_catalogue_t9_sets_embeddings")
+def p_catalogue_t9_sets_embeddings(spark, sf):
+    """Feature sets A and B of the final trial: feature counts and a
+    checksum per set (rows-only)."""
+    from riskframe.functions.catalogue import CATALOGUE, build_feature_set
+    card = card_frame(spark, sf)
+    res = None
+    for name in ("T3", "T9_A", "T9_B"):
+        built, feats = build_feature_set(card, CATALOGUE[name], fit_on=None)
+        agg = built.agg(F.count(F.lit(1)).alias("n_rows"),
+                        F.sum(sum((F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in feats), F.lit(0.0)))
+                        .alias("checksum")).select(F.lit(name).alias("feature_set"),
+                                                   F.lit(len(feats)).alias("n_features"), "n_rows", "checksum")
+        res = agg if res is None else res.unionByName(agg)
+    return round_doubles(res)
