@@ -139,8 +139,13 @@ def threshold_sweep(scores: DataFrame, grid: list[float], by: list[str] | None =
     g = sorted(grid)
     garr = F.array(*[F.lit(float(t)) for t in g])
     # j = number of grid points <= score -> predicted positive for t_0..t_{j-1}
-    j = len(g) - bucket_index(-F.col(score).cast("double"), F.array(*[F.lit(-float(t)) for t in reversed(g)]), len(g))
-    bins = scores.groupBy(*by, j.alias("_j")).agg(
+    # (Bucketizer: JVM binary search over [-inf, t_0, ..., t_{n-1}, +inf])
+    from pyspark.ml.feature import Bucketizer
+    bz = Bucketizer(splits=[float("-inf"), *g, float("inf")], inputCol="_s", outputCol="_jd",
+                    handleInvalid="keep")
+    binned = bz.transform(scores.withColumn("_s", F.col(score).cast("double")))
+    j = F.col("_jd").cast("int")
+    bins = binned.groupBy(*by, j.alias("_j")).agg(
         F.sum(F.col(y).cast("long")).alias("_pos"), F.sum((1 - F.col(y)).cast("long")).alias("_neg"))
     totals = bins.groupBy(*by).agg(F.sum("_pos").alias("P"))
     # a bin j counts as predicted positive for thresholds 0..j-1; bins are

@@ -76,45 +76,49 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float], method: str =
     return _exact_quantiles(df, cols, probs, names, plist, accuracy)
 def _exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], names: DataFrame,
                      plist: Column, accuracy: int) -> DataFrame:
+    # Columns are addressed by an int index in the long form: per-row lookups
+    # are array accesses, not string comparisons.
     # Pass 1 (one scan, bounded result): per column the non-null count and
     # B-1 approximate bucket bounds.
     b = default_buckets(df)
     bprobs = F.array(*[F.lit(i / b) for i in range(1, b)])
-    meta = df.agg(F.struct(*[
-        F.struct(F.count(c).alias("n"),
-                 F.percentile_approx(F.col(c).cast("double"), bprobs, accuracy).alias("sp")
-                 ).alias(c) for c in cols])).scalar()
-    cells = to_long(df, cols)
-    splits = F.coalesce(*[F.when(F.col("feature") == c, meta[c]["sp"]) for c in cols])
-    total = F.coalesce(*[F.when(F.col("feature") == c, meta[c]["n"]) for c in cols])
-    cells = (cells.withColumn("_sp", splits)
+    meta = df.agg(F.struct(
+        F.array(*[F.count(c) for c in cols]).alias("n"),
+        F.array(*[F.percentile_approx(F.col(c).cast("double"), bprobs, accuracy) for c in cols]).alias("sp"),
+    )).scalar()
+    cells = (df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("_ci"), F.col(c).cast("double").alias("value"))
+                                          for i, c in enumerate(cols)])))
+             .where(F.col("value").isNotNull()))
+    cells = (cells.withColumn("_sp", meta["sp"][F.col("_ci")])
              .withColumn("_bk", bucket_index(F.col("value"), F.col("_sp"), b - 1))
              .drop("_sp"))
 
     # Pass 2: rows per (column, bucket) -> rank offset of each bucket.
     # Map-side combined to columns x buckets rows, so the shuffle is tiny.
-    btot = cells.groupBy("feature", "_bk").agg(F.count(F.lit(1)).alias("_t"))
-    wb = Window.partitionBy("feature").orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
+    btot = cells.groupBy("_ci", "_bk").agg(F.count(F.lit(1)).alias("_t"))
+    wb = Window.partitionBy("_ci").orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
     boff = btot.withColumn("_off", F.coalesce(F.sum("_t").over(wb), F.lit(0)))
 
     # target ranks around h = (n - 1) p, and the bucket holding each
-    tgt = (names.select("feature", F.explode(plist).alias("p"))
-           .withColumn("_n", total)
+    idx = names.select("feature", F.posexplode(F.array(*[F.lit(c) for c in cols])).alias("_ci", "_nm")) \
+        .where(F.col("feature") == F.col("_nm")).select("feature", "_ci")
+    tgt = (idx.select("feature", "_ci", F.explode(plist).alias("p"))
+           .withColumn("_n", meta["n"][F.col("_ci")])
            .where(F.col("_n") > 0)
            .withColumn("h", (F.col("_n") - 1) * F.col("p"))
-           .select("feature", "p", "h", F.explode(F.array(F.floor("h"), F.ceil("h"))).alias("r")))
-    tgt = (tgt.join(F.broadcast(boff), "feature")
+           .select("feature", "_ci", "p", "h", F.explode(F.array(F.floor("h"), F.ceil("h"))).alias("r")))
+    tgt = (tgt.join(F.broadcast(boff), "_ci")
            .where((F.col("r") >= F.col("_off")) & (F.col("r") < F.col("_off") + F.col("_t")))
-           .select("feature", "_bk", "_off", "p", "h", "r"))
+           .select("feature", "_ci", "_bk", "_off", "p", "h", "r"))
 
     # Pass 3: histogram of the target buckets only, ranked inside the bucket.
-    hist = (cells.join(F.broadcast(boff), ["feature", "_bk"])
-            .join(F.broadcast(tgt.select("feature", "_bk")), ["feature", "_bk"], "left_semi")
-            .groupBy("feature", "_bk", "_off", "value").agg(F.count(F.lit(1)).alias("n")))
-    w = (Window.partitionBy("feature", "_bk").orderBy("value")
+    hist = (cells.join(F.broadcast(boff.select("_ci", "_bk", "_off")), ["_ci", "_bk"])
+            .join(F.broadcast(tgt.select("_ci", "_bk")), ["_ci", "_bk"], "left_semi")
+            .groupBy("_ci", "_bk", "_off", "value").agg(F.count(F.lit(1)).alias("n")))
+    w = (Window.partitionBy("_ci", "_bk").orderBy("value")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     ranked = hist.withColumn("_cum", F.sum("n").over(w) + F.col("_off"))
-    hit = (ranked.join(F.broadcast(tgt), ["feature", "_bk", "_off"])
+    hit = (ranked.join(F.broadcast(tgt), ["_ci", "_bk", "_off"])
            .where((F.col("r") >= F.col("_cum") - F.col("n")) & (F.col("r") < F.col("_cum"))))
     picked = hit.groupBy("feature", "p", "h").agg(F.min("value").alias("v_lo"),
                                                   F.max("value").alias("v_hi"))
