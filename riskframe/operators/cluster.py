@@ -39,6 +39,12 @@ def euclid(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda s, v: s + v))
 
 
+def euclid_d(a: Column, b: Column, d: int) -> Column:
+    """Euclidean distance for a known dimension, unrolled at plan time into
+    plain arithmetic (code-generated; no lambda per element)."""
+    return F.sqrt(sum(((a[i] - b[i]) * (a[i] - b[i]) for i in range(d)), F.lit(0.0)))
+
+
 def as_points(df: DataFrame, id_col: str, cols: list[str] | None = None, array_col: str | None = None) -> DataFrame:
     """``(id, x array<double>)`` from numeric columns or an array column."""
     if array_col:
@@ -96,7 +102,7 @@ def _cross_cell_pairs(a: DataFrame, b: DataFrame, d: int, offsets, eps: float) -
     bx = b.select(*[F.col(c).alias(f"b_{c}") for c in b.columns])
     cond = [ax[f"_t{i}"] == bx[f"b__c{i}"] for i in range(d)]
     j = ax.join(bx, cond, "inner")
-    return j.where(euclid(F.col("a_x"), F.col("b_x")) <= F.lit(eps))
+    return j.where(euclid_d(F.col("a_x"), F.col("b_x"), d) <= F.lit(eps))
 
 
 # ---- C3 -------------------------------------------------------------------------
@@ -114,10 +120,10 @@ def neighbour_pairs(points: DataFrame, eps: float, include_self: bool = False) -
     same = (g.alias("p").join(g.alias("q"), keys)
             .where(F.col("p.id") < F.col("q.id"))
             .select(F.col("p.id").alias("id_a"), F.col("q.id").alias("id_b"),
-                    euclid(F.col("p.x"), F.col("q.x")).alias("dist")))
+                    euclid_d(F.col("p.x"), F.col("q.x"), d).alias("dist")))
     cross = _cross_cell_pairs(g, g, d, _offsets(d, reach, side, eps), eps).where(F.col("a_id") < F.col("b_id"))
     cross = cross.select(F.col("a_id").alias("id_a"), F.col("b_id").alias("id_b"),
-                         euclid(F.col("a_x"), F.col("b_x")).alias("dist"))
+                         euclid_d(F.col("a_x"), F.col("b_x"), d).alias("dist"))
     out = same.unionByName(cross)
     if include_self:
         out = out.unionByName(points.select(F.col("id").alias("id_a"), F.col("id").alias("id_b"), F.lit(0.0).alias("dist")))
@@ -127,7 +133,7 @@ def neighbour_pairs(points: DataFrame, eps: float, include_self: bool = False) -
 # ---- C2 -------------------------------------------------------------------------
 
 def _components(edges: DataFrame, verts: DataFrame, max_iter: int = 200) -> DataFrame:
-    """Min-label connected components with pointer jumping.
+    """Min-label connected components: root hooking plus pointer jumping.
 
     ``verts``: ``(v)``; ``edges``: ``(src, dst)`` both directions.  Returns
     ``(v, comp)`` with ``comp`` = smallest vertex id of the component.
@@ -139,19 +145,27 @@ def _components(edges: DataFrame, verts: DataFrame, max_iter: int = 200) -> Data
     checkpoint_dir(spark)
     e = edges.select("src", "dst").checkpoint(eager=True)
     lab = verts.select("v", F.col("v").alias("comp")).checkpoint(eager=True)
+
+    def jump(df: DataFrame) -> DataFrame:
+        # comp(v) <- comp(comp(v))
+        p = df.select(F.col("v").alias("_pv"), F.col("comp").alias("_pc"))
+        return (df.join(p, df["comp"] == p["_pv"], "left")
+                .select("v", F.least("comp", F.coalesce("_pc", "comp")).alias("comp"), "_old"))
+
     for _ in range(max_iter):
-        # hook: each vertex takes the smallest label among itself and neighbours
+        # hook: the smallest neighbouring label goes to the vertex AND to the
+        # vertex its current label points to (root hooking), so whole trees
+        # merge per round: O(log n) rounds instead of O(diameter)
         nb = e.join(lab.withColumnRenamed("v", "dst"), "dst").groupBy("src").agg(F.min("comp").alias("m"))
-        hooked = (lab.join(nb.withColumnRenamed("src", "v"), "v", "left")
-                  .select("v", F.least("comp", F.coalesce("m", "comp")).alias("comp")))
-        # jump: comp(v) <- comp(comp(v))
-        jumped = (hooked.alias("h").join(hooked.alias("p"), F.col("h.comp") == F.col("p.v"), "left")
-                  .select(F.col("h.v").alias("v"),
-                          F.least(F.col("h.comp"), F.coalesce(F.col("p.comp"), F.col("h.comp"))).alias("comp")))
-        jumped = jumped.checkpoint(eager=True)
-        changed = (jumped.alias("n").join(lab.alias("o"), "v")
-                   .where(F.col("n.comp") != F.col("o.comp")).limit(1).count())
-        lab = jumped
+        cand = lab.join(nb.withColumnRenamed("src", "v"), "v").where(F.col("m") < F.col("comp"))
+        upd = (cand.select(F.col("v").alias("t"), "m").unionByName(cand.select(F.col("comp").alias("t"), "m"))
+               .groupBy("t").agg(F.min("m").alias("mm")))
+        hooked = (lab.join(upd.withColumnRenamed("t", "v"), "v", "left")
+                  .select("v", F.least("comp", F.coalesce("mm", "comp")).alias("comp"), F.col("comp").alias("_old")))
+        nxt = jump(jump(hooked)).checkpoint(eager=True)
+        # convergence read from the checkpoint itself (no join with the previous round)
+        changed = nxt.where(F.col("comp") != F.col("_old")).limit(1).count()
+        lab = nxt.drop("_old")
         if changed == 0:
             return lab
     raise RuntimeError("connected components did not converge")
