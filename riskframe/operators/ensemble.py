@@ -104,9 +104,11 @@ def weight_search(wide: DataFrame, cols: list[str], candidates: list[tuple[float
     """E5: ROC-AUC of ``sum_i w_i * s_i`` for every candidate weight vector,
     ``(candidate, weights array<double>, roc_auc)``.
 
-    Rows are first reduced to distinct ``(y, s_1..s_k)`` tuples with counts,
-    then expanded over the literal candidate list; AUC is computed per
-    candidate from the blended-score histogram.
+    Rows are first reduced to distinct ``(y, s_1..s_k)`` tuples with counts
+    (ties collapse before the candidate expansion, and the expansion runs
+    on the shuffled, evenly partitioned tuples), then expanded over the
+    literal candidate list by a generator; AUC is computed per candidate
+    from the blended-score histogram.
     """
     tuples = wide.groupBy(y, *cols).agg(F.count(F.lit(1)).alias("_n"))
     cand = F.array(*[F.struct(F.lit(i).alias("candidate"),

@@ -52,6 +52,8 @@ def prefix_sums(df: DataFrame, order: str, sums: list[str], by: list[str] | None
         key = -key
     work = df.withColumn("_ord", key)
     probs = F.array(*[F.lit(i / b) for i in range(1, b)])
+    # bounds only balance the slices, so a coarse sketch suffices
+    acc = max(200, 50 * b)
     # The bucket bounds are approximate quantiles, and percentile_approx
     # depends on input order.  They are therefore computed ONCE per query
     # as a scalar subquery (Spark reuses one subquery result everywhere in
@@ -59,11 +61,11 @@ def prefix_sums(df: DataFrame, order: str, sums: list[str], by: list[str] | None
     # buckets.  Grouped input ships one bounds array per group (groups x
     # buckets values): meant for a modest number of groups.
     if by:
-        per = work.groupBy(*by).agg(F.percentile_approx("_ord", probs, 10000).alias("_splits"))
+        per = work.groupBy(*by).agg(F.percentile_approx("_ord", probs, acc).alias("_splits"))
         smap = per.agg(F.map_from_entries(F.collect_list(F.struct(F.struct(*by), "_splits")))).scalar()
         splits = smap[F.struct(*[F.col(c) for c in by])]
     else:
-        splits = work.agg(F.percentile_approx("_ord", probs, 10000)).scalar()
+        splits = work.agg(F.percentile_approx("_ord", probs, acc)).scalar()
     work = work.withColumn("_sp", splits)
     work = work.withColumn("_bk", bucket_index(F.col("_ord"), F.col("_sp"), b - 1)).drop("_sp")
 
