@@ -105,3 +105,18 @@ def test_pca_embed_shape(spark):
     X = rng.normal(size=(50, 5)) @ rng.normal(size=(5, 5))
     out = cl.pca_embed(_points(spark, X), 2).collect()
     assert len(out) == 50 and all(len(r.x) == 2 for r in out)
+
+
+def test_dbscan_hot_cell_matches_bruteforce(spark):
+    # a third of all points inside one cell, next to another dense cell and
+    # a sparse chain: the two-phase linking must stay exact
+    rng = np.random.default_rng(21)
+    hot = rng.normal(0, 0.01, size=(600, 2))
+    near = rng.normal([0.3, 0.0], 0.02, size=(300, 2))
+    far = rng.normal([2.0, 2.0], 0.02, size=(300, 2))
+    chain = np.array([[0.5 + 0.12 * i, 0.0] for i in range(10)])
+    noise = rng.uniform(-3, 3, size=(600, 2))
+    X = np.vstack([hot, near, far, chain, noise])
+    eps, ms = 0.15, 4
+    got = {r.id: r.cluster for r in cl.dbscan(_points(spark, X), eps, ms, reps=4).collect()}
+    assert [got[i] for i in range(len(X))] == list(_np_dbscan(X, eps, ms))
