@@ -108,7 +108,9 @@ def seed_average(train: DataFrame, test: DataFrame, features: list[str], fit_see
         sc = predict_proba(m, test, features, keep=["row_id", label]).withColumn("model", F.lit(f"seed_{s}"))
         per = sc if per is None else per.unionByName(sc)
     per = per.withColumnRenamed(label, "y")
-    spread = score_spread(ranking_metrics(per, ["model"]), "roc_auc")
+    aucs = ranking_metrics(per, ["model"])
+    by_seed = aucs.agg(F.map_from_entries(F.collect_list(F.struct("model", "roc_auc"))).alias("auc_by_seed"))
+    spread = score_spread(aucs, "roc_auc").select("*", by_seed.select("auc_by_seed").scalar().alias("auc_by_seed"))
     avg = (per.groupBy("row_id").agg(F.first("y").alias("y"), F.avg("score").alias("score"))
            .select("row_id", F.lit(model_name).alias("model"), "y", "score"))
     return avg, spread

@@ -234,7 +234,7 @@ def w1_average_rank_lineitem(spark, sf):
     return round_doubles(r.select("row_id", "model", "rank_pct"))
 
 
-_DAY = "(year(o_orderdate) * 10000 + month(o_orderdate) * 100 + day(o_orderdate))"
+_DAY = "CAST(year(o_orderdate) * 10000 + month(o_orderdate) * 100 + day(o_orderdate) AS INTEGER)"
 
 
 @register("w2_prefix_sums_orders",
@@ -409,3 +409,15 @@ def e7_goal_check_lineitem(spark, sf):
 def f4_qualify_models_lineitem(spark, sf):
     q = en.qualify_models(long_scores(spark, sf), 0.5)
     return round_doubles(q.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("score_sum")))
+
+
+@register("e_ensemble_name_lineitem",
+          f"""WITH m AS ({_rank_metrics_sql(LONG_SQL)})
+              SELECT array_to_string(list_sort(list(model)), '_') AS ensemble, count(*) AS n_models
+              FROM m WHERE roc_auc >= 0.5""")
+def e_ensemble_name_lineitem(spark, sf):
+    """The ensemble's name: qualifying model keys, sorted, joined by '_'."""
+    aucs = round_doubles(mt.ranking_metrics(long_scores(spark, sf)))
+    q = aucs.where(F.col("roc_auc") >= 0.5)
+    return q.agg(F.array_join(F.sort_array(F.collect_set("model")), "_").alias("ensemble"),
+                 F.count(F.lit(1)).alias("n_models"))
