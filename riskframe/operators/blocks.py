@@ -97,3 +97,45 @@ def id_type_of(df: DataFrame) -> str:
 
 
 __all__ = ["collect_block", "topk_block", "cluster_sums", "id_type_of", "F"]
+
+
+def topk_cogroup(query: DataFrame, candidates: DataFrame, k: int, exclude_self: bool,
+                 n_query_chunks: int, n_blocks: int, id_type: str) -> DataFrame:
+    """Exact per-block top-k as a distributed block-nested-loop join.
+
+    Query rows are hashed into ``n_query_chunks`` chunks and candidates into
+    ``n_blocks`` blocks; every candidate block is replicated to each query
+    chunk (a generator, no join) and each ``(chunk, block)`` group — one
+    bounded query chunk and one bounded candidate block — is scored with
+    numpy in ``cogroup(...).applyInPandas``.  Nothing passes through the
+    driver.  Returns one row per (query point, block)."""
+    q = query.select("id", "x", F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(n_query_chunks)).alias("_qc"),
+                     F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("_blk"))
+    c = candidates.select(F.col("id").alias("cid"), F.col("x").alias("cx"),
+                          F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(n_blocks)).alias("_blk"),
+                          F.explode(F.sequence(F.lit(0), F.lit(n_query_chunks - 1))).alias("_qc"))
+
+    def fn(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
+        if len(qpdf) == 0:
+            return pd.DataFrame({"id": [], "nn": []})
+        Q = np.array(qpdf["x"].tolist(), dtype=np.float64)
+        X = np.array(cpdf["cx"].tolist(), dtype=np.float64) if len(cpdf) else np.zeros((0, Q.shape[1]))
+        ids = cpdf["cid"].to_numpy(dtype=object)
+        qids = qpdf["id"].to_numpy(dtype=object)
+        out = []
+        for sl, D in pairwise(Q, X):
+            for r, d in enumerate(D):
+                if exclude_self and len(ids):
+                    d = np.where(ids == qids[sl][r], np.inf, d)
+                kk = min(k, len(d))
+                if kk == 0:
+                    out.append([])
+                    continue
+                idx = np.argpartition(d, kk - 1)[:kk] if kk < len(d) else np.arange(len(d))
+                idx = np.where(d <= d[idx].max())[0]
+                cand = sorted((float(d[j]), ids[j]) for j in idx if np.isfinite(d[j]))[:k]
+                out.append([{"dist": a, "nid": b} for a, b in cand])
+        return pd.DataFrame({"id": qids, "nn": out})
+
+    schema = f"id {id_type}, nn array<struct<dist: double, nid: {id_type}>>"
+    return q.groupBy("_qc", "_blk").cogroup(c.groupBy("_qc", "_blk")).applyInPandas(fn, schema)

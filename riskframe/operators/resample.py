@@ -1,10 +1,11 @@
 """Resampling: exact k-nearest neighbours (blocked), R1 SMOTE, R2 Tomek links.
 
-kNN never materialises pair rows: the candidate side is cut into blocks
-of at most ``block_size`` points (a checked bound), each block is shipped
-once to every task, every query partition keeps its rows' top-k of that
-block with numpy, and the per-block top-k lists are merged with one
-``groupBy(id)``.  The work is exact and quadratic in the number
+kNN never materialises pair rows.  A candidate set within ``block_size``
+points (counted first) is broadcast once and every query partition keeps
+its rows' top-k with numpy; larger sets run as a distributed
+block-nested-loop join (bounded query chunk x bounded candidate block per
+group, ``cogroup.applyInPandas``) whose per-block top-k lists are merged
+with one ``groupBy(id)``.  The work is exact and quadratic in the number
 of candidates (inherent to exact kNN in many dimensions); memory per task
 is bounded by ``block_size``.
 """
@@ -16,36 +17,34 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.operators.blocks import collect_block, id_type_of, topk_block
+from riskframe.operators.blocks import collect_block, id_type_of, topk_block, topk_cogroup
 from riskframe.operators.prefix import prefix_sums
 
 BLOCK_SIZE = 20_000
 
 
 def knn(query: DataFrame, candidates: DataFrame, k: int, exclude_self: bool = True,
-        block_size: int = BLOCK_SIZE) -> DataFrame:
+        block_size: int = BLOCK_SIZE, query_chunk: int = BLOCK_SIZE) -> DataFrame:
     """Exact k nearest candidates of every query point.
 
     ``query``/``candidates``: ``(id, x array<double>)``.  Returns ``(id, nn
     array<struct<dist double, nid>>)`` sorted by distance, ties by id.
-    Candidates are cut into hash blocks of at most ``block_size`` points;
-    each block is broadcast once and scanned by every query partition with
-    numpy (:mod:`riskframe.operators.blocks`); per-block top-k lists are
-    merged with one ``groupBy``."""
+
+    A single candidate block (at most ``block_size`` points, counted first)
+    is broadcast once and scanned by every query partition with numpy.
+    Larger candidate sets run as a distributed block-nested-loop join
+    (query chunks x candidate blocks, each group bounded) and the per-block
+    top-k lists are merged with one ``groupBy``; nothing passes through the
+    driver."""
     m = candidates.count()
-    blocks = max(1, math.ceil(m / block_size))
-    cand = candidates.withColumn("_blk", F.pmod(F.xxhash64("id"), F.lit(blocks)))
     itype = id_type_of(query)
-    parts = []
-    for b in range(blocks):
-        blk = collect_block(cand.where(F.col("_blk") == b).select("id", "x"), 2 * block_size)
-        parts.append(topk_block(query, blk, k, exclude_self, itype))
-    allp = parts[0]
-    for p in parts[1:]:
-        allp = allp.unionByName(p)
-    if blocks == 1:
-        return allp
-    merged = allp.groupBy("id").agg(F.flatten(F.collect_list("nn")).alias("nn"))
+    if m <= block_size:
+        return topk_block(query, collect_block(candidates.select("id", "x"), block_size), k, exclude_self, itype)
+    n = query.count()
+    blocks = math.ceil(m / block_size)
+    chunks = max(1, math.ceil(n / query_chunk))
+    parts = topk_cogroup(query, candidates, k, exclude_self, chunks, blocks, itype)
+    merged = parts.groupBy("id").agg(F.flatten(F.collect_list("nn")).alias("nn"))
     return merged.select("id", F.slice(F.array_sort("nn"), 1, k).alias("nn"))
 
 

@@ -13,7 +13,7 @@ def test_knn_matches_bruteforce_across_blocks(spark):
     rng = np.random.default_rng(4)
     X = rng.normal(size=(120, 3))
     pts = spark.createDataFrame([(i, [float(v) for v in x]) for i, x in enumerate(X)], "id long, x array<double>")
-    got = {r.id: [e.nid for e in r.nn] for r in rs.knn(pts, pts, 4, True, block_size=25).collect()}
+    got = {r.id: [e.nid for e in r.nn] for r in rs.knn(pts, pts, 4, True, block_size=25, query_chunk=30).collect()}
     D = np.sqrt(((X[:, None] - X[None]) ** 2).sum(-1))
     np.fill_diagonal(D, np.inf)
     for i in range(len(X)):
