@@ -22,7 +22,7 @@ from riskframe.plans.registry import register
 
 MODELS = {"price": "s_price", "discount": "s_discount", "quantity": "s_quantity"}
 
-WIDE_SQL = ("w AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS row_id, "
+WIDE_SQL = ("w AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_linestatus) AS row_id, "
             "CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y, "
             "l_extendedprice / (SELECT max(l_extendedprice) FROM lineitem) AS s_price, "
             "l_discount * 10 AS s_discount, l_quantity / 50 AS s_quantity FROM lineitem)")
@@ -276,14 +276,14 @@ def w4_quantile_bin_events(spark, sf):
 
 
 @register("w4_quantile_bin_lineitem_ties",
-          _qbin_sql("lineitem", "l_discount", "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS row_id"))
+          _qbin_sql("lineitem", "l_discount", "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_linestatus) AS row_id"))
 def w4_quantile_bin_lineitem_ties(spark, sf):
     li = lineitem(spark, sf).select("row_id", "l_discount")
     return rk.quantile_bin(li, "l_discount", 10).select("row_id", "l_discount_bin")
 
 
 _FOLD_SQL = ("f AS (SELECT row_id, y, CAST((row_number() OVER (PARTITION BY y ORDER BY md5('42-' || row_id::VARCHAR)) - 1) % 5"
-             " AS INTEGER) AS fold FROM (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS row_id, "
+             " AS INTEGER) AS fold FROM (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_linestatus) AS row_id, "
              "CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y FROM lineitem))")
 
 

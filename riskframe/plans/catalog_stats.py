@@ -107,7 +107,7 @@ NORM_V = ["l_quantity", "l_discount", "l_tax"]
 def _crosses_sql() -> str:
     v = LINEITEM_V
     norm = "sqrt(" + " + ".join(f"{c} * {c}" for c in NORM_V) + ")"
-    sel = ["concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS row_id", "ln(1 + l_extendedprice) AS log_amount"]
+    sel = ["concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_linestatus) AS row_id", "ln(1 + l_extendedprice) AS log_amount"]
     sel += [f"ln(1 + l_extendedprice) * {c} AS amt_x_{c}" for c in ("l_quantity", "l_discount", "l_tax")]
     sel += [f"{norm} AS v_norm", f"pow({norm}, 2) AS v_norm_pow2", f"pow({norm}, 3) AS v_norm_pow3"]
     sel += [f"{norm} * {c} AS norm_x_{c}" for c in v]
@@ -171,7 +171,7 @@ def p17_clip_part(spark, sf):
 
 
 @register("p18_threshold_label_lineitem",
-          "SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS row_id, "
+          "SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_linestatus) AS row_id, "
           "CAST(l_extendedprice / (SELECT max(l_extendedprice) FROM lineitem) >= 0.5 AS INTEGER) AS pred FROM lineitem")
 def p18_threshold_label_lineitem(spark, sf):
     li = lineitem(spark, sf)
@@ -180,7 +180,7 @@ def p18_threshold_label_lineitem(spark, sf):
 
 
 @register("p19_class_weight_lineitem",
-          """WITH y AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS row_id,
+          """WITH y AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_linestatus) AS row_id,
                                CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y FROM lineitem),
                   c AS (SELECT sum(1 - y)::DOUBLE / sum(y) AS r FROM y)
              SELECT row_id, y, round(CASE WHEN y = 1 THEN c.r ELSE 1.0 END, 6) AS weight FROM y, c""")
@@ -351,7 +351,7 @@ def _robust_sql() -> str:
                    for c in v)
     sel = ", ".join(f"round(({c} - s.{c}_m) / CASE WHEN s.{c}_i = 0 THEN 1.0 ELSE s.{c}_i END, 6) AS {c}" for c in v)
     return (f"WITH s AS (SELECT {qs} FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-01-01') "
-            f"SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS row_id, {sel} FROM lineitem, s")
+            f"SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_linestatus) AS row_id, {sel} FROM lineitem, s")
 
 
 @register("a12_robust_scale_lineitem", _robust_sql())
@@ -430,7 +430,7 @@ def d1_dedupe_report_lineitem(spark, sf):
 
 
 @register("t2_top_k_lineitem",
-          "SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS row_id, round(l_extendedprice, 6) AS l_extendedprice FROM lineitem "
+          "SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_linestatus) AS row_id, round(l_extendedprice, 6) AS l_extendedprice FROM lineitem "
           "ORDER BY l_extendedprice DESC, row_id LIMIT 15")
 def t2_top_k_lineitem(spark, sf):
     li = lineitem(spark, sf).select("row_id", "l_extendedprice")
@@ -439,7 +439,7 @@ def t2_top_k_lineitem(spark, sf):
 
 @register("t3_arg_best_lineitem",
           "SELECT l_returnflag, arg_min(row_id, (-l_extendedprice, row_id)) AS row_id, round(max(l_extendedprice), 6) "
-          "AS l_extendedprice FROM (SELECT *, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS row_id FROM lineitem) GROUP BY l_returnflag")
+          "AS l_extendedprice FROM (SELECT *, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_linestatus) AS row_id FROM lineitem) GROUP BY l_returnflag")
 def t3_arg_best_lineitem(spark, sf):
     li = lineitem(spark, sf).select("l_returnflag", "row_id", "l_extendedprice")
     return round_doubles(st.arg_best(li, "l_extendedprice", ["row_id"], by=["l_returnflag"]))

@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 
 from riskframe.sources.tables import driver_table, with_row_id
 
-LINEITEM_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-ROW_ID_SQL = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey)"
+LINEITEM_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_linestatus"]
+ROW_ID_SQL = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_linestatus)"
 LINEITEM_V = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
@@ -22,7 +22,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def lineitem(spark: SparkSession, sf: str) -> DataFrame:
-    """lineitem with ``row_id = 'orderkey-linenumber-partkey-suppkey'``
+    """lineitem with ``row_id = 'orderkey-linenumber-partkey-suppkey-linestatus'``
     (``(l_orderkey, l_linenumber)`` alone repeats in the driver data)."""
     return with_row_id(table(spark, sf, "lineitem"), LINEITEM_KEY)
 
