@@ -37,8 +37,7 @@ def test_fitted_stats_are_applied_without_a_join(spark):
 
 def test_scan_reads_only_needed_columns(spark):
     df = E.queries()["p18_threshold_label_lineitem"](spark, SF01)
-    schemas = re.findall(r"ReadSchema: struct<([^>]*)>", df._jdf.queryExecution().executedPlan().toString()
-                         + "\n" + _formatted(df))
+    schemas = [m.group(1) for m in re.finditer(r"^ReadSchema: struct<(.*)>$", _formatted(df), re.M)]
     assert schemas
     for s in schemas:
         cols = {c.strip().split(":")[0] for c in s.split(",")}
