@@ -33,7 +33,7 @@ def to_long(df: DataFrame, cols: list[str], keep: list[str] | None = None) -> Da
 
 
 SINGLE_TASK_LIMIT_KEY = "riskframe.quantile.singleTaskLimit"
-SINGLE_TASK_LIMIT = 1_000_000
+SINGLE_TASK_LIMIT = 5_000_000
 
 
 def _names(spark, cols: list[str]) -> DataFrame:
@@ -46,10 +46,11 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float], method: str =
     """Long result ``(feature string, p double, q double)``; ``q`` is NULL for
     an all-null column.
 
-    ``method``: ``"exact"`` checks the non-null count of every column first
-    and uses the single-merge ``percentile`` aggregate only while every
-    column has at most ``riskframe.quantile.singleTaskLimit`` values
-    (default 1,000,000); beyond that the distributed path runs.
+    ``method``: ``"exact"`` counts the non-null values of the columns first
+    and uses the single-merge ``percentile`` aggregate only while their
+    total (every column's value map meets in one final task) is at most
+    ``riskframe.quantile.singleTaskLimit`` (default 5,000,000); beyond that
+    the distributed path runs.
     ``"distributed"`` / ``"percentile"`` force a path; ``"approx"`` uses
     ``percentile_approx``.
     """
@@ -59,9 +60,9 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float], method: str =
     if method == "exact":
         limit = int(spark.conf.get(SINGLE_TASK_LIMIT_KEY, str(SINGLE_TASK_LIMIT)))
         # size check (one cheap aggregate): the single-merge path is taken
-        # only when its merge task is provably small
-        largest = df.agg(F.greatest(*[F.count(c) for c in cols], F.lit(0))).first()[0]
-        method = "percentile" if largest <= limit else "distributed"
+        # only when its merge task is provably small (all columns together)
+        total = df.agg(sum((F.count(c) for c in cols), F.lit(0))).first()[0]
+        method = "percentile" if total <= limit else "distributed"
     if method in ("percentile", "approx"):
         agg = F.percentile if method == "percentile" else (
             lambda c, p: F.percentile_approx(c, p, accuracy))
