@@ -1,15 +1,14 @@
 """A3 / A4: exact quantiles (linear interpolation, NULL skipped) and IQR
 fences for many columns at once.
 
-``method="exact"`` (default) is distributed: values are turned into a
-``(column, value) -> count`` histogram (map-side combined), ranked with the
-two-phase prefix sum of :mod:`riskframe.operators.prefix`, and the two
-order statistics around ``h = (n - 1) p`` are picked by an equi-join on the
-column name.  No task ever holds a whole column.
-
-``method="percentile"`` uses Spark's ``percentile`` aggregate (exact, but
-the final merge holds every distinct value of a column in one task: fine
-for low-cardinality columns).  ``method="approx"`` uses
+``method="exact"`` (default) checks the total number of values first: a
+small input uses Spark's exact ``percentile`` aggregate (its final merge
+holds every distinct value of every column in one task, so it is only
+taken below a checked bound).  Larger inputs take the distributed path:
+per-column counts and approximate bucket bounds in one scan, exact
+per-(column, bucket) counts (map-side combined), then an exact histogram of
+only the buckets that contain the target ranks, ranked inside each bucket.
+No task ever holds a whole column.  ``method="approx"`` uses
 ``percentile_approx`` (bounded memory, rank error ``1/accuracy``).
 """
 
@@ -24,7 +23,7 @@ from riskframe.operators.prefix import bucket_index, default_buckets
 
 
 def to_long(df: DataFrame, cols: list[str], keep: list[str] | None = None) -> DataFrame:
-    """``(keep..., column, value double)``, one row per non-null cell."""
+    """``(keep..., feature, value double)``, one row per non-null cell."""
     keep = list(keep or [])
     cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value"))
                       for c in cols])
@@ -136,7 +135,7 @@ def quantile_row(df: DataFrame, cols: list[str], p: float, method: str = "exact"
 
 
 def iqr_fences(df: DataFrame, cols: list[str], k: float = 1.5, method: str = "exact") -> DataFrame:
-    """A4: ``(column, q1, q3, iqr, lower, upper)``, one row per column."""
+    """A4: ``(feature, q1, q3, iqr, lower, upper)``, one row per column."""
     long = quantiles(df, cols, [0.25, 0.75], method)
     wide = long.groupBy("feature").agg(
         F.max(F.when(F.col("p") == 0.25, F.col("q"))).alias("q1"),

@@ -42,7 +42,7 @@ def class_counts(df: DataFrame, y: str) -> DataFrame:
 
 
 def null_counts(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """``(column, n_null)`` per column plus a ``__total__`` row."""
+    """``(feature, n_null)`` per column plus a ``__total__`` row."""
     cols = cols or df.columns
     wide = df.agg(*[F.sum(F.when(F.col(c).isNull(), 1).otherwise(0)).cast("bigint").alias(f"n_null__{c}")
                     for c in cols])
@@ -73,7 +73,7 @@ def drop_noise(df: DataFrame, label: str = "cluster") -> DataFrame:
 
 
 def outlier_counts(df: DataFrame, cols: list[str], k: float = 1.5, method: str = "exact") -> DataFrame:
-    """A5: ``(column, outlier_count)`` for every column, largest first.
+    """A5: ``(feature, outlier_count)`` for every column, largest first.
 
     Two jobs for any number of columns: fences (A4), then one conditional
     sum aggregate reading the fences as a scalar subquery.
@@ -176,7 +176,7 @@ def coverage_compare(df: DataFrame, cols: list[str], k: float = 1.5, method: str
 
 def fit_quantile_cap(train: DataFrame, cols: list[str], p: float = 0.999,
                      method: str = "exact") -> DataFrame:
-    """A9 fit: ``(column, cap)`` = the p-quantile learned on ``train``."""
+    """A9 fit: ``(feature, cap)`` = the p-quantile learned on ``train``."""
     return quantiles(train, cols, [p], method).select("feature", F.col("q").alias("cap"))
 
 
@@ -202,7 +202,7 @@ def zscore(df: DataFrame, col: str, name: str | None = None, eps: float = 1e-8)
 
 
 def fit_robust_scaler(train: DataFrame, cols: list[str], method: str = "exact") -> DataFrame:
-    """A12 fit: ``(column, median, iqr)``."""
+    """A12 fit: ``(feature, median, iqr)``."""
     q = quantiles(train, cols, [0.25, 0.5, 0.75], method)
     return q.groupBy("feature").agg(
         F.max(F.when(F.col("p") == 0.5, F.col("q"))).alias("median"),
