@@ -99,6 +99,23 @@ def random_simplex(n_models: int, n: int, seed: int = 42) -> list[tuple[float, .
     return out
 
 
+def sequential_simplex(n: int, seed: int = 42) -> list[tuple[float, float, float]]:
+    """Seeded 3-model draws: ``w1 ~ U(0, 1)``, ``w2 ~ U(0, 1 - w1)``,
+    ``w3 = 1 - w1 - w2`` (the sequential-remainder scheme)."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for _ in range(n):
+        w1 = float(rng.uniform(0.0, 1.0))
+        w2 = float(rng.uniform(0.0, 1.0 - w1))
+        out.append((w1, w2, 1.0 - w1 - w2))
+    return out
+
+
+def line_grid(n: int) -> list[tuple[float, float]]:
+    """2-model blends ``(w, 1 - w)`` for ``n`` evenly spaced ``w`` in [0, 1]."""
+    return [(float(w), float(1.0 - w)) for w in np.linspace(0.0, 1.0, n)]
+
+
 def weight_search(wide: DataFrame, cols: list[str], candidates: list[tuple[float, ...]],
                   y: str = "y") -> DataFrame:
     """E5: ROC-AUC of ``sum_i w_i * s_i`` for every candidate weight vector,
@@ -125,7 +142,10 @@ def weight_search(wide: DataFrame, cols: list[str], candidates: list[tuple[float
     hist = long.groupBy("candidate", "score").agg(F.sum("_pos").alias("pos"), F.sum("_neg").alias("neg"))
     auc = _auc_from_hist(hist, ["candidate"])
     wlist = F.array(*[F.array(*[F.lit(float(w)) for w in ws]) for ws in candidates])
-    return auc.select("candidate", wlist[F.col("candidate")].alias("weights"), "roc_auc")
+    # a draw whose weights are all zero scores 0 (it defines no blend)
+    zero = F.array(*[F.lit(sum(abs(w) for w in ws) == 0) for ws in candidates])
+    return auc.select("candidate", wlist[F.col("candidate")].alias("weights"),
+                      F.when(zero[F.col("candidate")], F.lit(0.0)).otherwise(F.col("roc_auc")).alias("roc_auc"))
 
 
 def _auc_from_hist(hist: DataFrame, by: list[str]) -> DataFrame:
@@ -166,6 +186,20 @@ def qualify_models(scores: DataFrame, min_auc: float) -> DataFrame:
     return scores.join(F.broadcast(keep), "model", "left_semi")
 
 
+def qualified_rank_blend(scores: DataFrame, min_auc: float, on_empty: str = "none") -> DataFrame:
+    """F4 + E3: rank-average only the models with ROC-AUC >= ``min_auc``.
+
+    With no survivor, ``on_empty="none"`` yields no rows (no ensemble) and
+    ``"zeros"`` yields a 0.0 score for every row; one survivor is its own
+    rank score."""
+    blend = rank_blend(qualify_models(scores, min_auc))
+    if on_empty == "none":
+        return blend
+    rows = scores.groupBy("row_id").agg(F.first("y").alias("y"))
+    return (rows.join(blend.select("row_id", F.col("score").alias("_s")), "row_id", "left")
+            .select("row_id", "y", F.coalesce("_s", F.lit(0.0)).alias("score")))
+
+
 def ensemble_name(models: DataFrame, col: str = "model") -> Column:
     """Sorted model keys joined by ``_`` (one aggregate over the model list)."""
     return models.agg(F.array_join(F.sort_array(F.collect_set(col)), "_")).scalar()

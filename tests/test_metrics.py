@@ -120,3 +120,23 @@ def test_grouped_metrics_stable_under_filter_pushdown(spark):
         ss = [x for _, mm, _, x in rows if mm == m]
         assert one == pytest.approx(full[m], abs=1e-15)
         assert one == pytest.approx(_auc_bruteforce(ys, ss), abs=1e-12)
+
+
+def test_weight_draw_schemes(spark):
+    seq = en.sequential_simplex(50, 3)
+    assert all(abs(sum(w) - 1) < 1e-12 and min(w) >= -1e-12 for w in seq)
+    line = en.line_grid(5)
+    assert line[0] == (0.0, 1.0) and line[-1] == (1.0, 0.0)
+    wide = spark.createDataFrame([(i, i % 2, float(i), float(-i)) for i in range(20)],
+                                 "row_id long, y int, a double, b double")
+    res = {r.candidate: r.roc_auc for r in en.weight_search(wide, ["a", "b"], [(0.0, 0.0), (1.0, 0.0)]).collect()}
+    assert res[0] == 0.0 and res[1] == pytest.approx(_auc_bruteforce([i % 2 for i in range(20)], list(range(20))))
+
+
+def test_qualified_blend_zero_survivors(spark):
+    rows = [(i, m, i % 2, float((i * 7) % 5)) for m in ("a", "b") for i in range(10)]
+    s = _scores(spark, rows)
+    assert en.qualified_rank_blend(s, 0.99).count() == 0
+    z = en.qualified_rank_blend(s, 0.99, on_empty="zeros").collect()
+    assert len(z) == 10 and all(r.score == 0.0 for r in z)
+    assert en.qualified_rank_blend(s, 0.0).count() == 10
