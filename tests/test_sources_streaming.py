@@ -87,3 +87,13 @@ def test_streaming_applies_frozen_stats(spark):
     streamed = spark.sql("SELECT * FROM rf_stream_test ORDER BY event_id").collect()
     assert len(streamed) == len(batch)
     assert all(a.value == pytest.approx(b.value) for a, b in zip(streamed, batch))
+
+
+def test_json_log_append_roundtrip(spark):
+    path = logs.scratch_path(spark, "test-json-log")
+    s = spark.createDataFrame([(1, "m", 1, 0.9), (2, "m", 0, 0.1)], "row_id long, model string, y int, score double")
+    rec = mt.evaluate(s, 0.5, notes="json")
+    logs.append_results(rec, path, fmt="json")
+    logs.append_results(rec, path, fmt="json")
+    back = logs.read_results_log(spark, path, fmt="json")
+    assert back.count() == 2 and back.first().Confusion_Matrix == [[1, 0], [0, 1]]
