@@ -57,17 +57,14 @@ def _is_dir(spark: SparkSession, path: str) -> bool:
 
 def read_results_log(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """S3: the log as a typed frame; a missing log is an empty frame and
-    corrupt JSON records are dropped (PERMISSIVE mode)."""
+    malformed JSON records are dropped."""
     if not _exists(spark, path):
         return spark.createDataFrame([], RESULTS_SCHEMA)
     if fmt == "json":
         # a single file holds one JSON array (the original log form); a folder
         # holds JSON Lines appended by `append_results(fmt="json")`
-        schema = T.StructType(RESULTS_SCHEMA.fields + [T.StructField("_corrupt", T.StringType())])
-        df = (spark.read.schema(schema).option("mode", "PERMISSIVE")
-              .option("columnNameOfCorruptRecord", "_corrupt")
-              .option("multiLine", not _is_dir(spark, path)).json(path))
-        return df.where(F.col("_corrupt").isNull()).drop("_corrupt")
+        return (spark.read.schema(RESULTS_SCHEMA).option("mode", "DROPMALFORMED")
+                .option("multiLine", not _is_dir(spark, path)).json(path))
     return spark.read.schema(RESULTS_SCHEMA).parquet(path)
 
 
