@@ -82,9 +82,12 @@ def _exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], names:
     # B-1 approximate bucket bounds.
     b = default_buckets(df)
     bprobs = F.array(*[F.lit(i / b) for i in range(1, b)])
+    # bounds only balance the buckets (exactness comes from pass 3), so a
+    # coarse sketch sized to the bucket count is enough
+    acc = max(200, 50 * b)
     meta = df.agg(F.struct(
         F.array(*[F.count(c) for c in cols]).alias("n"),
-        F.array(*[F.percentile_approx(F.col(c).cast("double"), bprobs, accuracy) for c in cols]).alias("sp"),
+        F.array(*[F.percentile_approx(F.col(c).cast("double"), bprobs, acc) for c in cols]).alias("sp"),
     )).scalar()
     cells = (df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("_ci"), F.col(c).cast("double").alias("value"))
                                           for i, c in enumerate(cols)])))
