@@ -217,7 +217,8 @@ def dbscan(points: DataFrame, eps: float, min_samples: int, max_iter: int = 200,
     stride = F.greatest(F.lit(1), F.ceil(F.col("_cnt") / F.lit(float(reps))))
     sample = core.where(F.pmod(F.xxhash64(F.lit(17), F.col("id")), stride) == 0)
     link1 = (_cross_cell_pairs(sample, sample, d, offsets, eps).where(F.col("a_v") < F.col("b_v"))
-             .select(F.col("a_v").alias("src"), F.col("b_v").alias("dst")).distinct())
+             .select(F.col("a_v").alias("src"), F.col("b_v").alias("dst")).distinct()
+             .checkpoint(eager=True))   # read by several branches below
     cells_v = core.select(*keys, "v").distinct()
     offs = F.array(*[F.array(*[F.lit(x) for x in o]) for o in offsets])
     near = (cells_v.select("*", F.explode(offs).alias("_o"))
@@ -225,15 +226,31 @@ def dbscan(points: DataFrame, eps: float, min_samples: int, max_iter: int = 200,
             .join(cells_v.withColumnRenamed("v", "dst"), keys).where(F.col("src") < F.col("dst"))
             .select("src", "dst"))
     todo = near.join(link1, ["src", "dst"], "left_anti")
-    # phase 2: sub-cell certificates.  Each core cell is summarised by its
+    # phase 2a: pairs of small cells (product of core counts at most
+    # (m^d)^2) are compared point by point - cheaper than summarising them.
+    vcnt = core.groupBy("v").agg(F.count(F.lit(1)).alias("_n"))
+    sized = (todo.join(vcnt.withColumnRenamed("v", "src").withColumnRenamed("_n", "_na"), "src")
+             .join(vcnt.withColumnRenamed("v", "dst").withColumnRenamed("_n", "_nb"), "dst")
+             .checkpoint(eager=True))   # small (cell pairs), read by several branches
+    small_lim = float(sub_m ** d) ** 2
+    small = sized.where(F.col("_na") * F.col("_nb") <= small_lim).select("src", "dst")
+    todo = sized.where(F.col("_na") * F.col("_nb") > small_lim).select("src", "dst")
+    qa = core.select(F.col("v").alias("src"), F.col("x").alias("a_x"))
+    qb = core.select(F.col("v").alias("dst"), F.col("x").alias("b_x"))
+    link_small = (small.join(qa, "src").join(qb, "dst")
+                  .where(euclid_d(F.col("a_x"), F.col("b_x"), d) <= F.lit(eps))
+                  .select("src", "dst").distinct())
+    # phase 2b: sub-cell certificates for pairs of large cells.  Each core cell is summarised by its
     # occupied sub-cells (side/m; at most m^d per cell, however dense).  A
     # sub-cell pair whose farthest corners are within eps certifies a link;
     # point pairs are compared only inside "ambiguous" sub-cell pairs (nearest
     # corners within eps, farthest not).  Margins of 1e-9 keep it exact
     # against floor() rounding.
     sub = side / sub_m
-    subc = core.select("v", "id", "x", *[F.floor(F.col("x")[i] / F.lit(sub)).cast("long").alias(f"_s{i}")
-                                         for i in range(d)])
+    big_cells = todo.select(F.col("src").alias("v")).unionByName(todo.select(F.col("dst").alias("v"))).distinct()
+    subc = (core.join(big_cells, "v", "left_semi")
+            .select("v", "id", "x", *[F.floor(F.col("x")[i] / F.lit(sub)).cast("long").alias(f"_s{i}")
+                                      for i in range(d)]))
     occ = subc.select("v", *[f"_s{i}" for i in range(d)]).distinct()
     oa = occ.select(F.col("v").alias("src"), *[F.col(f"_s{i}").alias(f"a{i}") for i in range(d)])
     ob = occ.select(F.col("v").alias("dst"), *[F.col(f"_s{i}").alias(f"b{i}") for i in range(d)])
@@ -256,7 +273,7 @@ def dbscan(points: DataFrame, eps: float, min_samples: int, max_iter: int = 200,
              .join(pb, ["dst", *[f"b{i}" for i in range(d)]])
              .where(euclid_d(F.col("a_x"), F.col("b_x"), d) <= F.lit(eps))
              .select("src", "dst").distinct())
-    link2 = sure.unionByName(link2)
+    link2 = sure.unionByName(link2).unionByName(link_small)
     edges = link1.unionByName(link2).distinct()
     edges = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     comp = _components(edges, vrep.select("v"), max_iter)
