@@ -27,15 +27,26 @@ def lineitem(spark: SparkSession, sf: str) -> DataFrame:
     return with_row_id(table(spark, sf, "lineitem"), LINEITEM_KEY)
 
 
+def round_half_away(x, digits: int = 6):
+    """``x`` rounded to ``digits`` decimals, half away from zero, on the
+    binary value: ``signum(x) * floor(|x| * 10^d + 0.5) / 10^d``.
+
+    Branch-free arithmetic (code-generated, the input evaluated once),
+    where ``F.round`` converts every value to a BigDecimal; it rounds the
+    way SQL engines round doubles in binary.  NaN and +-inf pass through."""
+    scale = F.lit(float(10 ** digits))
+    return F.signum(x) * F.floor(F.abs(x) * scale + F.lit(0.5)) / scale
+
+
 def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round every float/double column (and doubles nested in arrays)."""
     out = []
     for f in df.schema.fields:
         dt = f.dataType
         if isinstance(dt, (T.DoubleType, T.FloatType)):
-            out.append(F.round(F.col(f.name).cast("double"), digits).alias(f.name))
+            out.append(round_half_away(F.col(f.name).cast("double"), digits).alias(f.name))
         elif isinstance(dt, T.ArrayType) and isinstance(dt.elementType, (T.DoubleType, T.FloatType)):
-            out.append(F.transform(F.col(f.name), lambda v: F.round(v.cast("double"), digits)).alias(f.name))
+            out.append(F.transform(F.col(f.name), lambda v: round_half_away(v.cast("double"), digits)).alias(f.name))
         else:
             out.append(F.col(f.name))
     return df.select(*out)
