@@ -81,8 +81,10 @@ def classification_report(scores: DataFrame, threshold: float = 0.5, by: list[st
 # ---- A20 / A21 -------------------------------------------------------------
 
 def score_histogram(scores: DataFrame, by: list[str], y: str = "y", score: str = "score") -> DataFrame:
-    """``(by..., score, pos, neg)``, map-side combined."""
-    return scores.groupBy(*by, score).agg(
+    """``(by..., score, pos, neg)``, map-side combined; rows without a
+    score or label are skipped."""
+    ok = F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")) & F.col(y).isNotNull()
+    return scores.where(ok).groupBy(*by, score).agg(
         F.sum(F.col(y).cast("long")).alias("pos"),
         F.sum((1 - F.col(y)).cast("long")).alias("neg"))
 
@@ -143,7 +145,10 @@ def threshold_sweep(scores: DataFrame, grid: list[float], by: list[str] | None =
     from pyspark.ml.feature import Bucketizer
     bz = Bucketizer(splits=[float("-inf"), *g, float("inf")], inputCol="_s", outputCol="_jd",
                     handleInvalid="keep")
-    binned = bz.transform(scores.withColumn("_s", F.col(score).cast("double")))
+    # a missing score passes no threshold (``NaN >= t`` is false): map it to -inf
+    s_ = F.col(score).cast("double")
+    binned = bz.transform(scores.withColumn("_s", F.when(s_.isNull() | F.isnan(s_), F.lit(float("-inf")))
+                                                  .otherwise(s_)))
     j = F.col("_jd").cast("int")
     bins = binned.groupBy(*by, j.alias("_j")).agg(
         F.sum(F.col(y).cast("long")).alias("_pos"), F.sum((1 - F.col(y)).cast("long")).alias("_neg"))

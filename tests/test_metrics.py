@@ -140,3 +140,12 @@ def test_qualified_blend_zero_survivors(spark):
     z = en.qualified_rank_blend(s, 0.99, on_empty="zeros").collect()
     assert len(z) == 10 and all(r.score == 0.0 for r in z)
     assert en.qualified_rank_blend(s, 0.0).count() == 10
+
+
+def test_missing_scores(spark):
+    rows = [(1, "m", 1, 0.9), (2, "m", 0, 0.2), (3, "m", 1, None), (4, "m", 0, float("nan")), (5, "m", 1, 0.6)]
+    s = spark.createDataFrame(rows, "row_id long, model string, y int, score double")
+    r = mt.ranking_metrics(s).first()
+    assert (r.n_pos, r.n_neg) == (2, 1) and r.roc_auc == pytest.approx(1.0)
+    sw = {x.t_idx: x for x in mt.threshold_sweep(s, [0.5]).collect()}
+    assert (sw[0].tp, sw[0].fp, sw[0].fn) == (2, 0, 1)
