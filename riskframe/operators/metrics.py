@@ -29,7 +29,9 @@ def confusion(scores: DataFrame, threshold: float | Column = 0.5, by: list[str]
     confusion_matrix [[tn, fp], [fn, tp]])`` at ``score >= threshold``."""
     by = list(by or ["model"])
     t = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
-    p = F.col(pred) if pred else (F.col(score) >= t).cast("int")
+    sc = F.col(score).cast("double")
+    # Spark orders NaN above every number; a missing score predicts 0
+    p = F.col(pred) if pred else F.coalesce((sc >= t) & ~F.isnan(sc), F.lit(False)).cast("int")
     yy = F.col(y)
     agg = scores.groupBy(*by).agg(
         F.sum(((yy == 0) & (p == 0)).cast("int")).cast("bigint").alias("tn"),

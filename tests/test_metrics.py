@@ -149,3 +149,10 @@ def test_missing_scores(spark):
     assert (r.n_pos, r.n_neg) == (2, 1) and r.roc_auc == pytest.approx(1.0)
     sw = {x.t_idx: x for x in mt.threshold_sweep(s, [0.5]).collect()}
     assert (sw[0].tp, sw[0].fp, sw[0].fn) == (2, 0, 1)
+
+
+def test_confusion_missing_scores_predict_negative(spark):
+    rows = [(1, "m", 1, 0.9), (2, "m", 0, float("nan")), (3, "m", 1, None)]
+    s = spark.createDataFrame(rows, "row_id long, model string, y int, score double")
+    c = mt.confusion(s, 0.5).first()
+    assert (c.tn, c.fp, c.fn, c.tp) == (1, 0, 1, 1)
