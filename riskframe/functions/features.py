@@ -144,8 +144,10 @@ def clip(x, lo=None, hi=None) -> Column:
 
 
 def threshold_label(score, t) -> Column:
-    """``score >= t`` as 0/1 (inclusive)."""
-    return (c_(score) >= (t if isinstance(t, Column) else F.lit(float(t)))).cast("int")
+    """``score >= t`` as 0/1 (inclusive); a NaN score gives 0 (Spark
+    would order NaN above every number), a NULL score stays NULL."""
+    sc = c_(score).cast("double")
+    return ((sc >= (t if isinstance(t, Column) else F.lit(float(t)))) & ~F.isnan(sc)).cast("int")
 
 
 def class_weight(y, ratio) -> Column:
