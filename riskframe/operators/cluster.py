@@ -171,6 +171,45 @@ def _components(edges: DataFrame, verts: DataFrame, max_iter: int = 200) -> Data
     raise RuntimeError("connected components did not converge")
 
 
+def _subcell_links(core: DataFrame, todo: DataFrame, d: int, side: float, sub_m: int,
+                   eps: float) -> DataFrame:
+    """Links between pairs of large core cells via sub-cell certificates."""
+    # phase 2b: sub-cell certificates for pairs of large cells.  Each core cell is summarised by its
+    # occupied sub-cells (side/m; at most m^d per cell, however dense).  A
+    # sub-cell pair whose farthest corners are within eps certifies a link;
+    # point pairs are compared only inside "ambiguous" sub-cell pairs (nearest
+    # corners within eps, farthest not).  Margins of 1e-9 keep it exact
+    # against floor() rounding.
+    sub = side / sub_m
+    big_cells = todo.select(F.col("src").alias("v")).unionByName(todo.select(F.col("dst").alias("v"))).distinct()
+    subc = (core.join(big_cells, "v", "left_semi")
+            .select("v", "id", "x", *[F.floor(F.col("x")[i] / F.lit(sub)).cast("long").alias(f"_s{i}")
+                                      for i in range(d)]))
+    occ = subc.select("v", *[f"_s{i}" for i in range(d)]).distinct()
+    oa = occ.select(F.col("v").alias("src"), *[F.col(f"_s{i}").alias(f"a{i}") for i in range(d)])
+    ob = occ.select(F.col("v").alias("dst"), *[F.col(f"_s{i}").alias(f"b{i}") for i in range(d)])
+    sp = todo.join(oa, "src").join(ob, "dst")
+    delta = [F.abs(F.col(f"a{i}") - F.col(f"b{i}")) for i in range(d)]
+    far = F.sqrt(sum(((dl + 1) * sub) * ((dl + 1) * sub) for dl in delta))
+    gap = [F.greatest(dl - 1, F.lit(0)) * sub for dl in delta]
+    near_d = F.sqrt(sum((g * g for g in gap), F.lit(0.0)))
+    sp = sp.select("src", "dst", *[f"a{i}" for i in range(d)], *[f"b{i}" for i in range(d)],
+                   (far <= eps * (1 - 1e-9)).alias("_sure"), (near_d <= eps * (1 + 1e-9)).alias("_maybe"))
+    sure = sp.where("_sure").select("src", "dst").distinct()
+    amb = (sp.where(~F.col("_sure") & F.col("_maybe")).select("src", "dst", *[f"a{i}" for i in range(d)],
+                                                               *[f"b{i}" for i in range(d)])
+           .join(sure, ["src", "dst"], "left_anti"))
+    pa = subc.select(F.col("v").alias("src"), *[F.col(f"_s{i}").alias(f"a{i}") for i in range(d)],
+                     F.col("x").alias("a_x"))
+    pb = subc.select(F.col("v").alias("dst"), *[F.col(f"_s{i}").alias(f"b{i}") for i in range(d)],
+                     F.col("x").alias("b_x"))
+    link2 = (amb.join(pa, ["src", *[f"a{i}" for i in range(d)]])
+             .join(pb, ["dst", *[f"b{i}" for i in range(d)]])
+             .where(euclid_d(F.col("a_x"), F.col("b_x"), d) <= F.lit(eps))
+             .select("src", "dst").distinct())
+    return sure.unionByName(link2)
+
+
 def dbscan(points: DataFrame, eps: float, min_samples: int, max_iter: int = 200,
            reps: int = 16, sub_m: int = 4) -> DataFrame:
     """``(id, cluster)``; ``-1`` = noise.
@@ -240,40 +279,12 @@ def dbscan(points: DataFrame, eps: float, min_samples: int, max_iter: int = 200,
     link_small = (small.join(qa, "src").join(qb, "dst")
                   .where(euclid_d(F.col("a_x"), F.col("b_x"), d) <= F.lit(eps))
                   .select("src", "dst").distinct())
-    # phase 2b: sub-cell certificates for pairs of large cells.  Each core cell is summarised by its
-    # occupied sub-cells (side/m; at most m^d per cell, however dense).  A
-    # sub-cell pair whose farthest corners are within eps certifies a link;
-    # point pairs are compared only inside "ambiguous" sub-cell pairs (nearest
-    # corners within eps, farthest not).  Margins of 1e-9 keep it exact
-    # against floor() rounding.
-    sub = side / sub_m
-    big_cells = todo.select(F.col("src").alias("v")).unionByName(todo.select(F.col("dst").alias("v"))).distinct()
-    subc = (core.join(big_cells, "v", "left_semi")
-            .select("v", "id", "x", *[F.floor(F.col("x")[i] / F.lit(sub)).cast("long").alias(f"_s{i}")
-                                      for i in range(d)]))
-    occ = subc.select("v", *[f"_s{i}" for i in range(d)]).distinct()
-    oa = occ.select(F.col("v").alias("src"), *[F.col(f"_s{i}").alias(f"a{i}") for i in range(d)])
-    ob = occ.select(F.col("v").alias("dst"), *[F.col(f"_s{i}").alias(f"b{i}") for i in range(d)])
-    sp = todo.join(oa, "src").join(ob, "dst")
-    delta = [F.abs(F.col(f"a{i}") - F.col(f"b{i}")) for i in range(d)]
-    far = F.sqrt(sum(((dl + 1) * sub) * ((dl + 1) * sub) for dl in delta))
-    gap = [F.greatest(dl - 1, F.lit(0)) * sub for dl in delta]
-    near_d = F.sqrt(sum((g * g for g in gap), F.lit(0.0)))
-    sp = sp.select("src", "dst", *[f"a{i}" for i in range(d)], *[f"b{i}" for i in range(d)],
-                   (far <= eps * (1 - 1e-9)).alias("_sure"), (near_d <= eps * (1 + 1e-9)).alias("_maybe"))
-    sure = sp.where("_sure").select("src", "dst").distinct()
-    amb = (sp.where(~F.col("_sure") & F.col("_maybe")).select("src", "dst", *[f"a{i}" for i in range(d)],
-                                                               *[f"b{i}" for i in range(d)])
-           .join(sure, ["src", "dst"], "left_anti"))
-    pa = subc.select(F.col("v").alias("src"), *[F.col(f"_s{i}").alias(f"a{i}") for i in range(d)],
-                     F.col("x").alias("a_x"))
-    pb = subc.select(F.col("v").alias("dst"), *[F.col(f"_s{i}").alias(f"b{i}") for i in range(d)],
-                     F.col("x").alias("b_x"))
-    link2 = (amb.join(pa, ["src", *[f"a{i}" for i in range(d)]])
-             .join(pb, ["dst", *[f"b{i}" for i in range(d)]])
-             .where(euclid_d(F.col("a_x"), F.col("b_x"), d) <= F.lit(eps))
-             .select("src", "dst").distinct())
-    link2 = sure.unionByName(link2).unionByName(link_small)
+    # phase 2b only when some unlinked pair of large cells exists (the
+    # checkpointed pair table makes this check cheap)
+    if todo.limit(1).count() == 0:
+        link2 = link_small
+    else:
+        link2 = _subcell_links(core, todo, d, side, sub_m, eps).unionByName(link_small)
     edges = link1.unionByName(link2).distinct()
     edges = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     comp = _components(edges, vrep.select("v"), max_iter)

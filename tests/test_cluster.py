@@ -120,3 +120,14 @@ def test_dbscan_hot_cell_matches_bruteforce(spark):
     eps, ms = 0.15, 4
     got = {r.id: r.cluster for r in cl.dbscan(_points(spark, X), eps, ms, reps=4).collect()}
     assert [got[i] for i in range(len(X))] == list(_np_dbscan(X, eps, ms))
+
+
+def test_dbscan_subcell_path_matches_bruteforce(spark):
+    # one representative per cell and coarse sub-cells push many dense cell
+    # pairs through the certificate / ambiguous-band path
+    rng = np.random.default_rng(33)
+    X = np.vstack([rng.normal(c, 0.08, size=(250, 2)) for c in ([0, 0], [0.5, 0.1], [3, 3])]
+                  + [rng.uniform(-2, 5, size=(150, 2))])
+    eps, ms = 0.1, 5
+    got = {r.id: r.cluster for r in cl.dbscan(_points(spark, X), eps, ms, reps=1, sub_m=2).collect()}
+    assert [got[i] for i in range(len(X))] == list(_np_dbscan(X, eps, ms))
