@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import lm_mixing, mixing, packing, quality_mil, quality_rules, secrets, simhash, token_counts, toxicity
+from riskframe.llm import lm_mixing, mixing, packing, quality_mil, quality_rules, secrets, simhash, token_counts, toxicity, vector_dedup
 from riskframe.llm.base import read_table, shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,6 +72,11 @@ def op8_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
                         length=4096, end_id=2)
 
 
+@register
+def op9_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_duplicates(read_table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 @register
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
