@@ -16,4 +16,3 @@ def test_registry_contract():
     assert len(qs) >= 90 and len(sql) >= 80
     for name in qs:
         assert re.match(r"^[a-z][a-z0-9_]*$", name)
-        assert not name.startswith("op")
