@@ -15,6 +15,7 @@ table gives an empty result.  Extra columns are ignored.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,9 +27,10 @@ from riskframe.llm.base import materialise
 from riskframe.llm.token_counts import tokenizer
 
 GROUP = 2048            # pieces of a group, on average
-CACHE = 300_000         # distinct chunks whose ids a worker keeps at most,
-CACHE_BYTES = 1 << 25   # and their bytes
+CACHE = 800_000         # distinct chunks whose ids a worker keeps at most,
+CACHE_BYTES = 1 << 26   # and their bytes
 BATCH = 10_000
+ROWS = 64               # rows whose chunks are tokenised together
 
 _ids: dict[str, dict[bytes, bytes]] = {}
 _kept_bytes: dict[str, int] = {}
@@ -41,8 +43,10 @@ def chunk_ids(chunks: set[bytes], path: str) -> dict[bytes, bytes]:
     a text are those of its chunks in a row; frequent chunks are kept."""
     kept = _ids.setdefault(path, {})
     if len(kept) > CACHE or _kept_bytes.get(path, 0) > CACHE_BYTES:
-        kept.clear()
-        _kept_bytes[path] = 0
+        # what came first is what comes often
+        for c in list(kept)[len(kept) // 2:]:
+            del kept[c]
+        _kept_bytes[path] = sum(map(len, kept))
     new = [c for c in chunks if c not in kept]
     t = tokenizer(path)
     _kept_bytes[path] = _kept_bytes.get(path, 0) + sum(map(len, new))
@@ -50,10 +54,20 @@ def chunk_ids(chunks: set[bytes], path: str) -> dict[bytes, bytes]:
         part = new[i:i + BATCH]
         got = t.encode_batch_fast([c.decode("utf-8", "replace") for c in part], add_special_tokens=False)
         for c, e in zip(part, got):
-            kept[c] = np.array(e.ids, dtype="<u4").tobytes()
+            kept[c] = array("I", e.ids).tobytes()
     return kept
 
 
+def chunked(b: pa.RecordBatch, path: str) -> Iterator[tuple]:
+    """``(doc_id, chunks, ids of chunks)`` of each row, tokenised some rows
+    at a time."""
+    for at in range(0, b.num_rows, ROWS):
+        part = b.slice(at, ROWS)
+        texts = [(t or b"").split() for t in part.column(1).to_pylist()]
+        kept = chunk_ids(set().union(*texts), path)
+        yield from ((doc_id, words, kept) for doc_id, words in zip(part.column(0).to_pylist(), texts))
+
+
 def pieces(docs: DataFrame, path: str, length: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
     """``(doc_id, start, length, ids_crc32, doc_tokens, salt)``."""
     end = np.array([end_id], dtype="<u4").tobytes()
@@ -63,10 +77,8 @@ def pieces(docs: DataFrame, path: str, length: int, end_id: int, id_col: str, te
         row = 0
         for b in batches:
             cols: list[list] = [[] for _ in range(6)]
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for doc_id, words, kept in chunked(b, path):
                 row += 1
-                words = (text or b"").split()
-                kept = chunk_ids(set(words), path) if words else {}
                 buf = b"".join([kept[w] for w in words]) + end
                 n = len(buf) // 4
                 for start in range(0, n, length):
