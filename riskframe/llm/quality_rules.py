@@ -104,9 +104,11 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, id_col: str = "doc_id", text
 
     ``trusted`` holds ids.  One scan counts both; counts are combined before
     the shuffle, so a very common n-gram is one row per task."""
-    ids = trusted.select(F.col(id_col).alias("_tid")).where("_tid is not null").distinct()
+    ids = trusted.select(F.col(id_col).cast("string").alias("_tid")).where("_tid is not null").distinct()
     text = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
-    marked = text.join(ids, F.col("_id") == F.col("_tid"), "left")
+    # the ids grow with the corpus, so this is a shuffle join at every size; rows without an id are dealt by text
+    key = F.coalesce(F.col("_id").cast("string"), F.concat(F.lit("null "), F.xxhash64("_text").cast("string")))
+    marked = text.withColumn("_key", key).join(ids.hint("merge"), F.col("_key") == F.col("_tid"), "left")
     grams = marked.select(F.col("_tid").isNotNull().cast("long").alias("t"),
                           F.explode(let(ngram_hashes(words_of(F.col("_text"))), lambda h: F.concat(h["h1"], h["h2"]))).alias("h"))
     grams = grams.select("t", bucket(F.col("h")).alias("b"))
