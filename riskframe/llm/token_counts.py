@@ -42,15 +42,35 @@ def _splitter(path: str):
     return (regex.compile("(" + "|".join(map(regex.escape, added)) + ")") if added else None), added, regex.compile(PATTERN)
 
 
+@functools.cache
+def _newer():
+    """Characters that Unicode 3.2 did not have: libraries of other Unicode
+    versions may class them differently."""
+    import sys
+    from unicodedata import ucd_3_2_0
+
+    import regex
+    known = [ucd_3_2_0.category(chr(c)) != "Cn" for c in range(sys.maxunicode + 1)]
+    cuts = [c for c in range(1, len(known)) if known[c] != known[c - 1]] + [len(known)]
+    ranges = [(a, b - 1) for a, b in zip(cuts, cuts[1:]) if not known[a]]
+    return regex.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges) + "]")
+
+
+def _cut(s: str, path: str, pattern) -> list[str]:
+    if s.isascii() or not _newer().search(s):
+        return pattern.findall(s)
+    return [s[a:b] for _, (a, b) in tokenizer(path).pre_tokenizer.pre_tokenize_str(s)]
+
+
 def pre_tokens(text: bytes, path: str) -> list[str]:
     """Pre-tokens of a text; an added token's string is one of its own."""
     cut, added, pattern = _splitter(path)
     s = text.decode("utf-8", "replace")
     if cut is None or not any(a in s for a in added):
-        return pattern.findall(s)
+        return _cut(s, path, pattern)
     out: list[str] = []
     for i, part in enumerate(cut.split(s)):
-        out += [part] if i % 2 else pattern.findall(part)
+        out += [part] if i % 2 else _cut(part, path, pattern)
     return out
 
 

@@ -27,6 +27,7 @@ SAMPLE = 20_000
 MIN_DF = 4
 MIN_Z = 4.0
 EPOCHS = 6
+STEPS = 1000        # at least, for small samples
 BATCH = 128
 
 _buckets = Buckets(BITS)
@@ -68,7 +69,7 @@ def fit(xs: list[np.ndarray], y: np.ndarray, rate: float = 0.15, decay: float =
     m["b"] = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
     xs = [x[often[x]] for x in xs]
     gw, gv = np.full(size, 1e-2), np.full((size, FACTORS), 1e-2)
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-STEPS * BATCH // len(y)))):
         order = rng.permutation(len(y))
         for at in range(0, len(order), BATCH):
             pick = order[at:at + BATCH]
