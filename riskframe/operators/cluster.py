@@ -331,7 +331,8 @@ def silhouette(points: DataFrame, labels: DataFrame, sample_size: int = 2000, se
     others = F.filter(F.col("sums"), lambda e: e["l"] != F.col("l"))
     a = F.when(own["n"] > 1, own["s"] / (own["n"] - 1))
     b = F.array_min(F.transform(others, lambda e: e["s"] / e["n"]))
-    s = F.when(own["n"] <= 1, F.lit(0.0)).otherwise((b - a) / F.greatest(a, b))
+    s = F.when(own["n"] <= 1, F.lit(0.0)).otherwise(
+        F.coalesce(F.try_divide(b - a, F.greatest(a, b)), F.lit(0.0)))     # coincident points: 0
     res = per.select(s.alias("s"), F.size("sums").alias("k"))
     return res.agg(F.avg("s").alias("silhouette"), F.count(F.lit(1)).alias("n_sample"),
                    F.max("k").alias("n_clusters")).select(
@@ -360,6 +361,6 @@ def davies_bouldin(points: DataFrame, labels: DataFrame, label: str = "cluster")
     allc = cs.agg(F.collect_list(F.struct("_l", "c", "s")).alias("a")).select("a").scalar()
     per = cs.withColumn("_a", allc)
     ratios = F.transform(F.filter(F.col("_a"), lambda e: e["_l"] != F.col("_l")),
-                         lambda e: F.try_divide(F.col("s") + e["s"], euclid(F.col("c"), e["c"])))
+                         lambda e: F.coalesce(F.try_divide(F.col("s") + e["s"], euclid(F.col("c"), e["c"])), F.lit(0.0)))
     return per.select(F.array_max(ratios).alias("r")).agg(
         F.avg("r").alias("davies_bouldin"), F.count(F.lit(1)).alias("n_clusters"))

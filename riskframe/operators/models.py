@@ -44,9 +44,11 @@ def fit_logistic(df: DataFrame, features: list[str], label: str = "y", weight: s
 
 def fit_forest(df: DataFrame, features: list[str], label: str = "y", weight: str | None = None,
                n_trees: int = 500, max_depth: int = 30, seed: int = 42, **params) -> Model:
-    """M2: random forest (depth is capped at Spark's limit of 30)."""
+    """M2: random forest; Spark's trees reach depth 30 at most."""
+    if max_depth > 30:
+        raise ValueError(f"max_depth {max_depth} is above Spark's limit of 30")
     rf = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=n_trees,
-                                maxDepth=min(max_depth, 30), seed=seed, **params)
+                                maxDepth=max_depth, seed=seed, **params)
     if weight:
         rf = rf.setWeightCol(weight)
     return rf.fit(assemble(df, features))

@@ -80,7 +80,10 @@ def prefix_sums(df: DataFrame, order: str, sums: list[str], by: list[str] | None
     w = (Window.partitionBy(*by, "_bk").orderBy("_ord")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     run = work.select("*", *[F.sum(c).over(w).alias(f"_r_{c}") for c in sums])
-    out = run.join(offs, [*by, "_bk"], "inner")
+    # null-safe: rows of a NULL group stay
+    keys = [*by, "_bk"]
+    offs = offs.withColumnsRenamed({c: f"_k{i}" for i, c in enumerate(keys)})
+    out = run.join(offs, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)], "inner")
     return out.select(
         *[F.col(c) for c in df.columns],
         *[(F.col(f"_r_{c}") + F.col(f"_o_{c}")).alias(f"{c}{suffix}") for c in sums],

@@ -21,14 +21,18 @@ def average_rank(scores: DataFrame, score: str = "score", by: list[str] | None =
 
     Built from the score histogram: ``rank = below + (ties + 1) / 2`` where
     ``below`` is a bucketed prefix count, then joined back on
-    ``(by..., score)`` (AQE splits a hot score's partition).
+    ``(by..., score)`` (AQE splits a hot score's partition).  Every row
+    stays: a NULL score gets a NULL rank, NULL group values are a group.
     """
     by = list(by or [])
-    hist = scores.groupBy(*by, score).agg(F.count(F.lit(1)).alias("_n"))
+    hist = scores.where(F.col(score).isNotNull()).groupBy(*by, score).agg(F.count(F.lit(1)).alias("_n"))
     cum = prefix_sums(hist, score, ["_n"], by=by)
     avg_rank = F.col("_n_cum") - F.col("_n") + (F.col("_n") + 1) / 2.0
-    r = cum.select(*by, score, (avg_rank / F.col("_n_tot") if per_n else avg_rank).alias(name))
-    return scores.join(r, [*by, score], "inner")
+    keys = [*by, score]
+    r = cum.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)],
+                   (avg_rank / F.col("_n_tot") if per_n else avg_rank).alias(name))
+    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)]
+    return scores.join(r, same, "left").drop(*[f"_k{i}" for i in range(len(keys))])
 
 
 def latest_per_key(log: DataFrame, key: list[str], ts: str) -> DataFrame:

@@ -76,8 +76,10 @@ def smote(df: DataFrame, y: str = "y", id_col: str = "row_id", features: list[st
     S = n_major - m
     orig = base.select(F.col("id").alias(id_col), F.col("_y").alias(y),
                        *[F.col("x")[i].alias(c) for i, c in enumerate(features)], F.lit(0).alias("synthetic"))
-    if S <= 0 or m < 2:
+    if S <= 0:
         return orig
+    if m < 2:
+        raise ValueError(f"SMOTE needs two minority rows, found {m}")
     mino = base.where(F.col("_y") == minority).select("id", "x")
     nn = knn(mino, mino, k, True, block_size)
     per, extra = divmod(S, m)

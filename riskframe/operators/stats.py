@@ -317,8 +317,9 @@ def with_balanced_weight(df: DataFrame, y: str, name: str = "weight") -> DataFra
 
     Class counts come from a map-side combined ``groupBy`` (k rows), read
     back as one scalar ``map<class, weight>``; no window over a whole class.
+    Rows without a label count in no class and get a NULL weight.
     """
-    counts = df.groupBy(y).agg(F.count(F.lit(1)).alias("n_c"))
+    counts = df.where(F.col(y).isNotNull()).groupBy(y).agg(F.count(F.lit(1)).alias("n_c"))
     tot = counts.agg(F.sum("n_c").alias("n"), F.count(F.lit(1)).alias("k"))
     m = counts.agg(F.map_from_entries(F.collect_list(F.struct(F.col(y), F.col("n_c")))).alias("m")).scalar()
     s = tot.select(F.struct("n", "k").alias("s")).scalar()

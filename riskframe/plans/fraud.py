@@ -42,17 +42,18 @@ def feature_set(df: DataFrame, v_cols: list[str], amount: str, time_s: str | Non
 
 def fraud_scoring(train: DataFrame, test: DataFrame, v_cols: list[str], amount: str,
                   time_s: str | None = None, k: int = 3, seed: int = 42,
-                  gbt_params: dict | None = None) -> tuple[DataFrame, DataFrame]:
+                  gbt_params: dict | None = None, crosses: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Returns ``(results, test_scores)``: one A23 record per model and the
-    long test-score table.  ``train``/``test``: ``(row_id, y, features...)``."""
+    long test-score table.  ``crosses`` names the V columns that amount and
+    norm are crossed with (all by default).  ``train``/``test``: ``(row_id, y, features...)``."""
     checkpoint_dir(train.sparkSession)
     cols = [c for c in train.columns if c not in ("row_id", "y")]
     # Full-row duplicates removed from train only (ids differ, so compare content)
-    train = train.dropDuplicates(["y", *cols])
+    train = train.groupBy("y", *cols).agg(F.min("row_id").alias("row_id"))     # the same row on every run
     caps = st.fit_quantile_cap(train, [amount], 0.999)
     train = st.apply_quantile_cap(train, caps, [amount])
     test = st.apply_quantile_cap(test, caps, [amount])
-    crosses = v_cols[: min(4, len(v_cols))]
+    crosses = v_cols if crosses is None else crosses
     train, feats = feature_set(train, v_cols, amount, time_s, crosses, crosses)
     test, _ = feature_set(test, v_cols, amount, time_s, crosses, crosses)
     scale_cols = [c for c in (amount, "Log_Amount", "V_norm", "Hour", time_s) if c and c in feats]

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskframe.functions.features import threshold_label
+
 
 def write_predictions(scores: DataFrame, path: str, fmt: str = "csv", threshold: float | None = None) -> None:
     """``(y_true, y_prob)``, or ``(Class_proba, Class_pred)`` when a
@@ -13,7 +15,7 @@ def write_predictions(scores: DataFrame, path: str, fmt: str = "csv", threshold:
         out = scores.select(F.col("y").cast("int").alias("y_true"), F.col("score").alias("y_prob"))
     else:
         out = scores.select(F.col("score").alias("Class_proba"),
-                            (F.col("score") >= threshold).cast("int").alias("Class_pred"))
+                            threshold_label("score", threshold).alias("Class_pred"))
     w = out.write.mode("overwrite")
     (w.option("header", True).csv(path) if fmt == "csv" else w.parquet(path))
 
