@@ -1,8 +1,7 @@
 """Registered queries: models, resampling and the fraud composition
 (M1-M9, S6, R1, R2).
 
-Model fits have no SQL twin (rows-only check); their invariants are in
-``tests/test_models.py``.  Tomek-link detection is exact and checked
+Model fits have no SQL twin (rows-only check).  Tomek-link detection is exact and checked
 against a DuckDB mutual-nearest-neighbour query.
 
 Fixture: ``lineitem`` with ``y = (l_quantity * l_discount >= 3)`` (a rare
