@@ -11,7 +11,7 @@ bound, and nothing is dropped.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,7 +22,7 @@ FLUSH = 400_000     # distinct terms that a task counts before it passes them on
 ROWS = 200_000      # rows of a batch that a task passes on
 
 
-def term_counts(docs: DataFrame, terms_of: Callable[[bytes], list]) -> DataFrame:
+def term_counts(docs: DataFrame, terms_of: Callable[[bytes], Iterable | Counter]) -> DataFrame:
     """``(term binary, n long)`` over ``docs(w, t)``: ``n`` counts rows with
     ``w``; terms of the other rows only are there with 0."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,7 +55,7 @@ def head_terms(table: DataFrame, values: list[str]) -> dict:
     return {bytes(r[0]): tuple(r[1:]) for r in rows}
 
 
-def document_terms(docs: DataFrame, terms_of: Callable[[bytes], list], head: dict, n_values: int) -> DataFrame:
+def document_terms(docs: DataFrame, terms_of: Callable[[bytes], Iterable | Counter], head: dict, n_values: int) -> DataFrame:
     """``docs(doc_id, t)`` as rows ``(term, rid, tf, doc_id, n_bytes, n_terms, s0, s1, ...)``.
 
     Every document gives one row with its id, sizes and its sums over head
@@ -84,8 +84,7 @@ def document_terms(docs: DataFrame, terms_of: Callable[[bytes], list], head: dic
                 return r
             for rid, doc_id, t in zip(*(b.column(i).to_pylist() for i in range(3))):
                 t = t or b""
-                terms = terms_of(t)
-                tf = Counter(terms)
+                tf = Counter(terms_of(t))
                 rest = [x for x in tf if x not in known]
                 acc = [0.0] * n_values
                 for x in tf.keys() & known.keys() if len(rest) < len(tf) else ():
@@ -98,7 +97,7 @@ def document_terms(docs: DataFrame, terms_of: Callable[[bytes], list], head: dic
                 cols[2] += [0, *[tf[x] for x in rest]]
                 cols[3] += [doc_id, *[None] * more]
                 cols[4] += [len(t), *[None] * more]
-                cols[5] += [len(terms), *[None] * more]
+                cols[5] += [tf.total(), *[None] * more]
                 for i in range(n_values):
                     cols[6 + i] += [acc[i], *[None] * more]
                 if len(cols[0]) > ROWS:
