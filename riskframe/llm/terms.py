@@ -11,7 +11,7 @@ bound, and nothing is dropped.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,19 +19,32 @@ from pyspark.sql import functions as F
 
 HEAD = 1 << 18
 FLUSH = 400_000     # distinct terms that a task counts before it passes them on
+KEPT = 1 << 18      # values whose parts a task remembers
 ROWS = 200_000      # rows of a batch that a task passes on
 
 
-def term_counts(docs: DataFrame, terms_of: Callable[[bytes], Iterable | Counter]) -> DataFrame:
+def itself(term: bytes) -> tuple[bytes, ...]:
+    return (term,)
+
+
+def term_counts(docs: DataFrame, terms_of: Callable[[bytes], list],
+                parts_of: Callable[[bytes], tuple[bytes, ...]] = itself) -> DataFrame:
     """``(term binary, n long)`` over ``docs(w, t)``: ``n`` counts rows with
-    ``w``; terms of the other rows only are there with 0."""
+    ``w``; terms of the other rows only are there with 0.  ``parts_of`` cuts
+    what ``terms_of`` gives into terms, once for each distinct value."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = (Counter(), Counter())
 
         def out(w: int) -> pa.RecordBatch:
+            c = counts[w]
+            if parts_of is not itself:
+                c = Counter()
+                for x, n in counts[w].items():
+                    for y in parts_of(x):
+                        c[y] += n
             b = pa.RecordBatch.from_arrays([
-                pa.array(list(counts[w]), pa.binary()),
-                pa.array(list(counts[w].values()) if w else [0] * len(counts[w]), pa.int64())], names=["term", "n"])
+                pa.array(list(c), pa.binary()),
+                pa.array(list(c.values()) if w else [0] * len(c), pa.int64())], names=["term", "n"])
             counts[w].clear()
             return b
         for b in batches:
@@ -55,7 +68,8 @@ def head_terms(table: DataFrame, values: list[str]) -> dict:
     return {bytes(r[0]): tuple(r[1:]) for r in rows}
 
 
-def document_terms(docs: DataFrame, terms_of: Callable[[bytes], Iterable | Counter], head: dict, n_values: int) -> DataFrame:
+def document_terms(docs: DataFrame, terms_of: Callable[[bytes], list], head: dict, n_values: int,
+                   parts_of: Callable[[bytes], tuple[bytes, ...]] = itself) -> DataFrame:
     """``docs(doc_id, t)`` as rows ``(term, rid, tf, doc_id, n_bytes, n_terms, s0, s1, ...)``.
 
     Every document gives one row with its id, sizes and its sums over head
@@ -70,7 +84,17 @@ def document_terms(docs: DataFrame, terms_of: Callable[[bytes], Iterable | Count
     d = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        known, zero, seen = shared.value, (0.0,) * n_values, {}
+
+        def look_up(x: bytes) -> tuple:
+            """The sums over the head terms among a value's parts, and the other parts."""
+            head_parts, rest = [], []
+            for y in parts_of(x):
+                (head_parts if y in known else rest).append(y)
+            found = (tuple(map(sum, zip(*(known[y] for y in head_parts)))) or zero, rest)
+            if len(seen) < KEPT:
+                seen[x] = found
+            return found
         for b in batches:
             id_type = b.column(1).type
             cols: list[list] = [[] for _ in range(6 + n_values)]
@@ -85,16 +109,19 @@ def document_terms(docs: DataFrame, terms_of: Callable[[bytes], Iterable | Count
             for rid, doc_id, t in zip(*(b.column(i).to_pylist() for i in range(3))):
                 t = t or b""
                 tf = Counter(terms_of(t))
-                rest = [x for x in tf if x not in known]
+                rest: dict = {}
                 acc = [0.0] * n_values
-                for x in tf.keys() & known.keys() if len(rest) < len(tf) else ():
-                    n = tf[x]
-                    for i, v in enumerate(known[x]):
-                        acc[i] += n * v
+                for x, n in tf.items():
+                    sums_of, others = seen.get(x) or look_up(x)
+                    if sums_of is not zero:
+                        for i, v in enumerate(sums_of):
+                            acc[i] += n * v
+                    for y in others:
+                        rest[y] = rest.get(y, 0) + n
                 more = len(rest)
                 cols[0] += [b"  %d" % rid, *rest]
                 cols[1] += [rid] * (more + 1)
-                cols[2] += [0, *[tf[x] for x in rest]]
+                cols[2] += [0, *rest.values()]
                 cols[3] += [doc_id, *[None] * more]
                 cols[4] += [len(t), *[None] * more]
                 cols[5] += [tf.total(), *[None] * more]

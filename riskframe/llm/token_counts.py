@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import functools
 import os
-from collections import Counter
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,7 +27,8 @@ from riskframe.llm.terms import document_terms, head_terms, term_counts
 #: The pre-token pattern of byte-level BPE (a fixed value of its format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BATCH = 10_000
-KEPT = 1 << 18      # chunks whose pre-tokens a task remembers
+#: A space followed by white space or nothing (bytes of UTF-8; control characters count).
+JOINED = re.compile(rb" (?:[\x00-\x20]|\Z|\xc2[\x80-\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\xaf]|\xe2\x81\x9f|\xe3\x80\x80)")
 
 
 @functools.cache
@@ -44,6 +45,11 @@ def _splitter(path: str):
     return (regex.compile("(" + "|".join(map(regex.escape, added)) + ")") if added else None), added, regex.compile(PATTERN)
 
 
+@functools.cache
+def _added(path: str) -> list[bytes]:
+    return [a.encode() for a in _splitter(path)[1]]
+
+
 @functools.cache
 def _newer():
     """Characters that Unicode 3.2 did not have: libraries of other Unicode
@@ -64,54 +70,6 @@ def _cut(s: str, path: str, pattern) -> list[str]:
     return [s[a:b] for _, (a, b) in tokenizer(path).pre_tokenizer.pre_tokenize_str(s)]
 
 
-def _joins(chunk: bytes) -> bool:
-    """Whether what follows a space is white space too, or nothing."""
-    c = chunk[:1]
-    return not c or c.isspace() or c < b" " or (c > b"~" and chunk[:4].decode("utf-8", "replace")[0].isspace())
-
-
-class _Chunks(dict):
-    """Pre-tokens of a space and a chunk; None if the space joins others."""
-
-    def __init__(self, path: str):
-        self.path = path
-
-    def __missing__(self, chunk: bytes) -> tuple[bytes, ...] | None:
-        found = None if _joins(chunk) else tuple(
-            x.encode() for x in _cut(" " + chunk.decode("utf-8", "replace"), self.path, _splitter(self.path)[2]))
-        if len(self) < KEPT:
-            self[chunk] = found
-        return found
-
-
-_chunks = functools.cache(_Chunks)
-
-
-def pre_token_counts(text: bytes, path: str) -> Counter:
-    """Pre-tokens of a text with their frequencies.
-
-    A pre-token begins at every space between two characters that are not
-    white space, so the text is cut there first and equal chunks are cut
-    further only once.  Where a space meets other white space, or an added
-    token's string occurs, the whole text is cut at once."""
-    _, added, pattern = _splitter(path)
-    if any(a.encode() in text for a in added):
-        return Counter(x.encode() for x in pre_tokens(text, path))
-    first, *rest = text.split(b" ")
-    cut, known = Counter(rest), _chunks(path)
-    out = Counter(x.encode() for x in _cut(first.decode("utf-8", "replace"), path, pattern))
-    for chunk, n in cut.items():
-        if chunk.isalpha():         # letters of ASCII only: one pre-token
-            out[b" " + chunk] += n
-            continue
-        found = known[chunk]
-        if found is None:
-            return Counter(x.encode() for x in pre_tokens(text, path))
-        for x in found:
-            out[x] += n
-    return out
-
-
 def pre_tokens(text: bytes, path: str) -> list[str]:
     """Pre-tokens of a text; an added token's string is one of its own."""
     cut, added, pattern = _splitter(path)
@@ -124,6 +82,28 @@ def pre_tokens(text: bytes, path: str) -> list[str]:
     return out
 
 
+def chunks(text: bytes, path: str) -> list[bytes]:
+    """The text in chunks that fall into pre-tokens each by itself.
+
+    A pre-token begins at every space between two characters that are not
+    white space, so what follows one is a chunk (without it).  The text's
+    first chunk comes as pre-tokens marked by two spaces, and so does a whole
+    text with a space before white space or with an added token's string."""
+    if JOINED.search(text) or any(a in text for a in _added(path)):
+        return [b"  " + x.encode() for x in pre_tokens(text, path)]
+    first, *rest = text.split(b" ")
+    return [b"  " + x.encode() for x in pre_tokens(first, path)] + rest
+
+
+def parts(chunk: bytes, path: str) -> tuple[bytes, ...]:
+    """The pre-tokens of a chunk."""
+    if chunk.isalpha():         # letters of ASCII only
+        return (b" " + chunk,)
+    if chunk.startswith(b"  "):
+        return (chunk[2:],)
+    return tuple(x.encode() for x in _cut(" " + chunk.decode("utf-8", "replace"), path, _splitter(path)[2]))
+
+
 def count_pieces(terms: DataFrame, path: str) -> DataFrame:
     """``(term, n, pieces)`` for ``terms(term, n)``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,11 +119,14 @@ def count_pieces(terms: DataFrame, path: str) -> DataFrame:
 
 def token_counts(docs: DataFrame, path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_bytes, n_tokens, over_limit)`` for every row."""
-    def terms_of(t: bytes) -> Counter:
-        return pre_token_counts(t, path)
+    def chunks_of(t: bytes) -> list[bytes]:
+        return chunks(t, path)
+
+    def parts_of(chunk: bytes) -> tuple[bytes, ...]:
+        return parts(chunk, path)
     d = docs.select(F.lit(1).alias("w"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("t"))
-    table = materialise(count_pieces(term_counts(d, terms_of), path), "token-pieces")
-    rows = document_terms(d, terms_of, head_terms(table, ["pieces"]), 1)
+    table = materialise(count_pieces(term_counts(d, chunks_of, parts_of), path), "token-pieces")
+    rows = document_terms(d, chunks_of, head_terms(table, ["pieces"]), 1, parts_of)
     joined = rows.join(table.select("term", "pieces"), "term", "left")
     tokens = F.sum(F.coalesce(F.col("s0").cast("long"), F.lit(0)) + F.col("tf") * F.coalesce("pieces", F.lit(0)))
     out = joined.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), tokens.alias("n_tokens"))
