@@ -1,15 +1,12 @@
 """A3 / A4: exact quantiles (linear interpolation, NULL skipped) and IQR
 fences for many columns at once.
 
-``method="exact"`` (default) checks the total number of values first: a
-small input uses Spark's exact ``percentile`` aggregate (its final merge
-holds every distinct value of every column in one task, so it is only
-taken below a checked bound).  Larger inputs take the distributed path:
-per-column counts and approximate bucket bounds in one scan, exact
-per-(column, bucket) counts (map-side combined), then an exact histogram of
-only the buckets that contain the target ranks, ranked inside each bucket.
-No task ever holds a whole column.  ``method="approx"`` uses
-``percentile_approx`` (bounded memory, rank error ``1/accuracy``).
+``method="exact"`` (default) takes the same path at every size: per-column
+counts and approximate bucket bounds in one scan, exact per-(column, bucket)
+counts (map-side combined), then an exact histogram of only the buckets that
+contain the target ranks, ranked inside each bucket.  No task ever holds a
+whole column.  ``method="approx"`` uses ``percentile_approx`` (bounded
+memory, rank error ``1/accuracy``).
 """
 
 from __future__ import annotations
@@ -31,10 +28,6 @@ def to_long(df: DataFrame, cols: list[str], keep: list[str] | None = None) -> Da
               .where(F.col("value").isNotNull()))
 
 
-SINGLE_TASK_LIMIT_KEY = "riskframe.quantile.singleTaskLimit"
-SINGLE_TASK_LIMIT = 5_000_000
-
-
 def _names(spark, cols: list[str]) -> DataFrame:
     """A literal one-column frame of column names (JVM-side, no Python RDD)."""
     return spark.range(1).select(F.explode(F.array(*[F.lit(c) for c in cols])).alias("feature"))
@@ -45,37 +38,25 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float], method: str =
     """Long result ``(feature string, p double, q double)``; ``q`` is NULL for
     an all-null column.
 
-    ``method``: ``"exact"`` counts the non-null values of the columns first
-    and uses the single-merge ``percentile`` aggregate only while their
-    total (every column's value map meets in one final task) is at most
-    ``riskframe.quantile.singleTaskLimit`` (default 5,000,000); beyond that
-    the distributed path runs.
-    ``"distributed"`` / ``"percentile"`` force a path; ``"approx"`` uses
-    ``percentile_approx``.
+    ``method``: ``"exact"`` or ``"approx"`` (``percentile_approx``).  Both
+    are lazy: building the plan runs no job.
     """
     spark = df.sparkSession
     names = _names(spark, cols)
     plist = F.array(*[F.lit(float(p)) for p in probs])
-    if method == "exact":
-        limit = int(spark.conf.get(SINGLE_TASK_LIMIT_KEY, str(SINGLE_TASK_LIMIT)))
-        # size check (one cheap aggregate): the single-merge path is taken
-        # only when its merge task is provably small (all columns together)
-        total = df.agg(sum((F.count(c) for c in cols), F.lit(0))).first()[0]
-        method = "percentile" if total <= limit else "distributed"
-    if method in ("percentile", "approx"):
-        agg = F.percentile if method == "percentile" else (
-            lambda c, p: F.percentile_approx(c, p, accuracy))
-        wide = df.agg(*[agg(F.col(c).cast("double"), plist).alias(c) for c in cols])
+    if method == "approx":
+        wide = df.agg(*[F.percentile_approx(F.col(c).cast("double"), plist, accuracy).alias(c) for c in cols])
         long = wide.select(F.inline(F.array(*[
             F.struct(F.lit(c).alias("feature"), F.col(c).alias("qs")) for c in cols])))
         res = long.select("feature", F.posexplode(plist).alias("_pi", "p"),
                           F.col("qs")).select("feature", "p", F.col("qs")[F.col("_pi")].alias("q"))
         return names.join(res, "feature", "left").select("feature", "p", "q")
-    if method != "distributed":
+    if method != "exact":
         raise ValueError(f"unknown method {method}")
-    return _exact_quantiles(df, cols, probs, names, plist, accuracy)
-def _exact_quantiles(df: DataFrame, cols: list[str], probs: list[float], names: DataFrame,
-                     plist: Column, accuracy: int) -> DataFrame:
+    return _exact_quantiles(df, cols, names, plist)
+
+
+def _exact_quantiles(df: DataFrame, cols: list[str], names: DataFrame, plist: Column) -> DataFrame:
     # Columns are addressed by an int index in the long form: per-row lookups
     # are array accesses, not string comparisons.
     # Pass 1 (one scan, bounded result): per column the non-null count and

@@ -19,7 +19,7 @@ values = st_.lists(st_.one_of(st_.none(), st_.integers(-5, 5).map(float), st_.fl
 @given(vals=values, p=st_.sampled_from([0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 0.999, 1.0]))
 def test_distributed_quantile_property(spark, vals, p):
     df = spark.createDataFrame([(v,) for v in vals], "a double")
-    got = quantiles(df, ["a"], [p], "distributed").first().q
+    got = quantiles(df, ["a"], [p]).first().q
     clean = [v for v in vals if v is not None]
     if not clean:
         assert got is None

@@ -16,15 +16,14 @@ def _np_q(vals, p):
     return float(np.quantile(np.array(v, dtype=float), p)) if v else None
 
 
-@pytest.mark.parametrize("method", ["distributed", "percentile", "exact"])
-def test_quantiles_match_linear_interpolation(spark, method):
+def test_quantiles_match_linear_interpolation(spark):
     rows = [(float(x) if x is not None else None, 1.0, None, 5.0) for x in
             [3, 1, 4, 1, 5, 9, 2, 6, 5, 3, 5, None, 8, 9, 7, 9, float("nan")]]
     df = spark.createDataFrame(rows, "a double, b double, c double, d double")
     from riskframe.sources.tables import nan_to_null
     df = nan_to_null(df)
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
-    got = {(r.feature, r.p): r.q for r in quantiles(df, ["a", "b", "c", "d"], probs, method).collect()}
+    got = {(r.feature, r.p): r.q for r in quantiles(df, ["a", "b", "c", "d"], probs).collect()}
     for col, idx in (("a", 0), ("b", 1), ("c", 2), ("d", 3)):
         vals = [r[idx] for r in rows]
         for p in probs:
@@ -38,7 +37,7 @@ def test_quantiles_match_linear_interpolation(spark, method):
 def test_distributed_quantiles_on_driver_table(spark, duck):
     li = driver_table(spark, SF01, "lineitem")
     cols = ["l_extendedprice", "l_discount", "l_quantity"]
-    got = {(r.feature, r.p): r.q for r in quantiles(li, cols, [0.25, 0.5, 0.999], "distributed").collect()}
+    got = {(r.feature, r.p): r.q for r in quantiles(li, cols, [0.25, 0.5, 0.999]).collect()}
     for c in cols:
         for p in (0.25, 0.5, 0.999):
             exp = duck.execute(f"SELECT quantile_cont({c}, {p}) FROM lineitem").fetchone()[0]
@@ -47,7 +46,7 @@ def test_distributed_quantiles_on_driver_table(spark, duck):
 
 def test_iqr_fences_events(spark):
     ev = driver_table(spark, SF01, "events")
-    f = iqr_fences(ev, ["value"], method="distributed").first()
+    f = iqr_fences(ev, ["value"]).first()
     assert f.q1 == pytest.approx(14.56)
     assert f.q3 == pytest.approx(69.1475)
     assert f.upper == pytest.approx(69.1475 + 1.5 * (69.1475 - 14.56))
@@ -69,3 +68,18 @@ def test_prefix_sums_match_cumsum(spark):
     desc = prefix_sums(df, "v", ["n"], by=["g"], buckets=3, descending=True).where("g = 'a'").collect()
     top = max(desc, key=lambda r: r.v)
     assert top.n_cum == top.n
+
+
+def test_exact_quantiles_run_no_merge_of_whole_columns(spark):
+    """One path at every size: no ``percentile`` aggregate, also on few rows,
+    and no job while the plan is built."""
+    df = spark.range(10).select(F.col("id").cast("double").alias("a"))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("quantile-plan", "")
+    q = quantiles(df, ["a"], [0.5])
+    assert not tracker.getJobIdsForGroup("quantile-plan")
+    plan = q._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile(" not in plan
+    assert q.first().q == 4.5
+    with pytest.raises(ValueError):
+        quantiles(df, ["a"], [0.5], "percentile")
