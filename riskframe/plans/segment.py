@@ -38,7 +38,7 @@ def segment(df: DataFrame, id_col: str, impute: list[str], cap: list[str], skewe
             sample_size: int = 2000) -> SegmentResult:
     spark = df.sparkSession
     checkpoint_dir(spark)
-    x = st.median_impute(df, impute)
+    x = st.median_impute(df, impute).checkpoint(eager=True)     # fitted medians applied once
     capped, report = st.iqr_cap(x, cap)
     capped = capped.checkpoint(eager=True)          # fitted fences applied once
     logged = capped.select(*[fx.log_amount(c).alias(c) if c in skewed else F.col(c) for c in capped.columns])
@@ -46,7 +46,7 @@ def segment(df: DataFrame, id_col: str, impute: list[str], cap: list[str], skewe
     feats = fx.drop_cols(feats, drop)
     cols = [c for c in feats.columns if c != id_col]
     scaled = st.apply_robust_scaler(feats, st.fit_robust_scaler(feats, cols), cols)
-    pts = cl.as_points(scaled, id_col, cols)
+    pts = cl.as_points(scaled, id_col, cols).checkpoint(eager=True)     # the model fit reads it several times
     emb = cl.pca_embed(pts, n_components).checkpoint(eager=True)
     labels = cl.dbscan(emb, eps, min_samples).checkpoint(eager=True)
     summary = st.cluster_summary(labels, "cluster")
