@@ -119,12 +119,13 @@ def test_lm_bits_are_a_distribution_and_learn(spark):
     d = spark.range(400).select(F.col("id").alias("doc_id"), F.lit(PROSE).alias("text"))
     out = lm_mixing.lm_score(d)
     assert out.agg(F.avg("bits_per_byte")).first()[0] < 1.5
-    m = lm_mixing.Model(np.random.default_rng(1).integers(0, 9, (lm_mixing.CONTEXTS, 1 << lm_mixing.BITS, 2)))
+    rng = np.random.default_rng(1)
+    m = lm_mixing.Model([rng.integers(0, 9, 2 << bits).astype(np.float32) for bits in lm_mixing.BITS])
     total = 0.0     # the 256 bytes after a beginning share probability 1
     for byte in range(256):
         bits = 0.0
-        for data, ctx, _, _ in lm_mixing.slices([b"ab" + bytes([byte])], np.ones(1)):
-            limit = np.full(len(data), np.inf, dtype=np.float32)
+        for data, ctx, _, _ in lm_mixing.slices([b"\x80ab" + bytes([byte])], np.ones(1)):
+            limit = np.full((2, len(data)), np.inf, dtype=np.float32)
             for j, node, bit in lm_mixing.decisions(data):
                 x, gate = m.predict(ctx, j, node, bit, False, limit)
                 p = m.refined(m.mixed(x, gate), gate)
