@@ -13,11 +13,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import lm_mixing, mixing, packing, quality_mil, quality_rules, secrets, simhash, token_counts, toxicity, vector_dedup
+from riskframe.llm import lm_mixing, mixing, oracles, packing, quality_mil, quality_rules, secrets, simhash, token_counts, toxicity, vector_dedup
 from riskframe.llm.base import read_table, shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op1_mix_sources": oracles.MIX_SOURCES, "op3_secret_scan": oracles.SECRET_SCAN}
 
 
 def register(fn):
