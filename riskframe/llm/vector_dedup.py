@@ -10,9 +10,16 @@
 4. Edges at the threshold form components.  Within a component every pair of
    vectors is compared, in blocks of bounded size, so links that did not fit
    a saturated list are counted all the same.
-5. Audit: a bounded number of query vectors (ids divisible by 100) is
+5. Links between components, exactly: a component lies within an angle of one
+   of its members, so only vectors within that angle and the threshold's of
+   that member can link with it; these are compared with the component, in
+   blocks of bounded size, and components that link are joined.  Every vector
+   is tested against the member of every other component (the smaller
+   component's vectors against the larger one), so lists that miss a link
+   cost time but lose nothing.
+6. Audit: a bounded number of query vectors (ids divisible by 100) is
    compared with all vectors; the share of true links that lie within a
-   component is ``audit_recall``.  Below ``GOAL`` more rounds follow.
+   component is ``audit_recall``.  Below ``GOAL`` the run fails.
 
 Cosines are of double precision.  Links below the threshold never count.
 
@@ -43,6 +50,8 @@ TABLES = 6
 RUN = 256
 PER_MEETING = 4     # neighbours that a vector takes from one meeting
 BLOCK = 512
+PACK = 8192         # vectors that are tested against as many centres in one step
+SLACK = 1e-4        # rounding of the single-precision test of angles; links are verified in double
 ROUNDS = 6
 CHANGED = 0.02
 QUERIES = 1000
@@ -169,6 +178,91 @@ def link_counts(comp: DataFrame, reps: DataFrame, threshold: float) -> DataFrame
     return parts.groupBy("rid").agg(F.sum("links").alias("links"))
 
 
+def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of up to ``PACK`` vectors: the columns' bytes, vectors as floats."""
+    def packed(b: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"ids": [b["rid"].to_numpy("<i8").tobytes()], "comps": [b["comp"].to_numpy("<i8").tobytes()],
+                             "ms": [b["m"].to_numpy("<i8").tobytes()], "reach": [b["reach"].to_numpy("<f8").tobytes()],
+                             "vs": [matrix(b["v"]).astype("<f4").tobytes()]})
+    rest = None
+    for b in batches:
+        b = b if rest is None else pd.concat([rest, b], ignore_index=True)
+        while len(b) >= PACK:
+            yield packed(b.iloc[:PACK])
+            b = b.iloc[PACK:]
+        rest = b
+    if rest is not None and len(rest):
+        yield packed(rest)
+
+
+def near_components(named: DataFrame, threshold: float, dim: int) -> DataFrame:
+    """``(rid, at)``: vectors and the other components, no smaller than their
+    own, that they are near enough to link with."""
+    angle = float(np.arccos(np.clip(threshold, -1, 1)))
+    centre = named.where("rid = comp").select("comp", F.col("v").alias("c"))
+
+    def apart(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            cos = np.einsum("nd,nd->n", matrix(b["v"]), matrix(b["c"])) if len(b) else np.zeros(0)
+            yield pd.DataFrame({"comp": b["comp"], "away": np.arccos(np.clip(cos, -1, 1))})
+    wide = (named.join(centre, "comp").select("comp", "v", "c").mapInPandas(apart, "comp long, away double")
+            .groupBy("comp").agg(F.max("away").alias("reach"), F.count(F.lit(1)).alias("m")))
+    wide = materialise(wide, "knn-reach")
+    all_rows = materialise(named.join(wide, "comp").select("rid", "comp", "m", "reach", "v"), "knn-reaching")
+    n, k = all_rows.count(), wide.count()
+    kind = "ids binary, comps binary, ms binary, reach binary, vs binary"
+    packs = []
+    for rows, count, name in ((all_rows, n, "q"), (all_rows.where("rid = comp"), k, "c")):
+        p = rows.repartition(max(1, -(-count // PACK))).mapInPandas(pack, kind)
+        p = p.select(*[F.col(c).alias(f"{name}_{c}") for c in p.columns]).withColumn(f"{name}_at", F.monotonically_increasing_id())
+        packs.append(materialise(p, "knn-packs"))
+    q, c = packs
+    pairs = q.select("q_at").crossJoin(c.select("c_at"))
+    pairs = pairs.join(q, "q_at").join(c, "c_at").drop("q_reach").repartition("q_at", "c_at")
+
+    def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for r in b.itertuples(index=False):
+                ids, own, size = (np.frombuffer(x, "<i8") for x in (r.q_ids, r.q_comps, r.q_ms))
+                at, m = np.frombuffer(r.c_comps, "<i8"), np.frombuffer(r.c_ms, "<i8")
+                least = np.cos(np.minimum(np.frombuffer(r.c_reach, "<f8") + angle, np.pi)) - SLACK
+                v, w = np.frombuffer(r.q_vs, "<f4").reshape(-1, dim), np.frombuffer(r.c_vs, "<f4").reshape(-1, dim).T
+                for i in range(0, len(v), BLOCK):
+                    x, y = np.nonzero(v[i:i + BLOCK] @ w >= least)
+                    x += i
+                    ok = (m[y] > size[x]) | ((m[y] == size[x]) & (at[y] > own[x]))
+                    yield pd.DataFrame({"rid": ids[x[ok]], "at": at[y[ok]]})
+    return pairs.mapInPandas(test, "rid long, at long")
+
+
+def cross_links(named: DataFrame, threshold: float, dim: int) -> DataFrame:
+    """``(rid, links, a, b)``: a vector's links with rows of another component
+    than its own, and the two components; every such pair is verified."""
+    near = materialise(near_components(named, threshold, dim), "knn-near")
+    sizes = near.groupBy("at").agg(F.count(F.lit(1)).alias("q"))
+    held = named.groupBy("comp").agg(F.count(F.lit(1)).alias("m")).withColumnRenamed("comp", "at")
+    blocks = materialise(sizes.join(held, "at").select("at", F.ceil(F.col("m") / BLOCK).cast("int").alias("nx"),
+                                                       F.ceil(F.col("q") / BLOCK).cast("int").alias("ny")), "knn-blocks")
+    every = {c: F.explode(F.sequence(F.lit(0), F.col(f"n{c}") - 1)).alias(c) for c in "xy"}
+    dealt = {c: F.pmod(F.xxhash64("rid"), F.col(f"n{c}")).cast("int").alias(c) for c in "xy"}
+    vectors = named.select("rid", "comp", "v", "n")
+    inside = named.select("rid", F.col("comp").alias("at")).join(blocks, "at").select("at", "rid", dealt["x"], every["y"])
+    outside = near.join(blocks, "at").select("at", "rid", every["x"], dealt["y"])
+    full = (inside.unionByName(outside).join(vectors, "rid").repartition("at", "x", "y")
+            .sortWithinPartitions("at", "x", "y"))
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        v, n = matrix(pdf["v"]), pdf["n"].to_numpy(dtype=np.int64)
+        at, comp, rid = pdf["at"].iat[0], pdf["comp"].to_numpy(), pdf["rid"].to_numpy()
+        i, o = comp == at, comp != at
+        near = v[o] @ v[i].T >= threshold
+        out = pd.DataFrame({"rid": np.concatenate([rid[o], rid[i]]),
+                            "links": np.concatenate([near @ n[i], n[o] @ near]),
+                            "a": at, "b": np.concatenate([comp[o], comp[i]])})
+        return out[out["links"] > 0]
+    return full.mapInPandas(lambda it: by_group(it, ["at", "x", "y"], count), "rid long, links long, a long, b long")
+
+
 def audit(reps: DataFrame, comp: DataFrame, threshold: float) -> float:
     """Share of the true links of the query vectors that are found."""
     spark = reps.sparkSession
@@ -202,21 +296,27 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
         F.min("rid").alias("rid"), F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("n")), "knn-classes")
     total = reps.count()
     lists = materialise(starting_lists(reps, dim), "knn-lists")
-    recall, comp = 1.0, None
-    for i in range(ROUNDS):
+    for _ in range(ROUNDS):
         full = lists.groupBy("src").agg(F.min("sim").alias("least"), F.count(F.lit(1)).alias("n"))
         sizes = full.where(F.col("least") >= threshold).select("src", F.least(2 * F.col("n"), F.lit(LONGEST)).cast("int").alias("size"))
         before = lists
         lists = materialise(top(lists.unionByName(meet(lists, reps)), sizes), "knn-lists")
         changed = lists.join(before.select("src", "dst"), ["src", "dst"], "left_anti").select("src").distinct().count()
-        if changed <= CHANGED * total or i == ROUNDS - 1:
-            comp = components(lists.where(F.col("sim") >= threshold).select(F.col("src").alias("a"), F.col("dst").alias("b")))
-            recall = audit(reps, comp, threshold)
-            if recall >= GOAL:
-                break
-    links = materialise(link_counts(comp, reps, threshold), "knn-links")
-    named = materialise(reps.join(comp.withColumnRenamed("v", "rid"), "rid", "left")
-                        .select("rid", "v", "vec_id", "n", F.coalesce("comp", "rid").alias("comp")), "knn-named")
+        if changed <= CHANGED * total:
+            break
+    found = components(lists.where(F.col("sim") >= threshold).select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    inside = link_counts(found, reps, threshold)
+    parts = materialise(reps.join(found.withColumnRenamed("v", "rid"), "rid", "left")
+                        .select("rid", "v", "vec_id", "n", F.coalesce("comp", "rid").alias("comp")), "knn-parts")
+    across = materialise(cross_links(parts, threshold, dim), "knn-across")
+    links = materialise(inside.unionByName(across.select("rid", "links")).groupBy("rid").agg(F.sum("links").alias("links")), "knn-links")
+    # components that link are one
+    joined = components(across.where("a != b").select("a", "b")).select(F.col("v").alias("comp"), F.col("comp").alias("whole"))
+    named = materialise(parts.join(joined, "comp", "left")
+                        .select("rid", "v", "vec_id", "n", F.coalesce("whole", "comp").alias("comp")), "knn-named")
+    recall = audit(reps, named.select(F.col("rid").alias("v"), "comp"), threshold)
+    if recall < GOAL:
+        raise RuntimeError(f"recall {recall} of the audited links is below {GOAL}")
     least = materialise(named.groupBy("comp").agg(F.min("vec_id").alias("component_id")), "knn-least")
     classes = named.join(least, "comp").join(links, "rid", "left").select(
         "v", "component_id", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))

@@ -372,6 +372,17 @@ def test_vector_links_match_brute_force(spark):
     assert vector_dedup.near_duplicates(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_vector_links_between_saturated_groups(spark):
+    # 0.99 within a group, 0.92 between the first two: all nearest neighbours are of the own group
+    e = np.eye(64)
+    centres = [e[0], 0.92 / 0.99 * e[0] + np.sqrt(1 - (0.92 / 0.99) ** 2) * e[1], e[2]]
+    x = np.array([np.sqrt(0.99) * c + 0.1 * e[3 + 12 * g + i] for g, c in enumerate(centres) for i in range(12)])
+    frame = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    out = {r.vec_id: r for r in vector_dedup.near_duplicates(frame).collect()}
+    for i in range(36):
+        assert (out[i].n_links, out[i].component_id) == ((23, 0) if i < 24 else (11, 24))
+
+
 # ---- 10 -----------------------------------------------------------------------
 
 def test_quality_rules_match_brute_force(docs, empty, labels):
