@@ -28,12 +28,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component: its smallest id, and of rows
-    that share this id one."""
-    found = simhash.simhash_dedup(docs, shingle=3, max_bits=3)
-    stay = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    stay = materialise(stay, "dedup-stay")
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id"])
+    """One row of each SimHash component: that of its smallest id (rows
+    without one come last), and of rows that share this id the first."""
+    keyed = materialise(docs.withColumn("_dedup_row", F.monotonically_increasing_id()), "dedup-rows")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("_dedup_row").alias("row"))
+    found = simhash.simhash_dedup(keyed.select(key.alias("_key"), "text"), shingle=3, max_bits=3, id_col="_key")
+    stay = materialise(found.select(F.col("component_id.row").alias("_dedup_row")).distinct(), "dedup-stay")
+    return keyed.join(stay, "_dedup_row", "left_semi").select(*docs.columns)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,6 +33,17 @@ def test_dedup_keeps_one_of_each_group(stages):
     assert sorted(r.doc_id for r in stages[2].collect()) == sorted(set(comp.values()))
 
 
+def test_dedup_keeps_rows_without_and_with_repeated_ids(spark, stages):
+    words = [f"{c}{i} " for c in "abcdef" for i in range(60)]
+    texts = {k: "".join(words[60 * k:60 * k + 60]) for k in range(6)}
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (7, texts[3]),
+            (8, texts[3]), (None, texts[4]), (9, texts[4]), (3, texts[5])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.near_dedup_stage(spark, docs, SF)
+    assert collections.Counter(map(tuple, kept.collect())) == collections.Counter(
+        [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (9, texts[4]), (3, texts[5])])
+
+
 def test_secrets_are_gone_and_nothing_else_changes(stages):
     before = {r.doc_id: r.text for r in stages[2].collect()}
     after = {r.doc_id: r.text for r in stages[3].collect()}
