@@ -68,28 +68,48 @@ def topk_block(query: DataFrame, block: dict, k: int, exclude_self: bool, id_typ
     return query.select("id", "x").mapInPandas(fn, schema)
 
 
-def cluster_sums(sample: DataFrame, block: dict, id_type: str) -> DataFrame:
-    """``(id, l, sums array<struct<l int, n long, s double>>)``: for every
-    sample point, the sum of distances to the block points of each cluster."""
-    spark = sample.sparkSession
-    labels = np.array(block["l"])
-    uniq = sorted(set(labels.tolist()))
-    bc = spark.sparkContext.broadcast({"X": block["X"], "lab": labels, "uniq": uniq})
+def distances(Q: np.ndarray, X: np.ndarray, step: int = 256):
+    """Yield (slice, distances[q, m]) by products; near pairs, whose product
+    form would cancel, by direct differences."""
+    xx = np.einsum("md,md->m", X, X)
+    for sl in _chunks(len(Q), step):
+        q = Q[sl]
+        both = np.einsum("qd,qd->q", q, q)[:, None] + xx[None, :]
+        d2 = both - 2 * (q @ X.T)
+        i, j = np.nonzero(d2 < 0.02 * both)
+        for at in _chunks(len(i), 1 << 16):
+            diff = q[i[at]] - X[j[at]]
+            d2[i[at], j[at]] = np.einsum("nd,nd->n", diff, diff)
+        yield sl, np.sqrt(d2)
+
+
+def cluster_sums(points: DataFrame, n_chunks: int) -> DataFrame:
+    """``(id, l, cl, n, s)``: for every point of ``points(id, l, x)`` and
+    every cluster, the number of points and the sum of distances to them.
+
+    Every (chunk, block) pair of point sets, dealt by hash, is one group of
+    ``cogroup(...).applyInPandas``; nothing passes through the driver."""
+    itype = id_type_of(points)
+    others = F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1)))
+    own = F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(n_chunks)).cast("int")
+    q = points.select("id", "l", "x", own.alias("_qc"), others.alias("_blk"))
+    c = points.select(F.col("l").alias("cl"), F.col("x").alias("cx"), own.alias("_blk"), others.alias("_qc"))
 
-    def fn(batches):
-        X, lab, uq = bc.value["X"], bc.value["lab"], bc.value["uniq"]
-        masks = [(u, lab == u) for u in uq]
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            Q = np.array(pdf["x"].tolist(), dtype=np.float64)
-            sums = []
-            for _, D in pairwise(Q, X):
-                for row in D:
-                    sums.append([{"l": int(u), "n": int(m.sum()), "s": float(row[m].sum())} for u, m in masks])
-            yield pd.DataFrame({"id": pdf["id"], "l": pdf["l"], "sums": sums})
-    schema = f"id {id_type}, l int, sums array<struct<l: int, n: bigint, s: double>>"
-    return sample.select("id", "l", "x").mapInPandas(fn, schema)
+    def fn(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
+        if len(qpdf) == 0 or len(cpdf) == 0:
+            return pd.DataFrame({"id": [], "l": [], "cl": [], "n": [], "s": []})
+        Q = np.array(qpdf["x"].tolist(), dtype=np.float64)
+        X = np.array(cpdf["cx"].tolist(), dtype=np.float64)
+        uniq, at, n = np.unique(cpdf["cl"].to_numpy(), return_inverse=True, return_counts=True)
+        order = np.argsort(at, kind="stable")
+        starts = np.concatenate([[0], np.cumsum(n)[:-1]])
+        s = np.concatenate([np.add.reduceat(D, starts, axis=1) for _, D in distances(Q, X[order])])
+        k = len(uniq)
+        return pd.DataFrame({"id": np.repeat(qpdf["id"].to_numpy(dtype=object), k), "l": np.repeat(qpdf["l"].to_numpy(), k),
+                             "cl": np.tile(uniq, len(Q)), "n": np.tile(n, len(Q)), "s": s.ravel()})
+    parts = q.groupBy("_qc", "_blk").cogroup(c.groupBy("_qc", "_blk")).applyInPandas(
+        fn, f"id {itype}, l int, cl int, n bigint, s double")
+    return parts.groupBy("id", "l", "cl").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
 
 
 def id_type_of(df: DataFrame) -> str:

@@ -27,7 +27,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.operators.blocks import cluster_sums, collect_block, id_type_of
+from riskframe.operators.blocks import cluster_sums
 from riskframe.operators.prefix import prefix_sums
 from riskframe.session import checkpoint_dir
 
@@ -311,33 +311,42 @@ def dbscan(points: DataFrame, eps: float, min_samples: int, max_iter: int = 200,
 
 # ---- A25 / A26 ----------------------------------------------------------------------
 
-def silhouette(points: DataFrame, labels: DataFrame, sample_size: int = 2000, seed: int = 42,
-               label: str = "cluster") -> DataFrame:
-    """Mean silhouette over a seeded hash-ordered sample of at most
-    ``sample_size`` non-noise points, Euclidean, distances within the
-    sample.  One-row ``(silhouette, n_sample, n_clusters)``; NULL when
-    fewer than 2 or more than n-1 clusters.
+SILHOUETTE_BLOCK = 8192  # points of a chunk and of a block whose distances one task sums
 
-    The sample (a proven bound: ``sample_size`` points) is shipped once to
-    every task; each sample partition sums its rows' distances per cluster
-    with numpy — no pair rows are formed.
+
+def silhouette(points: DataFrame, labels: DataFrame, sample_size: int | None = None, seed: int = 42,
+               label: str = "cluster", block_size: int = SILHOUETTE_BLOCK) -> DataFrame:
+    """Mean silhouette over all non-noise points, Euclidean.  One-row
+    ``(silhouette, n_sample, n_clusters)``; NULL when fewer than 2 or more
+    than n-1 clusters.
+
+    Every pair of point blocks is one task that sums its rows' distances per
+    cluster with numpy — no pair rows are formed; the work is quadratic in
+    the number of points.  Only if the caller names a ``sample_size``, a
+    seeded hash-ordered sample of at most so many points, distances within
+    the sample, takes their place, and a column ``share`` tells its share of
+    the non-noise points.
     """
     j = points.join(labels.select("id", F.col(label).alias("_l")), "id").where(F.col("_l") != -1)
-    sample = (j.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}-"), F.col("id").cast("string"))))
-              .orderBy("_h").limit(sample_size).select("id", "x", F.col("_l").alias("l")))
-    blk = collect_block(sample, sample_size, ("id", "x", "l"))
-    per = cluster_sums(sample, blk, id_type_of(sample))
-    own = F.filter(F.col("sums"), lambda e: e["l"] == F.col("l"))[0]
-    others = F.filter(F.col("sums"), lambda e: e["l"] != F.col("l"))
-    a = F.when(own["n"] > 1, own["s"] / (own["n"] - 1))
-    b = F.array_min(F.transform(others, lambda e: e["s"] / e["n"]))
-    s = F.when(own["n"] <= 1, F.lit(0.0)).otherwise(
-        F.coalesce(F.try_divide(b - a, F.greatest(a, b)), F.lit(0.0)))     # coincident points: 0
-    res = per.select(s.alias("s"), F.size("sums").alias("k"))
-    return res.agg(F.avg("s").alias("silhouette"), F.count(F.lit(1)).alias("n_sample"),
-                   F.max("k").alias("n_clusters")).select(
+    j = j.select("id", "x", F.col("_l").cast("int").alias("l"))
+    n = total = j.count()
+    if sample_size is not None:
+        j = (j.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}-"), F.col("id").cast("string"))))
+             .orderBy("_h").limit(sample_size).drop("_h"))
+        n = min(n, sample_size)
+    per = cluster_sums(j, max(1, -(-n // block_size))).groupBy("id", "l").agg(
+        F.max(F.when(F.col("cl") == F.col("l"), F.col("n"))).alias("n"),
+        F.max(F.when(F.col("cl") == F.col("l"), F.col("s"))).alias("s"),
+        F.min(F.when(F.col("cl") != F.col("l"), F.col("s") / F.col("n"))).alias("b"), F.count(F.lit(1)).alias("k"))
+    a = F.when(F.col("n") > 1, F.col("s") / (F.col("n") - 1))
+    s = F.when(F.col("n") <= 1, F.lit(0.0)).otherwise(
+        F.coalesce(F.try_divide(F.col("b") - a, F.greatest(a, F.col("b"))), F.lit(0.0)))     # coincident points: 0
+    res = per.select(s.alias("s"), "k")
+    out = res.agg(F.avg("s").alias("silhouette"), F.count(F.lit(1)).alias("n_sample"),
+                  F.max("k").alias("n_clusters")).select(
         F.when((F.col("n_clusters") >= 2) & (F.col("n_clusters") <= F.col("n_sample") - 1),
                F.col("silhouette")).alias("silhouette"), "n_sample", F.col("n_clusters").cast("bigint"))
+    return out if sample_size is None else out.withColumn("share", F.lit(n / total if total else 1.0))
 
 
 CENTROID_LIMIT = 1_000_000  # clusters x dims shipped as one array

@@ -91,7 +91,7 @@ def emb_points(spark, sf):
               SELECT round(avg(s), 6) AS silhouette, count(*) AS n_sample, (SELECT count(*) FROM sz) AS n_clusters FROM s""")
 def a25_silhouette_embeddings(spark, sf):
     pts, labels = emb_points(spark, sf)
-    return round_doubles(cl.silhouette(pts, labels, 2000, 42))
+    return round_doubles(cl.silhouette(pts, labels))
 
 
 @register("a26_davies_bouldin_embeddings",

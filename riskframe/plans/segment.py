@@ -35,7 +35,7 @@ class SegmentResult:
 def segment(df: DataFrame, id_col: str, impute: list[str], cap: list[str], skewed: list[str],
             ratios: dict[str, tuple[str, str]], drop: list[str], profile_cols: list[str],
             n_components: int = 2, eps: float = 0.3, min_samples: int = 3,
-            sample_size: int = 2000) -> SegmentResult:
+            sample_size: int | None = None) -> SegmentResult:
     spark = df.sparkSession
     checkpoint_dir(spark)
     x = st.median_impute(df, impute).checkpoint(eager=True)     # fitted medians applied once

@@ -100,6 +100,18 @@ def test_quality_indices_match_numpy(spark):
     assert cl.silhouette(pts, noisy, 2000).first().n_sample == len(X) - 1
 
 
+def test_silhouette_counts_all_rows_across_blocks(spark):
+    rng = np.random.default_rng(6)
+    X = np.vstack([rng.normal(c, 0.5, size=(840, 3)) for c in (0, 2, 5)])
+    lab = np.repeat([0, 1, 2], 840)
+    pts = _points(spark, X)
+    labels = spark.createDataFrame([(i, int(v)) for i, v in enumerate(lab)], "id long, cluster int")
+    for out in (cl.silhouette(pts, labels).first(), cl.silhouette(pts, labels, block_size=700).first()):
+        assert out.n_sample == len(X)
+        assert out.silhouette == pytest.approx(_np_silhouette(X, lab), abs=1e-12)
+    assert cl.silhouette(pts, labels, 1260).first().share == 0.5
+
+
 def test_pca_embed_shape(spark):
     rng = np.random.default_rng(2)
     X = rng.normal(size=(50, 5)) @ rng.normal(size=(5, 5))
