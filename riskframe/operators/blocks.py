@@ -1,9 +1,8 @@
-"""Vectorised distance kernels for bounded candidate blocks.
+"""Vectorised distance kernels for pairs of bounded blocks.
 
-A *block* is at most ``limit`` points (checked before it is collected),
-shipped once to every task as a broadcast variable.  The query side stays
-a distributed DataFrame: ``mapInPandas`` streams its Arrow batches through
-numpy, so per-pair arithmetic never becomes rows or interpreted lambdas.
+Chunks of query points meet blocks of candidates by shuffle, and each pair
+is one group that numpy scores in a task, so per-pair arithmetic never
+becomes rows or interpreted lambdas.
 """
 
 from __future__ import annotations
@@ -14,17 +13,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def collect_block(block: DataFrame, limit: int, cols: tuple[str, ...] = ("id", "x")) -> dict:
-    """Collect a block of points after checking its size bound."""
-    n = block.count()
-    if n > limit:
-        raise ValueError(f"block of {n} points exceeds the bound {limit}")
-    rows = block.select(*cols).collect()
-    out = {c: [r[c] for r in rows] for c in cols}
-    out["X"] = np.array(out.pop("x"), dtype=np.float64) if rows else np.zeros((0, 0))
-    return out
-
-
 def _chunks(n: int, step: int):
     for i in range(0, n, step):
         yield slice(i, min(i + step, n))
@@ -37,37 +25,6 @@ def pairwise(Q: np.ndarray, X: np.ndarray, step: int = 256):
         yield sl, np.sqrt(np.einsum("qmd,qmd->qm", diff, diff))
 
 
-def topk_block(query: DataFrame, block: dict, k: int, exclude_self: bool, id_type: str) -> DataFrame:
-    """``(id, nn array<struct<dist double, nid>>)``: each query point's k
-    nearest block points, sorted by (distance, id)."""
-    spark = query.sparkSession
-    bc = spark.sparkContext.broadcast({"X": block["X"], "ids": np.array(block["id"], dtype=object)})
-
-    def fn(batches):
-        X, ids = bc.value["X"], bc.value["ids"]
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            Q = np.array(pdf["x"].tolist(), dtype=np.float64)
-            qids = pdf["id"].to_numpy(dtype=object)
-            out = []
-            for sl, D in pairwise(Q, X):
-                for r, d in enumerate(D):
-                    if exclude_self:
-                        d = np.where(ids == qids[sl][r], np.inf, d)
-                    kk = min(k, len(d))
-                    if kk == 0:
-                        out.append([])
-                        continue
-                    idx = np.argpartition(d, kk - 1)[:kk] if kk < len(d) else np.arange(len(d))
-                    idx = np.where(d <= d[idx].max())[0]      # keep boundary ties, order exactly
-                    cand = sorted((float(d[j]), ids[j]) for j in idx if np.isfinite(d[j]))[:k]
-                    out.append([{"dist": a, "nid": b} for a, b in cand])
-            yield pd.DataFrame({"id": qids, "nn": out})
-    schema = f"id {id_type}, nn array<struct<dist: double, nid: {id_type}>>"
-    return query.select("id", "x").mapInPandas(fn, schema)
-
-
 def distances(Q: np.ndarray, X: np.ndarray, step: int = 256):
     """Yield (slice, distances[q, m]) by products; near pairs, whose product
     form would cancel, by direct differences."""
@@ -116,7 +73,7 @@ def id_type_of(df: DataFrame) -> str:
     return df.schema["id"].dataType.simpleString()
 
 
-__all__ = ["collect_block", "topk_block", "cluster_sums", "id_type_of", "F"]
+__all__ = ["topk_cogroup", "cluster_sums", "id_type_of", "F"]
 
 
 def topk_cogroup(query: DataFrame, candidates: DataFrame, k: int, exclude_self: bool,

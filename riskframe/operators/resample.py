@@ -1,8 +1,6 @@
 """Resampling: exact k-nearest neighbours (blocked), R1 SMOTE, R2 Tomek links.
 
-kNN never materialises pair rows.  A candidate set within ``block_size``
-points (counted first) is broadcast once and every query partition keeps
-its rows' top-k with numpy; larger sets run as a distributed
+kNN never materialises pair rows.  It runs at every size as a distributed
 block-nested-loop join (bounded query chunk x bounded candidate block per
 group, ``cogroup.applyInPandas``) whose per-block top-k lists are merged
 with one ``groupBy(id)``.  The work is exact and quadratic in the number
@@ -17,10 +15,10 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.operators.blocks import collect_block, id_type_of, topk_block, topk_cogroup
+from riskframe.operators.blocks import id_type_of, topk_cogroup
 from riskframe.operators.prefix import prefix_sums
 
-BLOCK_SIZE = 20_000
+BLOCK_SIZE = 4_096
 
 
 def knn(query: DataFrame, candidates: DataFrame, k: int, exclude_self: bool = True,
@@ -30,19 +28,12 @@ def knn(query: DataFrame, candidates: DataFrame, k: int, exclude_self: bool = Tr
     ``query``/``candidates``: ``(id, x array<double>)``.  Returns ``(id, nn
     array<struct<dist double, nid>>)`` sorted by distance, ties by id.
 
-    A single candidate block (at most ``block_size`` points, counted first)
-    is broadcast once and scanned by every query partition with numpy.
-    Larger candidate sets run as a distributed block-nested-loop join
-    (query chunks x candidate blocks, each group bounded) and the per-block
-    top-k lists are merged with one ``groupBy``; nothing passes through the
-    driver."""
-    m = candidates.count()
+    A distributed block-nested-loop join (query chunks x candidate blocks,
+    each group bounded), the per-block top-k lists merged with one
+    ``groupBy``; nothing passes through the driver."""
     itype = id_type_of(query)
-    if m <= block_size:
-        return topk_block(query, collect_block(candidates.select("id", "x"), block_size), k, exclude_self, itype)
-    n = query.count()
-    blocks = math.ceil(m / block_size)
-    chunks = max(1, math.ceil(n / query_chunk))
+    blocks = max(1, math.ceil(candidates.count() / block_size))
+    chunks = max(1, math.ceil(query.count() / query_chunk))
     parts = topk_cogroup(query, candidates, k, exclude_self, chunks, blocks, itype)
     merged = parts.groupBy("id").agg(F.flatten(F.collect_list("nn")).alias("nn"))
     return merged.select("id", F.slice(F.array_sort("nn"), 1, k).alias("nn"))

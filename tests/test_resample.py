@@ -20,6 +20,13 @@ def test_knn_matches_bruteforce_across_blocks(spark):
         assert got[i] == sorted(range(len(X)), key=lambda j: (D[i, j], j))[:4]
 
 
+def test_knn_of_one_block_takes_the_shuffle_path(spark):
+    pts = spark.createDataFrame([(i, [float(i * i)]) for i in range(30)], "id long, x array<double>")
+    out = rs.knn(pts, pts, 2)
+    assert "FlatMapCoGroupsInPandas" in out._jdf.queryExecution().toString()
+    assert {r.id: [e.nid for e in r.nn] for r in out.collect()}[3] == [2, 4]
+
+
 def test_smote_balances_and_stays_on_segments(spark):
     rng = np.random.default_rng(8)
     X = np.vstack([rng.normal(0, 1, size=(200, 3)), rng.normal(3, 0.5, size=(23, 3))])
