@@ -4,7 +4,8 @@ logit = b + sum_i w_i + sum_{i<j} <v_i, v_j> over the distinct terms of the
 whole text, so a pair of terms can weigh more than both apart.  Fitted with
 AdaGrad on a bounded sample of labelled rows (``SAMPLE``); terms that fewer
 than ``MIN_DF`` sample documents hold, or that are as common in both classes
-as chance allows (``MIN_Z``), keep weight 0.
+as chance allows (``MIN_Z``), alone and in every pair of such terms
+(``PAIR_Z``, from ``MIN_PAIR`` documents on), keep weight 0.
 
 Defined results.  A null or empty text has no terms and scores the bias.
 Every input row gives one row, also without an id or with a repeated one.
@@ -26,6 +27,8 @@ FACTORS = 8
 SAMPLE = 20_000
 MIN_DF = 4
 MIN_Z = 4.0
+MIN_PAIR = 8
+PAIR_Z = 8.0
 EPOCHS = 6
 STEPS = 1000        # at least, for small samples
 BATCH = 128
@@ -54,6 +57,28 @@ def logits(m: dict, f: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray,
     return m["b"] + np.bincount(row, weights=m["w"][f], minlength=n) + pairs, s, v
 
 
+def paired(xs: list[np.ndarray], y: np.ndarray, p: float, some: np.ndarray) -> np.ndarray:
+    """Which of the terms ``some`` are in a pair of them whose share of label
+    1 differs from ``p`` by ``PAIR_Z`` standard deviations."""
+    out = np.zeros(len(some), dtype=bool)
+    number = np.full(len(out), -1)
+    number[some] = np.arange(int(some.sum()))
+    kept = [number[x][number[x] >= 0] for x in xs]
+    f, row = flat(kept)
+    order = np.argsort(f, kind="stable")
+    rows_of = np.split(row[order], np.cumsum(np.bincount(f, minlength=int(some.sum())))[:-1])
+    names = np.flatnonzero(some)
+    for i, r in enumerate(rows_of):
+        if len(r) < MIN_PAIR:
+            continue
+        other = np.concatenate([kept[k] for k in r])
+        n = np.bincount(other, minlength=len(names))
+        pos = np.bincount(other, weights=np.repeat(y[r], [len(kept[k]) for k in r]), minlength=len(names))
+        n[i] = 0
+        out[names[i]] = bool(((n >= MIN_PAIR) & (np.abs(pos - n * p) >= PAIR_Z * np.sqrt(n * p * (1 - p)))).any())
+    return out
+
+
 def fit(xs: list[np.ndarray], y: np.ndarray, rate: float = 0.15, decay: float = 2e-3) -> dict:
     rng = np.random.default_rng(7)
     size = 1 << BITS
@@ -65,6 +90,7 @@ def fit(xs: list[np.ndarray], y: np.ndarray, rate: float = 0.15, decay: float =
     df, pos = np.bincount(f, minlength=size), np.bincount(f, weights=np.repeat(y, [len(x) for x in xs]), minlength=size)
     p = (y.sum() + 1) / (len(y) + 2)
     often = (df >= MIN_DF) & (np.abs(pos - df * p) >= MIN_Z * np.sqrt(df * p * (1 - p)))
+    often |= paired(xs, y, p, (df >= MIN_PAIR) & ~often)
     m["v"][often] = rng.normal(0, 0.01, (int(often.sum()), FACTORS))
     m["b"] = float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
     xs = [x[often[x]] for x in xs]

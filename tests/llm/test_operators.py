@@ -210,6 +210,17 @@ def test_factorization_machine_learns_a_pair(spark):
     assert held_out_accuracy(toxicity.toxicity(docs, labels), labels) > 0.95
 
 
+def test_factorization_machine_learns_a_pair_of_neutral_terms(spark):
+    # each word is as common in both classes; only both or neither of them marks one
+    def text(i, words, rng):
+        a, b = rng.random(2) < 0.5
+        return " ".join(words + ["insult"] * int(a) + ["group"] * int(b)), int(a == b)
+    docs, labels = made(spark, 4000, text)
+    both = toxicity.toxicity(docs, labels).join(labels, "doc_id").where("held_out")
+    score = {r.toxic: (r.low, r.high) for r in both.groupBy("toxic").agg(F.min("score").alias("low"), F.max("score").alias("high")).collect()}
+    assert score[1][0] > score[0][1]
+
+
 def test_attention_finds_one_bad_passage(spark):
     def text(i, words, rng):
         bad = rng.random() < 0.5
