@@ -75,11 +75,26 @@ def build_feature_set(df: DataFrame, spec: FeatureSet, fit_on: DataFrame | None
                       keep: tuple[str, ...] = ("row_id", "Class")) -> tuple[DataFrame, list[str]]:
     """Apply one catalogue set; returns ``(frame, feature names)``.
 
-    ``fit_on`` (the training frame, already built with the same spec)
-    supplies the robust-scaler statistics; by default they are fitted on
-    ``df`` itself."""
+    ``fit_on`` (the training frame, raw like ``df``) supplies every fitted
+    statistic: z-score, bin edges and robust scaler; by default ``df`` does."""
     from riskframe.operators import rank as rk
     from riskframe.operators import stats as st
+    fit_on = df if fit_on is None else fit_on
+    built = _project(df, spec, fit_on, keep)
+    base = built if fit_on is df else _project(fit_on, spec, fit_on, keep)
+    if spec.amount_bin:
+        edges = rk.fit_quantile_bins(base, "Amount", 10)
+        built = rk.apply_quantile_bins(built, "Amount", edges, "Amount_bin")
+    if spec.scale:
+        cols = [c for c in spec.scale if c in built.columns]
+        built = st.apply_robust_scaler(built, st.fit_robust_scaler(base, cols), cols)
+    feats = [c for c in built.columns if c not in keep]
+    return built, feats
+
+
+def _project(df: DataFrame, spec: FeatureSet, fit_on: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """The set's columns before binning and scaling, as one projection."""
+    from riskframe.operators import stats as st
     la = fx.log_amount("Amount")
     out = [F.col(c) for c in keep if c in df.columns]
     out += [F.col(v) for v in V_ALL]
@@ -109,14 +124,5 @@ def build_feature_set(df: DataFrame, spec: FeatureSet, fit_on: DataFrame | None
     out += fx.pairwise_products(list(spec.pairs))
     out += fx.squares(list(spec.squares))
     if spec.amount_zscore:
-        mu_sd = df.agg(F.struct(F.avg("Amount").alias("mu"), F.stddev_samp("Amount").alias("sd"))).scalar()
-        out.append(((F.col("Amount") - mu_sd["mu"]) / (mu_sd["sd"] + F.lit(1e-8))).alias("amt_zscore"))
-    built = df.select(*out)
-    if spec.amount_bin:
-        built = rk.quantile_bin(built, "Amount", 10, name="Amount_bin")
-    if spec.scale:
-        cols = [c for c in spec.scale if c in built.columns]
-        scaler = st.fit_robust_scaler(fit_on if fit_on is not None else built, cols)
-        built = st.apply_robust_scaler(built, scaler, cols)
-    feats = [c for c in built.columns if c not in keep]
-    return built, feats
+        out.append(st.zscore_of("Amount", st.fit_zscore(fit_on, "Amount")).alias("amt_zscore"))
+    return df.select(*out)

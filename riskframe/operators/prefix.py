@@ -1,14 +1,17 @@
 """Running totals over an ordered histogram without a single-task window.
 
 A window ordered over a whole group runs that group in one task.  Instead
-every group's ordering column is cut into ``buckets`` value ranges at
-approximate quantiles (one small aggregation), each ``(group, bucket)`` slice
-is summed with an ordinary partitioned window, and the totals of earlier
-slices are added back from a table of ``groups x buckets`` rows.
-
-The input is expected to hold one row per ``(by..., order)`` value — a
-histogram built with ``groupBy(by..., order).agg(...)`` — so the ``ROWS``
-frame equals a ``RANGE`` frame and ties cannot straddle two slices.
+the rows are dealt into slices by range of ``(by..., order)`` (Spark samples
+the bounds, AQE sets the number of slices by their bytes), whatever the
+groups are: a group of a third of all rows spans many slices, small groups
+share one.  The sliced table is written once into the checkpoint folder, so
+every reader sees the same slices.  Each ``(slice, group)`` part is summed by
+an ordinary partitioned window, and the totals of a group's earlier slices
+are added back; these totals are at most slices + groups rows.
+
+``prefix_sums`` expects one row per ``(by..., order)`` value — a histogram
+built with ``groupBy(by..., order).agg(...)`` — so the ``ROWS`` frame equals
+a ``RANGE`` frame and ties cannot straddle two slices.
 """
 
 from __future__ import annotations
@@ -17,13 +20,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-
-def default_buckets(df: DataFrame) -> int:
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
-    return max(2, min(n, 256))
+from riskframe.session import materialise
 
 
-def bucket_index(value: Column, splits: Column, n_splits: int) -> Column:
+def bucket_index(value: Column, splits: Column | list, n_splits: int) -> Column:
     """Number of the sorted ``splits`` strictly below ``value`` (0..n_splits).
 
     A binary search unrolled into nested CASE WHEN at plan time: log2(n)
@@ -37,55 +37,57 @@ def bucket_index(value: Column, splits: Column, n_splits: int) -> Column:
     return search(0, n_splits)
 
 
+def _ranged(df: DataFrame, keys: list[str], slices: int | None) -> DataFrame:
+    return df.repartitionByRange(slices, *keys) if slices else df.repartitionByRange(*keys)
+
+
+def _with_offsets(rows: DataFrame, tot: DataFrame, by: list[str], totals: list[str]) -> DataFrame:
+    """``rows`` with, per ``(slice, group)`` of ``tot``, ``_o_<t>``: the sum
+    of ``t`` over the group's earlier slices, and ``_g_<t>``: over all."""
+    before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    offs = tot.select(*by, "_slice", *[c for c in tot.columns if c not in (*by, "_slice", *totals)],
+                      *[F.coalesce(F.sum(t).over(before), F.lit(0)).alias(f"_o_{t}") for t in totals],
+                      *[F.sum(t).over(Window.partitionBy(*by)).alias(f"_g_{t}") for t in totals])
+    # null-safe: rows of a NULL group stay
+    keys = [*by, "_slice"]
+    offs = offs.withColumnsRenamed({c: f"_k{i}" for i, c in enumerate(keys)})
+    return rows.join(offs, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)], "inner")
+
+
 def prefix_sums(df: DataFrame, order: str, sums: list[str], by: list[str] | None = None,
                 buckets: int | None = None, suffix: str = "_cum",
                 descending: bool = False) -> DataFrame:
     """Add ``<c>_cum`` = inclusive running total of each column in ``sums``
     over ``order`` (ascending, or descending), within each ``by`` group.
 
-    Also adds ``<c>_tot`` = the group total.
+    Also adds ``<c>_tot`` = the group total.  ``df`` is computed once, when
+    this is called.  ``buckets`` fixes the number of slices.
     """
     by = list(by or [])
-    b = buckets or default_buckets(df)
-    key = F.col(order)
-    if descending:
-        key = -key
-    work = df.withColumn("_ord", key)
-    probs = F.array(*[F.lit(i / b) for i in range(1, b)])
-    # bounds only balance the slices, so a coarse sketch suffices
-    acc = max(200, 50 * b)
-    # The bucket bounds are approximate quantiles, and percentile_approx
-    # depends on input order.  They are therefore computed ONCE per query
-    # as a scalar subquery (Spark reuses one subquery result everywhere in
-    # the plan), so the totals and the running sums below see identical
-    # buckets.  Grouped input ships one bounds array per group (groups x
-    # buckets values): meant for a modest number of groups.
-    if by:
-        per = work.groupBy(*by).agg(F.percentile_approx("_ord", probs, acc).alias("_splits"))
-        smap = per.agg(F.map_from_entries(F.collect_list(F.struct(F.struct(*by), "_splits")))).scalar()
-        splits = smap[F.struct(*[F.col(c) for c in by])]
-    else:
-        splits = work.agg(F.percentile_approx("_ord", probs, acc)).scalar()
-    work = work.withColumn("_sp", splits)
-    work = work.withColumn("_bk", bucket_index(F.col("_ord"), F.col("_sp"), b - 1)).drop("_sp")
-
-    # totals of each (group, bucket) slice -> exclusive offsets across slices
-    tot = work.groupBy(*by, "_bk").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
-    wb = Window.partitionBy(*by).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
-    wg = Window.partitionBy(*by)
-    offs = tot.select(*by, "_bk",
-                      *[F.coalesce(F.sum(f"_t_{c}").over(wb), F.lit(0)).alias(f"_o_{c}") for c in sums],
-                      *[F.sum(f"_t_{c}").over(wg).alias(f"{c}_tot") for c in sums])
-
-    w = (Window.partitionBy(*by, "_bk").orderBy("_ord")
+    work = df.withColumn("_ord", -F.col(order) if descending else F.col(order))
+    work = materialise(_ranged(work, [*by, "_ord"], buckets).withColumn("_slice", F.spark_partition_id()), "slices")
+    w = (Window.partitionBy(*by, "_slice").orderBy("_ord")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     run = work.select("*", *[F.sum(c).over(w).alias(f"_r_{c}") for c in sums])
-    # null-safe: rows of a NULL group stay
-    keys = [*by, "_bk"]
-    offs = offs.withColumnsRenamed({c: f"_k{i}" for i, c in enumerate(keys)})
-    out = run.join(offs, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)], "inner")
+    tot = work.groupBy(*by, "_slice").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
+    out = _with_offsets(run, tot, by, [f"_t_{c}" for c in sums])
     return out.select(
         *[F.col(c) for c in df.columns],
-        *[(F.col(f"_r_{c}") + F.col(f"_o_{c}")).alias(f"{c}{suffix}") for c in sums],
-        *[F.col(f"{c}_tot") for c in sums],
+        *[(F.col(f"_r_{c}") + F.col(f"_o__t_{c}")).alias(f"{c}{suffix}") for c in sums],
+        *[F.col(f"_g__t_{c}").alias(f"{c}_tot") for c in sums],
     )
+
+
+def row_positions(df: DataFrame, order: list[str], by: list[str] | None = None, name: str = "position",
+                  buckets: int | None = None) -> DataFrame:
+    """Add ``name``: the row's position (from 0) by ``order`` within its
+    ``by`` group.  One shuffle: a sorted slice numbers its own rows, so no
+    window is needed.  Rows that tie on all of ``order`` come in any order."""
+    by = list(by or [])
+    keys = [*by, *order]
+    at = F.monotonically_increasing_id()        # partition << 33 | row of the partition
+    work = _ranged(df, keys, buckets).sortWithinPartitions(*keys).withColumn("_at", at)
+    work = materialise(work.withColumn("_slice", F.shiftright("_at", 33)), "slices")
+    tot = work.groupBy(*by, "_slice").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_t"))
+    out = _with_offsets(work, tot, by, ["_t"])
+    return out.select(*[F.col(c) for c in df.columns], (F.col("_at") - F.col("_first") + F.col("_o__t")).alias(name))

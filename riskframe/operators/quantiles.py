@@ -1,22 +1,41 @@
 """A3 / A4: exact quantiles (linear interpolation, NULL skipped) and IQR
 fences for many columns at once.
 
-``method="exact"`` (default) takes the same path at every size: per-column
-counts and approximate bucket bounds in one scan, exact per-(column, bucket)
-counts (map-side combined), then an exact histogram of only the buckets that
-contain the target ranks, ranked inside each bucket.  No task ever holds a
-whole column.  ``method="approx"`` uses ``percentile_approx`` (bounded
-memory, rank error ``1/accuracy``).
+A fit is an artefact: ``quantiles`` runs its jobs when called and returns a
+small local frame (columns x probabilities).  Whatever is built on it reads
+literals, so plans of composed fits do not grow with the fits below them.
+
+``method="exact"`` (default) narrows rank brackets, on one path at every size:
+
+1. one scan sketches each column and gives, for each wanted rank, a bracket
+   of values that should hold it;
+2. one scan counts the rows below and in each bracket.  The counts are exact,
+   so a bracket that misses its rank is opened on that side and counted anew,
+   and one that still holds more than ``LEAVE`` rows is cut further by a
+   sketch of only its rows;
+3. one scan builds the histogram of the rows in the brackets (about 1 in 400)
+   and picks the ranks.
+
+No task ever holds a whole column.  ``method="approx"`` uses
+``percentile_approx`` (bounded memory, rank error ``1/accuracy``).
 """
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass, replace
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
 from pyspark.sql.window import Window
 
-from riskframe.operators.prefix import bucket_index, default_buckets
+#: Accuracy of the first sketch; a bracket spans a few of its rank errors.
+SKETCH = 2000
+#: Rows of a bracket that the last scan may turn into a histogram.
+LEAVE = 4_000_000
+#: Cuts of a bracket that holds more.
+CUTS = 200
 
 
 def to_long(df: DataFrame, cols: list[str], keep: list[str] | None = None) -> DataFrame:
@@ -28,115 +47,184 @@ def to_long(df: DataFrame, cols: list[str], keep: list[str] | None = None) -> Da
               .where(F.col("value").isNotNull()))
 
 
-def _names(spark, cols: list[str]) -> DataFrame:
-    """A literal one-column frame of column names (JVM-side, no Python RDD)."""
-    return spark.range(1).select(F.explode(F.array(*[F.lit(c) for c in cols])).alias("feature"))
+def local_frame(spark, rows: list[tuple], fields: list[tuple[str, str]]) -> DataFrame:
+    """A small local relation (no job, no task reads it from Python)."""
+    kinds = {"string": pa.string(), "double": pa.float64(), "bigint": pa.int64(), "int": pa.int32()}
+    return spark.createDataFrame(pa.table({
+        name: pa.array([r[i] for r in rows], kinds[kind]) for i, (name, kind) in enumerate(fields)}))
 
 
 def quantiles(df: DataFrame, cols: list[str], probs: list[float], method: str = "exact",
               accuracy: int = 10000) -> DataFrame:
-    """Long result ``(feature string, p double, q double)``; ``q`` is NULL for
-    an all-null column.
-
-    ``method``: ``"exact"`` or ``"approx"`` (``percentile_approx``).  Both
-    are lazy: building the plan runs no job.
-    """
-    spark = df.sparkSession
-    names = _names(spark, cols)
-    plist = F.array(*[F.lit(float(p)) for p in probs])
-    if method == "approx":
-        wide = df.agg(*[F.percentile_approx(F.col(c).cast("double"), plist, accuracy).alias(c) for c in cols])
-        long = wide.select(F.inline(F.array(*[
-            F.struct(F.lit(c).alias("feature"), F.col(c).alias("qs")) for c in cols])))
-        res = long.select("feature", F.posexplode(plist).alias("_pi", "p"),
-                          F.col("qs")).select("feature", "p", F.col("qs")[F.col("_pi")].alias("q"))
-        return names.join(res, "feature", "left").select("feature", "p", "q")
-    if method != "exact":
+    """Long local frame ``(feature string, p double, q double)``; ``q`` is
+    NULL for an all-null column."""
+    if method not in ("exact", "approx"):
         raise ValueError(f"unknown method {method}")
-    return _exact_quantiles(df, cols, names, plist)
-
-
-def _exact_quantiles(df: DataFrame, cols: list[str], names: DataFrame, plist: Column) -> DataFrame:
-    # Columns are addressed by an int index in the long form: per-row lookups
-    # are array accesses, not string comparisons.
-    # Pass 1 (one scan, bounded result): per column the non-null count and
-    # B-1 approximate bucket bounds.
-    b = default_buckets(df)
-    bprobs = F.array(*[F.lit(i / b) for i in range(1, b)])
-    # bounds only balance the buckets (exactness comes from pass 3), so a
-    # coarse sketch sized to the bucket count is enough
-    acc = max(200, 50 * b)
-    meta = df.agg(F.struct(
-        F.array(*[F.count(c) for c in cols]).alias("n"),
-        F.array(*[F.percentile_approx(F.col(c).cast("double"), bprobs, acc) for c in cols]).alias("sp"),
-    )).scalar()
-    cells = (df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("_ci"), F.col(c).cast("double").alias("value"))
-                                          for i, c in enumerate(cols)])))
-             .where(F.col("value").isNotNull()))
-    cells = (cells.withColumn("_sp", meta["sp"][F.col("_ci")])
-             .withColumn("_bk", bucket_index(F.col("value"), F.col("_sp"), b - 1))
-             .drop("_sp"))
-
-    # Pass 2: rows per (column, bucket) -> rank offset of each bucket.
-    # Map-side combined to columns x buckets rows, so the shuffle is tiny.
-    btot = cells.groupBy("_ci", "_bk").agg(F.count(F.lit(1)).alias("_t"))
-    wb = Window.partitionBy("_ci").orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
-    boff = btot.withColumn("_off", F.coalesce(F.sum("_t").over(wb), F.lit(0)))
-
-    # target ranks around h = (n - 1) p, and the bucket holding each
-    idx = names.select("feature", F.posexplode(F.array(*[F.lit(c) for c in cols])).alias("_ci", "_nm")) \
-        .where(F.col("feature") == F.col("_nm")).select("feature", "_ci")
-    tgt = (idx.select("feature", "_ci", F.explode(plist).alias("p"))
-           .withColumn("_n", meta["n"][F.col("_ci")])
-           .where(F.col("_n") > 0)
-           .withColumn("h", (F.col("_n") - 1) * F.col("p"))
-           .select("feature", "_ci", "p", "h", F.explode(F.array(F.floor("h"), F.ceil("h"))).alias("r")))
-    tgt = (tgt.join(F.broadcast(boff), "_ci")
-           .where((F.col("r") >= F.col("_off")) & (F.col("r") < F.col("_off") + F.col("_t")))
-           .select("feature", "_ci", "_bk", "_off", "p", "h", "r"))
-
-    # Pass 3: histogram of the target buckets only, ranked inside the bucket.
-    hist = (cells.join(F.broadcast(boff.select("_ci", "_bk", "_off")), ["_ci", "_bk"])
-            .join(F.broadcast(tgt.select("_ci", "_bk")), ["_ci", "_bk"], "left_semi")
-            .groupBy("_ci", "_bk", "_off", "value").agg(F.count(F.lit(1)).alias("n")))
-    w = (Window.partitionBy("_ci", "_bk").orderBy("value")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = hist.withColumn("_cum", F.sum("n").over(w) + F.col("_off"))
-    hit = (ranked.join(F.broadcast(tgt), ["_ci", "_bk", "_off"])
-           .where((F.col("r") >= F.col("_cum") - F.col("n")) & (F.col("r") < F.col("_cum"))))
-    picked = hit.groupBy("feature", "p", "h").agg(F.min("value").alias("v_lo"),
-                                                  F.max("value").alias("v_hi"))
-    q = F.col("v_lo") + (F.col("v_hi") - F.col("v_lo")) * (F.col("h") - F.floor("h"))
-    res = picked.select("feature", "p", q.alias("q"))
-    grid = names.select("feature", F.explode(plist).alias("p"))
-    return grid.join(res, ["feature", "p"], "left").select("feature", "p", "q")
+    probs = [float(p) for p in probs]
+    if method == "approx":
+        found = _sketch(df, cols, probs, accuracy)[1]
+        rows = [(c, p, None if q is None else q[i]) for c, q in zip(cols, found) for i, p in enumerate(probs)]
+    else:
+        rows = _exact(df, cols, probs)
+    return local_frame(df.sparkSession, rows, [("feature", "string"), ("p", "double"), ("q", "double")])
+
+
+def _sketch(df: DataFrame, cols: list[str], at: list[float], accuracy: int) -> tuple[list[int], list]:
+    """Per column its count of values and approximate quantiles ``at``."""
+    grid = F.array(*[F.lit(p) for p in at])
+    aggs = [a for c in cols for a in (F.count(c), F.percentile_approx(F.col(c).cast("double"), grid, accuracy))]
+    row = df.agg(*aggs).first()
+    return list(row[0::2]), list(row[1::2])
+
+
+@dataclass(frozen=True)
+class Bracket:
+    """Values ``lo`` to ``hi`` (None: open) that should hold the ranks
+    ``first`` and ``last``; ``below`` and ``inside`` are exact row counts."""
+    col: str
+    first: int
+    last: int
+    lo: float | None
+    hi: float | None
+    below: int = 0
+    inside: int = 0
+
+    def under(self) -> Column:
+        return F.lit(False) if self.lo is None else F.col(self.col).cast("double") < F.lit(self.lo)
+
+    def holds(self) -> Column:
+        v = F.col(self.col).cast("double")
+        ends = ([v >= F.lit(self.lo)] if self.lo is not None else []) + ([v <= F.lit(self.hi)] if self.hi is not None else [])
+        return ends[0] & ends[1] if len(ends) == 2 else ends[0] if ends else v.isNotNull()
+
+
+def _counted(df: DataFrame, brackets: list[Bracket]) -> list[Bracket]:
+    """The brackets with their counts (one scan), opened until each holds its
+    ranks."""
+    out, todo = {}, dict(enumerate(brackets))
+    while todo:
+        row = df.agg(*[F.count_if(x) for b in todo.values() for x in (b.under(), b.holds())]).first()
+        again = {}
+        for (i, b), below, inside in zip(todo.items(), row[0::2], row[1::2]):
+            lo = b.lo if below <= b.first else None
+            hi = b.hi if b.last < below + inside else None
+            if (lo, hi) == (b.lo, b.hi):
+                out[i] = replace(b, below=below, inside=inside)
+            else:
+                again[i] = replace(b, lo=lo, hi=hi)
+        todo = again
+    return [out[i] for i in range(len(brackets))]
+
+
+def _merged(brackets: list[Bracket]) -> list[tuple[Bracket, list[int]]]:
+    """Overlapping brackets of a column as one, each with the numbers of its
+    parts; in no two of them lies the same value."""
+    out: list[tuple[Bracket, list[int]]] = []
+    low = lambda b: (b.col, -math.inf if b.lo is None else b.lo, b.lo is not None)
+    for i, b in sorted(enumerate(brackets), key=lambda x: low(x[1])):
+        if out and (last := out[-1][0]).col == b.col and (last.hi is None or b.lo is None or b.lo <= last.hi):
+            end = max(last.below + last.inside, b.below + b.inside)
+            hi = None if last.hi is None or b.hi is None else max(last.hi, b.hi)
+            out[-1] = replace(last, hi=hi, inside=end - last.below), [*out[-1][1], i]
+        else:
+            out.append((b, [i]))
+    return out
+
+
+def _cells(df: DataFrame, brackets: list[Bracket]) -> DataFrame:
+    """``(_b, value)``: the values in each of the disjoint brackets.  One cell
+    a column, filtered once it is generated: a filter on the columns
+    themselves would be pushed into what computes them, whose constraints
+    double with each of its columns."""
+    cells = []
+    for c in dict.fromkeys(b.col for b in brackets):
+        code = F.lit(None).cast("int")
+        for i, b in enumerate(brackets):
+            code = F.when(b.holds(), F.lit(i)).otherwise(code) if b.col == c else code
+        cells.append(F.struct(code.alias("_b"), F.col(c).cast("double").alias("value")))
+    return df.select(F.inline(F.array(*cells))).where(F.col("_b").isNotNull())
+
+
+def _narrowed(df: DataFrame, brackets: list[Bracket]) -> list[Bracket]:
+    """Cut brackets of more than ``LEAVE`` rows until none can be cut."""
+    while wide := [(m, parts) for m, parts in _merged(brackets) if m.inside > LEAVE and m.lo != m.hi]:
+        grid = F.array(*[F.lit(k / CUTS) for k in range(CUTS + 1)])
+        cuts = dict(_cells(df, [m for m, _ in wide]).groupBy("_b").agg(F.percentile_approx("value", grid, 10 * CUTS)).collect())
+        new = {}
+        for k, (m, parts) in enumerate(wide):
+            for i in parts:
+                b = brackets[i]
+                at = CUTS * (b.first - m.below) / m.inside, CUTS * (b.last - m.below) / m.inside
+                new[i] = replace(b, lo=cuts[k][max(0, math.floor(at[0]) - 1)], hi=cuts[k][min(CUTS, math.ceil(at[1]) + 1)])
+        new = dict(zip(new, _counted(df, list(new.values()))))
+        less = any(n.inside < brackets[i].inside for i, n in new.items())
+        brackets = [new.get(i, b) for i, b in enumerate(brackets)]
+        if not less:    # what is left is ties: its histogram is short
+            break
+    return brackets
+
+
+def _exact(df: DataFrame, cols: list[str], probs: list[float]) -> list[tuple]:
+    margin = 2.5 / SKETCH
+    ends = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-margin, margin)})
+    counts, found = _sketch(df, cols, ends, SKETCH)
+    brackets, of = [], {}
+    for c, n, q in zip(cols, counts, found):
+        for p in probs if n else []:
+            h = (n - 1) * p
+            lo, hi = (q[ends.index(min(1.0, max(0.0, p + d)))] for d in (-margin, margin))
+            of[c, p] = len(brackets), h
+            brackets.append(Bracket(c, math.floor(h), math.ceil(h), None if p <= margin else lo, None if p >= 1 - margin else hi))
+    brackets = _narrowed(df, _counted(df, brackets)) if brackets else []
+
+    # a bracket of one value needs no histogram
+    picked = {(i, r): b.lo for i, b in enumerate(brackets) if b.lo is not None and b.lo == b.hi for r in (b.first, b.last)}
+    todo = [i for i, b in enumerate(brackets) if (i, b.first) not in picked]
+    if todo:
+        merged = _merged([brackets[i] for i in todo])
+        hist = _cells(df, [m for m, _ in merged]).groupBy("_b", "value").agg(F.count(F.lit(1)).alias("n"))
+        w = Window.partitionBy("_b").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        cum = hist.withColumn("_cum", F.sum("n").over(w))
+        # the wanted ranks of each merged bracket, counted from its start
+        wanted = [sorted({r - m.below for k in parts for b in (brackets[todo[k]],) for r in (b.first, b.last)}) for m, parts in merged]
+        ranks = F.array(*[F.array(*[F.lit(r).cast("long") for r in rs]) for rs in wanted])
+        hit = F.filter(ranks[F.col("_b")], lambda r: (r >= F.col("_cum") - F.col("n")) & (r < F.col("_cum")))
+        found = {(j, r): v for j, v, rs in cum.select("_b", "value", hit.alias("r")).where(F.size("r") > 0).collect() for r in rs}
+        for j, (m, parts) in enumerate(merged):
+            for i in (todo[k] for k in parts):
+                picked |= {(i, r): found[j, r - m.below] for r in (brackets[i].first, brackets[i].last)}
+    rows = []
+    for c in cols:
+        for p in probs:
+            if (c, p) not in of:
+                rows.append((c, p, None))
+                continue
+            i, h = of[c, p]
+            lo, hi = picked[i, brackets[i].first], picked[i, brackets[i].last]
+            rows.append((c, p, lo if lo == hi else lo + (hi - lo) * (h - math.floor(h))))
+    return rows
 
 
 def quantile_row(df: DataFrame, cols: list[str], p: float, method: str = "exact") -> DataFrame:
     """One-row frame with one column per input column holding its p-quantile."""
-    long = quantiles(df, cols, [p], method)
-    return long.agg(*[F.max(F.when(F.col("feature") == c, F.col("q"))).alias(c) for c in cols])
+    got = {f: q for f, _, q in quantiles(df, cols, [p], method).collect()}
+    return local_frame(df.sparkSession, [tuple(got[c] for c in cols)], [(c, "double") for c in cols])
 
 
 def iqr_fences(df: DataFrame, cols: list[str], k: float = 1.5, method: str = "exact") -> DataFrame:
     """A4: ``(feature, q1, q3, iqr, lower, upper)``, one row per column."""
-    long = quantiles(df, cols, [0.25, 0.75], method)
-    wide = long.groupBy("feature").agg(
-        F.max(F.when(F.col("p") == 0.25, F.col("q"))).alias("q1"),
-        F.max(F.when(F.col("p") == 0.75, F.col("q"))).alias("q3"))
-    iqr = F.col("q3") - F.col("q1")
-    return wide.select("feature", "q1", "q3", iqr.alias("iqr"),
-                       (F.col("q1") - F.lit(k) * iqr).alias("lower"),
-                       (F.col("q3") + F.lit(k) * iqr).alias("upper"))
-
-
-def stats_struct(stats: DataFrame, key: str, fields: list[str], cols: list[str]) -> Column:
-    """A one-row scalar subquery: ``struct<col: struct<fields...>>``.
-
-    ``stats`` is a small long table keyed by column name (one row per
-    column).  The result is a bounded literal (columns x fields) that row
-    expressions read as ``s[col][field]`` — no join with the data.
-    """
-    per = [F.max(F.when(F.col(key) == c, F.struct(*[F.col(f) for f in fields]))).alias(c)
-           for c in cols]
-    return stats.agg(F.struct(*per).alias("s")).scalar()
+    got = {(f, p): q for f, p, q in quantiles(df, cols, [0.25, 0.75], method).collect()}
+    rows = []
+    for c in dict.fromkeys(cols):
+        q1, q3 = got[c, 0.25], got[c, 0.75]
+        rows.append((c, q1, q3, q3 - q1, q1 - k * (q3 - q1), q3 + k * (q3 - q1)) if q1 is not None else (c, *[None] * 5))
+    return local_frame(df.sparkSession, rows, [("feature", "string"), *[(n, "double") for n in ("q1", "q3", "iqr", "lower", "upper")]])
+
+
+def stats_literals(stats: DataFrame, key: str, fields: list[str], cols: list[str]) -> dict[str, dict[str, Column]]:
+    """``s[col][field]`` as literals, from a fitted frame of one row a column
+    (columns x fields numbers: bounded).  Row expressions read them without
+    a join or a subquery; a column without a row has NULLs."""
+    kinds = {f: stats.schema[f].dataType for f in fields}
+    got = {r[key]: r for r in stats.select(key, *fields).collect()}
+    return {c: {f: F.lit(got[c][f] if c in got else None).cast(kinds[f]) for f in fields} for c in cols}

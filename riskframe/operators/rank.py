@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.operators.prefix import bucket_index, prefix_sums
+from riskframe.operators.prefix import bucket_index, prefix_sums, row_positions
 from riskframe.operators.quantiles import quantiles
 
 
@@ -50,28 +50,23 @@ def latest_per_key(log: DataFrame, key: list[str], ts: str) -> DataFrame:
     return out.select(*key, "_r.*")
 
 
-def fit_quantile_bins(train: DataFrame, col: str, q: int = 10, method: str = "exact") -> Column:
-    """W4 fit: the distinct bin edges (``q + 1`` quantiles) as a scalar
-    subquery ``struct<edges: array<double>, m: int>``."""
-    probs = [i / q for i in range(q + 1)]
-    e = quantiles(train, [col], probs, method)
-    edges = F.array_sort(F.array_distinct(F.collect_list("q")))
-    return e.agg(F.struct(edges.alias("edges"), F.size(edges).alias("m"))).scalar()
+def fit_quantile_bins(train: DataFrame, col: str, q: int = 10, method: str = "exact") -> list[float]:
+    """W4 fit: the distinct bin edges (of ``q + 1`` quantiles), ascending."""
+    found = quantiles(train, [col], [i / q for i in range(q + 1)], method).collect()
+    return sorted({e for _, _, e in found if e is not None})
 
 
-def apply_quantile_bins(df: DataFrame, col: str, fitted: Column, q: int = 10,
-                        name: str | None = None) -> DataFrame:
+def apply_quantile_bins(df: DataFrame, col: str, edges: list[float], name: str | None = None) -> DataFrame:
     """W4 apply: right-closed bins, lowest edge included, duplicate edges
     dropped (``qcut(..., duplicates="drop")``); outside the edges -> NULL."""
-    pad = F.array_repeat(F.lit(float("inf")), F.lit(q + 1) - fitted["m"])
-    edges = F.concat(fitted["edges"], pad)
     x = F.col(col).cast("double")
-    work = df.withColumn("_edges", edges)
-    below = bucket_index(x, F.col("_edges"), q + 1)   # distinct edges strictly below x
-    last = F.element_at(F.col("_edges"), fitted["m"])
-    code = F.when(x.isNull() | (x < F.col("_edges")[0]) | (x > last), F.lit(None)) \
-        .otherwise(F.greatest(below - 1, F.lit(0)))
-    return work.withColumn(name or f"{col}_bin", code.cast("int")).drop("_edges")
+    if edges:
+        lits = [F.lit(e) for e in edges]
+        code = F.when(x.isNull() | (x < lits[0]) | (x > lits[-1]), F.lit(None)) \
+            .otherwise(F.greatest(bucket_index(x, lits, len(edges)) - 1, F.lit(0)))
+    else:
+        code = F.lit(None)
+    return df.withColumn(name or f"{col}_bin", code.cast("int"))
 
 
 def quantile_bin(df: DataFrame, col: str, q: int = 10, fit_on: DataFrame | None = None,
@@ -79,7 +74,7 @@ def quantile_bin(df: DataFrame, col: str, q: int = 10, fit_on: DataFrame | None
     """``fit_on=None`` refits on ``df`` itself (the reference's
     behaviour); pass the training frame to fit once and apply anywhere."""
     fitted = fit_quantile_bins(fit_on if fit_on is not None else df, col, q)
-    return apply_quantile_bins(df, col, fitted, q, name)
+    return apply_quantile_bins(df, col, fitted, name)
 
 
 def shuffle_key(id_col: str, seed: int) -> Column:
@@ -94,13 +89,13 @@ def stratified_folds(df: DataFrame, y: str, k: int = 5, seed: int = 42, id_col:
     """Shuffled k folds that keep each class's share (per class, fold
     sizes differ by at most one).
 
-    Rows are ranked within their class by a seeded hash through the
-    bucketed prefix count (no class-wide window); ``fold = (rank - 1) % k``.
+    Rows are numbered within their class by a seeded hash (ties by id)
+    through range slices (no class-wide window); ``fold = position % k``.
+    The rows are written once, when this is called.
     """
-    keyed = df.withColumn("_h", shuffle_key(id_col, seed)).withColumn("_one", F.lit(1))
-    ranked = prefix_sums(keyed, "_h", ["_one"], by=[y])
-    return ranked.withColumn(name, F.pmod(F.col("_one_cum") - 1, F.lit(k)).cast("int")) \
-        .drop("_h", "_one", "_one_cum", "_one_tot")
+    keyed = df.withColumn("_h", shuffle_key(id_col, seed))
+    ranked = row_positions(keyed, ["_h", id_col], by=[y], name="_row")
+    return ranked.withColumn(name, F.pmod("_row", F.lit(k)).cast("int")).drop("_h", "_row")
 
 
 def fold_split(df: DataFrame, k: int, fold: str = "fold") -> tuple[DataFrame, DataFrame]:

@@ -1,9 +1,9 @@
 """Robust statistics and profiling: A1-A16, A24, A27, A28, D1, F1, F5, T1-T3.
 
-Fitted operators follow one shape: ``fit_*(df) -> small stats frame`` and
-``apply_*(df, stats)``.  Applying reads the stats through a one-row scalar
-subquery (a bounded literal: columns x a few numbers), so the data side is
-never joined, shuffled or broadcast.
+Fitted operators follow one shape: ``fit_*(df) -> small local frame`` (the
+fit runs when it is called) and ``apply_*(df, stats)``, which reads the stats
+as literals (columns x a few numbers).  The data side is never joined,
+shuffled or broadcast, and a plan does not hold the plans of its fits.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from riskframe.functions.features import clip
-from riskframe.operators.quantiles import iqr_fences, quantiles, stats_struct
+from riskframe.operators.quantiles import iqr_fences, local_frame, quantiles, stats_literals
 
 
 def _stack(wide: DataFrame, cols: list[str], key: str, fields: dict[str, str]) -> DataFrame:
@@ -75,11 +75,10 @@ def drop_noise(df: DataFrame, label: str = "cluster") -> DataFrame:
 def outlier_counts(df: DataFrame, cols: list[str], k: float = 1.5, method: str = "exact") -> DataFrame:
     """A5: ``(feature, outlier_count)`` for every column, largest first.
 
-    Two jobs for any number of columns: fences (A4), then one conditional
-    sum aggregate reading the fences as a scalar subquery.
+    Fences (A4), then one conditional sum aggregate over all columns.
     """
     fences = iqr_fences(df, cols, k, method)
-    s = stats_struct(fences, "feature", ["lower", "upper"], cols)
+    s = stats_literals(fences, "feature", ["lower", "upper"], cols)
     wide = df.agg(*[F.sum(outside_fences(c, s[c]["lower"], s[c]["upper"]).cast("int"))
                     .cast("bigint").alias(f"outlier_count__{c}") for c in cols])
     long = _stack(wide, cols, "feature", {"outlier_count": "bigint"})
@@ -116,7 +115,7 @@ def iqr_cap(df: DataFrame, cols: list[str], k: float = 1.5,
     column's fence uses only that column, so one pass equals the loop.
     """
     fences = iqr_fences(df, cols, k, method)
-    s = stats_struct(fences, "feature", ["lower", "upper"], cols)
+    s = stats_literals(fences, "feature", ["lower", "upper"], cols)
     capped = df.select(*[clip(c, s[c]["lower"], s[c]["upper"]).alias(c) if c in cols else F.col(c)
                          for c in df.columns])
     aggs = []
@@ -133,7 +132,7 @@ def iqr_cap(df: DataFrame, cols: list[str], k: float = 1.5,
 def iqr_drop(df: DataFrame, cols: list[str], k: float = 1.5, method: str = "exact") -> DataFrame:
     """Keep rows inside every fence (NULL cells are kept)."""
     fences = iqr_fences(df, cols, k, method)
-    s = stats_struct(fences, "feature", ["lower", "upper"], cols)
+    s = stats_literals(fences, "feature", ["lower", "upper"], cols)
     cond = F.lit(True)
     for c in cols:
         cond = cond & ~outside_fences(c, s[c]["lower"], s[c]["upper"])
@@ -150,7 +149,7 @@ def coverage_compare(df: DataFrame, cols: list[str], k: float = 1.5, method: str
     cap score's change relative to the drop score.
     """
     fences = iqr_fences(df, cols, k, method)
-    s = stats_struct(fences, "feature", ["lower", "upper"], cols)
+    s = stats_literals(fences, "feature", ["lower", "upper"], cols)
     inside = F.lit(True)
     for c in cols:
         inside = inside & ~outside_fences(c, s[c]["lower"], s[c]["upper"])
@@ -177,41 +176,55 @@ def coverage_compare(df: DataFrame, cols: list[str], k: float = 1.5, method: str
 def fit_quantile_cap(train: DataFrame, cols: list[str], p: float = 0.999,
                      method: str = "exact") -> DataFrame:
     """A9 fit: ``(feature, cap)`` = the p-quantile learned on ``train``."""
-    return quantiles(train, cols, [p], method).select("feature", F.col("q").alias("cap"))
+    rows = [(f, q) for f, _, q in quantiles(train, cols, [p], method).collect()]
+    return local_frame(train.sparkSession, rows, [("feature", "string"), ("cap", "double")])
 
 
 def apply_quantile_cap(df: DataFrame, caps: DataFrame, cols: list[str]) -> DataFrame:
     """A9 apply: upper-clip each column at its learned cap (train or test)."""
-    s = stats_struct(caps, "feature", ["cap"], cols)
+    s = stats_literals(caps, "feature", ["cap"], cols)
     return df.select(*[clip(c, hi=s[c]["cap"]).alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
 def median_impute(df: DataFrame, cols: list[str], method: str = "exact") -> DataFrame:
     """A10: fill NULL by the column's exact median."""
     med = quantiles(df, cols, [0.5], method).select("feature", F.col("q").alias("median"))
-    s = stats_struct(med, "feature", ["median"], cols)
+    s = stats_literals(med, "feature", ["median"], cols)
     return df.select(*[F.coalesce(F.col(c), s[c]["median"].cast(df.schema[c].dataType)).alias(c)
                        if c in cols else F.col(c) for c in df.columns])
 
 
 def zscore(df: DataFrame, col: str, name: str | None = None, eps: float = 1e-8) -> DataFrame:
     """``(x - mean) / (sample std + eps)`` with the frame's own stats."""
-    st = df.agg(F.struct(F.avg(col).alias("mu"), F.stddev_samp(col).alias("sd")).alias("s")).scalar()
-    z = (F.col(col) - st["mu"]) / (st["sd"] + F.lit(eps))
-    return df.withColumn(name or f"{col}_zscore", z)
+    return apply_zscore(df, col, fit_zscore(df, col), name, eps)
+
+
+def fit_zscore(train: DataFrame, col: str) -> DataFrame:
+    """A11 fit: ``(feature, mu, sd)``."""
+    mu, sd = train.agg(F.avg(col).cast("double"), F.stddev_samp(col).cast("double")).first()
+    return local_frame(train.sparkSession, [(col, mu, sd)], [("feature", "string"), ("mu", "double"), ("sd", "double")])
+
+
+def zscore_of(col: str, fitted: DataFrame, eps: float = 1e-8) -> Column:
+    s = stats_literals(fitted, "feature", ["mu", "sd"], [col])[col]
+    return (F.col(col) - s["mu"]) / (s["sd"] + F.lit(eps))
+
+
+def apply_zscore(df: DataFrame, col: str, fitted: DataFrame, name: str | None = None, eps: float = 1e-8) -> DataFrame:
+    """A11 apply, to the training frame or any other."""
+    return df.withColumn(name or f"{col}_zscore", zscore_of(col, fitted, eps))
 
 
 def fit_robust_scaler(train: DataFrame, cols: list[str], method: str = "exact") -> DataFrame:
     """A12 fit: ``(feature, median, iqr)``."""
-    q = quantiles(train, cols, [0.25, 0.5, 0.75], method)
-    return q.groupBy("feature").agg(
-        F.max(F.when(F.col("p") == 0.5, F.col("q"))).alias("median"),
-        (F.max(F.when(F.col("p") == 0.75, F.col("q"))) - F.max(F.when(F.col("p") == 0.25, F.col("q")))).alias("iqr"))
+    got = {(f, p): q for f, p, q in quantiles(train, cols, [0.25, 0.5, 0.75], method).collect()}
+    rows = [(c, got[c, 0.5], None if got[c, 0.5] is None else got[c, 0.75] - got[c, 0.25]) for c in dict.fromkeys(cols)]
+    return local_frame(train.sparkSession, rows, [("feature", "string"), ("median", "double"), ("iqr", "double")])
 
 
 def apply_robust_scaler(df: DataFrame, scaler: DataFrame, cols: list[str]) -> DataFrame:
     """A12 apply: ``(x - median) / iqr``; an IQR of 0 divides by 1."""
-    s = stats_struct(scaler, "feature", ["median", "iqr"], cols)
+    s = stats_literals(scaler, "feature", ["median", "iqr"], cols)
     def scaled(c):
         iqr = s[c]["iqr"]
         return ((F.col(c) - s[c]["median"]) / F.when(iqr == 0, F.lit(1.0)).otherwise(iqr)).alias(c)
@@ -257,12 +270,14 @@ def score_spread(df: DataFrame, metric: str, by: list[str] | None = None) -> Dat
 def boxplot_stats(df: DataFrame, cols: list[str], k: float = 1.5, method: str = "exact") -> DataFrame:
     """Five-number summary plus whiskers (extreme points inside the
     fences) and outlier count, one row per column."""
-    q = quantiles(df, cols, [0.25, 0.5, 0.75], method)
-    five = q.groupBy("feature").agg(*[F.max(F.when(F.col("p") == p, F.col("q"))).alias(n)
-                                     for p, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))])
-    five = five.select("*", (F.col("q1") - k * (F.col("q3") - F.col("q1"))).alias("lower"),
-                       (F.col("q3") + k * (F.col("q3") - F.col("q1"))).alias("upper"))
-    s = stats_struct(five, "feature", ["lower", "upper"], cols)
+    got = {(f, p): q for f, p, q in quantiles(df, cols, [0.25, 0.5, 0.75], method).collect()}
+    rows = []
+    for c in dict.fromkeys(cols):
+        q1, med, q3 = (got[c, p] for p in (0.25, 0.5, 0.75))
+        rows.append((c, q1, med, q3, q1 - k * (q3 - q1), q3 + k * (q3 - q1)) if q1 is not None else (c, *[None] * 5))
+    five = local_frame(df.sparkSession, rows, [("feature", "string"), *[
+        (n, "double") for n in ("q1", "median", "q3", "lower", "upper")]])
+    s = stats_literals(five, "feature", ["lower", "upper"], cols)
     aggs = []
     for c in cols:
         inside = (F.col(c) >= s[c]["lower"]) & (F.col(c) <= s[c]["upper"])
@@ -307,20 +322,18 @@ def dedupe(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def with_class_weight(df: DataFrame, y: str, name: str = "weight") -> DataFrame:
     """``neg/pos`` on positive rows, 1.0 elsewhere (ratio from A2)."""
-    cc = class_counts(df, y)
-    ratio = cc.select("neg_pos_ratio").scalar()
-    return df.withColumn(name, F.when(F.col(y) == 1, ratio).otherwise(F.lit(1.0)))
+    ratio = class_counts(df, y).select("neg_pos_ratio").first()[0]
+    return df.withColumn(name, F.when(F.col(y) == 1, F.lit(ratio).cast("double")).otherwise(F.lit(1.0)))
 
 
 def with_balanced_weight(df: DataFrame, y: str, name: str = "weight") -> DataFrame:
     """P20: ``n / (k * n_class)`` (the ``balanced`` rule).
 
-    Class counts come from a map-side combined ``groupBy`` (k rows), read
-    back as one scalar ``map<class, weight>``; no window over a whole class.
-    Rows without a label count in no class and get a NULL weight.
+    Class counts are map-side combined and written out (one row a class, any
+    number of classes), so the join sees their real size.  Rows without a
+    label count in no class and get a NULL weight.
     """
-    counts = df.where(F.col(y).isNotNull()).groupBy(y).agg(F.count(F.lit(1)).alias("n_c"))
-    tot = counts.agg(F.sum("n_c").alias("n"), F.count(F.lit(1)).alias("k"))
-    m = counts.agg(F.map_from_entries(F.collect_list(F.struct(F.col(y), F.col("n_c")))).alias("m")).scalar()
-    s = tot.select(F.struct("n", "k").alias("s")).scalar()
-    return df.withColumn(name, s["n"].cast("double") / (s["k"] * m[F.col(y)]))
+    counts = df.where(F.col(y).isNotNull()).groupBy(F.col(y).alias("_c")).agg(F.count(F.lit(1)).alias("_n")).checkpoint()
+    n, k = counts.agg(F.sum("_n"), F.count(F.lit(1))).first()
+    w = counts.select("_c", (F.lit(n).cast("double") / (F.lit(k) * F.col("_n"))).alias(name))
+    return df.drop(name).join(w, F.col(y) == F.col("_c"), "left").drop("_c")

@@ -127,9 +127,9 @@ def fraud_scoring_events(spark, sf):
     """The rare-event composition on ``events``: y = value above its p99,
     Amount = value, Time = second of day, V = (user_id, props length)."""
     ev = table(spark, sf, "events")
-    p99 = quantiles(ev, ["value"], [0.99]).select("q").scalar()
+    p99 = quantiles(ev, ["value"], [0.99]).first().q
     sec = (F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts")).cast("double")
-    base = ev.select(F.col("event_id").alias("row_id"), (F.col("value") > p99).cast("int").alias("y"),
+    base = ev.select(F.col("event_id").alias("row_id"), (F.col("value") > F.lit(p99)).cast("int").alias("y"),
                      F.col("value").alias("Amount"), sec.alias("Time"),
                      F.col("user_id").cast("double").alias("V1"), F.length("props").cast("double").alias("V2"),
                      "ts")

@@ -450,8 +450,8 @@ def t3_arg_best_lineitem(spark, sf):
           "SELECT event_id, round(value, 6) AS value FROM events, f WHERE value < f.value_lo OR value > f.value_hi")
 def f1_outside_fences_events(spark, sf):
     ev = table(spark, sf, "events")
-    fences = iqr_fences(ev, ["value"]).select(F.struct("lower", "upper")).scalar()
-    return round_doubles(ev.where(st.outside_fences("value", fences["lower"], fences["upper"]))
+    fences = iqr_fences(ev, ["value"]).first()
+    return round_doubles(ev.where(st.outside_fences("value", F.lit(fences.lower), F.lit(fences.upper)))
                          .select("event_id", "value"))
 
 

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.session import checkpoint_dir
+from riskframe.session import checkpoint_dir, materialise
 
 from riskframe.functions import features as fx
 from riskframe.operators import ensemble as en
@@ -50,6 +50,7 @@ def fraud_scoring(train: DataFrame, test: DataFrame, v_cols: list[str], amount:
     cols = [c for c in train.columns if c not in ("row_id", "y")]
     # Full-row duplicates removed from train only (ids differ, so compare content)
     train = train.groupBy("y", *cols).agg(F.min("row_id").alias("row_id"))     # the same row on every run
+    train = materialise(train, "fraud-train")   # read by every fit below
     caps = st.fit_quantile_cap(train, [amount], 0.999)
     train = st.apply_quantile_cap(train, caps, [amount])
     test = st.apply_quantile_cap(test, caps, [amount])
@@ -61,10 +62,10 @@ def fraud_scoring(train: DataFrame, test: DataFrame, v_cols: list[str], amount:
     train = st.apply_robust_scaler(train, scaler, scale_cols)
     test = st.apply_robust_scaler(test, scaler, scale_cols)
     train = st.with_class_weight(train, "y", "w")
-    # materialise both prepared frames once: every fold fit and test score
-    # below then reads them instead of replaying the fitted-stats jobs
-    train = rk.stratified_folds(train, "y", k, seed).checkpoint(eager=True)
-    test = test.checkpoint(eager=True)
+    # both prepared frames are written once: every fold fit and test score
+    # below reads them
+    train = materialise(rk.stratified_folds(train, "y", k, seed), "fraud-folds")
+    test = materialise(test, "fraud-test")
 
     gp = {"maxIter": 10, "maxDepth": 4, "stepSize": 0.2, "subsamplingRate": 0.8}
     gp.update(gbt_params or {})

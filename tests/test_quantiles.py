@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from riskframe.operators.prefix import prefix_sums
+from riskframe.operators import quantiles as Q
+from riskframe.operators.prefix import prefix_sums, row_positions
 from riskframe.operators.quantiles import iqr_fences, quantiles
 from riskframe.sources import driver_table
 
@@ -70,16 +71,48 @@ def test_prefix_sums_match_cumsum(spark):
     assert top.n_cum == top.n
 
 
-def test_exact_quantiles_run_no_merge_of_whole_columns(spark):
-    """One path at every size: no ``percentile`` aggregate, also on few rows,
-    and no job while the plan is built."""
+def test_a_fit_is_a_local_frame(spark):
+    """What is built on a fit holds numbers, not the plan of the fit."""
     df = spark.range(10).select(F.col("id").cast("double").alias("a"))
-    tracker = spark.sparkContext.statusTracker()
-    spark.sparkContext.setJobGroup("quantile-plan", "")
     q = quantiles(df, ["a"], [0.5])
-    assert not tracker.getJobIdsForGroup("quantile-plan")
     plan = q._jdf.queryExecution().optimizedPlan().toString()
-    assert "percentile(" not in plan
+    assert "LocalRelation" in plan and "Aggregate" not in plan
     assert q.first().q == 4.5
     with pytest.raises(ValueError):
         quantiles(df, ["a"], [0.5], "percentile")
+
+
+@pytest.mark.parametrize("leave, sketch", [(4_000_000, 2000), (50, 20), (1, 10)])
+def test_brackets_narrow_to_the_exact_rank(spark, monkeypatch, leave, sketch):
+    """Also with brackets so coarse that they must be cut again and again,
+    on ties that cannot be cut and on infinities."""
+    monkeypatch.setattr(Q, "LEAVE", leave)
+    monkeypatch.setattr(Q, "SKETCH", sketch)
+    rng = np.random.default_rng(3)
+    a, b = rng.normal(size=3000), rng.integers(0, 3, 3000).astype(float)
+    c = np.where(rng.random(3000) < 0.1, -np.inf, np.round(rng.exponential(size=3000), 2))
+    df = spark.createDataFrame(list(zip(a.tolist(), b.tolist(), c.tolist())), "a double, b double, c double").repartition(5)
+    probs = [0.0, 0.001, 0.3333, 0.5, 0.77, 0.999, 1.0]
+    got = {(r.feature, r.p): r.q for r in quantiles(df, ["a", "b", "c"], probs).collect()}
+    for name, v in (("a", a), ("b", b), ("c", c)):
+        for p in probs:
+            h = (len(v) - 1) * p
+            lo, hi = np.sort(v)[[math.floor(h), math.ceil(h)]]
+            assert got[name, p] == pytest.approx(lo + (hi - lo) * (h - math.floor(h)) if lo != hi else lo, rel=1e-12, nan_ok=True)
+
+
+def test_a_bracket_that_misses_its_rank_is_opened(spark):
+    df = spark.range(1000).select(F.col("id").cast("double").alias("a"))
+    got = Q._counted(df, [Q.Bracket("a", 10, 11, 500.0, 600.0), Q.Bracket("a", 990, 990, 1.0, 3.0)])
+    assert [(b.lo, b.hi, b.below, b.inside) for b in got] == [(None, 600.0, 0, 601), (1.0, None, 1, 999)]
+
+
+def test_row_positions(spark):
+    rows = [(i, ["a", "b", None][i % 3 if i % 2 else 0], (i * 7919) % 1000) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, g string, v int").repartition(4)
+    for n in (None, 1, 7):
+        got = row_positions(df, ["v", "id"], ["g"], buckets=n).collect()
+        for g in ("a", "b", None):
+            mine = sorted((r for r in got if r.g == g), key=lambda r: (r.v, r.id))
+            assert [r.position for r in mine] == list(range(len(mine)))
+    assert row_positions(df.limit(0), ["v"], ["g"]).count() == 0
