@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import lm_mixing, mixing, oracles, packing, quality_mil, quality_rules, secrets, simhash, token_counts, toxicity, vector_dedup
+from riskframe.llm import lm_mixing, mixing, oracles, packing, quality_mil, quality_rules, role_repair, secrets, simhash, token_counts, toxicity, vector_dedup
 from riskframe.llm.base import read_table, shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,9 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     trusted = read_table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
     return quality_rules.quality_rules(docs, trusted).drop("text")
+
+
+@register
+def op13_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return role_repair.repair_report(rows, role_repair.damage(rows))
