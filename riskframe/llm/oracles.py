@@ -63,3 +63,27 @@ SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(k, 0) AS n_access, coalesce(
        sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM docs LEFT JOIN found USING (rid)
 """
+
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = f"regexp_extract_all({_LOWERED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+DECONTAMINATE = f"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
+items AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS win, least(len(w), 10) AS size
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM items WHERE len(w) > 0)),
+words AS (SELECT rid, unnest(range(1, len(w) + 1)) AS pos, unnest(w) AS word FROM docs),
+runs AS (
+  SELECT rid, pos, size, string_agg(word, ' ') OVER (PARTITION BY rid, size ORDER BY pos
+           RANGE BETWEEN CURRENT ROW AND size - 1 FOLLOWING) AS win
+  FROM words, (SELECT DISTINCT size FROM windows)),
+hits AS (SELECT rid, pos, r.size, item_id FROM runs r JOIN windows v ON r.win = v.win AND r.size = v.size),
+hit_words AS (
+  SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(pos, pos + size)) AS p FROM hits) GROUP BY rid),
+ids AS (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS item FROM hits),
+hit_items AS (SELECT rid, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids FROM ids GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(i.n, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hit_words h USING (rid) LEFT JOIN hit_items i USING (rid)
+"""

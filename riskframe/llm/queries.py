@@ -13,11 +13,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import lm_mixing, mixing, oracles, packing, quality_mil, quality_rules, role_repair, secrets, simhash, token_counts, toxicity, vector_dedup
+from riskframe.llm import decontaminate, lm_mixing, mixing, oracles, packing, quality_mil, quality_rules, role_repair, secrets, simhash, token_counts, toxicity, vector_dedup
 from riskframe.llm.base import read_table, shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {"op1_mix_sources": oracles.MIX_SOURCES, "op3_secret_scan": oracles.SECRET_SCAN}
+ORACLE: dict[str, str] = {"op1_mix_sources": oracles.MIX_SOURCES, "op3_secret_scan": oracles.SECRET_SCAN,
+                          "op12_decontaminate": oracles.DECONTAMINATE}
 
 
 def register(fn):
@@ -84,6 +85,16 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(docs, trusted).drop("text")
 
 
+@register
+def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_contamination(docs, read_table(spark, sf_dir, "benchmark"), size=10)
+    return found.select("doc_id", "n_words", F.size("hits").cast("long").alias("n_hit"),
+                        F.size("items").cast("long").alias("n_items"),
+                        decontaminate.item_digest(F.col("items")).alias("items_sha256"),
+                        (F.size("hits") > 0).alias("contaminated"))
+
+
 @register
 def op13_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
