@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.llm import decontaminate, lm_mixing, mixing, oracles, packing, quality_mil, quality_rules, role_repair, secrets, simhash, token_counts, toxicity, vector_dedup
+from riskframe.llm import decontaminate, lm_mixing, mixing, oracles, packing, quality_mil, quality_rules, role_repair, secrets, simhash, token_counts, toxicity, vector_dedup, whitening
 from riskframe.llm.base import read_table, shared_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,6 +85,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(docs, trusted).drop("text")
 
 
+@register
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"), most=16, scale=64)
+
+
 @register
 def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
