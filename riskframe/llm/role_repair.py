@@ -336,7 +336,9 @@ def repair(rows: DataFrame, prices: Prices = Prices(), grammar=ROLES) -> tuple[D
              .agg(F.array_sort(F.collect_list(F.struct("pos", "sym", "n"))).alias("cells")))
     kind = placed.schema["conv_id"].dataType.simpleString()
     table = lr_table(grammar)
-    out = cells.select("conv_id", "block", "cells").repartition("conv_id").sortWithinPartitions("conv_id", "block")
+    # a number of tasks of its own: the blocks are few bytes, and Spark would fold them all in one
+    tasks = int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = cells.select("conv_id", "block", "cells").repartition(tasks, "conv_id").sortWithinPartitions("conv_id", "block")
     shape = _FOLDED.format(kind=kind)
     spark_schema = placed.sparkSession.createDataFrame([], shape).schema
     from pyspark.sql.pandas.types import to_arrow_schema
