@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -55,9 +56,56 @@ def unit_hash(*cols: Column, seed: int = 0) -> Column:
     return F.conv(F.substring(F.md5(key.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(2 ** 52))
 
 
+_FOLDER: list[str] = []
+
+
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared checkpoint folder."""
-    return f"{checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh path in the shared checkpoint folder, or in the folder of the
+    innermost ``scratch``."""
+    return f"{_FOLDER[-1] if _FOLDER else checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch(spark: SparkSession, label: str):
+    """Tables written within lie in one folder, which is deleted at the end:
+    what is kept must have been written elsewhere by then."""
+    folder = shared_path(spark, label)
+    _FOLDER.append(folder)
+    try:
+        yield folder
+    finally:
+        _FOLDER.remove(folder)
+        delete(spark, folder)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: Slots of a bitmap: at most 2^27 / 2^15 rows of 4 KB, 16 MB.
+SLOTS = 1 << 27
+
+
+def key_bits(keys: DataFrame, *cols: Column) -> DataFrame:
+    """``(bucket, bits)``: a bitmap of the keys' hash slots.  Its size is
+    bounded whatever the number of keys, so it may be broadcast; the more
+    keys, the more others share their slots."""
+    slot = F.pmod(F.xxhash64(*cols), F.lit(SLOTS)) + 1
+    bits = keys.select(F.bitmap_bucket_number(slot).alias("bucket"), F.bitmap_bit_position(slot).alias("at"))
+    return materialise(bits.groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits")), "key-bits")
+
+
+def may_hold(rows: DataFrame, bits: DataFrame, name: str, *cols: Column) -> DataFrame:
+    """``rows`` with ``name``: false if no key of the bitmap equals the row's.
+    Rows stay where they are, so a join need only move those of true."""
+    slot = F.pmod(F.xxhash64(*cols), F.lit(SLOTS)) + 1
+    at = F.bitmap_bit_position(slot).cast("int")
+    keyed = rows.withColumn("_bucket", F.bitmap_bucket_number(slot)).withColumn("_at", at)
+    found = keyed.join(F.broadcast(bits.select(F.col("bucket").alias("_bucket"), F.col("bits").alias("_bits"))), "_bucket", "left")
+    byte = F.conv(F.hex(F.substring("_bits", F.shiftright("_at", 3) + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.getbit(byte, F.col("_at") % 8) == 1
+    return found.withColumn(name, F.coalesce(hit, F.lit(False))).drop("_bucket", "_at", "_bits")
 
 
 def let(value: Column, body) -> Column:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from riskframe.llm.base import materialise, text_of
+from riskframe.llm.base import key_bits, materialise, may_hold, text_of
 
 
 @dataclass(frozen=True)
@@ -90,13 +90,28 @@ def current(rules: list[Rule]) -> Column:
 
 
 def update_ledger(docs: DataFrame, path: str, rules: list[Rule] = RULES, text_col: str = "text") -> None:
-    """Scan the unseen (blob, rule version) pairs of ``docs``; append them."""
+    """Scan the unseen (blob, rule version) pairs of ``docs``; append them.
+
+    Blobs that occur once and are new are scanned where their text lies.
+    Texts move only if their blob may have copies or be in the ledger, and of
+    these only the ones that may still miss a rule; bitmaps tell, and the
+    exact join decides."""
     spark = docs.sparkSession
+    text = text_of(text_col)
+    texts = docs.select(F.sha2(text, 256).alias("blob"), text.alias("_text"))
     seen = read_ledger(spark, path).where(current(rules)).groupBy("blob").agg(F.collect_set("kind").alias("_seen"))
+    blobs = texts.groupBy("blob").agg(F.count(F.lit(1)).alias("n")).join(seen, "blob", "left")
+    blobs = materialise(blobs, "secret-blobs")
+    moved = key_bits(blobs.where("n > 1 or _seen is not null"), F.col("blob"))
+    due = may_hold(blobs, moved, "_moved", F.col("blob")).where("_moved").where(
+        F.coalesce(F.size("_seen"), F.lit(0)) < len(rules))
+    due = materialise(due.select("blob", "_seen"), "secret-due")
+    texts = may_hold(texts, moved, "_moved", F.col("blob"))
+    texts = may_hold(texts, key_bits(due, F.col("blob")), "_due", F.col("blob"))
     # the first text stands for all copies of a blob; copies in one task meet before the shuffle
-    text = text_of(text_col)
-    blobs = docs.select(F.sha2(text, 256).alias("blob"), text.alias("_text")).dropDuplicates(["blob"])
-    todo = blobs.join(seen, "blob", "left").where(F.coalesce(F.size("_seen"), F.lit(0)) < len(rules))
+    joined = texts.where("_moved and _due").select("blob", "_text").dropDuplicates(["blob"]).join(due, "blob")
+    todo = (texts.where("not _moved").select("blob", "_text", F.lit(None).cast("array<string>").alias("_seen"))
+            .unionByName(joined.select("blob", "_text", "_seen")))
     rows = [F.when(F.coalesce(F.array_contains("_seen", r.kind), F.lit(False)), None).otherwise(
         F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), find_spans(F.col("_text"), r).alias("found")))
         for r in rules]
@@ -107,7 +122,8 @@ def update_ledger(docs: DataFrame, path: str, rules: list[Rule] = RULES, text_co
 
 def scan_secrets(docs: DataFrame, path: str, rules: list[Rule] = RULES, text_col: str = "text") -> DataFrame:
     """``docs`` with ``blob`` and ``findings``, an array of
-    ``struct<start, rank, kind, end>`` in the order of the contract."""
+    ``struct<start, rank, kind, end>`` in the order of the contract.  Only
+    texts whose blob may have findings are moved to join them."""
     docs = docs.drop("blob", "findings")
     update_ledger(docs, path, rules, text_col)
     rank = F.create_map(*[v for i, r in enumerate(rules) for v in (F.lit(r.kind), F.lit(i))])
@@ -117,10 +133,12 @@ def scan_secrets(docs: DataFrame, path: str, rules: list[Rule] = RULES, text_col
                 F.col("s.start").alias("start"), rank[F.col("kind")].alias("rank"), F.col("kind").alias("kind"),
                 F.col("s.end").alias("end")))).alias("findings")))
     hits = materialise(hits, "secret-hits")
-    paths = docs.withColumn("blob", F.sha2(text_of(text_col), 256))
-    out = paths.join(hits, "blob", "left")
     none = F.expr("array()").cast(hits.schema["findings"].dataType)
-    return out.select(*[F.col(c) for c in docs.columns], "blob", F.coalesce("findings", none).alias("findings"))
+    paths = may_hold(docs.withColumn("blob", F.sha2(text_of(text_col), 256)), key_bits(hits, F.col("blob")), "_hit", F.col("blob"))
+    own = [*[F.col(c) for c in docs.columns], F.col("blob")]
+    clean = paths.where("not _hit").select(*own, none.alias("findings"))
+    found = paths.where("_hit").join(hits, "blob", "left").select(*own, F.coalesce("findings", none).alias("findings"))
+    return clean.unionByName(found)
 
 
 def redact(text: Column, findings: Column, mark: str = "[SECRET]") -> Column:

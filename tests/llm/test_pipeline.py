@@ -5,6 +5,7 @@ from __future__ import annotations
 import collections
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from riskframe.llm.base import materialise
@@ -26,6 +27,20 @@ def test_columns_pass_through(stages):
     assert all(s.columns == stages[0].columns for s in stages[:-1])
 
 
+def test_columns_of_clashing_names_keep_their_values(spark, stages):
+    """Whatever operators call their own columns."""
+    names = ["blob", "findings", "copy", "shuffle_key", "n_words", "kept", "llr", "fingerprint", "component_id", "key", "comp",
+             "id", "sha", "stays", "_moved", "_hit", "_sha", "_bits", "_text", "_key", "size", "rate", "rid", "t", "_own1"]
+    docs = stages[0].limit(60)
+    mine = docs.select("*", *[F.concat(F.lit(n), "doc_id").alias(n) for n in names])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        mine = materialise(stage(spark, mine, SF), "test-clash")
+        rows = mine.collect()
+        assert mine.columns == [*docs.columns, *names] and rows
+        assert all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names)
+    assert corpus_pipeline.packing_stage(spark, mine, SF).count() >= len(rows)
+
+
 def test_dedup_keeps_one_of_each_group(stages):
     rows = {r.doc_id: r.text or "" for r in stages[1].collect()}
     fps = {i: slow_fingerprint(t) for i, t in rows.items()}
