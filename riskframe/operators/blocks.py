@@ -69,6 +69,30 @@ def cluster_sums(points: DataFrame, n_chunks: int) -> DataFrame:
     return parts.groupBy("id", "l", "cl").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
 
 
+def worst_ratios(clusters: DataFrame, n_chunks: int) -> DataFrame:
+    """``(id, r)``: for every cluster of ``clusters(id, x, s)`` the largest
+    ``(s + s') / distance`` to another one (0 if their centres coincide);
+    no row for a single cluster.  Blocks meet as in ``cluster_sums``."""
+    others = F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1)))
+    own = F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(n_chunks)).cast("int")
+    q = clusters.select("id", "x", "s", own.alias("_qc"), others.alias("_blk"))
+    c = clusters.select(F.col("id").alias("cid"), F.col("x").alias("cx"), F.col("s").alias("cs"),
+                        own.alias("_blk"), others.alias("_qc"))
+
+    def fn(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
+        if len(qpdf) == 0 or len(cpdf) == 0:
+            return pd.DataFrame({"id": [], "r": []})
+        Q, X = (np.array(v.tolist(), dtype=np.float64) for v in (qpdf["x"], cpdf["cx"]))
+        ids, out = cpdf["cid"].to_numpy(), []
+        for sl, D in distances(Q, X):
+            r = np.divide(qpdf["s"].to_numpy()[sl, None] + cpdf["cs"].to_numpy()[None, :], D, out=np.zeros_like(D), where=D > 0)
+            r[qpdf["id"].to_numpy()[sl, None] == ids[None, :]] = -1.0
+            out.append(r.max(axis=1))
+        return pd.DataFrame({"id": qpdf["id"], "r": np.concatenate(out)})
+    parts = q.groupBy("_qc", "_blk").cogroup(c.groupBy("_qc", "_blk")).applyInPandas(fn, f"id {id_type_of(clusters)}, r double")
+    return parts.where("r >= 0").groupBy("id").agg(F.max("r").alias("r"))
+
+
 def id_type_of(df: DataFrame) -> str:
     return df.schema["id"].dataType.simpleString()
 

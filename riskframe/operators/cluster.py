@@ -1,11 +1,15 @@
 """Embedding and density clustering: C1 (PCA), C3 (eps range join), C2
 (DBSCAN), A25 (silhouette), A26 (Davies-Bouldin).
 
-Points are ``(id, x array<double>)``.  DBSCAN and the range join work on a
-grid: cells of side ``eps / sqrt(d)`` have a diameter of at most ``eps``,
-so every point of a cell is within ``eps`` of every other.  That gives
-three shortcuts that keep the work linear in the data:
-
+Points are ``(id, x array<double>)`` of any dimension d.  DBSCAN and the
+range join work on cells of side ``eps / sqrt(d)``: their diameter is at most
+``eps``, so every point of a cell is within ``eps`` of every other.  Occupied
+cells find their neighbours through a coarse index on the (at most 3) widest
+dimensions and are then compared by the gap between their boxes in all d; no
+list of d-dimensional offsets is formed.  That keeps the work off point
+pairs:
+
+* equal points are one point with a weight;
 * a cell holding ``min_samples`` points makes all of them core, with no
   pair ever formed;
 * points of one cell are connected without pairs: a cluster is a graph
@@ -15,8 +19,7 @@ three shortcuts that keep the work linear in the data:
   cells for counting and borders; core points for links between cells).
 
 Connected components run as min-label propagation with pointer jumping on
-the cell graph; lineage is cut with ``checkpoint()`` into the session's
-``spark.checkpoint.dir`` every few rounds.
+the cell graph; each round's labels are written to ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
@@ -27,9 +30,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.operators.blocks import cluster_sums
-from riskframe.operators.prefix import prefix_sums
-from riskframe.session import checkpoint_dir
+from riskframe.operators.blocks import cluster_sums, worst_ratios
+from riskframe.operators.prefix import row_positions
+from riskframe.session import checkpoint_dir, materialise
 
 # ---- distances ---------------------------------------------------------------
 
@@ -71,80 +74,99 @@ def pca_embed(points: DataFrame, k: int, out: str = "x") -> DataFrame:
                        *[c for c in points.columns if c not in ("id", "x")])
 
 
-# ---- grid helpers ----------------------------------------------------------------
+# ---- cells ------------------------------------------------------------------------
+
+MARGIN = 1e-9       # floor() may round either way: boxes are taken this much wider
+INDEXED = 3         # dimensions of the coarse index, at most
+
+
+def _dim(points: DataFrame) -> int:
+    """The dimension, 0 of an empty frame."""
+    row = points.select(F.size("x").alias("d")).first()
+    return row.d if row else 0
+
+
+def _cell(x: Column, d: int, side: float) -> Column:
+    return F.array(*[F.floor(x[i] / F.lit(side)).cast("long") for i in range(d)])
+
 
-def _grid(points: DataFrame, d: int, side: float) -> DataFrame:
-    cells = [F.floor(F.col("x")[i] / F.lit(side)).cast("long").alias(f"_c{i}") for i in range(d)]
-    return points.select("*", *cells)
+def _gap2(a: Column, b: Column, d: int, side: float) -> Column:
+    """Squared distance of the nearest corners of two cells."""
+    steps = [F.greatest(F.abs(a[i] - b[i]) - 1, F.lit(0)) for i in range(d)]
+    return sum((s * s for s in steps), F.lit(0)) * F.lit(side * side)
 
 
-def _offsets(d: int, reach: int, side: float, eps: float) -> list[tuple[int, ...]]:
-    """Neighbour cell offsets whose nearest points can be within eps."""
-    out = []
-    for o in itertools.product(range(-reach, reach + 1), repeat=d):
-        if all(v == 0 for v in o):
-            continue
-        gap = side * math.sqrt(sum(max(abs(v) - 1, 0) ** 2 for v in o))
-        if gap <= eps:
-            out.append(o)
-    return out
+def _widest(cells: DataFrame, d: int) -> list[int]:
+    """The dimensions over which cells spread most."""
+    row = cells.agg(*[(F.max(F.col("f")[i]) - F.min(F.col("f")[i])).alias(str(i)) for i in range(d)]).first()
+    return sorted(range(d), key=lambda i: (-(row[i] or 0), i))[:INDEXED]
 
 
-def _cross_cell_pairs(a: DataFrame, b: DataFrame, d: int, offsets, eps: float) -> DataFrame:
-    """Pairs (a, b) from *different* neighbouring cells within ``eps``.
+def _cell_pairs(cells: DataFrame, d: int, eps: float, side: float) -> DataFrame:
+    """``(a_..., b_...)``: each unordered pair of different cells of
+    ``cells(f, ...)`` whose boxes come within ``eps``, once.
 
-    ``a`` is expanded over the neighbour offsets (a generator, bounded by
-    ``len(offsets)``) and equi-joined to ``b`` on the target cell."""
-    offs = F.array(*[F.array(*[F.lit(v) for v in o]) for o in offsets])
-    ax = a.select("*", F.explode(offs).alias("_o"))
-    tgt = [(F.col(f"_c{i}") + F.col("_o")[i]).alias(f"_t{i}") for i in range(d)]
-    ax = ax.select(*[F.col(c).alias(f"a_{c}") for c in a.columns], *tgt)
-    bx = b.select(*[F.col(c).alias(f"b_{c}") for c in b.columns])
-    cond = [ax[f"_t{i}"] == bx[f"b__c{i}"] for i in range(d)]
-    j = ax.join(bx, cond, "inner")
-    return j.where(euclid_d(F.col("a_x"), F.col("b_x"), d) <= F.lit(eps))
+    Cells that near differ by at most ``ceil(sqrt d) + 1`` steps in any
+    dimension, so by one step of an index that coarse; of the index's
+    neighbours the later half is probed."""
+    step = math.ceil(math.sqrt(d)) + 1
+    wide = _widest(cells, d)
+    at = [F.floor(F.col("f")[i] / F.lit(float(step))).cast("long") for i in wide]
+    ahead = [o for o in itertools.product((-1, 0, 1), repeat=len(wide)) if o >= (0,) * len(wide)]
+    offs = F.array(*[F.array(*[F.lit(v) for v in o]) for o in ahead])
+    probe = (cells.select("*", F.explode(offs).alias("_o"))
+             .select(*[F.col(c).alias(f"a_{c}") for c in cells.columns],
+                     F.array(*[q + F.col("_o")[k] for k, q in enumerate(at)]).alias("_q"),
+                     F.forall("_o", lambda v: v == 0).alias("_own")))
+    held = cells.select(*[F.col(c).alias(f"b_{c}") for c in cells.columns], F.array(*at).alias("_q"))
+    near = _gap2(F.col("a_f"), F.col("b_f"), d, side) <= F.lit(eps * eps * (1 + MARGIN))
+    return probe.join(held, "_q").where((~F.col("_own") | (F.col("a_f") < F.col("b_f"))) & near).drop("_q", "_own")
+
+
+def _swapped(pairs: DataFrame) -> DataFrame:
+    """The pairs in both orders."""
+    turn = {c: ("b" if c[0] == "a" else "a") + c[1:] for c in pairs.columns}
+    return pairs.unionByName(pairs.select(*[F.col(c).alias(t) for c, t in turn.items()]))
+
+
+def _side(eps: float, d: int) -> float:
+    return eps / math.sqrt(d) * (1 - MARGIN)
 
 
 # ---- C3 -------------------------------------------------------------------------
 
 def neighbour_pairs(points: DataFrame, eps: float, include_self: bool = False) -> DataFrame:
     """Every unordered pair ``(id_a < id_b)`` within ``eps``, with its
-    distance.  Output-sensitive: same-cell pairs are all inside eps by
-    construction (cells of side eps/sqrt(d)); other candidates come from an
-    equi-join on neighbouring cells."""
-    d = len(points.select("x").first()["x"])
-    side = eps / math.sqrt(d) * (1 - 1e-9)
-    reach = math.ceil(math.sqrt(d)) + 1
-    g = _grid(points, d, side)
-    keys = [f"_c{i}" for i in range(d)]
-    same = (g.alias("p").join(g.alias("q"), keys)
-            .where(F.col("p.id") < F.col("q.id"))
-            .select(F.col("p.id").alias("id_a"), F.col("q.id").alias("id_b"),
-                    euclid_d(F.col("p.x"), F.col("q.x"), d).alias("dist")))
-    cross = _cross_cell_pairs(g, g, d, _offsets(d, reach, side, eps), eps).where(F.col("a_id") < F.col("b_id"))
-    cross = cross.select(F.col("a_id").alias("id_a"), F.col("b_id").alias("id_b"),
-                         euclid_d(F.col("a_x"), F.col("b_x"), d).alias("dist"))
-    out = same.unionByName(cross)
-    if include_self:
-        out = out.unionByName(points.select(F.col("id").alias("id_a"), F.col("id").alias("id_b"), F.lit(0.0).alias("dist")))
-    return out
+    distance.  Output-sensitive: points of a cell are all within eps; other
+    candidates come from neighbouring occupied cells.  The joins are plain
+    equi-joins on cells, which AQE splits where a cell is hot."""
+    d = _dim(points)
+    none = points.select(F.col("id").alias("id_a"), F.col("id").alias("id_b"), F.lit(0.0).alias("dist"))
+    if d == 0:
+        return none.limit(0)
+    side = _side(eps, d)
+    g = points.select("id", "x", _cell(F.col("x"), d, side).alias("f"))
+    pairs = _cell_pairs(g.select("f").distinct(), d, eps, side)
+    pa, pb = (g.select(F.col("f").alias(f"{k}_f"), F.col("id").alias(f"{k}_id"), F.col("x").alias(f"{k}_x")) for k in "ab")
+    dist = euclid_d(F.col("a_x"), F.col("b_x"), d)
+    same = pa.join(pb, F.col("a_f") == F.col("b_f")).where(F.col("a_id") < F.col("b_id"))
+    cross = pairs.join(pa, "a_f").join(pb, "b_f").where(dist <= F.lit(eps))
+    out = [j.select(F.least("a_id", "b_id").alias("id_a"), F.greatest("a_id", "b_id").alias("id_b"), dist.alias("dist"))
+           for j in (same, cross)]
+    return out[0].unionByName(out[1]).unionByName(none) if include_self else out[0].unionByName(out[1])
 
 
 # ---- C2 -------------------------------------------------------------------------
 
-def _components(edges: DataFrame, verts: DataFrame, max_iter: int = 200) -> DataFrame:
+def _components(edges: DataFrame, verts: DataFrame) -> DataFrame:
     """Min-label connected components: root hooking plus pointer jumping.
 
     ``verts``: ``(v)``; ``edges``: ``(src, dst)`` both directions.  Returns
     ``(v, comp)`` with ``comp`` = smallest vertex id of the component.
-    Edges are checkpointed once and labels every round (reliable
-    checkpoints in ``spark.checkpoint.dir``), so each round reads two
-    small tables instead of replaying the pair join; one ``count`` per
-    round is the only driver interaction."""
-    spark = verts.sparkSession
-    checkpoint_dir(spark)
-    e = edges.select("src", "dst").checkpoint(eager=True)
-    lab = verts.select("v", F.col("v").alias("comp")).checkpoint(eager=True)
+    Labels only fall, so rounds end by themselves.  Edges are written once
+    and labels every round; one row count per round reaches the driver."""
+    e = materialise(edges.select("src", "dst"), "component-edges")
+    lab = materialise(verts.select("v", F.col("v").alias("comp")), "component-labels")
 
     def jump(df: DataFrame) -> DataFrame:
         # comp(v) <- comp(comp(v))
@@ -152,66 +174,47 @@ def _components(edges: DataFrame, verts: DataFrame, max_iter: int = 200) -> Data
         return (df.join(p, df["comp"] == p["_pv"], "left")
                 .select("v", F.least("comp", F.coalesce("_pc", "comp")).alias("comp"), "_old"))
 
-    for _ in range(max_iter):
+    while True:
         # hook: the smallest neighbouring label goes to the vertex AND to the
         # vertex its current label points to (root hooking), so whole trees
         # merge per round: O(log n) rounds instead of O(diameter)
         nb = e.join(lab.withColumnRenamed("v", "dst"), "dst").groupBy("src").agg(F.min("comp").alias("m"))
         cand = lab.join(nb.withColumnRenamed("src", "v"), "v").where(F.col("m") < F.col("comp"))
-        upd = (cand.select(F.col("v").alias("t"), "m").unionByName(cand.select(F.col("comp").alias("t"), "m"))
-               .groupBy("t").agg(F.min("m").alias("mm")))
+        upd = (cand.select(F.explode(F.array("v", "comp")).alias("t"), "m").groupBy("t").agg(F.min("m").alias("mm")))
         hooked = (lab.join(upd.withColumnRenamed("t", "v"), "v", "left")
                   .select("v", F.least("comp", F.coalesce("mm", "comp")).alias("comp"), F.col("comp").alias("_old")))
-        nxt = jump(jump(hooked)).checkpoint(eager=True)
-        # convergence read from the checkpoint itself (no join with the previous round)
-        changed = nxt.where(F.col("comp") != F.col("_old")).limit(1).count()
+        nxt = materialise(jump(jump(hooked)), "component-labels")
         lab = nxt.drop("_old")
-        if changed == 0:
+        if not nxt.where(F.col("comp") != F.col("_old")).limit(1).count():
             return lab
-    raise RuntimeError("connected components did not converge")
-
-
-def _subcell_links(core: DataFrame, todo: DataFrame, d: int, side: float, sub_m: int,
-                   eps: float) -> DataFrame:
-    """Links between pairs of large core cells via sub-cell certificates."""
-    # phase 2b: sub-cell certificates for pairs of large cells.  Each core cell is summarised by its
-    # occupied sub-cells (side/m; at most m^d per cell, however dense).  A
-    # sub-cell pair whose farthest corners are within eps certifies a link;
-    # point pairs are compared only inside "ambiguous" sub-cell pairs (nearest
-    # corners within eps, farthest not).  Margins of 1e-9 keep it exact
-    # against floor() rounding.
-    sub = side / sub_m
-    big_cells = todo.select(F.col("src").alias("v")).unionByName(todo.select(F.col("dst").alias("v"))).distinct()
-    subc = (core.join(big_cells, "v", "left_semi")
-            .select("v", "id", "x", *[F.floor(F.col("x")[i] / F.lit(sub)).cast("long").alias(f"_s{i}")
-                                      for i in range(d)]))
-    occ = subc.select("v", *[f"_s{i}" for i in range(d)]).distinct()
-    oa = occ.select(F.col("v").alias("src"), *[F.col(f"_s{i}").alias(f"a{i}") for i in range(d)])
-    ob = occ.select(F.col("v").alias("dst"), *[F.col(f"_s{i}").alias(f"b{i}") for i in range(d)])
-    sp = todo.join(oa, "src").join(ob, "dst")
-    delta = [F.abs(F.col(f"a{i}") - F.col(f"b{i}")) for i in range(d)]
-    far = F.sqrt(sum(((dl + 1) * sub) * ((dl + 1) * sub) for dl in delta))
-    gap = [F.greatest(dl - 1, F.lit(0)) * sub for dl in delta]
-    near_d = F.sqrt(sum((g * g for g in gap), F.lit(0.0)))
-    sp = sp.select("src", "dst", *[f"a{i}" for i in range(d)], *[f"b{i}" for i in range(d)],
-                   (far <= eps * (1 - 1e-9)).alias("_sure"), (near_d <= eps * (1 + 1e-9)).alias("_maybe"))
-    sure = sp.where("_sure").select("src", "dst").distinct()
-    amb = (sp.where(~F.col("_sure") & F.col("_maybe")).select("src", "dst", *[f"a{i}" for i in range(d)],
-                                                               *[f"b{i}" for i in range(d)])
-           .join(sure, ["src", "dst"], "left_anti"))
-    pa = subc.select(F.col("v").alias("src"), *[F.col(f"_s{i}").alias(f"a{i}") for i in range(d)],
-                     F.col("x").alias("a_x"))
-    pb = subc.select(F.col("v").alias("dst"), *[F.col(f"_s{i}").alias(f"b{i}") for i in range(d)],
-                     F.col("x").alias("b_x"))
-    link2 = (amb.join(pa, ["src", *[f"a{i}" for i in range(d)]])
-             .join(pb, ["dst", *[f"b{i}" for i in range(d)]])
-             .where(euclid_d(F.col("a_x"), F.col("b_x"), d) <= F.lit(eps))
-             .select("src", "dst").distinct())
-    return sure.unionByName(link2)
-
-
-def dbscan(points: DataFrame, eps: float, min_samples: int, max_iter: int = 200,
-           reps: int = 16, sub_m: int = 4) -> DataFrame:
+
+
+def _core_links(core: DataFrame, pairs: DataFrame, d: int, side: float, eps: float, parts: int) -> DataFrame:
+    """``(src, dst)``: pairs of core cells with two core points within eps.
+
+    Every core cell is summarised by its occupied parts (sides of the cell
+    cut by ``parts``), each with one of its points.  Two such points within
+    eps make a link.  For cell pairs without one, points are compared only
+    between parts whose boxes come within eps and that hold other points."""
+    sub = side / parts
+    inner = core.select("v", "f", "id", "x", _cell(F.col("x"), d, sub).alias("p"))
+    summary = inner.groupBy("v", "f", "p").agg(F.min_by("x", "id").alias("x"), F.count(F.lit(1)).alias("n"))
+    a, b = (summary.select(*[F.col(c).alias(f"{k}_{c}") for c in summary.columns]) for k in "ab")
+    met = pairs.select("a_f", "b_f").join(a, "a_f").join(b, "b_f")
+    near = _gap2(F.col("a_p"), F.col("b_p"), d, sub) <= F.lit(eps * eps * (1 + MARGIN))
+    sure = euclid_d(F.col("a_x"), F.col("b_x"), d) <= F.lit(eps)
+    met = met.select("a_v", "b_v", "a_p", "b_p", sure.alias("sure"), (near & (F.col("a_n") + F.col("b_n") > 2)).alias("open"))
+    met = materialise(met.where("sure or open"), "dbscan-parts")
+    linked = met.where("sure").select("a_v", "b_v").distinct()
+    left = met.where("not sure").join(linked, ["a_v", "b_v"], "left_anti")
+    pa, pb = (inner.select(F.col("v").alias(f"{k}_v"), F.col("p").alias(f"{k}_p"), F.col("x").alias(f"{k}_x")) for k in "ab")
+    more = (left.join(pa, ["a_v", "a_p"]).join(pb, ["b_v", "b_p"]).where(euclid_d(F.col("a_x"), F.col("b_x"), d) <= F.lit(eps))
+            .select("a_v", "b_v").distinct())
+    links = linked.unionByName(more)
+    return links.select(F.col("a_v").alias("src"), F.col("b_v").alias("dst"))
+
+
+def dbscan(points: DataFrame, eps: float, min_samples: int, parts: int = 4) -> DataFrame:
     """``(id, cluster)``; ``-1`` = noise.
 
     Core: at least ``min_samples`` points within ``eps``, the point itself
@@ -220,93 +223,53 @@ def dbscan(points: DataFrame, eps: float, min_samples: int, max_iter: int = 200,
     its core neighbours (deterministic).  Cluster ids are renumbered
     0, 1, ... by each cluster's smallest core id.
     """
-    checkpoint_dir(points.sparkSession)
-    d = len(points.select("x").first()["x"])
-    side = eps / math.sqrt(d) * (1 - 1e-9)
-    reach = math.ceil(math.sqrt(d)) + 1
-    offsets = _offsets(d, reach, side, eps)
-    keys = [f"_c{i}" for i in range(d)]
-
-    g = _grid(points, d, side)
-    cells = g.groupBy(*keys).agg(F.count(F.lit(1)).alias("_cnt"), F.min("id").alias("_rep"))
-    g = g.join(cells, keys)  # each point knows its cell size and representative
-    dense = F.col("_cnt") >= min_samples
-
-    # degrees for points of sparse cells: own cell (all within eps) + checked
-    # neighbours in other cells.  Sparse cells hold < min_samples points, so
-    # these pairs are bounded by (min_samples - 1) x neighbourhood size.
-    sparse = g.where(~dense)
-    sp_pairs = _cross_cell_pairs(sparse, g, d, offsets, eps)
-    sp_deg = sp_pairs.groupBy(F.col("a_id").alias("id")).agg(F.count(F.lit(1)).alias("_nb"))
-    pts = (g.join(sp_deg, "id", "left")
-           .withColumn("_core", dense | ((F.col("_cnt") + F.coalesce("_nb", F.lit(0))) >= min_samples)))
-    pts = pts.checkpoint(eager=True)
-
-    core = pts.where("_core")
-    # core cells: vertex = smallest core id in the cell
-    vrep = core.groupBy(*keys).agg(F.min("id").alias("v"))
-    core = core.join(vrep, keys)
-    # links between core cells, in two exact phases.  A link needs ONE core
-    # pair within eps, so phase 1 tries a bounded, hash-chosen handful of
-    # representatives per cell (about `reps` per cell, no window); phase 2
-    # compares all core points only for neighbouring core-cell pairs that
-    # phase 1 left unlinked.  Two dense cells of one cluster (a hot cell
-    # included) are then linked with ~reps^2 checks instead of |A| x |B|.
-    core = core.checkpoint(eager=True)
-    stride = F.greatest(F.lit(1), F.ceil(F.col("_cnt") / F.lit(float(reps))))
-    sample = core.where(F.pmod(F.xxhash64(F.lit(17), F.col("id")), stride) == 0)
-    link1 = (_cross_cell_pairs(sample, sample, d, offsets, eps).where(F.col("a_v") < F.col("b_v"))
-             .select(F.col("a_v").alias("src"), F.col("b_v").alias("dst")).distinct()
-             .checkpoint(eager=True))   # read by several branches below
-    cells_v = core.select(*keys, "v").distinct()
-    offs = F.array(*[F.array(*[F.lit(x) for x in o]) for o in offsets])
-    near = (cells_v.select("*", F.explode(offs).alias("_o"))
-            .select(F.col("v").alias("src"), *[(F.col(f"_c{i}") + F.col("_o")[i]).alias(f"_c{i}") for i in range(d)])
-            .join(cells_v.withColumnRenamed("v", "dst"), keys).where(F.col("src") < F.col("dst"))
-            .select("src", "dst"))
-    todo = near.join(link1, ["src", "dst"], "left_anti")
-    # phase 2a: pairs of small cells (product of core counts at most
-    # (m^d)^2) are compared point by point - cheaper than summarising them.
-    vcnt = core.groupBy("v").agg(F.count(F.lit(1)).alias("_n"))
-    sized = (todo.join(vcnt.withColumnRenamed("v", "src").withColumnRenamed("_n", "_na"), "src")
-             .join(vcnt.withColumnRenamed("v", "dst").withColumnRenamed("_n", "_nb"), "dst")
-             .checkpoint(eager=True))   # small (cell pairs), read by several branches
-    small_lim = float(sub_m ** d) ** 2
-    small = sized.where(F.col("_na") * F.col("_nb") <= small_lim).select("src", "dst")
-    todo = sized.where(F.col("_na") * F.col("_nb") > small_lim).select("src", "dst")
-    qa = core.select(F.col("v").alias("src"), F.col("x").alias("a_x"))
-    qb = core.select(F.col("v").alias("dst"), F.col("x").alias("b_x"))
-    link_small = (small.join(qa, "src").join(qb, "dst")
-                  .where(euclid_d(F.col("a_x"), F.col("b_x"), d) <= F.lit(eps))
-                  .select("src", "dst").distinct())
-    # phase 2b only when some unlinked pair of large cells exists (the
-    # checkpointed pair table makes this check cheap)
-    if todo.limit(1).count() == 0:
-        link2 = link_small
-    else:
-        link2 = _subcell_links(core, todo, d, side, sub_m, eps).unionByName(link_small)
-    edges = link1.unionByName(link2).distinct()
-    edges = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    comp = _components(edges, vrep.select("v"), max_iter)
-
-    core_lab = core.join(comp, "v").select("id", "comp")
-    # border points: non-core points (only in sparse cells) next to a core point
-    noncore = pts.where(~F.col("_core"))
-    same_cell = (noncore.select("id", *keys).join(core.select(*keys, "v"), keys)
-                 .select("id", "v"))
-    cross = (sp_pairs.join(core.select(F.col("id").alias("b_id"), F.col("v").alias("bv")), "b_id")
-             .join(noncore.select(F.col("id").alias("a_id")), "a_id")
-             .select(F.col("a_id").alias("id"), F.col("bv").alias("v")))
-    border = (same_cell.unionByName(cross).join(comp, "v")
+    d = _dim(points)
+    if d == 0:
+        return points.select("id", F.lit(-1).alias("cluster"))
+    side = _side(eps, d)
+    one = points.groupBy("x").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("w"))
+    one = materialise(one.withColumn("f", _cell(F.col("x"), d, side)), "dbscan-points")
+    cells = one.groupBy("f").agg(F.sum("w").alias("n")).withColumn("dense", F.col("n") >= min_samples)
+    cells = materialise(cells, "dbscan-cells")
+    pairs = materialise(_cell_pairs(cells.select("f", "dense"), d, eps, side), "dbscan-pairs")
+
+    # a point of a sparse cell counts its own cell and, in neighbouring ones,
+    # the points within eps: how many for a dense cell, which ones for a
+    # sparse cell, as borders need to know which of those are core
+    at = one.join(cells, "f")
+    sparse = at.where(~F.col("dense"))
+    both = _swapped(pairs).where(~F.col("a_dense"))
+    a = sparse.select(F.col("f").alias("a_f"), F.col("id").alias("a_id"), F.col("x").alias("a_x"))
+    b = one.select(F.col("f").alias("b_f"), F.col("id").alias("b_id"), F.col("x").alias("b_x"), F.col("w").alias("b_w"))
+    met = both.join(a, "a_f").join(b, "b_f").where(euclid_d(F.col("a_x"), F.col("b_x"), d) <= F.lit(eps))
+    met = met.groupBy("a_id", "b_f", F.when(~F.col("b_dense"), F.col("b_id")).alias("b_id")).agg(F.sum("b_w").alias("n"))
+    met = materialise(met, "dbscan-near")
+    degree = met.groupBy(F.col("a_id").alias("id")).agg(F.sum("n").alias("k"))
+    is_core = F.col("dense") | (F.col("n") + F.coalesce("k", F.lit(0)) >= min_samples)
+    pts = materialise(at.join(degree, "id", "left").select("id", "x", "f", is_core.alias("core")), "dbscan-core")
+
+    core = pts.where("core")
+    vertex = core.groupBy("f").agg(F.min("id").alias("v"))
+    core = core.join(vertex, "f")
+    links = _core_links(core, pairs, d, side, eps, parts)
+    edges = links.unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    comp = _components(edges, vertex.select("v"))
+
+    of_cell = vertex.join(comp, "v").select("f", "comp")
+    rest = pts.where("not core").select("id", "f")
+    near = met.join(rest.select(F.col("id").alias("a_id")), "a_id", "left_semi")
+    # every point of a dense cell is core
+    by_cell = near.where("b_id is null").select(F.col("a_id").alias("id"), F.col("b_f").alias("f"))
+    by_point = (near.where("b_id is not null").join(core.select(F.col("id").alias("b_id")), "b_id", "left_semi")
+                .select(F.col("a_id").alias("id"), F.col("b_f").alias("f")))
+    border = (rest.unionByName(by_cell).unionByName(by_point).join(of_cell, "f")
               .groupBy("id").agg(F.min("comp").alias("comp")))
-    labelled = core_lab.unionByName(border)
+    labelled = core.join(of_cell, "f").select("id", "comp").unionByName(border)
 
-    # renumber clusters 0.. by smallest core id (bucketed rank, no global window)
-    comps = comp.select("comp").distinct().withColumn("_one", F.lit(1))
-    ranks = prefix_sums(comps, "comp", ["_one"]).select("comp", (F.col("_one_cum") - 1).cast("int").alias("cluster"))
-    out = (points.select("id").join(labelled.join(ranks, "comp"), "id", "left")
-           .select("id", F.coalesce("cluster", F.lit(-1)).cast("int").alias("cluster")))
-    return out
+    # renumber clusters 0.. by smallest core id
+    ranks = row_positions(comp.select("comp").distinct(), ["comp"], name="cluster")
+    named = one.join(labelled.join(ranks, "comp").select("id", "cluster"), "id").select("x", "cluster")
+    return points.select("id", "x").join(named, "x", "left").select("id", F.coalesce("cluster", F.lit(-1)).cast("int").alias("cluster"))
 
 
 # ---- A25 / A26 ----------------------------------------------------------------------
@@ -349,27 +312,23 @@ def silhouette(points: DataFrame, labels: DataFrame, sample_size: int | None = N
     return out if sample_size is None else out.withColumn("share", F.lit(n / total if total else 1.0))
 
 
-CENTROID_LIMIT = 1_000_000  # clusters x dims shipped as one array
+CENTROID_BLOCK = 1024       # centroids of a block
 
 
 def davies_bouldin(points: DataFrame, labels: DataFrame, label: str = "cluster") -> DataFrame:
     """Mean over clusters of ``max_j (s_i + s_j) / d(c_i, c_j)``, all
     non-noise points; ``s_i`` = mean distance to the centroid.
 
-    Centroids and spreads are one row per cluster (k rows).  The k x k step
-    reads all centroids as a scalar-subquery array, after checking that
-    ``k * d`` is within ``CENTROID_LIMIT``."""
+    Centroids and spreads are one row per cluster.  Blocks of at most about
+    ``CENTROID_BLOCK`` centroids meet pairwise, each pair a task that keeps
+    one maximum a cluster: any number of clusters, quadratic work, bounded
+    memory."""
     j = points.join(labels.select("id", F.col(label).alias("_l")), "id").where(F.col("_l") != -1)
-    d = len(j.select("x").first()["x"])
-    cent = j.groupBy("_l").agg(F.array(*[F.avg(F.col("x")[i]) for i in range(d)]).alias("c"))
-    k = cent.count()
-    if k * d > CENTROID_LIMIT:
-        raise ValueError(f"{k} clusters x {d} dims exceed the centroid array bound {CENTROID_LIMIT}")
+    d = _dim(j)
+    mean = [F.avg(F.col("x")[i]) for i in range(d)] or [F.lit(0.0)]
+    cent = materialise(j.groupBy("_l").agg(F.array(*mean).alias("c")), "centroids")
     spread = (j.join(cent, "_l").groupBy("_l").agg(F.avg(euclid(F.col("x"), F.col("c"))).alias("s")))
-    cs = cent.join(spread, "_l")
-    allc = cs.agg(F.collect_list(F.struct("_l", "c", "s")).alias("a")).select("a").scalar()
-    per = cs.withColumn("_a", allc)
-    ratios = F.transform(F.filter(F.col("_a"), lambda e: e["_l"] != F.col("_l")),
-                         lambda e: F.coalesce(F.try_divide(F.col("s") + e["s"], euclid(F.col("c"), e["c"])), F.lit(0.0)))
-    return per.select(F.array_max(ratios).alias("r")).agg(
+    cs = materialise(cent.join(spread, "_l").select(F.col("_l").alias("id"), F.col("c").alias("x"), "s"), "centroids")
+    ratios = worst_ratios(cs, max(1, -(-cs.count() // CENTROID_BLOCK)))
+    return cs.select("id").join(ratios, "id", "left").agg(
         F.avg("r").alias("davies_bouldin"), F.count(F.lit(1)).alias("n_clusters"))

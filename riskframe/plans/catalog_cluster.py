@@ -79,6 +79,34 @@ def emb_points(spark, sf):
     return cl.as_points(em, "vec_id", array_col="embedding"), em.select(F.col("vec_id").alias("id"), F.col("label").alias("cluster"))
 
 
+def folded_points(spark, sf):
+    """``embeddings`` in 7 dimensions: every coordinate added to that of its
+    position modulo 7."""
+    v = F.transform(F.col("embedding"), lambda c: c.cast("double"))
+    at = lambda k: lambda c, i: F.pmod(i, F.lit(7)) == k
+    sums = [F.aggregate(F.filter(v, at(k)), F.lit(0.0), lambda a, c: a + c) for k in range(7)]
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.array(*sums).alias("x"))
+
+
+_FOLDED_SQL = "pts AS (SELECT vec_id AS id, " + ", ".join(
+    f"list_sum([embedding[i]::DOUBLE FOR i IN range({k + 1}, len(embedding) + 1, 7)]) AS x{k}" for k in range(7)) + " FROM embeddings)"
+_DIST7 = "sqrt(" + " + ".join(f"(a.x{k} - b.x{k}) * (a.x{k} - b.x{k})" for k in range(7)) + ")"
+DBSCAN7_SQL = (f"WITH RECURSIVE {_FOLDED_SQL}, nb AS (SELECT a.id AS a, b.id AS b FROM pts a JOIN pts b ON {_DIST7} <= 0.45),\n"
+               + DBSCAN_SQL[DBSCAN_SQL.index("  core AS"):])
+
+
+@register("c2_dbscan_7d_embeddings", DBSCAN7_SQL + " SELECT id, cluster FROM res")
+def c2_dbscan_7d_embeddings(spark, sf):
+    return cl.dbscan(folded_points(spark, sf), 0.45, MIN_SAMPLES)
+
+
+@register("c3_neighbour_pairs_7d_embeddings",
+          f"WITH {_FOLDED_SQL} SELECT a.id AS id_a, b.id AS id_b, round({_DIST7}, 6) AS dist "
+          f"FROM pts a JOIN pts b ON a.id < b.id AND {_DIST7} <= 0.45")
+def c3_neighbour_pairs_7d_embeddings(spark, sf):
+    return round_doubles(cl.neighbour_pairs(folded_points(spark, sf), 0.45))
+
+
 @register("a25_silhouette_embeddings",
           f"""WITH {EMB_SQL},
               d AS (SELECT a.id, a.label AS la, b.label AS lb, list_distance(a.x, b.x) AS dist FROM e a JOIN e b ON a.id <> b.id),

@@ -39,13 +39,13 @@ def _points(spark, X):
     return spark.createDataFrame(rows, "id long, x array<double>")
 
 
-@pytest.mark.parametrize("d", [2, 3])
+@pytest.mark.parametrize("d", [1, 2, 3, 7])
 def test_dbscan_matches_bruteforce(spark, d):
     rng = np.random.default_rng(3 + d)
     centers = rng.uniform(-3, 3, size=(4, d))
     X = np.vstack([c + rng.normal(0, 0.25, size=(60, d)) for c in centers] + [rng.uniform(-4, 4, size=(40, d))])
     X = np.vstack([X, X[:5]])  # exact duplicates fall in one cell
-    eps, ms = 0.35, 4
+    eps, ms = (0.35 if d < 7 else 0.7), 4
     got = {r.id: r.cluster for r in cl.dbscan(_points(spark, X), eps, ms).collect()}
     exp = _np_dbscan(X, eps, ms)
     assert [got[i] for i in range(len(X))] == list(exp)
@@ -130,7 +130,7 @@ def test_dbscan_hot_cell_matches_bruteforce(spark):
     noise = rng.uniform(-3, 3, size=(600, 2))
     X = np.vstack([hot, near, far, chain, noise])
     eps, ms = 0.15, 4
-    got = {r.id: r.cluster for r in cl.dbscan(_points(spark, X), eps, ms, reps=4).collect()}
+    got = {r.id: r.cluster for r in cl.dbscan(_points(spark, X), eps, ms).collect()}
     assert [got[i] for i in range(len(X))] == list(_np_dbscan(X, eps, ms))
 
 
@@ -141,5 +141,42 @@ def test_dbscan_subcell_path_matches_bruteforce(spark):
     X = np.vstack([rng.normal(c, 0.08, size=(250, 2)) for c in ([0, 0], [0.5, 0.1], [3, 3])]
                   + [rng.uniform(-2, 5, size=(150, 2))])
     eps, ms = 0.1, 5
-    got = {r.id: r.cluster for r in cl.dbscan(_points(spark, X), eps, ms, reps=1, sub_m=2).collect()}
+    got = {r.id: r.cluster for r in cl.dbscan(_points(spark, X), eps, ms, parts=2).collect()}
     assert [got[i] for i in range(len(X))] == list(_np_dbscan(X, eps, ms))
+
+
+def test_dbscan_of_hot_copies_and_of_nothing(spark):
+    """Copies of one point are one point with a weight; in 7 dimensions too."""
+    rng = np.random.default_rng(2)
+    X = np.vstack([np.tile(rng.normal(size=7), (150, 1)), np.tile(rng.normal(size=7), (2, 1)), rng.normal(0, 0.4, size=(150, 7))])
+    X[200:203] = X[0] + [[0.1] * 7, [0.25] * 7, [5.0] * 7]
+    for eps, ms in ((0.5, 3), (0.9, 4)):
+        got = {r.id: r.cluster for r in cl.dbscan(_points(spark, X), eps, ms).collect()}
+        assert [got[i] for i in range(len(X))] == list(_np_dbscan(X, eps, ms))
+    none = _points(spark, X[:1]).limit(0)
+    assert cl.dbscan(none, 0.5, 3).collect() == [] and cl.neighbour_pairs(none, 0.5).collect() == []
+
+
+def test_neighbour_pairs_in_seven_dimensions(spark):
+    rng = np.random.default_rng(5)
+    X = np.vstack([rng.normal(0, 0.3, size=(200, 7)), np.zeros((30, 7))])
+    got = {(r.id_a, r.id_b): r.dist for r in cl.neighbour_pairs(_points(spark, X), 0.6).collect()}
+    D = np.sqrt(((X[:, None, :] - X[None, :, :]) ** 2).sum(-1))
+    assert set(got) == {(i, j) for i in range(len(X)) for j in range(i + 1, len(X)) if D[i, j] <= 0.6}
+    assert all(abs(v - D[k]) < 1e-9 for k, v in got.items())
+
+
+def test_davies_bouldin_over_blocks_of_centroids(spark, monkeypatch):
+    """As many clusters as there are, in any number of blocks."""
+    rng = np.random.default_rng(6)
+    X, lab = rng.normal(size=(600, 3)), np.repeat(np.arange(150), 4)
+    labels = spark.createDataFrame([(i, int(c)) for i, c in enumerate(lab)], "id long, cluster int")
+    cent = X.reshape(150, 4, 3).mean(axis=1)
+    spread = np.sqrt(((X.reshape(150, 4, 3) - cent[:, None]) ** 2).sum(-1)).mean(axis=1)
+    D = np.sqrt(((cent[:, None] - cent[None]) ** 2).sum(-1))
+    np.fill_diagonal(D, np.inf)
+    want = ((spread[:, None] + spread[None]) / D).max(axis=1).mean()
+    for block in (1024, 20):
+        monkeypatch.setattr(cl, "CENTROID_BLOCK", block)
+        r = cl.davies_bouldin(_points(spark, X), labels).first()
+        assert r.davies_bouldin == pytest.approx(want) and r.n_clusters == 150
