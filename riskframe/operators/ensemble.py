@@ -2,9 +2,8 @@
 
 Scores are long ``(row_id, model, y, score)``.  Blends that only combine a
 row's own scores are a ``groupBy(row_id)`` (or a plain expression on a
-wide frame); the weight search evaluates a bounded candidate grid in one
-job: each (pre-aggregated) score tuple is expanded over the grid with a
-generator, never a join.
+wide frame); the weight search blends each distinct score tuple for all
+candidates where it lies, and ships sorted slices of scores as arrays.
 """
 
 from __future__ import annotations
@@ -14,9 +13,12 @@ import itertools
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from riskframe.operators.metrics import ranking_metrics
+from riskframe.operators.quantiles import local_frame
 from riskframe.operators.rank import average_rank
+from riskframe.session import materialise
 
 
 def stack_scores(wide: DataFrame, models: dict[str, str], keep: list[str] | None = None) -> DataFrame:
@@ -116,44 +118,93 @@ def line_grid(n: int) -> list[tuple[float, float]]:
     return [(float(w), float(1.0 - w)) for w in np.linspace(0.0, 1.0, n)]
 
 
+#: Scores of a candidate that one task of the second step ranks, about.
+SLICE_ROWS = 1 << 18
+#: Rows of the sample whose blends bound the slices.
+BOUND_ROWS = 20_000
+#: Cells (rows x candidates) of a step.
+CELLS = 1 << 21
+
+
 def weight_search(wide: DataFrame, cols: list[str], candidates: list[tuple[float, ...]],
                   y: str = "y") -> DataFrame:
     """E5: ROC-AUC of ``sum_i w_i * s_i`` for every candidate weight vector,
-    ``(candidate, weights array<double>, roc_auc)``.
-
-    Rows are first reduced to distinct ``(y, s_1..s_k)`` tuples with counts
-    (ties collapse before the candidate expansion, and the expansion runs
-    on the shuffled, evenly partitioned tuples), then expanded over the
-    literal candidate list by a generator; AUC is computed per candidate
-    from the blended-score histogram.
-    """
-    tuples = wide.groupBy(y, *cols).agg(F.count(F.lit(1)).alias("_n"))
-    cand = F.array(*[F.struct(F.lit(i).alias("candidate"),
-                              F.array(*[F.lit(float(w)) for w in ws]).alias("weights"))
-                     for i, ws in enumerate(candidates)])
-    exp = tuples.select(y, "_n", *cols, F.explode(cand).alias("_c"))
-    blend = None
-    for i, c in enumerate(cols):
-        term = F.col("_c.weights")[i] * F.col(c)
-        blend = term if blend is None else blend + term
-    long = exp.select(F.col("_c.candidate").alias("candidate"), blend.alias("score"),
-                      (F.col(y) * F.col("_n")).alias("_pos"), ((1 - F.col(y)) * F.col("_n")).alias("_neg"))
-    # histogram with multiplicities: pos/neg per (candidate, score)
-    hist = long.groupBy("candidate", "score").agg(F.sum("_pos").alias("pos"), F.sum("_neg").alias("neg"))
-    auc = _auc_from_hist(hist, ["candidate"])
-    wlist = F.array(*[F.array(*[F.lit(float(w)) for w in ws]) for ws in candidates])
+    ``(candidate, weights array<double>, roc_auc)``, exact with ties.
+
+    Rows are first reduced to distinct ``(y, s_1..s_k)`` tuples with counts:
+    the only shuffle of rows, whatever the number of candidates.  Each task
+    then blends its tuples for all candidates, sorts, and ships one row a
+    (candidate, score slice) that holds the slice's distinct scores and
+    counts as arrays.  A slice is ranked in one task; the AUC adds up from
+    slices and the counts below them.  Slices are bounded by a sample of
+    blends, which only balances them; equal scores of a batch are one entry,
+    so a hot score does not fill a slice.  Rows without a score or label are
+    skipped."""
+    import pandas as pd
+    import pyarrow as pa
+    weights = np.array([list(w) for w in candidates], dtype=np.float64).reshape(len(candidates), len(cols))
+    ok = F.col(y).isNotNull()
+    for c in cols:
+        ok = ok & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    src = wide.where(ok).select(F.col(y).cast("int").alias("y"), *[F.col(c).cast("double").alias(f"s{i}") for i, c in enumerate(cols)])
+    scores = [f"s{i}" for i in range(len(cols))]
+    tuples = materialise(src.groupBy("y", *scores).agg(F.count(F.lit(1)).alias("n")), "score-tuples")
+    n = tuples.count()
+    n_slices = max(1, -(-n // SLICE_ROWS))
+    bounds = None
+    if n_slices > 1:
+        some = tuples.sample(min(1.0, BOUND_ROWS / n), seed=7).select(*scores).limit(2 * BOUND_ROWS).collect()
+        some = np.array([tuple(r) for r in some], dtype=np.float64).reshape(len(some), len(cols))
+        at = [k / n_slices for k in range(1, n_slices)]
+        bounds = [np.quantile(_blend(some, w), at, method="nearest") for w in weights]
+
+    def blends(batches):
+        step = max(1, CELLS // max(1, len(weights)))
+        for b in batches:
+            for lo in range(0, b.num_rows, step):
+                part = b.slice(lo, step)
+                pos = part.column(0).to_numpy() * part.column(len(cols) + 1).to_numpy()
+                neg = part.column(len(cols) + 1).to_numpy() - pos
+                s = np.stack([part.column(i + 1).to_numpy() for i in range(len(cols))], axis=1)
+                out = []
+                for c, w in enumerate(weights):
+                    v, of = np.unique(_blend(s, w), return_inverse=True)
+                    p, q = (np.bincount(of, weights=x, minlength=len(v)).astype(np.int64) for x in (pos, neg))
+                    cut = [0, *np.searchsorted(v, bounds[c], "right"), len(v)] if bounds else [0, len(v)]
+                    out += [(c, j, v[a:z].tobytes(), p[a:z].tobytes(), q[a:z].tobytes())
+                            for j, (a, z) in enumerate(zip(cut, cut[1:])) if z > a]
+                kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)],
+                                                 names=["candidate", "slice", "v", "p", "q"])
+
+    def rank(pdf: pd.DataFrame) -> pd.DataFrame:
+        v, p, q = (np.frombuffer(b"".join(pdf[c]), dtype=k) for c, k in (("v", np.float64), ("p", np.int64), ("q", np.int64)))
+        _, of = np.unique(v, return_inverse=True)
+        p, q = (np.bincount(of, weights=x).astype(np.int64) for x in (p, q))
+        below = np.cumsum(q) - q
+        return pd.DataFrame({"candidate": pdf["candidate"].iloc[:1], "slice": pdf["slice"].iloc[:1], "pos": [p.sum()],
+                             "neg": [q.sum()], "inner": [float((p * (below + q / 2.0)).sum())]})
+    parts = tuples.select("y", *scores, "n").mapInArrow(blends, "candidate int, slice int, v binary, p binary, q binary")
+    ranked = parts.groupBy("candidate", "slice").applyInPandas(rank, "candidate int, slice int, pos long, neg long, inner double")
+    # one row a (candidate, slice) from here on
+    before = Window.partitionBy("candidate").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    below = F.coalesce(F.sum("neg").over(before), F.lit(0))
+    auc = (ranked.select("candidate", "pos", "neg", (F.col("inner") + F.col("pos") * below).alias("a")).groupBy("candidate")
+           .agg(F.try_divide(F.sum("a"), F.sum("pos").cast("double") * F.sum("neg")).alias("roc_auc")))
     # a draw whose weights are all zero scores 0 (it defines no blend)
-    zero = F.array(*[F.lit(sum(abs(w) for w in ws) == 0) for ws in candidates])
-    return auc.select("candidate", wlist[F.col("candidate")].alias("weights"),
-                      F.when(zero[F.col("candidate")], F.lit(0.0)).otherwise(F.col("roc_auc")).alias("roc_auc"))
-
-
-def _auc_from_hist(hist: DataFrame, by: list[str]) -> DataFrame:
-    from riskframe.operators.prefix import prefix_sums
-    cum = prefix_sums(hist, "score", ["pos", "neg"], by=by)
-    term = F.col("pos") * (F.col("neg_cum") - F.col("neg") + F.col("neg") / 2.0)
-    agg = cum.groupBy(*by).agg(F.sum(term).alias("_a"), F.max("pos_tot").alias("P"), F.max("neg_tot").alias("N"))
-    return agg.select(*by, F.try_divide(F.col("_a"), F.col("P") * F.col("N")).alias("roc_auc"))
+    table = local_frame(wide.sparkSession, [(i, *map(float, w), 0 if any(w) else 1) for i, w in enumerate(candidates)],
+                        [("candidate", "int"), *[(f"w{i}", "double") for i in range(len(cols))], ("zero", "int")])
+    return table.join(auc, "candidate").select(
+        "candidate", F.array(*[f"w{i}" for i in range(len(cols))]).alias("weights"),
+        F.when(F.col("zero") == 1, F.lit(0.0)).otherwise(F.col("roc_auc")).alias("roc_auc"))
+
+
+def _blend(s: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """``w_1 s_1 + w_2 s_2 + ...``, added in that order."""
+    out = w[0] * s[:, 0]
+    for i in range(1, len(w)):
+        out = out + w[i] * s[:, i]
+    return out
 
 
 def best_candidate(search: DataFrame) -> DataFrame:

@@ -342,8 +342,8 @@ def e4_weighted_rank_blend_lineitem(spark, sf):
 E5_GRID = en.simplex_grid(3, 4)
 
 
-def _e5_sql() -> str:
-    cands = ", ".join(f"({i}, {w[0]!r}::DOUBLE, {w[1]!r}::DOUBLE, {w[2]!r}::DOUBLE)" for i, w in enumerate(E5_GRID))
+def _e5_sql(grid=None) -> str:
+    cands = ", ".join(f"({i}, {w[0]!r}::DOUBLE, {w[1]!r}::DOUBLE, {w[2]!r}::DOUBLE)" for i, w in enumerate(grid or E5_GRID))
     return f"""WITH {WIDE_SQL}, c(candidate, w1, w2, w3) AS (VALUES {cands}),
       b AS (SELECT c.candidate, w.y, c.w1 * w.s_price + c.w2 * w.s_discount + c.w3 * w.s_quantity AS score FROM w, c),
       r AS (SELECT candidate, y, rank() OVER (PARTITION BY candidate ORDER BY score) AS rk,
@@ -367,6 +367,17 @@ def e5_best_weights_lineitem(spark, sf):
     return en.best_candidate(search)
 
 
+#: As many draws as the rank blends are searched with.
+E5_DRAWS = en.sequential_simplex(500, seed=42)
+
+
+@register("e5_best_of_500_draws_lineitem",
+          f"WITH x AS ({_e5_sql(E5_DRAWS)}) SELECT arg_min(candidate, (-roc_auc, candidate)) AS candidate, "
+          "arg_min(weights, (-roc_auc, candidate)) AS weights, max(roc_auc) AS roc_auc FROM x")
+def e5_best_of_500_draws_lineitem(spark, sf):
+    return en.best_candidate(round_doubles(en.weight_search(wide_scores(spark, sf), list(MODELS.values()), E5_DRAWS)))
+
+
 @register("e6_pick_method_lineitem",
           f"""WITH {LONG_SQL},
               r AS (SELECT row_id, y, model, (rank() OVER (PARTITION BY model ORDER BY score)

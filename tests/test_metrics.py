@@ -156,3 +156,24 @@ def test_confusion_missing_scores_predict_negative(spark):
     s = spark.createDataFrame(rows, "row_id long, model string, y int, score double")
     c = mt.confusion(s, 0.5).first()
     assert (c.tn, c.fp, c.fn, c.tp) == (1, 0, 1, 1)
+
+
+def test_weight_search_over_many_slices(spark, monkeypatch):
+    """Exact whatever the slices and batches are, with a hot score and with
+    rows that have no score."""
+    rng = np.random.default_rng(3)
+    a, b, y = rng.random(3000), np.round(rng.random(3000), 1), rng.integers(0, 2, 3000)
+    a[:1000] = 0.5
+    b[:1000] = 0.5
+    rows = [(int(i), int(t), float(u), float(v)) for i, (t, u, v) in enumerate(zip(y, a, b))]
+    wide = spark.createDataFrame([*rows, (9000, 1, None, 0.1), (9001, None, 0.9, 0.1)], "row_id long, y int, a double, b double")
+    cand = [(0.3, 0.7), (1.0, 0.0), (0.0, 0.0), (0.9, 0.1)]
+    for size, cells in ((1 << 18, 1 << 21), (100, 300)):
+        monkeypatch.setattr(en, "SLICE_ROWS", size)
+        monkeypatch.setattr(en, "CELLS", cells)
+        got = {r.candidate: r.roc_auc for r in en.weight_search(wide, ["a", "b"], cand).collect()}
+        for i, (u, v) in enumerate(cand):
+            s = u * a + v * b
+            pos, neg = s[y == 1], s[y == 0]
+            want = ((pos[:, None] > neg[None]).sum() + (pos[:, None] == neg[None]).sum() / 2) / (len(pos) * len(neg))
+            assert got[i] == pytest.approx(want if u or v else 0.0, abs=1e-12)
