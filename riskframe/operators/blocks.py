@@ -18,13 +18,6 @@ def _chunks(n: int, step: int):
         yield slice(i, min(i + step, n))
 
 
-def pairwise(Q: np.ndarray, X: np.ndarray, step: int = 256):
-    """Yield (slice, distances[q, m]) by direct differences (chunked)."""
-    for sl in _chunks(len(Q), step):
-        diff = Q[sl, None, :] - X[None, :, :]
-        yield sl, np.sqrt(np.einsum("qmd,qmd->qm", diff, diff))
-
-
 def distances(Q: np.ndarray, X: np.ndarray, step: int = 256):
     """Yield (slice, distances[q, m]) by products; near pairs, whose product
     form would cancel, by direct differences."""
@@ -97,46 +90,59 @@ def id_type_of(df: DataFrame) -> str:
     return df.schema["id"].dataType.simpleString()
 
 
-__all__ = ["topk_cogroup", "cluster_sums", "id_type_of", "F"]
-
-
-def topk_cogroup(query: DataFrame, candidates: DataFrame, k: int, exclude_self: bool,
-                 n_query_chunks: int, n_blocks: int, id_type: str) -> DataFrame:
-    """Exact per-block top-k as a distributed block-nested-loop join.
-
-    Query rows are hashed into ``n_query_chunks`` chunks and candidates into
-    ``n_blocks`` blocks; every candidate block is replicated to each query
-    chunk (a generator, no join) and each ``(chunk, block)`` group — one
-    bounded query chunk and one bounded candidate block — is scored with
-    numpy in ``cogroup(...).applyInPandas``.  Nothing passes through the
-    driver.  Returns one row per (query point, block)."""
-    q = query.select("id", "x", F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(n_query_chunks)).alias("_qc"),
-                     F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("_blk"))
-    c = candidates.select(F.col("id").alias("cid"), F.col("x").alias("cx"),
-                          F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(n_blocks)).alias("_blk"),
-                          F.explode(F.sequence(F.lit(0), F.lit(n_query_chunks - 1))).alias("_qc"))
-
+def nearest(Q: np.ndarray, X: np.ndarray, k: int, within: np.ndarray):
+    """``(query, candidate, distance)`` of the ``k`` nearest rows of ``X`` to
+    each row of ``Q``, at most ``within[query]`` away, by (distance, row).
+    Products find them up to rounding, direct differences decide."""
+    xx = np.einsum("md,md->m", X, X)
+    k = min(k, len(X))
+    out = []
+    for sl in _chunks(len(Q), max(1, (1 << 22) // max(1, len(X)))):
+        q = Q[sl]
+        both = np.einsum("qd,qd->q", q, q)[:, None] + xx[None, :]
+        d2 = both - 2 * (q @ X.T)
+        slack = 1e-9 * both
+        most = np.minimum(np.partition(d2 + slack, k - 1, axis=1)[:, k - 1], within[sl] ** 2 * (1 + 1e-9))
+        i, j = np.nonzero(d2 - slack <= most[:, None])
+        dist = np.empty(len(i))
+        for at in _chunks(len(i), 1 << 16):
+            diff = q[i[at]] - X[j[at]]
+            dist[at] = np.sqrt(np.einsum("nd,nd->n", diff, diff))
+        order = np.lexsort((j, dist, i))
+        i, j, dist = i[order], j[order], dist[order]
+        first = np.searchsorted(i, np.arange(len(q)))
+        keep = (np.arange(len(i)) - first[i] < k) & (dist <= within[sl][i])
+        out.append((i[keep] + sl.start, j[keep], dist[keep]))
+    return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+
+
+def pivot_distances(X: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.sqrt(((X[sl, None, :] - pivots[None]) ** 2).sum(-1))
+                           for sl in _chunks(len(X), max(1, (1 << 20) // max(1, pivots.size)))] or [np.zeros((0, len(pivots)))])
+
+
+def topk_cogroup(query: DataFrame, candidates: DataFrame, keys: list[str], k: int, id_type: str) -> DataFrame:
+    """Per group of ``keys`` the ``k`` nearest of ``candidates(keys, cx,
+    ids)`` within ``within`` of each row of ``query(keys, x, within)``:
+    ``(x, kth, nn array<struct<dist, ids>>)``, ``kth`` the distance of the
+    k-th (infinite if there are fewer).  Groups are bounded blocks; their
+    candidates go in the order of their first id, so that decides ties."""
     def fn(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
         if len(qpdf) == 0:
-            return pd.DataFrame({"id": [], "nn": []})
-        Q = np.array(qpdf["x"].tolist(), dtype=np.float64)
-        X = np.array(cpdf["cx"].tolist(), dtype=np.float64) if len(cpdf) else np.zeros((0, Q.shape[1]))
-        ids = cpdf["cid"].to_numpy(dtype=object)
-        qids = qpdf["id"].to_numpy(dtype=object)
-        out = []
-        for sl, D in pairwise(Q, X):
-            for r, d in enumerate(D):
-                if exclude_self and len(ids):
-                    d = np.where(ids == qids[sl][r], np.inf, d)
-                kk = min(k, len(d))
-                if kk == 0:
-                    out.append([])
-                    continue
-                idx = np.argpartition(d, kk - 1)[:kk] if kk < len(d) else np.arange(len(d))
-                idx = np.where(d <= d[idx].max())[0]
-                cand = sorted((float(d[j]), ids[j]) for j in idx if np.isfinite(d[j]))[:k]
-                out.append([{"dist": a, "nid": b} for a, b in cand])
-        return pd.DataFrame({"id": qids, "nn": out})
-
-    schema = f"id {id_type}, nn array<struct<dist: double, nid: {id_type}>>"
-    return q.groupBy("_qc", "_blk").cogroup(c.groupBy("_qc", "_blk")).applyInPandas(fn, schema)
+            none = pd.Series([], dtype=object)
+            return pd.DataFrame({"x": none, "kth": pd.Series([], dtype=float), "nn": none})
+        kth, nn = np.full(len(qpdf), np.inf), [[] for _ in range(len(qpdf))]
+        if len(cpdf):
+            ids = cpdf["ids"].to_numpy()
+            order = sorted(range(len(ids)), key=lambda i: ids[i][0])
+            Q, X = (np.array(v.tolist(), dtype=np.float64) for v in (qpdf["x"], cpdf["cx"].iloc[order]))
+            i, j, dist = nearest(Q, X, k, qpdf["within"].to_numpy(dtype=np.float64))
+            n = np.bincount(i, minlength=len(Q))
+            at = np.cumsum(n) - n
+            full = n == k
+            kth[full] = dist[at[full] + k - 1]
+            rows = [{"dist": float(d), "ids": list(ids[order[c]])} for c, d in zip(j, dist)]
+            nn = [rows[a:a + m] for a, m in zip(at, n)]
+        return pd.DataFrame({"x": qpdf["x"], "kth": kth, "nn": nn})
+    return query.groupBy(*keys).cogroup(candidates.groupBy(*keys)).applyInPandas(
+        fn, f"x array<double>, kth double, nn array<struct<dist: double, ids: array<{id_type}>>>")

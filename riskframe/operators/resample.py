@@ -1,24 +1,93 @@
-"""Resampling: exact k-nearest neighbours (blocked), R1 SMOTE, R2 Tomek links.
-
-kNN never materialises pair rows.  It runs at every size as a distributed
-block-nested-loop join (bounded query chunk x bounded candidate block per
-group, ``cogroup.applyInPandas``) whose per-block top-k lists are merged
-with one ``groupBy(id)``.  The work is exact and quadratic in the number
-of candidates (inherent to exact kNN in many dimensions); memory per task
-is bounded by ``block_size``.
+"""Resampling: exact k-nearest neighbours by pivots, R1 SMOTE, R2 Tomek links.
+
+kNN never materialises pair rows.  Points are dealt to the nearest of some
+pivots (Voronoi cells), large cells into blocks.  Every point first searches
+the block it lies in, which bounds the distance of its k-th neighbour; by the
+triangle inequality only cells that the bound reaches can hold nearer ones,
+and only to those is it copied.  The search is exact in any dimension; how
+far the bound prunes depends on the data, and in many dimensions it may reach
+most cells.  Memory per task is bounded by ``block_size``.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.operators.blocks import id_type_of, topk_cogroup
-from riskframe.operators.prefix import prefix_sums
+from riskframe.operators.blocks import id_type_of, pivot_distances, topk_cogroup
+from riskframe.operators.prefix import row_positions
+from riskframe.session import materialise
 
 BLOCK_SIZE = 4_096
+#: Pivots at most: a matrix of so many points goes to every task.
+PIVOTS = 512
+
+
+def _with_cell(points: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """``points`` with the nearest pivot's number and distance."""
+    schema = points.select("*", F.lit(0).alias("cell"), F.lit(0.0).alias("away")).schema
+    at = points.columns.index("x")
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                d = pivot_distances(_matrix(b.column(at)), pivots)
+                cell = d.argmin(axis=1)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell.astype(np.int32)), pa.array(d.min(axis=1))],
+                                                 names=[*b.schema.names, "cell", "away"])
+    return points.mapInArrow(run, schema)
+
+
+def _matrix(column) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _reached(found: DataFrame, pivots: np.ndarray, radius: dict[int, float], blocks: dict[int, int]) -> DataFrame:
+    """``(x, within, cell, block)``: the blocks, but the own one, that can
+    hold a point nearer than ``kth``.  A point of cell j is at least
+    ``d(q, p_j) - radius_j`` away, and at least half of what p_j is farther
+    than the own pivot."""
+    r = np.array([radius.get(j, -np.inf) for j in range(len(pivots))])
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, own, block, kth = (b.column(i) for i in range(4))
+            d = pivot_distances(_matrix(x), pivots)
+            home = d[np.arange(len(d)), own.to_numpy()]
+            least = np.maximum(d - r[None], (d - home[:, None]) / 2)
+            row, cell = np.nonzero(least <= kth.to_numpy()[:, None] * (1 + 1e-9))
+            n = np.array([blocks.get(int(c), 0) for c in cell], dtype=np.int64)
+            row, cell = np.repeat(row, n), np.repeat(cell, n)
+            part = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            other = (cell != own.to_numpy()[row]) | (part != block.to_numpy()[row])
+            row = pa.array(row[other])
+            yield pa.RecordBatch.from_arrays([x.take(row), kth.take(row), pa.array(cell[other].astype(np.int32)),
+                                              pa.array(part[other].astype(np.int32))], names=["x", "within", "cell", "block"])
+    return found.select("x", "cell", "block", "kth").mapInArrow(run, "x array<double>, within double, cell int, block int")
+
+
+def _number(of: dict[int, int]) -> Column:
+    """The number that ``of`` has for the row's cell (at most one a pivot)."""
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(v) for kv in of.items() for v in kv]), F.col("cell")), F.lit(1)) \
+        if of else F.lit(1)
+
+
+def _counts(df: DataFrame) -> dict[int, int]:
+    return {r.cell: r.n for r in df.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+
+def _met(query: DataFrame, cand: DataFrame, chunks: dict[int, int], k: int, itype: str) -> DataFrame:
+    """``topk_cogroup`` over blocks, their queries dealt into bounded chunks."""
+    n = _number(chunks)
+    q = query.withColumn("chunk", F.pmod(F.xxhash64(F.lit(5), "x"), n).cast("int"))
+    c = cand.withColumn("chunk", F.explode(F.sequence(F.lit(0), n - 1)))
+    return topk_cogroup(q, c, ["cell", "block", "chunk"], k, itype)
 
 
 def knn(query: DataFrame, candidates: DataFrame, k: int, exclude_self: bool = True,
@@ -28,22 +97,49 @@ def knn(query: DataFrame, candidates: DataFrame, k: int, exclude_self: bool = Tr
     ``query``/``candidates``: ``(id, x array<double>)``.  Returns ``(id, nn
     array<struct<dist double, nid>>)`` sorted by distance, ties by id.
 
-    A distributed block-nested-loop join (query chunks x candidate blocks,
-    each group bounded), the per-block top-k lists merged with one
-    ``groupBy``; nothing passes through the driver."""
-    itype = id_type_of(query)
-    blocks = max(1, math.ceil(candidates.count() / block_size))
-    chunks = max(1, math.ceil(query.count() / query_chunk))
-    parts = topk_cogroup(query, candidates, k, exclude_self, chunks, blocks, itype)
-    merged = parts.groupBy("id").agg(F.flatten(F.collect_list("nn")).alias("nn"))
-    return merged.select("id", F.slice(F.array_sort("nn"), 1, k).alias("nn"))
+    Equal points are searched once, and stand for their ``k + 1`` smallest
+    ids: no more of them can be among anyone's neighbours."""
+    itype, most = id_type_of(candidates), k + 1
+    first = row_positions(candidates.select("id", "x"), ["id"], ["x"], "_p").where(F.col("_p") < most)
+    cand = materialise(first.groupBy("x").agg(F.sort_array(F.collect_list("id")).alias("ids")), "knn-candidates")
+    n = cand.count()
+    if n == 0:
+        none = F.expr("array()").cast(f"array<struct<dist:double,nid:{itype}>>")
+        return query.select("id", none.alias("nn"))
+    some = cand.orderBy(F.xxhash64("x"), "x").limit(min(PIVOTS, math.ceil(n / block_size))).select("x").collect()
+    pivots = np.array([r.x for r in some], dtype=np.float64)
+    cand = materialise(_with_cell(cand, pivots), "knn-candidates")
+    asked = materialise(_with_cell(query.select("x").distinct(), pivots), "knn-queries")
+    stats = cand.groupBy("cell").agg(F.max("away").alias("r"), F.count(F.lit(1)).alias("n")).collect()
+    radius, blocks = {s.cell: s.r for s in stats}, {s.cell: math.ceil(s.n / block_size) for s in stats}
+    block = F.pmod(F.xxhash64(F.lit(3), "x"), _number(blocks)).cast("int").alias("block")
+    held = cand.select("cell", block, F.col("x").alias("cx"), "ids")
+
+    own = asked.select("x", "cell", block, F.lit(float("inf")).alias("within"))
+    chunks = {c: math.ceil(m / (blocks[c] * query_chunk)) for c, m in _counts(asked).items()}
+    near = _met(own, held, chunks, most, itype)
+    near = materialise(near, "knn-own")
+    reached = _reached(own.drop("within").join(near.select("x", "kth"), "x"), pivots, radius, blocks)
+    reached = materialise(reached, "knn-reached")
+    chunks = {c: math.ceil(m / (blocks[c] * query_chunk)) for c, m in _counts(reached).items()}
+    far = _met(reached, held, chunks, most, itype)
+
+    pairs = F.flatten(F.transform(F.flatten(F.collect_list("nn")), lambda e: F.transform(
+        e["ids"], lambda i: F.struct(e["dist"].alias("dist"), i.alias("nid")))))
+    best = near.select("x", "nn").unionByName(far.where(F.size("nn") > 0).select("x", "nn")).groupBy("x").agg(
+        F.slice(F.array_sort(pairs), 1, most).alias("nn"))
+    out = query.select("id", "x").join(best, "x")
+    others = F.filter("nn", lambda e: e["nid"] != F.col("id")) if exclude_self else F.col("nn")
+    return out.select("id", F.slice(others, 1, k).alias("nn"))
 
 
 # ---- R1 SMOTE -------------------------------------------------------------------
 
-def _u01(*cols: Column) -> Column:
-    """A seeded uniform [0, 1) number from a hash of the columns."""
-    return (F.pmod(F.xxhash64(*cols), F.lit(1 << 52)).cast("double") / float(1 << 52))
+def _hash52(seed: int, *cols: Column) -> Column:
+    """A seeded 52-bit hash (MD5 of ``seed-col-col``), the same in any SQL
+    engine."""
+    key = F.concat_ws("-", F.lit(str(seed)), *[c.cast("string") for c in cols])
+    return F.conv(F.substring(F.md5(key.cast("binary")), 1, 13), 16, 10).cast("bigint")
 
 
 def smote(df: DataFrame, y: str = "y", id_col: str = "row_id", features: list[str] | None = None,
@@ -74,13 +170,13 @@ def smote(df: DataFrame, y: str = "y", id_col: str = "row_id", features: list[st
     mino = base.where(F.col("_y") == minority).select("id", "x")
     nn = knn(mino, mino, k, True, block_size)
     per, extra = divmod(S, m)
-    h = mino.withColumn("_h", F.xxhash64(F.lit(seed), F.col("id"))).withColumn("_one", F.lit(1))
-    ranked = prefix_sums(h, "_h", ["_one"]).select("id", "x", (F.col("_one_cum") - 1).alias("_r"))
+    h = mino.withColumn("_h", _hash52(seed, F.col("id")))
+    ranked = row_positions(h, ["_h", "id"], name="_r").select("id", "x", "_r")
     copies = F.lit(per) + F.when(F.col("_r") < extra, 1).otherwise(0)
     rows = (ranked.join(nn, "id").where(F.size("nn") > 0)
             .select("id", "x", "nn", F.explode(F.sequence(F.lit(0), copies - 1)).alias("_c")))
-    pick = F.pmod(F.xxhash64(F.lit(seed), F.col("id"), F.col("_c")), F.size("nn")).cast("int")
-    u = _u01(F.lit(seed + 1), F.col("id"), F.col("_c"))
+    pick = (_hash52(seed, F.col("id"), F.col("_c")) % F.size("nn")).cast("int")
+    u = _hash52(seed + 1, F.col("id"), F.col("_c")).cast("double") / F.lit(float(1 << 52))
     nbr = F.col("nn")[pick]["nid"]
     rows = rows.select("id", "x", "_c", nbr.alias("_nid"), u.alias("_u"))
     nx = mino.select(F.col("id").alias("_nid"), F.col("x").alias("_nx"))

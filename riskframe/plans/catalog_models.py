@@ -143,7 +143,10 @@ def fraud_scoring_events(spark, sf):
 
 # ---- R1 / R2 ------------------------------------------------------------------------
 
-@register("r1_smote_labels")
+@register("r1_smote_labels",
+          "WITH d AS (SELECT toxic AS y, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY toxic) "
+          "SELECT y, 0 AS synthetic, n FROM d UNION ALL "
+          "SELECT 1, 1, (SELECT n FROM d WHERE y = 0) - (SELECT n FROM d WHERE y = 1)")
 def r1_smote_labels(spark, sf):
     lab = table(spark, sf, "labels")
     docs = table(spark, sf, "documents").select("doc_id", "n_chars", F.length("text").alias("text_len"))
@@ -169,3 +172,43 @@ def r2_tomek_links_embeddings(spark, sf):
     d = em.select(F.col("vec_id").alias("row_id"), (F.col("label") < 5).cast("int").alias("y"),
                   *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(64)])
     return rs.tomek_links(d, "y", "row_id", [f"e{i}" for i in range(64)])
+
+
+@register("r2_remove_tomek_embeddings",
+          f"WITH links AS ({TOMEK_SQL}) SELECT vec_id AS row_id, CASE WHEN label < 5 THEN 1 ELSE 0 END AS y FROM embeddings "
+          "WHERE vec_id NOT IN (SELECT id_a FROM links) AND vec_id NOT IN (SELECT id_b FROM links)")
+def r2_remove_tomek_embeddings(spark, sf):
+    em = table(spark, sf, "embeddings")
+    d = em.select(F.col("vec_id").alias("row_id"), (F.col("label") < 5).cast("int").alias("y"),
+                  *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(64)])
+    return rs.remove_tomek(d, "y", "row_id", [f"e{i}" for i in range(64)]).select("row_id", "y")
+
+
+_H = "('0x' || substr(md5('{}-' || {}), 1, 13))::BIGINT"
+
+
+@register("r2_smote_tomek_labels",
+          f"""WITH d AS (SELECT doc_id::VARCHAR AS id, toxic AS y, n_chars / 1000.0 AS a, quality * 0.5 AS b
+                         FROM labels JOIN documents USING (doc_id)),
+              m AS (SELECT * FROM d WHERE y = 1),
+              c AS (SELECT (SELECT count(*) FROM d WHERE y = 0) - count(*) AS s, count(*) AS m FROM m),
+              nn AS (SELECT id, list(nid ORDER BY dist, nid)[:5] AS nn
+                     FROM (SELECT p.id, q.id AS nid, sqrt((p.a - q.a) * (p.a - q.a) + (p.b - q.b) * (p.b - q.b)) AS dist
+                           FROM m p JOIN m q ON p.id <> q.id) GROUP BY id),
+              r AS (SELECT *, row_number() OVER (ORDER BY {_H.format(42, "id")}, id) - 1 AS r FROM m),
+              g AS (SELECT r.*, unnest(range(0, c.s // c.m + CASE WHEN r.r < c.s % c.m THEN 1 ELSE 0 END)) AS k FROM r, c),
+              t AS (SELECT g.*, nn[1 + {_H.format(42, "id || '-' || k")} % len(nn)] AS nid,
+                           {_H.format(43, "id || '-' || k")}::DOUBLE / 4503599627370496.0 AS u FROM g JOIN nn USING (id)),
+              x AS (SELECT id, y, 0 AS synthetic, a, b FROM d UNION ALL
+                    SELECT t.id || '#' || t.k, 1, 1, t.a + u * (m.a - t.a), t.b + u * (m.b - t.b) FROM t JOIN m ON t.nid = m.id),
+              n1 AS (SELECT p.id, p.y, arg_min(q.id, (sqrt((p.a - q.a) * (p.a - q.a) + (p.b - q.b) * (p.b - q.b)), q.id)) AS nid
+                     FROM x p JOIN x q ON p.id <> q.id GROUP BY p.id, p.y),
+              gone AS (SELECT p.id FROM n1 p JOIN n1 q ON p.nid = q.id AND q.nid = p.id WHERE p.y <> q.y)
+              SELECT y, synthetic, count(*) AS n FROM x WHERE id NOT IN (SELECT id FROM gone) GROUP BY y, synthetic""")
+def r2_smote_tomek_labels(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "n_chars")
+    d = table(spark, sf, "labels").join(docs, "doc_id").select(
+        F.col("doc_id").alias("row_id"), F.col("toxic").alias("y"), (F.col("n_chars") / 1000.0).alias("a"),
+        (F.col("quality") * 0.5).alias("b"))
+    out = rs.smote_tomek(d, "y", "row_id", ["a", "b"], k=5, seed=42)
+    return out.groupBy("y", "synthetic").agg(F.count(F.lit(1)).alias("n"))

@@ -59,3 +59,36 @@ def test_tomek_links_bruteforce(spark):
     assert got == exp
     kept = rs.remove_tomek(_frame(spark, X, y), "y", "row_id", ["f0", "f1", "f2"]).count()
     assert kept == 80 - 2 * len(exp)
+
+
+def test_knn_prunes_by_pivots_and_stays_exact(spark, monkeypatch):
+    """Far groups are not visited; copies of a point count by id, and other
+    queries than the candidates are allowed."""
+    rng = np.random.default_rng(7)
+    X = np.vstack([rng.normal(c, 0.2, size=(60, 4)) for c in (0.0, 5.0, 10.0)] + [np.full((40, 4), 3.0)])
+    seen = []
+    orig = rs.materialise
+    monkeypatch.setattr(rs, "materialise", lambda df, name: (seen.append((name, orig(df, name))), seen[-1][1])[1])
+    pts = spark.createDataFrame([(i, [float(v) for v in x]) for i, x in enumerate(X)], "id long, x array<double>")
+    D = np.sqrt(((X[:, None] - X[None]) ** 2).sum(-1))
+    got = {r.id: [(e.nid, e.dist) for e in r.nn] for r in rs.knn(pts, pts, 3, True, block_size=20, query_chunk=7).collect()}
+    np.fill_diagonal(D, np.inf)
+    for i in range(len(X)):
+        want = sorted(range(len(X)), key=lambda j: (D[i, j], j))[:3]
+        assert [n for n, _ in got[i]] == want and np.allclose([d for _, d in got[i]], D[i, want])
+    copies = dict(seen)["knn-reached"].count()
+    assert 0 < copies < 181 * 9          # 181 different points, about 10 blocks: most are out of reach
+    others = spark.createDataFrame([(1, [4.0] * 4), (2, [5.0] * 4), (3, [5.0] * 4)], "id long, x array<double>")
+    for r in rs.knn(others, pts, 2, False, block_size=20).collect():
+        dist = np.sqrt(((X - (4.0 if r.id == 1 else 5.0)) ** 2).sum(-1))
+        assert [e.nid for e in r.nn] == sorted(range(len(X)), key=lambda j: (dist[j], j))[:2]
+    assert rs.knn(others, pts.limit(0), 2).first().nn == []
+
+
+def test_smote_then_tomek_leaves_no_link(spark):
+    rng = np.random.default_rng(3)
+    X = np.vstack([rng.normal(0, 1, size=(120, 3)), rng.normal(1, 1, size=(30, 3))])
+    out = rs.smote_tomek(_frame(spark, X, [0] * 120 + [1] * 30), "y", "row_id", ["f0", "f1", "f2"])
+    rows = out.collect()
+    n = {c: sum(r.y == c for r in rows) for c in (0, 1)}
+    assert n[0] == n[1] < 120           # a link takes one of each class
