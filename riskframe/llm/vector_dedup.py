@@ -4,29 +4,31 @@
 2. Starting lists: the classes are sorted by random-hyperplane signatures
    (``TABLES`` times) and neighbours are searched in runs of ``RUN``.
 3. Rounds: around every vector its neighbours and the vectors that list it
-   meet and are compared with each other; lists keep the best.  A list whose
-   members all reach the threshold is saturated and doubles, up to
-   ``LONGEST``.  Rounds end when few lists change.
-4. Edges at the threshold form components.  Within a component every pair of
-   vectors is compared, in blocks of bounded size, so links that did not fit
-   a saturated list are counted all the same.
-5. Links between components, exactly: a component lies within an angle of one
-   of its members, so only vectors within that angle and the threshold's of
-   that member can link with it; these are compared with the component, in
-   blocks of bounded size, and components that link are joined.  Every vector
-   is tested against the member of every other component (the smaller
-   component's vectors against the larger one), so lists that miss a link
-   cost time but lose nothing.
-6. Audit: a bounded number of query vectors (ids divisible by 100) is
-   compared with all vectors; the share of true links that lie within a
-   component is ``audit_recall``.  Below ``GOAL`` the run fails.
-
-Cosines are of double precision.  Links below the threshold never count.
+   meet and are compared with each other; lists keep the best ``LIST``.
+   Rounds end when few lists change.
+4. Edges at the threshold, verified in double precision, form components.
+5. A vector whose whole list reaches the threshold is saturated: it may have
+   links that the list has no room for.  Its list is enlarged by as many
+   vectors of other components, found by the same descent among the saturated
+   vectors (a link to any other is on that one's list).  What links is one
+   component from then on, and whose enlargement is saturated again goes on;
+   components only fall in number, so this ends by itself.
+6. Within a component every pair of vectors is compared, in blocks of bounded
+   size, so all links count, also those on no list.  A component's work is
+   quadratic in its different vectors; its memory is two blocks.
+7. Audit: all query vectors (ids divisible by 100) are compared with all
+   vectors, in blocks; the share of true links that were found is
+   ``audit_recall``.  Below ``GOAL`` the descent is repeated from more
+   starting lists, and fails when ``TRIES`` of these were not enough.
+
+Lists are of single precision, links of double.  Links below the threshold
+never count.
 
 Defined results.  A vector that is null, empty, zero or of another length,
 or holds null or non-finite components, links with nothing and is kept.
 Repeated rows and rows without an id each get a row; ``component_id`` is the
-smallest id of the component (null only if it has none).  An empty table
+smallest id of the component (null only if it has none); ids that are not
+integers are never queries of the audit.  An empty table
 gives an empty result.  Extra columns and labels are ignored.
 """
 
@@ -44,17 +46,16 @@ from riskframe.llm.base import by_group, materialise
 from riskframe.llm.graph import components
 
 LIST = 8
-LONGEST = 64
 REVERSE = 16        # vectors listing a vector that meet around it, the nearest first
 TABLES = 6
+TRIES = 3
 RUN = 256
 PER_MEETING = 4     # neighbours that a vector takes from one meeting
 BLOCK = 512
-PACK = 8192         # vectors that are tested against as many centres in one step
-SLACK = 1e-4        # rounding of the single-precision test of angles; links are verified in double
-ROUNDS = 6
+SLACK = 1e-5        # rounding of single precision
+ROUNDS = 12
 CHANGED = 0.02
-QUERIES = 1000
+QUERIES = 4096      # query vectors of a block of the audit
 GOAL = 0.95
 EDGE = "src long, dst long, sim double"
 
@@ -85,39 +86,40 @@ def unit_vectors(rows: DataFrame, vec_col: str) -> DataFrame:
     return named.select("rid", "x").mapInPandas(run, "rid long, v binary")
 
 
-def top(edges: DataFrame, sizes: DataFrame | None) -> DataFrame:
-    """The best distinct neighbours of each source: ``LIST``, or its size."""
+def floats(col) -> np.ndarray:
+    return np.frombuffer(b"".join(col), dtype="<f4").reshape(len(col), -1)
+
+
+def top(edges: DataFrame) -> DataFrame:
+    """The best ``LIST`` distinct neighbours of each source."""
     best = edges.groupBy("src", "dst").agg(F.max("sim").alias("sim"))
-    ranked = best.withColumn("r", F.row_number().over(W.partitionBy("src").orderBy(F.desc("sim"), "dst"))).where(F.col("r") <= LONGEST)
-    if sizes is None:
-        return ranked.where(F.col("r") <= LIST).select("src", "dst", "sim")
-    return (ranked.join(sizes, "src", "left").where(F.col("r") <= F.coalesce("size", F.lit(LIST)))
-            .select("src", "dst", "sim"))
+    rank = F.row_number().over(W.partitionBy("src").orderBy(F.desc("sim"), "dst"))
+    return best.withColumn("r", rank).where(F.col("r") <= LIST).select("src", "dst", "sim")
 
 
-def best_of(ids: np.ndarray, v: np.ndarray, k: int, least: np.ndarray | None = None) -> pd.DataFrame:
-    """Each vector's ``k`` best among the others given."""
-    s = v @ v.T
-    np.fill_diagonal(s, -2)
+def best_of(b: pd.DataFrame, k: int, least: np.ndarray | None = None) -> pd.DataFrame:
+    """Each vector's ``k`` best among those given of other components."""
+    ids, v, comp = b["rid"].to_numpy(), floats(b["f"]), b["comp"].to_numpy()
+    s = (v @ v.T).astype(np.float64)
+    s[comp[:, None] == comp[None, :]] = -2
     k = min(k, len(ids) - 1)
     near = np.argpartition(-s, k - 1, axis=1)[:, :k]
     sim = np.take_along_axis(s, near, axis=1)
     out = pd.DataFrame({"src": np.repeat(ids, k), "dst": ids[near].ravel(), "sim": sim.ravel()})
-    return out if least is None else out[out["sim"].to_numpy() > np.repeat(least, k)]
+    return out[out["sim"].to_numpy() > (-2 if least is None else np.maximum(-2, np.repeat(least, k)))]
 
 
-def starting_lists(reps: DataFrame, dim: int) -> DataFrame:
-    n = reps.count()
+def starting_lists(points: DataFrame, n: int, dim: int, tables: range) -> DataFrame:
     bits = max(1, int(np.ceil(np.log2(max(2, n / RUN)))))
     out = None
-    for t in range(TABLES):
+    for t in tables:
         planes = np.random.default_rng(100 + t).normal(size=(dim, bits + 1))
 
         def sign(batches: Iterator[pd.DataFrame], planes=planes) -> Iterator[pd.DataFrame]:
             for b in batches:
-                p = matrix(b["v"]) @ planes
+                p = floats(b["f"]) @ planes if len(b) else np.zeros((0, bits + 1))
                 key = ((p[:, :bits] > 0) * (1 << np.arange(bits)[::-1])).sum(1)
-                yield pd.DataFrame({"k": key + 1 / (1 + np.exp(-p[:, bits])), "rid": b["rid"], "v": b["v"]})
+                yield pd.DataFrame({"k": key + 1 / (1 + np.exp(-p[:, bits])), "rid": b["rid"], "comp": b["comp"], "f": b["f"]})
 
         def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             rest = None
@@ -125,36 +127,87 @@ def starting_lists(reps: DataFrame, dim: int) -> DataFrame:
                 b = b if rest is None else pd.concat([rest, b], ignore_index=True)
                 at = 0
                 while len(b) - at >= 2 * RUN:
-                    part = b.iloc[at:at + RUN]
-                    yield best_of(part["rid"].to_numpy(), matrix(part["v"]), LIST)
+                    yield best_of(b.iloc[at:at + RUN], LIST)
                     at += RUN
                 rest = b.iloc[at:]
             while rest is not None and len(rest) > 1:
-                yield best_of(rest["rid"].iloc[:RUN].to_numpy(), matrix(rest["v"].iloc[:RUN]), LIST)
+                yield best_of(rest.iloc[:RUN], LIST)
                 rest = rest.iloc[RUN:]
         parts = max(1, n // (16 * RUN))
-        keyed = reps.select("rid", "v").mapInPandas(sign, "k double, rid long, v binary")
+        keyed = points.select("rid", "comp", "f").mapInPandas(sign, "k double, rid long, comp long, f binary")
         e = keyed.repartitionByRange(parts, "k").sortWithinPartitions("k").mapInPandas(search, EDGE)
         out = e if out is None else out.unionByName(e)
-    return top(out, None)
+    return top(out)
 
 
-def meet(lists: DataFrame, reps: DataFrame) -> DataFrame:
+def meet(lists: DataFrame, points: DataFrame) -> DataFrame:
     """One round: candidates ``(src, dst, sim)`` from all meetings."""
-    least = lists.groupBy("src").agg(F.min("sim").alias("least"))
+    least = lists.groupBy("src").agg(F.min("sim").alias("least"), F.count(F.lit(1)).alias("k"))
+    least = least.select(F.col("src").alias("rid"), F.when(F.col("k") < LIST, F.lit(-2.0)).otherwise(F.col("least")).alias("least"))
     # the nearest of those that list a vector; the rank limit applies before the shuffle too
     rank = F.row_number().over(W.partitionBy("dst").orderBy(F.desc("sim"), "src"))
     back = (lists.withColumn("r", rank).where(F.col("r") <= REVERSE)
             .select(F.col("dst").alias("at"), F.col("src").alias("rid")))
     members = lists.select(F.col("src").alias("at"), F.col("dst").alias("rid")).union(back).distinct()
-    vectors = materialise(reps.select("rid", "v").join(least.withColumnRenamed("src", "rid"), "rid"), "knn-vectors")
+    vectors = materialise(points.join(least, "rid", "left").select("rid", "comp", "f", F.coalesce("least", F.lit(-2.0)).alias("least")), "knn-vectors")
     full = members.join(vectors, "rid").repartition("at").sortWithinPartitions("at")
 
     def meeting(pdf: pd.DataFrame) -> pd.DataFrame:
-        return best_of(pdf["rid"].to_numpy(), matrix(pdf["v"]), PER_MEETING, pdf["least"].to_numpy())
+        return best_of(pdf, PER_MEETING, pdf["least"].to_numpy())
     return full.mapInPandas(lambda it: by_group(it, ["at"], meeting), EDGE)
 
 
+def descend(points: DataFrame, dim: int, tables: range) -> DataFrame:
+    """``(src, dst, sim)``: near neighbours of other components for every
+    vector of ``points(rid, comp, f)``."""
+    n = points.count()
+    lists = materialise(starting_lists(points, n, dim, tables), "knn-lists")
+    for _ in range(ROUNDS):
+        before = lists
+        lists = materialise(top(lists.unionByName(meet(lists, points))), "knn-lists")
+        changed = lists.join(before.select("src", "dst"), ["src", "dst"], "left_anti").select("src").distinct().count()
+        if changed <= CHANGED * n:
+            break
+    return lists
+
+
+def verified(lists: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+    """``(a, b)``: the listed pairs that reach the threshold in double."""
+    pairs = (lists.where(F.col("sim") >= threshold - SLACK)
+             .select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct())
+    both = [reps.select(F.col("rid").alias(k), F.col("v").alias(f"v{k}")) for k in "ab"]
+
+    def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            if len(x):
+                yield x.loc[np.einsum("nd,nd->n", matrix(x["va"]), matrix(x["vb"])) >= threshold, ["a", "b"]]
+    return pairs.join(both[0], "a").join(both[1], "b").mapInPandas(test, "a long, b long")
+
+
+def linked(reps: DataFrame, comp: DataFrame | None, threshold: float, dim: int, tables: range) -> DataFrame:
+    """``(rid, comp)`` of every class: components over all links that lists
+    and their enlargements find; ``comp`` are those known before."""
+    def single(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"rid": b["rid"], "f": [x.tobytes() for x in matrix(b["v"]).astype("<f4")] if len(b) else []})
+    f = materialise(reps.select("rid", "v").mapInPandas(single, "rid long, f binary"), "knn-single")
+    comp = reps.select("rid", F.col("rid").alias("comp")) if comp is None else comp
+    points = f.join(comp, "rid").select("rid", "comp", "f")
+    while True:
+        lists = descend(materialise(points, "knn-points"), dim, tables)
+        edges = materialise(verified(lists, reps, threshold), "knn-edges")
+        named = edges.join(comp.select(F.col("rid").alias("a"), F.col("comp").alias("ca")), "a").join(
+            comp.select(F.col("rid").alias("b"), F.col("comp").alias("cb")), "b")
+        joined = components(named.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(
+            F.col("v").alias("comp"), F.col("comp").alias("whole"))
+        comp = materialise(comp.join(joined, "comp", "left").select("rid", F.coalesce("whole", "comp").alias("comp")), "knn-parts")
+        full = (lists.groupBy(F.col("src").alias("rid")).agg(F.count(F.lit(1)).alias("k"), F.min("sim").alias("least"))
+                .where((F.col("k") >= LIST) & (F.col("least") >= threshold - SLACK)).select("rid"))
+        points = materialise(points.select("rid", "f").join(full, "rid").join(comp, "rid").select("rid", "comp", "f"), "knn-saturated")
+        if points.select("comp").distinct().limit(2).count() < 2:
+            return comp
+
+
 def link_counts(comp: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     """``(rid, links)``: how many rows of other classes in its component a
     class links with; every pair of a component is compared, by blocks."""
@@ -178,109 +231,32 @@ def link_counts(comp: DataFrame, reps: DataFrame, threshold: float) -> DataFrame
     return parts.groupBy("rid").agg(F.sum("links").alias("links"))
 
 
-def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of up to ``PACK`` vectors: the columns' bytes, vectors as floats."""
-    def packed(b: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"ids": [b["rid"].to_numpy("<i8").tobytes()], "comps": [b["comp"].to_numpy("<i8").tobytes()],
-                             "ms": [b["m"].to_numpy("<i8").tobytes()], "reach": [b["reach"].to_numpy("<f8").tobytes()],
-                             "vs": [matrix(b["v"]).astype("<f4").tobytes()]})
-    rest = None
-    for b in batches:
-        b = b if rest is None else pd.concat([rest, b], ignore_index=True)
-        while len(b) >= PACK:
-            yield packed(b.iloc[:PACK])
-            b = b.iloc[PACK:]
-        rest = b
-    if rest is not None and len(rest):
-        yield packed(rest)
-
-
-def near_components(named: DataFrame, threshold: float, dim: int) -> DataFrame:
-    """``(rid, at)``: vectors and the other components, no smaller than their
-    own, that they are near enough to link with."""
-    angle = float(np.arccos(np.clip(threshold, -1, 1)))
-    centre = named.where("rid = comp").select("comp", F.col("v").alias("c"))
-
-    def apart(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            cos = np.einsum("nd,nd->n", matrix(b["v"]), matrix(b["c"])) if len(b) else np.zeros(0)
-            yield pd.DataFrame({"comp": b["comp"], "away": np.arccos(np.clip(cos, -1, 1))})
-    wide = (named.join(centre, "comp").select("comp", "v", "c").mapInPandas(apart, "comp long, away double")
-            .groupBy("comp").agg(F.max("away").alias("reach"), F.count(F.lit(1)).alias("m")))
-    wide = materialise(wide, "knn-reach")
-    all_rows = materialise(named.join(wide, "comp").select("rid", "comp", "m", "reach", "v"), "knn-reaching")
-    n, k = all_rows.count(), wide.count()
-    kind = "ids binary, comps binary, ms binary, reach binary, vs binary"
-    packs = []
-    for rows, count, name in ((all_rows, n, "q"), (all_rows.where("rid = comp"), k, "c")):
-        p = rows.repartition(max(1, -(-count // PACK))).mapInPandas(pack, kind)
-        p = p.select(*[F.col(c).alias(f"{name}_{c}") for c in p.columns]).withColumn(f"{name}_at", F.monotonically_increasing_id())
-        packs.append(materialise(p, "knn-packs"))
-    q, c = packs
-    pairs = q.select("q_at").crossJoin(c.select("c_at"))
-    pairs = pairs.join(q, "q_at").join(c, "c_at").drop("q_reach").repartition("q_at", "c_at")
-
-    def test(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for r in b.itertuples(index=False):
-                ids, own, size = (np.frombuffer(x, "<i8") for x in (r.q_ids, r.q_comps, r.q_ms))
-                at, m = np.frombuffer(r.c_comps, "<i8"), np.frombuffer(r.c_ms, "<i8")
-                least = np.cos(np.minimum(np.frombuffer(r.c_reach, "<f8") + angle, np.pi)) - SLACK
-                v, w = np.frombuffer(r.q_vs, "<f4").reshape(-1, dim), np.frombuffer(r.c_vs, "<f4").reshape(-1, dim).T
-                for i in range(0, len(v), BLOCK):
-                    x, y = np.nonzero(v[i:i + BLOCK] @ w >= least)
-                    x += i
-                    ok = (m[y] > size[x]) | ((m[y] == size[x]) & (at[y] > own[x]))
-                    yield pd.DataFrame({"rid": ids[x[ok]], "at": at[y[ok]]})
-    return pairs.mapInPandas(test, "rid long, at long")
-
-
-def cross_links(named: DataFrame, threshold: float, dim: int) -> DataFrame:
-    """``(rid, links, a, b)``: a vector's links with rows of another component
-    than its own, and the two components; every such pair is verified."""
-    near = materialise(near_components(named, threshold, dim), "knn-near")
-    sizes = near.groupBy("at").agg(F.count(F.lit(1)).alias("q"))
-    held = named.groupBy("comp").agg(F.count(F.lit(1)).alias("m")).withColumnRenamed("comp", "at")
-    blocks = materialise(sizes.join(held, "at").select("at", F.ceil(F.col("m") / BLOCK).cast("int").alias("nx"),
-                                                       F.ceil(F.col("q") / BLOCK).cast("int").alias("ny")), "knn-blocks")
-    every = {c: F.explode(F.sequence(F.lit(0), F.col(f"n{c}") - 1)).alias(c) for c in "xy"}
-    dealt = {c: F.pmod(F.xxhash64("rid"), F.col(f"n{c}")).cast("int").alias(c) for c in "xy"}
-    vectors = named.select("rid", "comp", "v", "n")
-    inside = named.select("rid", F.col("comp").alias("at")).join(blocks, "at").select("at", "rid", dealt["x"], every["y"])
-    outside = near.join(blocks, "at").select("at", "rid", every["x"], dealt["y"])
-    full = (inside.unionByName(outside).join(vectors, "rid").repartition("at", "x", "y")
-            .sortWithinPartitions("at", "x", "y"))
-
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        v, n = matrix(pdf["v"]), pdf["n"].to_numpy(dtype=np.int64)
-        at, comp, rid = pdf["at"].iat[0], pdf["comp"].to_numpy(), pdf["rid"].to_numpy()
-        i, o = comp == at, comp != at
-        near = v[o] @ v[i].T >= threshold
-        out = pd.DataFrame({"rid": np.concatenate([rid[o], rid[i]]),
-                            "links": np.concatenate([near @ n[i], n[o] @ near]),
-                            "a": at, "b": np.concatenate([comp[o], comp[i]])})
-        return out[out["links"] > 0]
-    return full.mapInPandas(lambda it: by_group(it, ["at", "x", "y"], count), "rid long, links long, a long, b long")
-
-
-def audit(reps: DataFrame, comp: DataFrame, threshold: float) -> float:
-    """Share of the true links of the query vectors that are found."""
-    spark = reps.sparkSession
-    named = materialise(reps.join(comp.withColumnRenamed("v", "rid"), "rid", "left")
-                        .select("rid", "vec_id", "v", F.coalesce("comp", "rid").alias("comp")), "knn-audit")
-    q = named.where("vec_id % 100 = 0").orderBy(F.xxhash64("rid")).limit(QUERIES).collect()
-    if not q:
-        return 1.0
-    shared = spark.sparkContext.broadcast((np.array([r["rid"] for r in q]), np.array([r["comp"] for r in q]),
-                                           matrix([bytes(r["v"]) for r in q])))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rid, c, v = shared.value
-        for b in batches:
-            near = (matrix(b["v"]) @ v.T >= threshold) & (b["rid"].to_numpy()[:, None] != rid[None, :])
-            yield pd.DataFrame({"t": [int(near.sum())], "f": [int((near & (b["comp"].to_numpy()[:, None] == c)).sum())]})
-    s = named.select("rid", "v", "comp").mapInPandas(run, "t long, f long").agg(F.sum("t").alias("t"), F.sum("f").alias("f")).first()
-    return 1.0 if not s["t"] else s["f"] / s["t"]
+def audit(named: DataFrame, threshold: float) -> float:
+    """Share of the true links of all query vectors that are found, over
+    ``named(rid, vec_id, v, comp)``: a link is found if its ends are of one
+    component, as all pairs of a component are compared."""
+    spark = named.sparkSession
+    q = named.where(F.expr("try_cast(vec_id AS bigint) % 100 = 0")).select("rid", "comp", "v")
+    n = q.count()
+    q = q.withColumn("part", F.pmod(F.xxhash64("rid"), F.lit(max(1, -(-n // QUERIES)))))
+    true = found = 0
+    for part in range(-(-n // QUERIES)):
+        rows = q.where(F.col("part") == part).collect()
+        if not rows:
+            continue
+        shared = spark.sparkContext.broadcast((np.array([r["rid"] for r in rows]), np.array([r["comp"] for r in rows]),
+                                               matrix([bytes(r["v"]) for r in rows])))
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            rid, c, v = shared.value
+            for b in batches:
+                for lo in range(0, len(b), BLOCK):
+                    x = b.iloc[lo:lo + BLOCK]
+                    near = (matrix(x["v"]) @ v.T >= threshold) & (x["rid"].to_numpy()[:, None] != rid[None, :])
+                    yield pd.DataFrame({"t": [int(near.sum())], "f": [int((near & (x["comp"].to_numpy()[:, None] == c)).sum())]})
+        s = named.select("rid", "v", "comp").mapInPandas(run, "t long, f long").agg(F.sum("t"), F.sum("f")).first()
+        true, found = true + (s[0] or 0), found + (s[1] or 0)
+    return found / true if true else 1.0
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id",
@@ -294,29 +270,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     units = materialise(units.withColumn("v", F.when(F.length("v") == 8 * dim, F.col("v"))), "knn-units")
     reps = materialise(units.where("v is not null").groupBy("v").agg(
         F.min("rid").alias("rid"), F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("n")), "knn-classes")
-    total = reps.count()
-    lists = materialise(starting_lists(reps, dim), "knn-lists")
-    for _ in range(ROUNDS):
-        full = lists.groupBy("src").agg(F.min("sim").alias("least"), F.count(F.lit(1)).alias("n"))
-        sizes = full.where(F.col("least") >= threshold).select("src", F.least(2 * F.col("n"), F.lit(LONGEST)).cast("int").alias("size"))
-        before = lists
-        lists = materialise(top(lists.unionByName(meet(lists, reps)), sizes), "knn-lists")
-        changed = lists.join(before.select("src", "dst"), ["src", "dst"], "left_anti").select("src").distinct().count()
-        if changed <= CHANGED * total:
+    comp, recall = None, 0.0
+    for i in range(TRIES):
+        comp = linked(reps, comp, threshold, dim, range(i * TABLES, (i + 1 + i) * TABLES))
+        named = materialise(reps.join(comp, "rid"), "knn-named")
+        recall = audit(named, threshold)
+        if recall >= GOAL:
             break
-    found = components(lists.where(F.col("sim") >= threshold).select(F.col("src").alias("a"), F.col("dst").alias("b")))
-    inside = link_counts(found, reps, threshold)
-    parts = materialise(reps.join(found.withColumnRenamed("v", "rid"), "rid", "left")
-                        .select("rid", "v", "vec_id", "n", F.coalesce("comp", "rid").alias("comp")), "knn-parts")
-    across = materialise(cross_links(parts, threshold, dim), "knn-across")
-    links = materialise(inside.unionByName(across.select("rid", "links")).groupBy("rid").agg(F.sum("links").alias("links")), "knn-links")
-    # components that link are one
-    joined = components(across.where("a != b").select("a", "b")).select(F.col("v").alias("comp"), F.col("comp").alias("whole"))
-    named = materialise(parts.join(joined, "comp", "left")
-                        .select("rid", "v", "vec_id", "n", F.coalesce("whole", "comp").alias("comp")), "knn-named")
-    recall = audit(reps, named.select(F.col("rid").alias("v"), "comp"), threshold)
-    if recall < GOAL:
+    else:
         raise RuntimeError(f"recall {recall} of the audited links is below {GOAL}")
+    sizes = comp.groupBy("comp").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("comp")
+    links = materialise(link_counts(comp.join(sizes, "comp").select(F.col("rid").alias("v"), "comp"), reps, threshold), "knn-links")
     least = materialise(named.groupBy("comp").agg(F.min("vec_id").alias("component_id")), "knn-least")
     classes = named.join(least, "comp").join(links, "rid", "left").select(
         "v", "component_id", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
