@@ -11,8 +11,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from riskframe.llm.base import materialise
+
 KEPT = 300_000          # terms whose bucket a worker keeps
 _TERM = re.compile(r"[^\W_]+")
 
@@ -42,16 +45,30 @@ def terms(text: bytes | None) -> set[str]:
     return set(_TERM.findall((text or b"").decode("utf-8", "replace").lower()))
 
 
+#: Bytes of text that a training sample holds, at most.
+SAMPLE_BYTES = 256 << 20
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows: int,
                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(y, t)`` of at most ``rows`` labelled documents that ``learn``
-    allows: those with the smallest hash of the id.  The ids are a bounded
-    table, so the texts are not shuffled."""
+    """``(h, y, t)`` of at most ``rows`` labelled documents that ``learn``
+    allows, with at most ``SAMPLE_BYTES`` of text: those with the smallest
+    hash of the id, as long as their texts fit.  An id is one row: its label
+    is the largest that is given for it, its text the one of the smallest
+    hash (an id may be repeated on any number of rows).  The ids are a
+    bounded table, so only texts of the sample are shuffled."""
     ids = (labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & learn)
            .groupBy(F.col(id_col).alias("_id")).agg(F.max(label).cast("int").alias("y"))
            .orderBy(F.xxhash64("_id"), "_id").limit(rows))
     d = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("t"))
-    return d.join(F.broadcast(ids), "_id").select(F.xxhash64("_id").alias("h"), "y", "t")
+    size = F.struct(F.xxhash64("t").alias("k"), F.coalesce(F.octet_length("t"), F.lit(0)).alias("n"))
+    some = d.join(F.broadcast(ids), "_id").groupBy("_id", "y").agg(F.min(size).alias("s"))
+    # a running sum over at most `rows` numbers
+    w = W.partitionBy(F.lit(0)).orderBy(F.xxhash64("_id"), "_id").rowsBetween(W.unboundedPreceding, W.currentRow)
+    fit = some.withColumn("_sum", F.sum("s.n").over(w)).where(F.col("_sum") <= SAMPLE_BYTES).select("_id", "y", F.col("s.k").alias("k"))
+    fit = materialise(fit, "training-ids")
+    one = d.withColumn("k", F.xxhash64("t")).join(F.broadcast(fit), ["_id", "k"])
+    return one.groupBy("_id", "y").agg(F.min("t").alias("t")).select(F.xxhash64("_id").alias("h"), "y", "t")
 
 
 def train(sample: DataFrame, encode: Callable[[list], list], fit: Callable[[list, np.ndarray], object]):

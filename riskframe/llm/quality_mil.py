@@ -8,7 +8,9 @@ attention and output are learned together from document labels alone, on a
 bounded sample of labelled rows (``SAMPLE``).
 
 Defined results.  A null or empty text is one empty passage.  Every input
-row gives one row, also without an id or with a repeated one.  Without
+row gives one row, also without an id or with a repeated one.  An
+id of several labels counts as the largest, one of several texts learns one
+of them (``learning.training_rows``).  Without
 labelled rows every score is 0.5.  An empty table gives an empty result.
 Extra columns are ignored, as are lang, source and labels.
 """

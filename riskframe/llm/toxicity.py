@@ -9,7 +9,9 @@ as chance allows (``MIN_Z``), alone and in every pair of such terms
 
 Defined results.  A null or empty text has no terms and scores the bias.
 Every input row gives one row, also without an id or with a repeated one.
-Without labelled rows every score is 0.5.  An empty table gives an empty
+An
+id of several labels counts as the largest, one of several texts learns one
+of them (``learning.training_rows``).  Without labelled rows every score is 0.5.  An empty table gives an empty
 result.  Extra columns are ignored, as are lang, source and labels.
 """
 
