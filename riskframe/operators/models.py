@@ -10,18 +10,24 @@ draws (a handful of fits), never over rows.
 from __future__ import annotations
 
 import math
+import time
+import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.ml import Model
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.operators.metrics import ranking_metrics
+from riskframe.operators.quantiles import local_frame
 from riskframe.operators.stats import score_spread
+from riskframe.session import materialise
 
 
 def assemble(df: DataFrame, features: list[str], out: str = "features") -> DataFrame:
@@ -57,8 +63,8 @@ def fit_forest(df: DataFrame, features: list[str], label: str = "y", weight: str
 def fit_boosted(df: DataFrame, features: list[str], label: str = "y", weight: str | None = None,
                 valid_col: str | None = None, seed: int = 42, **params) -> Model:
     """M3: gradient-boosted trees; ``valid_col`` marks early-stopping rows
-    (Spark stops on a relative tolerance, ``validationTol``, not on a
-    patience count)."""
+    (Spark stops on a relative tolerance, ``validationTol``; a patience count
+    is ``boost_with_patience``)."""
     gbt = GBTClassifier(featuresCol="features", labelCol=label, seed=seed, **params)
     if weight:
         gbt = gbt.setWeightCol(weight)
@@ -67,6 +73,57 @@ def fit_boosted(df: DataFrame, features: list[str], label: str = "y", weight: st
     return gbt.fit(assemble(df, features))
 
 
+@dataclass(frozen=True)
+class Boosted:
+    """A boosted model cut at its best iteration, and how it got there."""
+    model: Model
+    curve: DataFrame        # (iter, learn, test, passed, remaining), times in milliseconds
+    best_iter: int
+
+
+def boost_with_patience(train: DataFrame, valid: DataFrame, features: list[str], label: str = "y", weight: str | None = None,
+                        max_iter: int = 1000, patience: int = 50, step: float = 0.1, seed: int = 42, **params) -> Boosted:
+    """M3 with a patience count: trees are added one at a time, each fitted
+    to the log-loss residuals of the margin so far; after each the loss of
+    ``valid`` is measured, and fitting stops once ``patience`` trees in a row
+    brought no new best.  The model holds the trees up to the first best one
+    (tree weights: 1, then ``step``).
+
+    The margins of both frames are one table that is rewritten once a tree,
+    so an iteration reads its predecessor only.  ``params`` go to Spark's
+    ``DecisionTreeRegressor``."""
+    spark = train.sparkSession
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    side = lambda d, v, wt: assemble(d, features).select(
+        "features", (2.0 * F.col(label) - 1.0).alias("y"), wt.alias("w"), F.lit(v).alias("v"), F.lit(0.0).alias("m"))
+    rows = materialise(side(train, False, w).unionByName(side(valid, True, F.lit(1.0))), "boost-margins")
+    loss = F.lit(2.0) * (F.greatest(-2 * F.col("y") * F.col("m"), F.lit(0.0)) + F.log1p(F.exp(-F.abs(2 * F.col("y") * F.col("m")))))
+    trees, curve, best, began = [], [], (None, float("inf")), time.monotonic()
+    for i in range(max_iter):
+        target = F.col("y") if i == 0 else 4.0 * F.col("y") / (1.0 + F.exp(2.0 * F.col("y") * F.col("m")))
+        tree = DecisionTreeRegressor(featuresCol="features", labelCol="r", weightCol="w", predictionCol="p", seed=seed + i,
+                                     **params).fit(rows.where("not v").withColumn("r", target))
+        trees.append(tree)
+        share = 1.0 if i == 0 else step
+        rows = materialise(tree.transform(rows).withColumn("m", F.col("m") + F.lit(share) * F.col("p")).drop("p"), "boost-margins")
+        at = {r.v: r.l for r in rows.groupBy("v").agg((F.sum(loss * F.col("w")) / F.sum("w")).alias("l")).collect()}
+        passed = (time.monotonic() - began) * 1000
+        curve.append((i, at.get(False), at.get(True), int(passed), int(passed / (i + 1) * (max_iter - i - 1))))
+        if at.get(True) is not None and at[True] < best[1]:
+            best = (i, at[True])
+        if best[0] is not None and i - best[0] >= patience:
+            break
+    n = len(trees) if best[0] is None else best[0] + 1
+    jvm, gw = spark._jvm, spark.sparkContext._gateway
+    held = gw.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n)
+    shares = gw.new_array(jvm.double, n)
+    for i in range(n):
+        held[i], shares[i] = trees[i]._java_obj, 1.0 if i == 0 else step
+    java = jvm.org.apache.spark.ml.classification.GBTClassificationModel(f"gbt-{uuid.uuid4().hex[:12]}", held, shares, len(features), 2)
+    fields = [("iter", "bigint"), ("learn", "double"), ("test", "double"), ("passed", "bigint"), ("remaining", "bigint")]
+    return Boosted(GBTClassificationModel(java), local_frame(spark, curve, fields), n - 1)
+
+
 def predict_proba(model: Model, df: DataFrame, features: list[str], name: str = "score",
                   keep: list[str] | None = None) -> DataFrame:
     """M4: positive-class probability."""
@@ -148,22 +205,38 @@ def sample_params(space: dict, n: int, seed: int = 42) -> list[dict]:
 
 def random_search(train: DataFrame, valid: DataFrame, features: list[str],
                   fit_params: Callable[[DataFrame, dict], Model], space: dict, n: int,
-                  seed: int = 42, label: str = "y") -> tuple[DataFrame, dict, Model]:
+                  seed: int = 42, label: str = "y", state: str | None = None,
+                  run_id: str = "search") -> tuple[DataFrame, dict, Model]:
     """M7: best of ``n`` seeded draws by validation ROC-AUC.
 
     Returns ``(trials, best_params, best_model)``; ``trials`` is a frame
-    ``(trial, params, roc_auc)``; the best model is kept (no refit)."""
+    ``(trial, params, roc_auc)``.  With ``state``, a stage-state path (S10),
+    every finished draw is appended there, and a search that starts again
+    under the same ``run_id`` skips the draws it finds; if the best one is
+    among them, its model is fitted anew (draws are seeded)."""
+    from riskframe.sources.logs import load_stage_state, save_stage_state
     spark = train.sparkSession
+    done = {}
+    if state:
+        done = {r.stage: r.kv for r in load_stage_state(spark, state, run_id).collect()}
     rows, best = [], (None, -1.0, None)
     for i, p in enumerate(sample_params(space, n, seed)):
-        m = fit_params(train, p)
-        sc = predict_proba(m, valid, features, keep=["row_id", label]).withColumnRenamed(label, "y")
-        auc = ranking_metrics(sc.withColumn("model", F.lit("m")), ["model"]).first()["roc_auc"]
-        rows.append((i, {k: str(v) for k, v in p.items()}, float(auc) if auc is not None else None))
+        text = {k: str(v) for k, v in p.items()}
+        found, m = done.get(f"trial-{i}"), None
+        if found is not None and {k: v for k, v in found.items() if k != "roc_auc"} == text:
+            auc = None if found["roc_auc"] == "None" else float(found["roc_auc"])
+        else:
+            m = fit_params(train, p)
+            sc = predict_proba(m, valid, features, keep=["row_id", label]).withColumnRenamed(label, "y")
+            auc = ranking_metrics(sc.withColumn("model", F.lit("m")), ["model"]).first()["roc_auc"]
+            if state:
+                save_stage_state(spark, state, run_id, f"trial-{i}", {**text, "roc_auc": repr(auc)})
+        rows.append((i, text, float(auc) if auc is not None else None))
         if auc is not None and auc > best[1]:
             best = (p, auc, m)
+    model = fit_params(train, best[0]) if best[0] is not None and best[2] is None else best[2]
     trials = spark.createDataFrame(rows, "trial int, params map<string,string>, roc_auc double")
-    return trials, best[0], best[2]
+    return trials, best[0], model
 
 
 def feature_importance(model: Model, features: list[str]) -> DataFrame:

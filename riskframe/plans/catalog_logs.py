@@ -55,6 +55,21 @@ def s5_write_predictions_lineitem(spark, sf):
     return spark.read.schema("y_true int, y_prob double").option("header", True).csv(path)
 
 
+@register("s3_s4_json_log_lineitem",
+          f"""WITH m AS ({_rank_metrics_sql(LONG_SQL)})
+              SELECT model, round(roc_auc, 6) AS "ROC_AUC", 2::BIGINT AS n_corrupt, 5::BIGINT AS n_records FROM m""")
+def s3_s4_json_log_lineitem(spark, sf):
+    """A JSON log with two broken records: both are counted, the others read."""
+    path = logs.scratch_path(spark, "results-json")
+    rec = mt.evaluate(long_scores(spark, sf), 0.5, notes="score >= 0.5", with_timestamp=False)
+    logs.append_results(rec, path, fmt="json")
+    spark.range(2).select(F.concat(F.lit('{"model": "broken-'), "id", F.lit('", "ROC_AUC": '))).write.mode("append").text(path)
+    n = logs.corrupt_records(spark, path).first()
+    return logs.latest_results(spark, path, "json").select(
+        "model", "ROC_AUC", F.lit(n.n_corrupt).cast("bigint").alias("n_corrupt"),
+        F.lit(n.n_records).cast("bigint").alias("n_records"))
+
+
 @register("s7_export_labels_documents",
           "SELECT d.doc_id, d.lang, d.n_chars, coalesce(l.quality, -1) AS quality_label "
           "FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
@@ -77,17 +92,12 @@ def a28_best_iteration_sweep_lineitem(spark, sf):
 
 @register("s8_s9_a28_training_curves_lineitem")
 def s8_s9_a28_training_curves_lineitem(spark, sf):
-    """Per-iteration log-loss of a boosted model on train and on held-out
-    rows, written in the flat TSV and nested JSON layouts, read back, and
-    the first-best iteration found on each."""
+    """The curve of a boosted model fitted with patience (log-loss on train
+    and on held-out rows, measured times), written in the flat TSV and nested
+    JSON layouts and read back; the first best iteration found on each."""
     train, test = split(spark, sf)
-    m = md.fit_boosted(train, LINEITEM_V, **{**GBT, "maxIter": 12})
-    learn = m.evaluateEachIteration(md.assemble(train, LINEITEM_V))
-    held = m.evaluateEachIteration(md.assemble(test, LINEITEM_V))
-    n = len(held)
-    curve = spark.createDataFrame(
-        [(i, float(a), float(b), 10 * (i + 1), 10 * (n - i - 1)) for i, (a, b) in enumerate(zip(learn, held))],
-        "iter long, learn double, test double, passed long, remaining long")
+    fitted = md.boost_with_patience(train, test, LINEITEM_V, max_iter=12, patience=3, step=0.2, maxDepth=3)
+    curve = fitted.curve
     folder = logs.scratch_path(spark, "telemetry")
     telemetry.write_training_curves(curve, folder, "learn", "test", "Logloss", "Logloss")
     telemetry.write_training_json(curve, os.path.join(folder, "training.json"), "learn", "test")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskframe.operators.rank import latest_per_key
-from riskframe.session import checkpoint_dir
+from riskframe.session import checkpoint_dir, materialise
 
 RESULTS_SCHEMA = T.StructType([
     T.StructField("model", T.StringType()),
@@ -30,6 +30,8 @@ RESULTS_SCHEMA = T.StructType([
     T.StructField("notes", T.StringType()),
 ])
 
+CORRUPT = "_corrupt_record"
+
 STATE_SCHEMA = T.StructType([
     T.StructField("run_id", T.StringType()),
     T.StructField("stage", T.StringType()),
@@ -56,18 +58,35 @@ def _is_dir(spark: SparkSession, path: str) -> bool:
 
 
 def read_results_log(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """S3: the log as a typed frame; a missing log is an empty frame and
-    malformed JSON records are dropped."""
+    """S3: the log as a typed frame; a missing log is an empty frame.
+
+    JSON is read permissively: a record that does not parse stays as a row of
+    NULLs whose text is in ``_corrupt_record`` (only JSON has that column);
+    ``corrupt_records`` counts them, ``parsed_records`` leaves them out."""
     if not _exists(spark, path):
         return spark.createDataFrame([], RESULTS_SCHEMA)
     if fmt == "json":
         # a single file holds one JSON array (the original log form); a folder
         # holds JSON Lines appended by `append_results(fmt="json")`
-        return (spark.read.schema(RESULTS_SCHEMA).option("mode", "DROPMALFORMED")
-                .option("multiLine", not _is_dir(spark, path)).json(path))
+        schema = T.StructType([*RESULTS_SCHEMA.fields, T.StructField(CORRUPT, T.StringType())])
+        parsed = (spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+                  .option("multiLine", not _is_dir(spark, path)).json(path))
+        return materialise(parsed, "results-log")   # Spark does not count corrupt records while it parses
     return spark.read.schema(RESULTS_SCHEMA).parquet(path)
 
 
+def parsed_records(log: DataFrame) -> DataFrame:
+    """The records that parsed, without the corrupt-record column."""
+    return log.where(F.col(CORRUPT).isNull()).drop(CORRUPT) if CORRUPT in log.columns else log
+
+
+def corrupt_records(spark: SparkSession, path: str) -> DataFrame:
+    """``(n_records, n_corrupt)`` of a JSON log."""
+    log = read_results_log(spark, path, "json")
+    bad = F.col(CORRUPT).isNotNull() if CORRUPT in log.columns else F.lit(False)
+    return log.agg(F.count(F.lit(1)).alias("n_records"), F.count_if(bad).alias("n_corrupt"))
+
+
 def append_results(records: DataFrame, path: str, fmt: str = "parquet") -> None:
     """Append records (e.g. from :func:`riskframe.operators.metrics.evaluate`)."""
     cols = []
@@ -85,7 +104,7 @@ def append_results(records: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 def latest_results(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """W3 over the log: the current record per model."""
-    return latest_per_key(read_results_log(spark, path, fmt), ["model"], "timestamp")
+    return latest_per_key(parsed_records(read_results_log(spark, path, fmt)), ["model"], "timestamp")
 
 
 def save_stage_state(spark: SparkSession, path: str, run_id: str, stage: str, kv) -> None:

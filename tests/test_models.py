@@ -94,3 +94,46 @@ def test_ablation_scores_the_held_out_fold_once_per_set(frame):
     out = md.ablation({k: frame for k in sets}, lambda d, f: md.fit_logistic(d, f, C=1.0), sets)
     assert {(r["model"], r["count"]) for r in out.groupBy("model").count().collect()} == {("signal", 100), ("noise", 100)}
     assert auc(out.where("model = 'signal'")) > auc(out.where("model = 'noise'")) + 0.1
+
+
+def test_boosting_with_patience_keeps_the_first_best_trees(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, int(rng.random() < 1 / (1 + np.exp(-3 * x))), float(x), float(z)) for i, (x, z) in enumerate(rng.normal(size=(600, 2)))]
+    df = spark.createDataFrame(rows, "row_id long, y int, a double, b double")
+    train, valid = df.where("row_id % 2 = 0"), df.where("row_id % 2 = 1")
+    got = md.boost_with_patience(train, valid, ["a", "b"], max_iter=30, patience=3, step=0.5, maxDepth=3)
+    curve = got.curve.orderBy("iter").collect()
+    best = min(range(len(curve)), key=lambda i: (curve[i].test, i))
+    assert got.best_iter == best and len(curve) == min(30, best + 4)
+    assert got.model.getNumTrees == best + 1 and [r.passed for r in curve] == sorted(r.passed for r in curve)
+    # the model is its first trees: its loss on the held-out rows is the curve's at the best iteration
+    p = np.array([(r.y, r.score) for r in md.predict_proba(got.model, valid, ["a", "b"]).collect()])
+    loss = -2 * np.log(np.where(p[:, 0] == 1, p[:, 1], 1 - p[:, 1])).mean()
+    assert loss == pytest.approx(curve[best].test, rel=1e-9)
+    margin = sum(w * t.predict(_vec(rows[1])) for w, t in zip(got.model.treeWeights, got.model.trees))
+    one = md.predict_proba(got.model, df.where("row_id = 1"), ["a", "b"]).first().score
+    assert one == pytest.approx(1 / (1 + np.exp(-2 * margin)), rel=1e-9)
+
+
+def _vec(row):
+    from pyspark.ml.linalg import Vectors
+    return Vectors.dense(row[2:])
+
+
+def test_a_search_resumes_after_a_stop(spark, tmp_path):
+    df = spark.createDataFrame([(i, i % 2, float(i % 7 + 3 * (i % 2))) for i in range(80)], "row_id long, y int, a double")
+    space = {"C": ("loguniform", 0.01, 10.0)}
+    fits = []
+
+    def fit(d, p, stop_at=None):
+        if stop_at is not None and len(fits) == stop_at:
+            raise KeyboardInterrupt
+        fits.append(p["C"])
+        return md.fit_logistic(d, ["a"], C=p["C"], max_iter=20)
+    state = str(tmp_path / "state")
+    with pytest.raises(KeyboardInterrupt):
+        md.random_search(df, df, ["a"], lambda d, p: fit(d, p, 2), space, 4, state=state)
+    trials, best, model = md.random_search(df, df, ["a"], fit, space, 4, state=state)
+    whole, want, _ = md.random_search(df, df, ["a"], fit, space, 4)
+    assert len(set(fits[:4])) == 4 and best == want and model is not None
+    assert sorted(map(str, trials.collect())) == sorted(map(str, whole.collect()))
