@@ -57,6 +57,52 @@ CATALOGUE = {
         "T3", log_amount="Log_Amount", hour="Hour", hour_sin=True, hour_cos=True, amount_bin=True,
         amount_cross=("V14", "V12", "V10", "V17"), norm=True,
         scale=("Time", "Amount", "Log_Amount", "V_norm", "Hour")),
+    "T4": FeatureSet(
+        "T4", norm=True, hour="Hour", hour_sin=True,
+        amount_cross=("V14", "V4", "V17", "V16", "V11", "V12", "V10"), amount_cross_name="Amt_x_{v}",
+        pairs=("V14", "V4", "V17", "V16", "V11"), squares=("V14", "V4", "V17", "V16", "V11"),
+        scale=("Time", "Amount", "V_norm", "Hour")),
+    "T5_A": FeatureSet(
+        "T5_A", log_amount="Log_Amount", norm=True, hour="Hour", hour_sin=True,
+        amount_cross=("V14", "V12", "V10", "V17"), amount_cross_name="Amt_x_{v}",
+        scale=("Time", "Amount", "Log_Amount", "V_norm", "Hour")),
+    "T5_B": FeatureSet(
+        "T5_B", log_amount="Log_Amount", norm=True, hour="Hour", hour_sin=True,
+        amount_cross=("V14", "V4", "V17", "V16", "V11", "V12", "V10"), amount_cross_name="Amt_x_{v}",
+        pairs=("V14", "V4", "V17", "V16", "V11"), squares=("V14", "V4", "V17", "V16", "V11"),
+        scale=("Time", "Amount", "Log_Amount", "V_norm", "Hour")),
+    "T6_A": FeatureSet(
+        "T6_A", norm=True, hour="Hour",
+        amount_cross=("V14", "V12", "V10", "V17", "V4", "V3", "V1", "V9", "V11"), amount_cross_name="Amt_x_{v}",
+        norm_cross=("V4", "V14"), scale=("Time", "Amount", "V_norm", "Hour")),
+    "T6_B": FeatureSet(
+        "T6_B", log_amount="Log_Amount", norm=True, hour="Hour", hour_sin=True,
+        amount_cross=("V14", "V4", "V17", "V16", "V11", "V12", "V10", "V3", "V1", "V9"), amount_cross_name="Amt_x_{v}",
+        pairs=("V14", "V4", "V17", "V16", "V11"), squares=("V14", "V4", "V17", "V16", "V11", "V3", "V1", "V9"),
+        scale=("Time", "Amount", "Log_Amount", "V_norm", "Hour")),
+    "T7_A": FeatureSet(
+        "T7_A", norm=True,
+        amount_cross=("V14", "V12", "V17", "V4", "V3", "V1", "V9", "V11", "V13", "V24", "V23", "V8"),
+        amount_cross_name="Amt_x_{v}", norm_cross=("V4", "V14", "V3", "V11", "V12", "V13"),
+        scale=("Time", "Amount", "V_norm")),
+    "T7_B": FeatureSet(
+        "T7_B", log_amount="Log_Amount", norm=True, hour="Hour", hour_sin=True,
+        amount_cross=("V14", "V4", "V17", "V16", "V11", "V12", "V10", "V3", "V1", "V9", "V13", "V24", "V23", "V8"),
+        amount_cross_name="Amt_x_{v}", norm_cross=("V4", "V14", "V3", "V11", "V12", "V13"),
+        pairs=("V14", "V4", "V17", "V16", "V11", "V13"),
+        squares=("V14", "V4", "V17", "V16", "V11", "V13", "V24", "V8"),
+        scale=("Time", "Amount", "Log_Amount", "V_norm", "Hour")),
+    "T8_A": FeatureSet(
+        "T8_A", norm=True,
+        amount_cross=("V14", "V12", "V17", "V4", "V3", "V1", "V9", "V11", "V13", "V24", "V23", "V8"),
+        amount_cross_name="Amt_x_{v}", norm_cross=("V4", "V14", "V3", "V11", "V12", "V13"),
+        scale=("Time", "Amount", "V_norm")),
+    "T8_B": FeatureSet(
+        "T8_B", log_amount="Log_Amount", norm=True, hour="Hour", hour_sin=True,
+        amount_cross=("V14", "V4", "V17", "V16", "V11", "V12", "V10", "V3", "V1", "V9", "V13", "V24", "V23", "V8"),
+        amount_cross_name="Amt_x_{v}", pairs=("V14", "V4", "V17", "V16", "V11", "V13"),
+        squares=("V14", "V4", "V17", "V16", "V11", "V13", "V24", "V8"),
+        scale=("Time", "Amount", "Log_Amount", "V_norm", "Hour")),
     "T9_A": FeatureSet(
         "T9_A", norm=True, norm_powers=(2, 3), amount_cross=tuple(V_ALL), amount_cross_name="Amt_x_{v}",
         norm_cross=tuple(V_ALL), scale=("Time", "Amount", "V_norm")),
@@ -71,6 +117,40 @@ CATALOGUE = {
 }
 
 
+@dataclass(frozen=True)
+class SegmentSet:
+    """The customer-segmentation features: log1p of skewed columns, ratios of
+    the logged columns (P16), correlated columns dropped, all scaled."""
+    skewed: tuple[str, ...]
+    ratios: tuple[tuple[str, str, str], ...]
+    drop: tuple[str, ...]
+
+
+# The columns of the reference's segmentation set.
+SEGMENTS = SegmentSet(
+    skewed=("BALANCE", "PURCHASES", "ONEOFF_PURCHASES", "INSTALLMENTS_PURCHASES", "CASH_ADVANCE", "PAYMENTS",
+            "MINIMUM_PAYMENTS", "CREDIT_LIMIT"),
+    ratios=(("PURCHASE_TO_LIMIT_RATIO", "PURCHASES", "CREDIT_LIMIT"), ("CASH_ADVANCE_RATIO", "CASH_ADVANCE", "CREDIT_LIMIT"),
+            ("PAYMENT_TO_BALANCE_RATIO", "PAYMENTS", "BALANCE"), ("INSTALLMENT_RATIO", "INSTALLMENTS_PURCHASES", "PURCHASES")),
+    drop=("ONEOFF_PURCHASES", "PURCHASES_INSTALLMENTS_FREQUENCY", "CASH_ADVANCE_TRX"))
+
+
+def build_segment_set(df: DataFrame, spec: SegmentSet = SEGMENTS, fit_on: DataFrame | None = None,
+                      keep: tuple[str, ...] = ("row_id",)) -> tuple[DataFrame, list[str]]:
+    """The segmentation features of ``df`` (other numeric columns stay);
+    ``fit_on``, raw like ``df``, supplies the scaler."""
+    from riskframe.operators import stats as st
+
+    def project(d: DataFrame) -> DataFrame:
+        logged = {c: fx.log_amount(c) if c in spec.skewed else F.col(c) for c in d.columns}
+        out = [v.alias(c) for c, v in logged.items() if c not in spec.drop]
+        return d.select(*out, *[fx.safe_ratio(logged[a], logged[b]).alias(n) for n, a, b in spec.ratios])
+    built = project(df)
+    feats = [c for c in built.columns if c not in keep]
+    base = built if fit_on is None else project(fit_on)
+    return st.apply_robust_scaler(built, st.fit_robust_scaler(base, feats), feats), feats
+
+
 def build_feature_set(df: DataFrame, spec: FeatureSet, fit_on: DataFrame | None = None,
                       keep: tuple[str, ...] = ("row_id", "Class")) -> tuple[DataFrame, list[str]]:
     """Apply one catalogue set; returns ``(frame, feature names)``.

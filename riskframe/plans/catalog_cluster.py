@@ -122,6 +122,18 @@ def a25_silhouette_embeddings(spark, sf):
     return round_doubles(cl.silhouette(pts, labels))
 
 
+@register("a25_silhouette_squared_embeddings",
+          f"""WITH {EMB_SQL},
+              d AS (SELECT a.id, a.label AS la, b.label AS lb, pow(list_distance(a.x, b.x), 2) AS dist FROM e a JOIN e b ON a.id <> b.id),
+              m AS (SELECT id, la, lb, avg(dist) AS md FROM d GROUP BY id, la, lb),
+              ab AS (SELECT id, max(CASE WHEN la = lb THEN md END) AS a, min(CASE WHEN la <> lb THEN md END) AS b FROM m GROUP BY id)
+              SELECT round(avg(CASE WHEN a IS NULL THEN 0.0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette, count(*) AS n_sample,
+                     (SELECT count(DISTINCT label) FROM e) AS n_clusters FROM ab""")
+def a25_silhouette_squared_embeddings(spark, sf):
+    pts, labels = emb_points(spark, sf)
+    return round_doubles(cl.silhouette_squared(pts, labels))
+
+
 @register("a26_davies_bouldin_embeddings",
           f"""WITH {EMB_SQL},
               u AS (SELECT e.label, i, v FROM e, unnest(x) WITH ORDINALITY AS t(v, i)),

@@ -17,7 +17,7 @@ from riskframe.operators import stats as st
 from riskframe.plans.catalog_metrics import LIN200, LONG_SQL, _rank_metrics_sql, _sweep_sql, long_scores
 from riskframe.plans.catalog_models import GBT, split
 from riskframe.plans.common import LINEITEM_V, round_doubles, table
-from riskframe.plans.registry import ORACLE, register
+from riskframe.plans.registry import ORACLE, QUERIES, register
 from riskframe.sources import logs, sinks, telemetry
 
 
@@ -70,6 +70,17 @@ def s3_s4_json_log_lineitem(spark, sf):
         F.lit(n.n_records).cast("bigint").alias("n_records"))
 
 
+@register("s6_write_feature_importance_lineitem", ORACLE["a5_outlier_counts_lineitem"].join(
+    ("SELECT feature, outlier_count::DOUBLE AS importance, (row_number() OVER (ORDER BY outlier_count DESC, feature) - 1)::BIGINT AS line FROM (", ")")))
+def s6_write_feature_importance_lineitem(spark, sf):
+    """Outlier counts as importances: written, and read back line by line."""
+    path = logs.scratch_path(spark, "importance")
+    found = QUERIES["a5_outlier_counts_lineitem"](spark, sf)
+    sinks.write_feature_importance(found.select("feature", F.col("outlier_count").cast("double").alias("importance")), path)
+    back = spark.read.schema("feature string, importance double").option("header", True).csv(path)
+    return back.withColumn("line", F.monotonically_increasing_id())
+
+
 @register("s7_export_labels_documents",
           "SELECT d.doc_id, d.lang, d.n_chars, coalesce(l.quality, -1) AS quality_label "
           "FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")

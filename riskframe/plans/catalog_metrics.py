@@ -378,6 +378,13 @@ def e5_best_of_500_draws_lineitem(spark, sf):
     return en.best_candidate(round_doubles(en.weight_search(wide_scores(spark, sf), list(MODELS.values()), E5_DRAWS)))
 
 
+@register("f4_no_survivor_lineitem",
+          f"WITH {LONG_SQL} SELECT DISTINCT row_id, y, 0.0::DOUBLE AS score FROM s")
+def f4_no_survivor_lineitem(spark, sf):
+    """No model qualifies: every row scores 0."""
+    return en.qualified_rank_blend(long_scores(spark, sf), min_auc=1.1, on_empty="zeros")
+
+
 @register("e6_pick_method_lineitem",
           f"""WITH {LONG_SQL},
               r AS (SELECT row_id, y, model, (rank() OVER (PARTITION BY model ORDER BY score)

@@ -513,3 +513,75 @@ def p_catalogue_t9_sets_embeddings(spark, sf):
                                                    F.lit(len(feats)).alias("n_features"), "n_rows", "checksum")
         res = agg if res is None else res.unionByName(agg)
     return round_doubles(res)
+
+
+def _feature_set_sql(spec) -> str:
+    """DuckDB SQL for one catalogue set over the card frame."""
+    vs = [f"V{i}" for i in range(1, 29)]
+    norm = "sqrt(0.0 + " + " + ".join(f"{v} * {v}" for v in vs) + ")"
+    la, hour = "ln(1 + Amount)", "floor((((Time % 86400) + 86400) % 86400) / 3600)::DOUBLE"
+    out = {v: v for v in vs} | ({"Time": "Time", "Amount": "Amount"} if spec.keep_raw else {})
+    if spec.log_amount:
+        out[spec.log_amount] = la
+    if spec.second_cyclic:
+        out |= {"time_sin": "sin(2 * pi() * Time / 86400.0)", "time_cos": "cos(2 * pi() * Time / 86400.0)"}
+    if spec.hour:
+        out[spec.hour] = hour
+    out |= {n: f"{f}(2 * pi() * {hour} / 24.0)" for n, f, on in (("Time_sin", "sin", spec.hour_sin), ("Time_cos", "cos", spec.hour_cos)) if on}
+    out |= {spec.amount_cross_name.format(v=v): f"{la} * {v}" for v in spec.amount_cross}
+    if spec.norm:
+        out |= {"V_norm": norm} | {{2: "V_norm_sq", 3: "V_norm_cube"}[k]: f"pow({norm}, {k})" for k in spec.norm_powers}
+        out |= {f"Vnorm_x_{v}": f"{norm} * {v}" for v in spec.norm_cross}
+    out |= {f"{a}_x_{b}": f"{a} * {b}" for i, a in enumerate(spec.pairs) for b in spec.pairs[i + 1:]}
+    out |= {f"{v}_sq": f"{v} * {v}" for v in spec.squares}
+    if spec.amount_zscore:
+        out["amt_zscore"] = "(Amount - (SELECT avg(Amount) FROM c)) / ((SELECT stddev_samp(Amount) FROM c) + 1e-8)"
+    if spec.amount_bin:
+        cuts = "(SELECT list_distinct(quantile_cont(Amount, [i / 10.0 FOR i IN range(11)])) FROM c)"
+        out["Amount_bin"] = f"greatest(len(list_filter({cuts}, lambda q: q < Amount)) - 1, 0)::INTEGER"
+    built = ", ".join(f"{e} AS {n}" for n, e in out.items())
+    return f"WITH {_CARD_SQL}, f AS (SELECT row_id, Class, {built} FROM c), " + _scaled_sql(["row_id", "Class"], list(out), list(spec.scale), ["Amount_bin"])
+
+
+def _scaled_sql(keep: list[str], cols: list[str], scale: list[str], whole: list[str]) -> str:
+    """The end of a feature set's SQL: robust scaling of ``scale``, rounding."""
+    q = ", ".join(f"quantile_cont({c}, {p}) AS {c}_{n}" for c in scale for n, p in (("q1", 0.25), ("md", 0.5), ("q3", 0.75)))
+    fit = f"s AS (SELECT {q} FROM f) " if q else "s AS (SELECT 0 AS none) "
+    one = lambda c: (f"({c} - {c}_md) / CASE WHEN {c}_q3 - {c}_q1 = 0 THEN 1.0 ELSE {c}_q3 - {c}_q1 END" if c in scale else c)
+    return fit + "SELECT " + ", ".join([*keep, *[f"{one(c)} AS {c}" if c in whole else f"round({one(c)}, 6) AS {c}" for c in cols]]) + " FROM f, s"
+
+
+def _register_feature_sets() -> None:
+    from riskframe.functions.catalogue import CATALOGUE, build_feature_set
+    for name, spec in CATALOGUE.items():
+        if name == "T1_eng":
+            continue        # has a query of its own
+
+        def run(spark, sf, spec=spec):
+            return round_doubles(build_feature_set(card_frame(spark, sf), spec)[0])
+        run.__name__ = f"p_catalogue_{name.lower()}_embeddings"
+        register(run.__name__, _feature_set_sql(spec))(run)
+
+
+_register_feature_sets()
+
+_SEGMENT_COLS = ["BALANCE", "PURCHASES", "ONEOFF_PURCHASES", "INSTALLMENTS_PURCHASES", "CASH_ADVANCE", "PAYMENTS", "MINIMUM_PAYMENTS",
+                 "CREDIT_LIMIT", "PURCHASES_INSTALLMENTS_FREQUENCY", "CASH_ADVANCE_TRX", "TENURE"]
+
+
+def _segment_sql() -> str:
+    from riskframe.functions.catalogue import SEGMENTS as S
+    raw = ", ".join(f"abs(embedding[{i + 1}]::DOUBLE) * 1000 AS {c}" for i, c in enumerate(_SEGMENT_COLS))
+    logged = {c: f"ln(1 + {c})" if c in S.skewed else c for c in _SEGMENT_COLS}
+    out = {c: e for c, e in logged.items() if c not in S.drop} | {n: f"{logged[a]} / ({logged[b]} + 1.0)" for n, a, b in S.ratios}
+    return (f"WITH c AS (SELECT vec_id AS row_id, {raw} FROM embeddings), f AS (SELECT row_id, "
+            + ", ".join(f"{e} AS {n}" for n, e in out.items()) + " FROM c), " + _scaled_sql(["row_id"], list(out), list(out), []))
+
+
+@register("p_catalogue_segments_embeddings", _segment_sql())
+def p_catalogue_segments_embeddings(spark, sf):
+    """``embeddings`` as accounts: the first coordinates, as amounts."""
+    from riskframe.functions.catalogue import build_segment_set
+    em = table(spark, sf, "embeddings").select(F.col("vec_id").alias("row_id"), *[
+        (F.abs(F.col("embedding")[i].cast("double")) * 1000).alias(c) for i, c in enumerate(_SEGMENT_COLS)])
+    return round_doubles(build_segment_set(em)[0])

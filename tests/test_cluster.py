@@ -180,3 +180,21 @@ def test_davies_bouldin_over_blocks_of_centroids(spark, monkeypatch):
         monkeypatch.setattr(cl, "CENTROID_BLOCK", block)
         r = cl.davies_bouldin(_points(spark, X), labels).first()
         assert r.davies_bouldin == pytest.approx(want) and r.n_clusters == 150
+
+
+def test_squared_silhouette_matches_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    X, lab = rng.normal(size=(300, 3)) + 100.0, np.append(np.repeat(np.arange(43), 7)[:298], [90, -1])[:300]
+    labels = spark.createDataFrame([(i, int(c)) for i, c in enumerate(lab)], "id long, cluster int")
+    keep = lab >= 0
+    D = ((X[keep][:, None] - X[keep][None]) ** 2).sum(-1)
+    names = lab[keep]
+    s = []
+    for i in range(len(D)):
+        per = {c: D[i][(names == c) & (np.arange(len(D)) != i)] for c in set(names)}
+        a, b = per[names[i]], min(v.mean() for c, v in per.items() if c != names[i])
+        s.append(0.0 if not len(a) else (b - a.mean()) / max(a.mean(), b))
+    for block in (1024, 10):
+        monkeypatch.setattr(cl, "CENTROID_BLOCK", block)
+        r = cl.silhouette_squared(_points(spark, X), labels).first()
+        assert r.silhouette == pytest.approx(np.mean(s), rel=1e-6) and (r.n_sample, r.n_clusters) == (int(keep.sum()), len(set(names)))
