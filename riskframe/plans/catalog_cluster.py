@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from riskframe.operators import cluster as cl
 from riskframe.operators import stats as st
+from riskframe.plans.catalog_stats import _fences_cte
 from riskframe.plans.common import round_doubles, table
 from riskframe.plans.registry import register
 
@@ -134,6 +135,39 @@ def a25_silhouette_squared_embeddings(spark, sf):
     return round_doubles(cl.silhouette_squared(pts, labels))
 
 
+_X7 = [f"x{k}" for k in range(7)]
+_INSIDE7 = " AND ".join(f"NOT ({c} < f.{c}_lo OR {c} > f.{c}_hi)" for c in _X7)
+_SQ7 = " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in _X7)
+_CAPPED7 = ", ".join(f"least(greatest({c}, f.{c}_lo), f.{c}_hi) AS {c}" for c in _X7)
+
+
+def _squared_sql(rows: str) -> str:
+    """The silhouette over squared distances of ``rows(id, label, x0..x6)``."""
+    return f"""SELECT avg(CASE WHEN a IS NULL THEN 0.0 ELSE (b - a) / greatest(a, b) END) FROM (
+        SELECT id, max(CASE WHEN la = lb THEN md END) AS a, min(CASE WHEN la <> lb THEN md END) AS b FROM (
+          SELECT a.id, a.label AS la, b.label AS lb, avg({_SQ7}) AS md FROM {rows} a JOIN {rows} b ON a.id <> b.id
+          GROUP BY a.id, a.label, b.label) GROUP BY id)"""
+
+
+@register("a8_coverage_compare_scores_embeddings",
+          f"""WITH {_FOLDED_SQL}, {_fences_cte('pts', _X7)}, l AS (SELECT vec_id AS id, label FROM embeddings),
+              inside AS (SELECT pts.*, label FROM pts JOIN l USING (id), f WHERE {_INSIDE7}),
+              capped AS (SELECT id, label, {_CAPPED7} FROM pts JOIN l USING (id), f),
+              s AS (SELECT (SELECT count(*) FROM pts) AS n, (SELECT count(*) FROM inside) AS k,
+                           ({_squared_sql('inside')}) AS sd, ({_squared_sql('capped')}) AS sc)
+              SELECT 'drop' AS approach, k AS rows_used, n AS total_rows, round(k * 100.0 / n, 6) AS coverage_pct,
+                     round(sd, 6) AS score, NULL::DOUBLE AS delta_pct FROM s
+              UNION ALL SELECT 'cap', n, n, 100.0, round(sc, 6), round((sc - sd) * 100.0 / sd, 6) FROM s""")
+def a8_coverage_compare_scores_embeddings(spark, sf):
+    """Dropping against capping outliers, each scored by the silhouette of
+    the given labels on the rows that it leaves."""
+    x = folded_points(spark, sf).select("id", *[F.col("x")[k].alias(c) for k, c in enumerate(_X7)])
+    labels = emb_points(spark, sf)[1]
+    score = lambda d: cl.silhouette_squared(cl.as_points(d, "id", _X7), labels).first().silhouette
+    scores = score(st.iqr_drop(x, _X7)), score(st.iqr_cap(x, _X7)[0])
+    return round_doubles(st.coverage_compare(x, _X7, score_drop=scores[0], score_cap=scores[1]))
+
+
 @register("a26_davies_bouldin_embeddings",
           f"""WITH {EMB_SQL},
               u AS (SELECT e.label, i, v FROM e, unnest(x) WITH ORDINALITY AS t(v, i)),
