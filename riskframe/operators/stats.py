@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from riskframe.functions.features import clip
 from riskframe.operators.quantiles import iqr_fences, local_frame, quantiles, stats_literals
+from riskframe.session import materialise
 
 
 def _stack(wide: DataFrame, cols: list[str], key: str, fields: dict[str, str]) -> DataFrame:
@@ -333,7 +334,8 @@ def with_balanced_weight(df: DataFrame, y: str, name: str = "weight") -> DataFra
     number of classes), so the join sees their real size.  Rows without a
     label count in no class and get a NULL weight.
     """
-    counts = df.where(F.col(y).isNotNull()).groupBy(F.col(y).alias("_c")).agg(F.count(F.lit(1)).alias("_n")).checkpoint()
+    counts = df.where(F.col(y).isNotNull()).groupBy(F.col(y).alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = materialise(counts, "class-counts")
     n, k = counts.agg(F.sum("_n"), F.count(F.lit(1))).first()
     w = counts.select("_c", (F.lit(n).cast("double") / (F.lit(k) * F.col("_n"))).alias(name))
     return df.drop(name).join(w, F.col(y) == F.col("_c"), "left").drop("_c")

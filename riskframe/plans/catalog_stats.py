@@ -14,7 +14,7 @@ from riskframe.operators import stats as st
 from riskframe.operators.quantiles import iqr_fences, quantiles
 from riskframe.plans.common import LINEITEM_V, lineitem, round_doubles, table
 from riskframe.plans.eda import outlier_profile
-from riskframe.plans.registry import register
+from riskframe.plans.registry import ORACLE, register
 
 EV_COLS = ["event_id", "user_id", "value"]
 LI_NUM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
@@ -501,7 +501,7 @@ def p_catalogue_t1_eng_embeddings(spark, sf):
 @register("p_catalogue_t9_sets_embeddings")
 def p_catalogue_t9_sets_embeddings(spark, sf):
     """Feature sets A and B of the final trial: feature counts and a
-    checksum per set (rows-only)."""
+    checksum per set."""
     from riskframe.functions.catalogue import CATALOGUE, build_feature_set
     card = card_frame(spark, sf)
     res = None
@@ -515,8 +515,9 @@ def p_catalogue_t9_sets_embeddings(spark, sf):
     return round_doubles(res)
 
 
-def _feature_set_sql(spec) -> str:
-    """DuckDB SQL for one catalogue set over the card frame."""
+def _feature_set_sql(spec, total: bool = False) -> str:
+    """DuckDB SQL for one catalogue set over the card frame, or (``total``)
+    for the number of its features and rows and the sum of all its values."""
     vs = [f"V{i}" for i in range(1, 29)]
     norm = "sqrt(0.0 + " + " + ".join(f"{v} * {v}" for v in vs) + ")"
     la, hour = "ln(1 + Amount)", "floor((((Time % 86400) + 86400) % 86400) / 3600)::DOUBLE"
@@ -540,14 +541,17 @@ def _feature_set_sql(spec) -> str:
         cuts = "(SELECT list_distinct(quantile_cont(Amount, [i / 10.0 FOR i IN range(11)])) FROM c)"
         out["Amount_bin"] = f"greatest(len(list_filter({cuts}, lambda q: q < Amount)) - 1, 0)::INTEGER"
     built = ", ".join(f"{e} AS {n}" for n, e in out.items())
-    return f"WITH {_CARD_SQL}, f AS (SELECT row_id, Class, {built} FROM c), " + _scaled_sql(["row_id", "Class"], list(out), list(spec.scale), ["Amount_bin"])
+    return f"WITH {_CARD_SQL}, f AS (SELECT row_id, Class, {built} FROM c), " + _scaled_sql(["row_id", "Class"], list(out), list(spec.scale), ["Amount_bin"], total and spec.name)
 
 
-def _scaled_sql(keep: list[str], cols: list[str], scale: list[str], whole: list[str]) -> str:
+def _scaled_sql(keep: list[str], cols: list[str], scale: list[str], whole: list[str], total: str | bool = False) -> str:
     """The end of a feature set's SQL: robust scaling of ``scale``, rounding."""
     q = ", ".join(f"quantile_cont({c}, {p}) AS {c}_{n}" for c in scale for n, p in (("q1", 0.25), ("md", 0.5), ("q3", 0.75)))
     fit = f"s AS (SELECT {q} FROM f) " if q else "s AS (SELECT 0 AS none) "
     one = lambda c: (f"({c} - {c}_md) / CASE WHEN {c}_q3 - {c}_q1 = 0 THEN 1.0 ELSE {c}_q3 - {c}_q1 END" if c in scale else c)
+    if total:
+        both = " + ".join(f"coalesce({one(c)}, 0.0)" for c in cols)
+        return fit + f"SELECT '{total}' AS feature_set, {len(cols)} AS n_features, count(*) AS n_rows, round(sum({both}), 6) AS checksum FROM f, s"
     return fit + "SELECT " + ", ".join([*keep, *[f"{one(c)} AS {c}" if c in whole else f"round({one(c)}, 6) AS {c}" for c in cols]]) + " FROM f, s"
 
 
@@ -565,6 +569,14 @@ def _register_feature_sets() -> None:
 
 _register_feature_sets()
 
+
+def _checksum_sql() -> str:
+    from riskframe.functions.catalogue import CATALOGUE
+    return " UNION ALL ".join(f"({_feature_set_sql(CATALOGUE[n], True)})" for n in ("T3", "T9_A", "T9_B"))
+
+
+ORACLE["p_catalogue_t9_sets_embeddings"] = _checksum_sql()
+
 _SEGMENT_COLS = ["BALANCE", "PURCHASES", "ONEOFF_PURCHASES", "INSTALLMENTS_PURCHASES", "CASH_ADVANCE", "PAYMENTS", "MINIMUM_PAYMENTS",
                  "CREDIT_LIMIT", "PURCHASES_INSTALLMENTS_FREQUENCY", "CASH_ADVANCE_TRX", "TENURE"]
 
