@@ -1,370 +1,475 @@
-"""LM scoring: logistic mixing of hashed-context bit predictors.
-
-A text is a class, then its lower-cased words, each closed by a space, then
-an end word.  The class is one of ``CLASSES`` mixture components over pairs
-of neighbouring bytes (in effect languages and kinds of text); naming it
-costs log10(``CLASSES``).  Every byte is coded as 8 binary decisions.  For
-each decision ``CONTEXTS`` predictors look up how often 0 and 1 followed a
-hashed context: the last 1, 2, 3 or 5 bytes of the word, the whole word so
-far, or the class and the whole word so far.  Their log odds are
-summed with weights that a gate selects (how many predictors have seen
-their context, how often the class and word were seen, and the bit's place);
+"""LM scoring: logistic mixing of hashed-context bit predictors over running text.
+
+A text is its lower-cased words, then an end word, coded in order.  A word
+with at least 1 / ``HEAD`` of all training occurrences (two at least) has a
+Huffman code; all others share one escape symbol and are then spelled
+(``spelling``).  Every bit of a code is predicted by ``PREDICTORS`` contexts:
+none, the previous word, the two previous words, and the word before the
+previous one.  Each looks up how often 0 and 1 followed its hashed context at
+this place of the code.  Their log odds are summed with weights that a gate
+selects (how often the two longer contexts were seen, and the bit's depth);
 the weights are learned online, by the coding error of each mini-batch of
-words.  A last table, gated the same way,
-refines the mixed probability towards the rate observed where it was given.
-The bits of a text add up to its log10 probability.
-
-No context reaches beyond the word and the class, so a word costs the same
-wherever it stands in texts of a class: bits are computed once per distinct
-(class, word) and summed over each document's word frequencies, as is the
-base score.
-
-Learning: the classes are fitted on about ``CLASS_SAMPLE`` training texts
-(any choice of classes gives a valid code; the counts cover all texts).  Bit
-counts are summed over all training words in fixed tables of 2^``BITS``
-slots.  Weights and the refining table are fitted over the same
-words, each prediction leaving out the occurrence it predicts, in one online
-pass per partition; the partitions' results are averaged by their weight.
+bits in the order of the text.  A last table, gated the same way, refines the
+mixed probability towards the rate observed where it was given.
+
+Passages that the corpus holds elsewhere are found at anchors: places whose
+last ``ANCHOR`` words hash to 0 modulo ``EVERY``.  The words up to the next
+anchor are a segment.  It costs ``-log2(q * share + (1 - q) * p)`` bits: p is
+its probability by the bits above, share that of this segment among those
+that follow the same anchor in training texts, and q the rate, learned by how
+often the anchor was seen, at which a segment was seen behind it before.
+
+The bits of a text add up to its log10 probability.  Word counts, anchors and
+segments are tables that grow with the corpus; the hashed contexts' tables
+have 8 slots a training word up to 2^``MOST_BITS``.  All of them cover all
+training texts.  Predictions for a training text leave out the occurrence
+they predict; bits, anchors and segments of held-out texts leave out nothing.
+
+Learning runs over shards of about ``SHARD`` training words (2^14 shards at
+most).  A text's shard and its place there are a hash of its id and text, so
+results do not depend on the number of tasks.  The shards' weights are
+averaged by what they saw.
 
 Defined results.  A null or empty text is the end word alone.  Every input
 row gives one row, also without an id (held out) or with a repeated one.
-Without training rows all counts are 0 and each bit costs 1.  An empty table
-gives an empty result.  Extra columns are ignored.
+Without training rows every word is spelled at 1 for each bit.  An empty
+table gives an empty result.  Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskframe.llm import spelling
 from riskframe.llm.base import materialise, remainder
-from riskframe.llm.terms import document_terms, head_terms, term_counts
+from riskframe.llm.terms import HEAD, term_counts
 
 END = b"\n"                 # the end word: no word holds it
-WORD, CLASS = 0, -1
-ORDERS = (1, 2, 3, 5, WORD, CLASS)  # bytes of context; the whole word so far, without and with the class
-CONTEXTS = len(ORDERS)
-BITS = (16, 18, 20, 21, 21, 21)     # each context's table has 2^this slots
-CLASSES = 8
-CLASS_SAMPLE = 4000
-PAIRS = 1024                # hashed pairs of bytes
-CLASS_BYTE = 0x80           # a term is one byte that names its class, then the word
+RARE = 1 << 20              # rare words are told apart as contexts by a hash of this range
+PREDICTORS = 4
+HASHED = PREDICTORS - 1     # the first predictor counts per place of the code, exactly
+MOST_BITS = 21              # a hashed context's table has at most 2^this slots
 BLOCK = 1 << 13             # slots of a block that travels as one row
-SURE = np.array([1, 2, 6, 20, 100])     # steps of the whole-word predictor's count
-GATES = (CONTEXTS + len(SURE)) * 8
+SEEN = np.array([1, 3, 20])             # steps of a context's count
+DEPTH = np.array([1, 4, 8])             # steps of a bit's place in the code
+GATES = 64
 LEVELS = 24                 # steps of the refining table
-SLICE = 1 << 14             # bytes that are predicted together
+SLICE = 1 << 12             # words that are predicted together
 RATE = 0.03
-
-
-def pairs(text: bytes) -> np.ndarray:
-    """How often each hashed pair of neighbouring bytes occurs."""
-    x = np.frombuffer(text, dtype=np.uint8).astype(np.uint32)
-    if len(x) < 2:
-        return np.zeros(PAIRS, dtype=np.int64)
-    return np.bincount(((x[:-1] * 256 + x[1:]) * np.uint32(0x9E3779B1)) >> np.uint32(22), minlength=PAIRS)
-
-
-def class_of(count: np.ndarray, log_share: np.ndarray) -> int:
-    return int((log_share @ count).argmax())
-
-
-def terms_of(text: bytes, log_share: np.ndarray) -> list[bytes]:
-    """The words of a text and the end word, each after its class's byte."""
-    low = text.lower()
-    head = bytes([CLASS_BYTE + class_of(pairs(low), log_share)])
-    out = [head + w for w in low.split()]
-    out.append(head + END)
+SHARD = 1 << 22
+ANCHOR, EVERY = 4, 32
+ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def words_of(text: bytes) -> list[bytes]:
+    return text.lower().split() + [END]
+
+
+class Code:
+    """A Huffman code: symbol s takes the decisions ``bits`` at the places
+    ``nodes``, both from ``start[s]`` to ``start[s + 1]``."""
+
+    def __init__(self, n: list[int]):
+        k = len(n)
+        heap = [(c, i) for i, c in enumerate(n)]
+        heapq.heapify(heap)
+        up, side = np.zeros(2 * k - 1, dtype=np.int64), np.zeros(2 * k - 1, dtype=np.uint8)
+        for place in range(k, 2 * k - 1):
+            (a, i), (b, j) = heapq.heappop(heap), heapq.heappop(heap)
+            up[i] = up[j] = place
+            side[j] = 1
+            heapq.heappush(heap, (a + b, place))
+        at, sym, levels = np.arange(k), np.arange(k), []
+        while k > 1 and len(sym):
+            levels.append((sym, up[at] - k, side[at]))
+            at = up[at]
+            on = at < 2 * k - 2
+            at, sym = at[on], sym[on]
+        size = np.zeros(k, dtype=np.int64)
+        for s, _, _ in levels:
+            size[s] += 1
+        self.start = np.concatenate([[0], np.cumsum(size)])
+        self.nodes = np.zeros(self.start[-1], dtype=np.uint32)
+        self.bits = np.zeros(self.start[-1], dtype=np.uint8)
+        self.depth = np.zeros(self.start[-1], dtype=np.uint8)
+        for back, (s, node, bit) in enumerate(levels):     # from the leaves up
+            place = self.start[s + 1] - 1 - back
+            self.nodes[place], self.bits[place] = node, bit
+            self.depth[place] = np.searchsorted(DEPTH, size[s] - 1 - back, side="right")
+        self.places = max(1, k - 1)
+
+    def expand(self, sym: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions in ``nodes`` of all the symbols' decisions, and whose each is."""
+        size = self.start[sym + 1] - self.start[sym]
+        word = np.repeat(np.arange(len(sym)), size)
+        return np.arange(len(word)) + (self.start[sym] - (np.cumsum(size) - size))[word], word
+
+
+def contexts(ids: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
+    """Hashes of the hashed predictors' contexts, per word; ``place`` is the
+    word's number in its text."""
+    x = ids.astype(np.uint64) + np.uint64(1)
+    last = np.where(place >= 1, np.roll(x, 1), np.uint64(0))
+    before = np.where(place >= 2, np.roll(x, 2), np.uint64(0))
+    out = []
+    for k, h in enumerate((last, last * ODD + before, before)):
+        h = (h + np.uint64(k + 1)) * np.uint64(0xD6E8FEB86659FD93)
+        h = (h ^ (h >> np.uint64(29))) * ODD
+        out.append((h >> np.uint64(32)).astype(np.uint32))
     return out
 
 
-def fit_classes(docs: DataFrame) -> np.ndarray:
-    """Log shares of byte pairs in each class: a multinomial mixture with
-    hard assignments, fitted on about ``CLASS_SAMPLE`` training texts."""
-    train = docs.where("w")
-    every = max(1, train.count() // CLASS_SAMPLE)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([pairs((t or b"").lower()).astype("<f4").tobytes() for t in b.column(0).to_pylist()],
-                                                       pa.binary())], names=["x"])
-    some = train.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("t").mapInArrow(run, "x binary")
-    rows = sorted(bytes(r["x"]) for r in some.limit(2 * CLASS_SAMPLE).collect())     # at most 32 MB
-    x = np.frombuffer(b"".join(rows), dtype="<f4").reshape(-1, PAIRS).astype(np.float64)
-    x = x[x.sum(axis=1) > 0]
-    if not len(x):
-        return np.zeros((CLASSES, PAIRS))
-    x /= x.sum(axis=1, keepdims=True)       # a long text counts no more than a short one
-    centre = [x.mean(axis=0)]
-    for _ in range(CLASSES):                # start from texts far from all earlier ones
-        far = np.min([1 - (np.sqrt(x) * np.sqrt(c)).sum(axis=1) for c in centre], axis=0)
-        centre.append(x[int(far.argsort()[int(0.98 * (len(far) - 1))])])
-    share = np.stack(centre[1:])
-    for _ in range(15):
-        log_share = np.log(share + 1e-5)
-        near = (x @ log_share.T).argmax(axis=1)
-        share = np.stack([x[near == k].mean(axis=0) if (near == k).any() else share[k] for k in range(CLASSES)])
-    return np.log(share + 1e-5)
-
-
-def slices(terms: list[bytes], weight: np.ndarray) -> Iterator[tuple]:
-    """``(bytes, contexts, weight, word)`` for bounded slices of the words
-    laid end to end, each closed by a space; class bytes are context only."""
-    data = np.frombuffer(b" ".join(terms) + b" ", dtype=np.uint8)
-    size = np.fromiter((len(t) + 1 for t in terms), dtype=np.int64, count=len(terms))
-    first = np.cumsum(size) - size
-    word = np.repeat(np.arange(len(terms)), size)
-    at = np.arange(len(data)) - first[word]
-    # running sums give the hash of any word's beginning
-    mixed = (data.astype(np.uint64) + np.uint64(1)) * ((at.astype(np.uint64) * np.uint64(2) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
-    run = np.concatenate([[np.uint64(0)], np.cumsum(mixed, dtype=np.uint64)])
-    kept = np.flatnonzero(at > 0)
-    contexts = []
-    for i, order in enumerate(ORDERS):
-        if order in (WORD, CLASS):
-            h = (run[:-1] - run[first + (order == WORD)][word] + at.astype(np.uint64))[kept]
-        else:
-            h = np.zeros(len(kept), dtype=np.uint64)
-            for k in range(1, order + 1):
-                back = data[kept - k].astype(np.uint64)
-                back[at[kept] <= k] = 0
-                h += back << np.uint64(8 * (k - 1))
-        h = (h + np.uint64(i + 1)) * np.uint64(0xD6E8FEB86659FD93)
-        contexts.append((h >> np.uint64(32)).astype(np.uint32))
-    data, word = data[kept], word[kept]
-    for a in range(0, len(data), SLICE):
-        part = slice(a, a + SLICE)
-        yield data[part], [c[part] for c in contexts], weight[word[part]], word[part]
-
-
-def slots(contexts: list[np.ndarray], node: np.ndarray) -> list[np.ndarray]:
-    """Table slots of the contexts at a node (the bits of the byte so far)."""
-    out = []
-    for c, bits in zip(contexts, BITS):
-        h = (c ^ (node * np.uint32(0x85EBCA6B))) * np.uint32(0xC2B2AE35)
-        out.append(((h ^ (h >> np.uint32(15))) * np.uint32(0x27D4EB2F)) >> np.uint32(32 - bits))
-    return out
+def slot(context: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
+    h = (context ^ (node * np.uint32(0x85EBCA6B))) * np.uint32(0xC2B2AE35)
+    return ((h ^ (h >> np.uint32(15))) * np.uint32(0x27D4EB2F)) >> np.uint32(32 - bits)
 
 
-def decisions(data: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    for j in range(8):
-        yield j, (data.astype(np.uint32) >> np.uint32(8 - j)) | np.uint32(1 << j), (data >> (7 - j)) & 1
+def level(z: np.ndarray) -> np.ndarray:
+    return np.clip(z * (LEVELS / 24) + LEVELS / 2, 0, LEVELS - 1).astype(np.int64)
 
 
-class Model:
+class Mixer:
     """Counts, mixing weights and the refining table."""
 
-    def __init__(self, counts: list[np.ndarray]):
-        # for each context: slots x (0s, 1s), the two counts of a slot as one number
-        self.pairs = [c.view(np.int64) for c in counts]
-        self.mix = np.full((GATES, CONTEXTS), 1 / CONTEXTS, dtype=np.float32)
-        self.seen = np.zeros((GATES, LEVELS, 2))                # refining table: weight, weight of ones
-
-    def predict(self, contexts, j, node, bit, leave_out: bool, limit: np.ndarray):
-        """Log odds of each predictor and the gate.
-
-        ``limit`` holds, per byte, how often each whole-word predictor saw
-        the bits so far.  A slot with more was written by another context,
-        so it is taken as unseen; ``limit`` is then brought up to date."""
-        x = np.empty((CONTEXTS, len(node)), dtype=np.float32)
-        known = np.zeros(len(node), dtype=np.int64)
-        one = bit.astype(np.float32)
-        for k, s in enumerate(slots(contexts, node)):
-            n = self.pairs[k].take(s).view(np.float32)      # the two counts of a slot in one read
-            n0, n1 = n[::2].copy(), n[1::2].copy()
-            if ORDERS[k] in (WORD, CLASS):
-                ok = n0 + n1 <= 1.02 * limit[ORDERS[k]] + 1
-                n0 *= ok
-                n1 *= ok
-                limit[ORDERS[k]] = np.where(bit == 1, n1, n0)
-            if leave_out:
-                n1 = np.maximum(n1 - one, 0)
-                n0 = np.maximum(n0 - (1 - one), 0)
-            both = n0 + n1
-            known += both > 0
+    def __init__(self, code: Code, counts: list[np.ndarray]):
+        self.code = code
+        self.pairs = [c.view(np.int64) for c in counts]     # the two counts of a slot as one number
+        self.bits = [int(len(c) // 2).bit_length() - 1 for c in counts]
+        self.mix = np.full((GATES, PREDICTORS), 1 / PREDICTORS, dtype=np.float32)
+        self.seen = np.zeros((GATES * LEVELS, 2))           # refining table: weight, weight of ones
+
+    def predict(self, node, bit, depth, context, own):
+        """Log odds of each predictor, and the gate.  ``own`` is 1 where the
+        counts hold the bit itself."""
+        x = np.empty((PREDICTORS, len(node)), dtype=np.float32)
+        gate = depth.astype(np.int64)
+        own1 = own * bit
+        own0 = own - own1
+        for k in range(PREDICTORS):
+            at = node if k == 0 else slot(context[k - 1], node, self.bits[k])
+            n = self.pairs[k].take(at).view(np.uint32)
+            n0, n1 = n[::2].astype(np.float32) - own0, n[1::2].astype(np.float32) - own1
             x[k] = np.log((n1 + np.float32(0.05)) / (n0 + np.float32(0.05)))
-        # the last predictor is that of the class and word: its count if it has one, else how many others have
-        sure = np.searchsorted(SURE, both, side="right")
-        return x, np.where(sure > 0, CONTEXTS - 1 + sure, np.minimum(known, CONTEXTS - 1)) * 8 + j
+            if k in (1, 2):
+                gate += np.searchsorted(SEEN, n0 + n1, side="right") * (4 if k == 1 else 16)
+        return x, gate
 
     def mixed(self, x, gate):
-        return np.clip(np.einsum("kn,nk->n", x, self.mix[gate]), -16, 16)
+        return np.clip(np.einsum("kn,nk->n", x, self.mix.take(gate, axis=0)), -16, 16)
 
     def refined(self, z, gate):
-        p = 1 / (1 + np.exp(-z.astype(np.float64)))
-        seen = self.seen[gate, level(z)]
+        p = 1 / (1 + np.exp(-z))
+        seen = self.seen.take(gate * LEVELS + level(z), axis=0)
         q = (seen[:, 1] + 20 * p) / (seen[:, 0] + 20)
         return np.clip((p + q) / 2, 1e-7, 1 - 1e-7)
 
+    def learn(self, x, gate, bit, past, total):
+        """One step against the coding error of a mini-batch."""
+        z = self.mixed(x, gate)
+        cell = gate * LEVELS + level(z)
+        self.seen[:, 0] += np.bincount(cell, minlength=GATES * LEVELS)
+        self.seen[:, 1] += np.bincount(cell, weights=bit, minlength=GATES * LEVELS)
+        e = bit - 1 / (1 + np.exp(-z))
+        n = np.bincount(gate, minlength=GATES)
+        g = np.stack([np.bincount(gate, weights=e * x[k], minlength=GATES) for k in range(PREDICTORS)], axis=1)
+        g /= np.maximum(n, 1)[:, None]
+        past += g ** 2
+        self.mix += (RATE * g / np.sqrt(past)).astype(np.float32)
+        total += n
+
+
+def slices(code: Code, ids: np.ndarray, place: np.ndarray) -> Iterator[tuple]:
+    """``(node, bit, depth, contexts, word)`` for the bits of bounded slices of words."""
+    ctx = contexts(ids, place)
+    sym = np.minimum(ids, len(code.start) - 2)      # ids of rare words mean the last symbol, the escape
+    for a in range(0, len(ids), SLICE):
+        at, word = code.expand(sym[a:a + SLICE])
+        yield code.nodes[at], code.bits[at], code.depth[at], [c[a:a + SLICE][word] for c in ctx], word + a
+
+
+def texts(batch: pa.RecordBatch, col: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The word ids of a batch's texts end to end, each word's number in its
+    text, and the texts' lengths."""
+    part = [zlib.decompress(x) for x in batch.column(col).to_pylist()]
+    size = np.fromiter((len(x) // 3 for x in part), dtype=np.int64, count=len(part))
+    raw = np.zeros((int(size.sum()), 4), dtype=np.uint8)
+    raw[:, :3] = np.frombuffer(b"".join(part), dtype=np.uint8).reshape(-1, 3)
+    first = np.cumsum(size) - size
+    return raw.view("<u4").ravel().astype(np.int64), np.arange(len(raw)) - np.repeat(first, size), size
 
-def level(z: np.ndarray) -> np.ndarray:
-    return np.clip(z * (LEVELS / 24) + LEVELS / 2, 0, LEVELS - 1).astype(np.int64)
 
+def encode(docs: DataFrame, head: Broadcast, shards: int) -> DataFrame:
+    """Texts as word ids, in their shards: ``(rid, doc_id, w, key, shard,
+    n_bytes, n_tokens, known, base, ids, rest)``; known and base are sums
+    over head words, rest holds the other words."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    d = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "w",
+                    F.xxhash64("doc_id", "t").alias("key"), F.coalesce("t", F.lit(b"")).alias("t"))
 
-def frequent(terms: list[bytes], n: np.ndarray, least: float, order: int) -> np.ndarray:
-    """Per byte, whether the word so far begins ``least`` occurrences or more
-    of the (sorted) words: rarer beginnings would only fill up the table."""
-    h = np.concatenate([c[ORDERS.index(order)] for _, c, _, _ in slices(terms, n)])
-    size = np.fromiter(map(len, terms), dtype=np.int64, count=len(terms))
-    _, back = np.unique(h, return_inverse=True)
-    return np.bincount(back, weights=np.repeat(n, size))[back] >= least
-
-
-def add_counts(t: list[np.ndarray], terms: list[bytes], n: np.ndarray, least: float) -> None:
-    often, at = {o: frequent(terms, n, least, o) for o in (WORD, CLASS)}, 0
-    for data, ctx, w, _ in slices(terms, n):
-        part = slice(at, at + len(data))
-        at += len(data)
-        for _, node, bit in decisions(data):
-            for k, s in enumerate(slots(ctx, node)):
-                cell = s.astype(np.int64) * 2 + bit
-                if ORDERS[k] in often:
-                    kept = often[ORDERS[k]][part]
-                    np.add.at(t[k], cell[kept], w[kept])
-                else:
-                    np.add.at(t[k], cell, w)
-
-
-def bit_counts(train: DataFrame, least: float) -> list[np.ndarray]:
-    """Counts of all training words, summed in blocks of slots; the whole
-    word's predictors take contexts seen ``least`` times or more."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = [np.zeros(2 << bits) for bits in BITS]
+        names, base = head.value
+        number = {x: i for i, x in enumerate(names)}
+        k = len(names)
         for b in batches:
-            n = np.array(b.column(1).to_pylist(), dtype=np.float64)
-            terms = b.column(0).to_pylist()
-            if terms:
-                add_counts(t, terms, n, least)
-        for k in range(CONTEXTS):
-            block = [(i, t[k][2 * i * BLOCK:2 * (i + 1) * BLOCK].astype("<f4")) for i in range((1 << BITS[k]) // BLOCK)]
-            block = [(i, x.tobytes()) for i, x in block if x.any()]
+            cols: list[list] = [[] for _ in range(6)]
+            for t in b.column("t").to_pylist():
+                words = words_of(t)
+                got = list(map(number.get, words))
+                rest = [x for x, i in zip(words, got) if i is None]
+                if rest:
+                    got = [k + zlib.crc32(x) % RARE if i is None else i for x, i in zip(words, got)]
+                ids = np.array(got, dtype="<u4")
+                common = ids[ids < k]
+                packed = zlib.compress(ids.view(np.uint8).reshape(-1, 4)[:, :3].tobytes(), 1)
+                values = (len(t), len(ids), float(len(common)), float(base[common].sum()), packed, zlib.compress(b" ".join(rest), 1))
+                for c, v in zip(cols, values):
+                    c.append(v)
+            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(c) for c in ("rid", "doc_id", "w", "key")] + [pa.array(c, t) for c, t in zip(cols, kinds)],
+                names=["rid", "doc_id", "w", "key", "n_bytes", "n_tokens", "known", "base", "ids", "rest"])
+    rows = d.mapInArrow(run, f"rid long, doc_id {kind}, w boolean, key long, n_bytes long, n_tokens long, "
+                             "known double, base double, ids binary, rest binary")
+    return (rows.repartition(shards, "key").withColumn("shard", F.pmod(F.hash("key"), F.lit(shards)))
+            .sortWithinPartitions("key", "rid"))
+
+
+def bit_counts(train: DataFrame, code: Broadcast, bits: int) -> list[np.ndarray]:
+    """How often 0 and 1 followed each context, over all training texts: the
+    first predictor's per place of the code, the others' per slot."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = code.value
+        words = np.zeros(len(c.start) - 1, dtype=np.int64)
+        t = [np.zeros(2 << bits, dtype=np.uint32) for _ in range(HASHED)]
+        for b in batches:
+            ids, place, _ = texts(b, "ids")
+            words += np.bincount(np.minimum(ids, len(words) - 1), minlength=len(words))
+            for node, bit, _, ctx, _ in slices(c, ids, place):
+                for k in range(HASHED):
+                    np.add.at(t[k], slot(ctx[k], node, bits).astype(np.int64) * 2 + bit, np.uint32(1))
+        size = np.diff(c.start)
+        exact = np.bincount(c.nodes.astype(np.int64) * 2 + c.bits, weights=np.repeat(words, size), minlength=2 * c.places)
+        for k, x in enumerate([exact.astype(np.uint32), *t]):
+            block = [(i, x[a:a + 2 * BLOCK]) for i, a in enumerate(range(0, len(x), 2 * BLOCK))]
+            block = [(i, zlib.compress(y.tobytes(), 1)) for i, y in block if y.any()]
             if block:
                 yield pa.RecordBatch.from_arrays([pa.array([k] * len(block), pa.int32()), pa.array([i for i, _ in block], pa.int32()),
-                                                  pa.array([x for _, x in block], pa.binary())], names=["k", "i", "x"])
+                                                  pa.array([y for _, y in block], pa.binary())], names=["k", "i", "x"])
 
     def add(t: pa.Table) -> pa.Table:
-        x = sum((np.frombuffer(v, dtype="<f4").astype(np.float64) for v in t["x"].to_pylist()), np.zeros(2 * BLOCK))
-        return pa.table({"k": t["k"][:1], "i": t["i"][:1], "x": pa.array([x.astype("<f4").tobytes()], pa.binary())})
+        x = sum(np.frombuffer(zlib.decompress(v), dtype=np.uint32).astype(np.uint64) for v in t["x"].to_pylist())
+        x = np.minimum(x, np.uint64(2 ** 32 - 1)).astype(np.uint32)
+        return pa.table({"k": t["k"][:1], "i": t["i"][:1], "x": pa.array([zlib.compress(x.tobytes(), 1)], pa.binary())})
     schema = "k int, i int, x binary"
-    out = [np.zeros(2 << bits, dtype=np.float32) for bits in BITS]
-    for r in train.mapInArrow(run, schema).groupBy("k", "i").applyInArrow(add, schema).toLocalIterator():  # tables of fixed size
-        out[r["k"]][2 * r["i"] * BLOCK:2 * (r["i"] + 1) * BLOCK] = np.frombuffer(bytes(r["x"]), dtype="<f4")
+    out = [np.zeros(2 * code.value.places, dtype=np.uint32)] + [np.zeros(2 << bits, dtype=np.uint32) for _ in range(HASHED)]
+    rows = train.select("ids").mapInArrow(run, schema).groupBy("k", "i").applyInArrow(add, schema)
+    for r in rows.toLocalIterator():        # tables of bounded size
+        x = np.frombuffer(zlib.decompress(bytes(r["x"])), dtype=np.uint32)
+        out[r["k"]][2 * r["i"] * BLOCK:2 * r["i"] * BLOCK + len(x)] = x
     return out
 
 
-def packed(counts: list[np.ndarray]) -> list[bytes]:
-    """Tables to broadcast: mostly empty ones on small inputs."""
-    return [zlib.compress(c, 1) for c in counts]
-
+def unpacked(shared: Broadcast) -> list[np.ndarray]:
+    return [np.frombuffer(zlib.decompress(c), dtype=np.uint32) for c in shared.value]
 
-def unpacked(shared) -> list[np.ndarray]:
-    return [np.frombuffer(zlib.decompress(c), dtype=np.float32) for c in shared.value]
 
-
-def fit_weights(train: DataFrame, shared) -> tuple[np.ndarray, np.ndarray]:
-    """One online pass a partition; weights averaged by what they saw, the
+def fit_weights(train: DataFrame, code: Broadcast, counts: Broadcast) -> tuple[np.ndarray, np.ndarray]:
+    """One online pass a shard; weights averaged by what they saw, the
     refining tables added up."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model(unpacked(shared))
-        total, past = np.zeros(GATES), np.full((GATES, CONTEXTS), 1e-4)
+        c, tables, shard, m = code.value, unpacked(counts), None, None
+
+        def out() -> pa.RecordBatch:
+            one = [shard, *[x.astype("<f8").tobytes() for x in (m.mix * total[:, None], total, m.seen)]]
+            return pa.RecordBatch.from_arrays([pa.array([one[0]], pa.int32()), *[pa.array([x], pa.binary()) for x in one[1:]]],
+                                              names=["shard", "mix", "total", "seen"])
         for b in batches:
-            n = np.array(b.column(1).to_pylist(), dtype=np.float64)
-            for data, ctx, w, _ in slices(b.column(0).to_pylist(), n):
-                limit = np.full((2, len(data)), np.inf, dtype=np.float32)
-                for j, node, bit in decisions(data):
-                    x, gate = m.predict(ctx, j, node, bit, True, limit)
-                    z = m.mixed(x, gate)
-                    cell = gate * LEVELS + level(z)
-                    m.seen[..., 0] += np.bincount(cell, weights=w, minlength=GATES * LEVELS).reshape(GATES, LEVELS)
-                    m.seen[..., 1] += np.bincount(cell, weights=w * bit, minlength=GATES * LEVELS).reshape(GATES, LEVELS)
-                    e = w * (bit - 1 / (1 + np.exp(-z)))
-                    g = np.stack([np.bincount(gate, weights=e * x[k], minlength=GATES) for k in range(CONTEXTS)], axis=1)
-                    c = np.bincount(gate, weights=w, minlength=GATES)
-                    g /= np.maximum(c, 1)[:, None]
-                    past += g ** 2
-                    m.mix += (RATE * g / np.sqrt(past)).astype(np.float32)
-                    total += c
-        yield pa.RecordBatch.from_arrays([
-            pa.array([(m.mix * total[:, None]).astype("<f8").tobytes()], pa.binary()),
-            pa.array([total.astype("<f8").tobytes()], pa.binary()),
-            pa.array([m.seen.astype("<f8").tobytes()], pa.binary())], names=["mix", "total", "seen"])
-    schema = "mix binary, total binary, seen binary"
+            of = np.array(b.column("shard").to_pylist())
+            cut = np.flatnonzero(of[1:] != of[:-1]) + 1
+            for i, j in zip([0, *cut], [*cut, len(of)]):
+                if i == j:
+                    continue
+                if of[i] != shard:
+                    if m is not None:
+                        yield out()
+                    shard, m = int(of[i]), Mixer(c, tables)
+                    past, total = np.full((GATES, PREDICTORS), 1e-4), np.zeros(GATES)
+                ids, place, _ = texts(b.slice(i, j - i), "ids")
+                for node, bit, depth, ctx, _ in slices(c, ids, place):
+                    m.learn(*m.predict(node, bit, depth, ctx, np.ones(len(bit), dtype=np.float32)), bit, past, total)
+        if m is not None:
+            yield out()
+    schema = "shard int, mix binary, total binary, seen binary"
 
     def add(t: pa.Table) -> pa.Table:
-        return pa.table({c: pa.array([sum(np.frombuffer(v, "<f8") for v in t[c].to_pylist()).tobytes()], pa.binary())
-                         for c in ("mix", "total", "seen")})
-    # partial sums in a few tasks, so that no task or driver holds a row of every partition
-    part = train.mapInArrow(run, schema).withColumn("g", F.pmod(F.spark_partition_id(), F.lit(32)))
-    rows = part.groupBy("g").applyInArrow(lambda t: add(t), schema).collect()
+        t = t.sort_by("shard")
+        return pa.table({"shard": t["shard"][:1]} | {
+            c: pa.array([sum(np.frombuffer(v, "<f8") for v in t[c].to_pylist()).tobytes()], pa.binary())
+            for c in ("mix", "total", "seen")})
+    # partial sums, so that no task or driver holds a row of every shard
+    rows = (train.select("shard", "ids").mapInArrow(run, schema).groupBy((F.col("shard") % 32).alias("g"))
+            .applyInArrow(add, schema).collect())
+    rows.sort(key=lambda r: r["shard"])
     mix, total, seen = (sum((np.frombuffer(bytes(r[c]), "<f8") for r in rows), np.zeros(n)) for c, n in (
-        ("mix", GATES * CONTEXTS), ("total", GATES), ("seen", GATES * LEVELS * 2)))
+        ("mix", GATES * PREDICTORS), ("total", GATES), ("seen", GATES * LEVELS * 2)))
     total = total.reshape(-1, 1)
-    start = Model([]).mix
-    return (np.where(total > 0, mix.reshape(GATES, CONTEXTS) / np.maximum(total, 1), start).astype(np.float32),
-            seen.reshape(GATES, LEVELS, 2))
-
-
-def word_bits(terms: DataFrame, shared, weights: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """``(term, n, bits)`` for every distinct word."""
+    mix = np.where(total > 0, mix.reshape(GATES, PREDICTORS) / np.maximum(total, 1), 1 / PREDICTORS)
+    return mix.astype(np.float32), seen.reshape(-1, 2)
+
+
+def segments(ids: np.ndarray, place: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+    """``(text, anchor, segment, first, end)`` of each anchor: hashes of the
+    words that end there and of those up to the next anchor or the text's end,
+    which lie from ``first`` to before ``end``."""
+    with np.errstate(over="ignore"):
+        g = (ids.astype(np.uint64) + np.uint64(1)) * ODD
+        g = (g ^ (g >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+        h = np.zeros(len(g), dtype=np.uint64)
+        for k in range(ANCHOR - 1, -1, -1):
+            h = h * np.uint64(0xBF58476D1CE4E5B9) + np.roll(g, k)
+        h = (h ^ (h >> np.uint64(30))) * ODD
+    text = np.repeat(np.arange(len(size)), size)
+    last = (np.cumsum(size) - 1)[text]
+    found = np.flatnonzero((place >= ANCHOR - 1) & ((h >> np.uint64(40)) % np.uint64(EVERY) == 0) & (np.arange(len(g)) < last))
+    first = found + 1
+    end = np.append(found[1:] + 1, 0)
+    own_end = last[found] + 1
+    end = np.where((end == 0) | (end > own_end), own_end, end)
+    # words are told apart by their distance to the anchor: each is rolled on by the words behind it
+    with np.errstate(over="ignore"):
+        inside = np.repeat(np.arange(len(found)), end - first)
+        step = np.arange(len(inside)) - np.repeat(np.cumsum(end - first) - (end - first), end - first)
+        y = (g[first[inside] + step] ^ ((step.astype(np.uint64) + np.uint64(1)) * np.uint64(0x94D049BB133111EB))) * ODD
+        y = (y ^ (y >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+        run = np.concatenate([[np.uint64(0)], np.cumsum(y, dtype=np.uint64)])
+        at = np.cumsum(end - first)
+        s = run[at] - run[at - (end - first)]
+    return text[found], h[found].view(np.int64), s.view(np.int64), first, end
+
+
+def text_bits(streams: DataFrame, code: Broadcast, counts: Broadcast, weights: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """``(rid, w, bits, parts)``: the bits of each text's symbols, and its
+    segments ``(anchor, segment, bits)``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model(unpacked(shared))
+        m = Mixer(code.value, unpacked(counts))
         m.mix, m.seen = weights
         for b in batches:
-            t = b.column(0).to_pylist()
-            bits = np.zeros(len(t))
-            for data, ctx, _, word in slices(t, np.zeros(len(t))) if t else ():
-                limit = np.full((2, len(data)), np.inf, dtype=np.float32)
-                for j, node, bit in decisions(data):
-                    x, gate = m.predict(ctx, j, node, bit, False, limit)
-                    p = m.refined(m.mixed(x, gate), gate)
-                    bits += np.bincount(word, weights=-np.log2(np.where(bit == 1, p, 1 - p)), minlength=len(t))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(bits, pa.float64())], names=["term", "n", "bits"])
-    return terms.select("term", "n").mapInArrow(run, "term binary, n long, bits double")
+            ids, place, size = texts(b, "ids")
+            own = np.repeat(np.array(b.column("w").to_pylist(), dtype=np.float32), size)
+            bits = np.zeros(len(ids))
+            for node, bit, depth, ctx, word in slices(m.code, ids, place):
+                x, gate = m.predict(node, bit, depth, ctx, own[word])
+                p = m.refined(m.mixed(x, gate), gate)
+                if len(word):
+                    a = word[0]
+                    got = np.bincount(word - a, weights=-np.log2(np.where(bit == 1, p, 1 - p)))
+                    bits[a:a + len(got)] += got
+            text, anchor, segment, first, end = segments(ids, place, size)
+            run_bits = np.concatenate([[0.0], np.cumsum(bits)])
+            cut = np.concatenate([[0], np.cumsum(size)])
+            part = pa.StructArray.from_arrays([pa.array(anchor), pa.array(segment), pa.array(run_bits[end] - run_bits[first])],
+                                              names=["anchor", "segment", "bits"])
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(size)))]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("w"), pa.array(run_bits[cut[1:]] - run_bits[cut[:-1]]),
+                                              pa.ListArray.from_arrays(pa.array(offsets), part)], names=["rid", "w", "bits", "parts"])
+    return streams.select("rid", "w", "ids").mapInArrow(
+        run, "rid long, w boolean, bits double, parts array<struct<anchor: long, segment: long, bits: double>>")
+
+
+def saved_bits(scored: DataFrame) -> DataFrame:
+    """``(rid, saved)``: what each segment behind a known anchor costs less
+    (or more) than by its symbols."""
+    parts = scored.select("rid", "w", F.explode("parts").alias("p")).select(
+        "rid", "w", "p.anchor", "p.segment", "p.bits")
+    both = materialise(parts.where("w").groupBy("anchor", "segment").agg(F.count("*").alias("n")), "lm-segments")
+    known = both.groupBy("anchor").agg(F.sum("n").alias("n_anchor"))
+    own = F.col("w").cast("long")
+    seen = (parts.join(known, "anchor").join(both, ["anchor", "segment"], "left")
+            .withColumn("n_anchor", F.col("n_anchor") - own)
+            .withColumn("n", F.greatest(F.coalesce("n", F.lit(0)) - own, F.lit(0))).where("n_anchor > 0"))
+    seen = materialise(seen.select("rid", "w", "bits", "n", "n_anchor",
+                                   F.least(F.floor(F.log2("n_anchor")), F.lit(7)).cast("int").alias("step")), "lm-passages")
+    rates = {r["step"]: r["q"] for r in seen.where("w").groupBy("step").agg(
+        ((F.sum((F.col("n") > 0).cast("long")) + 1) / (F.count("*") + 2)).alias("q")).collect()}    # 8 steps at most
+    q = F.get(F.array(*[F.lit(float(rates.get(i, 0.5))) for i in range(8)]), F.col("step"))
+    p = q * F.col("n") / F.col("n_anchor") + (1 - q) * F.pow(F.lit(2.0), -F.col("bits"))
+    # a segment that was not seen costs its own bits and the word that it was not
+    return seen.select("rid", F.when(F.col("n") > 0, F.col("bits") + F.log2(p)).otherwise(F.log2(1 - q)).alias("saved"))
+
+
+def rest_terms(streams: DataFrame) -> DataFrame:
+    """``(term, rid, tf)`` for each text's distinct words outside the head."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            term, rid, tf = [], [], []
+            for r, x in zip(b.column("rid").to_pylist(), b.column("rest").to_pylist()):
+                raw = zlib.decompress(x)
+                if raw:
+                    n = Counter(raw.split(b" "))
+                    term += n
+                    rid += [r] * len(n)
+                    tf += n.values()
+            yield pa.RecordBatch.from_arrays([pa.array(term, pa.binary()), pa.array(rid, pa.int64()), pa.array(tf, pa.int64())],
+                                             names=["term", "rid", "tf"])
+    return streams.select("rid", "rest").mapInArrow(run, "term binary, rid long, tf long")
+
+
+def spelling_bits(rare: DataFrame, n_distinct: int) -> DataFrame:
+    """``(term, n, bits)`` for the words outside the head."""
+    spark = rare.sparkSession
+    shards = min(max(1, n_distinct >> 17), 1 << 14)
+    train = rare.where("n > 0").select("term", "n").repartition(shards, "term").sortWithinPartitions("term")
+    tables = spark.sparkContext.broadcast(spelling.packed(spelling.bit_counts(train)))
+    return spelling.word_bits(rare, tables, spelling.fit_weights(train, tables))
 
 
 def lm_score(docs: DataFrame, folds: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score,
     score, n_bytes, bits_per_byte)`` for every row; rows whose crc32
     remainder by ``folds`` is 0 are held out from learning."""
-    spark = docs.sparkSession
+    sc = docs.sparkSession.sparkContext
     d = docs.select((remainder(id_col, folds) != 0).alias("w"), F.col(id_col).alias("doc_id"),
                     F.col(text_col).cast("binary").alias("t"))
-    log_share = fit_classes(d)
-
-    def words(t: bytes) -> list[bytes]:
-        return terms_of(t, log_share)
-    word = F.expr("substring(term, 2)")
-    terms = materialise(term_counts(d, words).withColumn("word", word), "lm-words")
-    of_word = materialise(terms.groupBy("word").agg(F.sum("n").alias("c")), "lm-base")
-    total = of_word.agg(F.sum("c").alias("n"), F.sum((F.col("c") > 0).cast("long")).alias("v")).first()
+    words = materialise(term_counts(d, words_of), "lm-words")
+    total = words.agg(F.sum("n").alias("n"), F.sum((F.col("n") > 0).cast("long")).alias("v")).first()
     n_all, n_distinct = int(total["n"] or 0), int(total["v"] or 0)
-    # sorted, so that a beginning's words lie together
-    tasks = spark.sparkContext.defaultParallelism
-    train = materialise(terms.where("n > 0").repartitionByRange(tasks, "word", "term")
-                        .sortWithinPartitions("word", "term").select("term", "n"), "lm-train")
-    counts = spark.sparkContext.broadcast(packed(bit_counts(train, max(2.0, n_all / (1 << (max(BITS) - 2))))))
-    weights = fit_weights(train, counts)
     below = n_all + 0.1 * (n_distinct + 1)
-    base = F.log10((F.col("c") + F.lit(0.1)) / F.lit(below))
-    costs = materialise(word_bits(terms, counts, weights), "lm-bits")
-    table = materialise(costs.withColumn("word", word).join(of_word, "word").select(
-        "term", "n", (F.col("c") > 0).cast("double").alias("known"), base.alias("base"), "bits"), "lm-costs")
-    values = ["known", "base", "bits"]
-    rows = document_terms(d, words, head_terms(table, values), len(values))
-    joined = rows.join(table.select("term", *values), "term", "left")
-    sums = [F.sum(F.coalesce(f"s{i}", F.lit(0.0)) + F.col("tf") * F.coalesce(v, F.lit(0.0))).alias(v)
-            for i, v in enumerate(values)]
-    out = (joined.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.max("n_terms").alias("n_tokens"),
-                                     F.max("n_bytes").alias("n_bytes"), *sums)
-           .withColumn("bits", F.col("bits") + F.lit(math.log2(CLASSES))))
-    return out.select(
+    least = max(2, -(-n_all // HEAD))
+    rows = sorted((-r["n"], bytes(r["term"])) for r in words.where(F.col("n") >= least).collect())  # at most HEAD rows
+    often = [-n for n, _ in rows]
+    head = sc.broadcast(([x for _, x in rows], np.log10((np.array(often, dtype=np.float64) + 0.1) / below)))
+    code = sc.broadcast(Code(often + [n_all - sum(often) + 1]))
+    shards = min(max(1, -(-n_all // SHARD)), 1 << 14)
+    streams = materialise(encode(d, head, shards), "lm-streams")
+    train = streams.where("w")
+    bits = min(max(14, (8 * n_all).bit_length()), MOST_BITS)
+    counts = sc.broadcast([zlib.compress(c.tobytes(), 1) for c in bit_counts(train, code, bits)])
+    weights = fit_weights(train, code, counts)
+    scored = materialise(text_bits(streams, code, counts, weights), "lm-bits")
+
+    costs = materialise(spelling_bits(words.where(F.col("n") < least), n_distinct), "lm-spelling")
+    base = F.log10((F.col("n") + F.lit(0.1)) / F.lit(below))
+    zero = F.lit(0.0)
+    rest = rest_terms(streams).join(costs, "term").select(
+        "rid", (F.col("tf") * (F.col("n") > 0).cast("double")).alias("known"), (F.col("tf") * base).alias("base"),
+        (F.col("tf") * F.col("bits")).alias("bits"))
+    parts = (rest.unionByName(scored.select("rid", zero.alias("known"), zero.alias("base"), "bits"))
+             .unionByName(saved_bits(scored).select("rid", zero.alias("known"), zero.alias("base"), (-F.col("saved")).alias("bits"))))
+    sums = parts.groupBy("rid").agg(*[F.sum(c).alias(f"sum_{c}") for c in ("known", "base", "bits")])
+    bits_all = F.col("sum_bits")
+    return (streams.select("rid", "doc_id", "n_bytes", "n_tokens", "known", "base").join(sums, "rid").select(
         "doc_id", (remainder("doc_id", folds) == 0).alias("held_out"), "n_tokens",
-        F.round("known").cast("long").alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"),
-        F.col("base").alias("base_score"), (-F.col("bits") * F.lit(math.log10(2))).alias("score"),
-        "n_bytes", (F.col("bits") / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte"))
+        F.round(F.col("known") + F.col("sum_known")).cast("long").alias("n_known"),
+        F.lit(n_all).cast("long").alias("train_tokens"), (F.col("base") + F.col("sum_base")).alias("base_score"),
+        (-bits_all * F.lit(math.log10(2))).alias("score"), "n_bytes",
+        (bits_all / F.greatest("n_bytes", F.lit(1))).alias("bits_per_byte")))
