@@ -4,13 +4,13 @@ A text is its lower-cased words, then an end word, coded in order.  A word
 with at least 1 / ``HEAD`` of all training occurrences (two at least) has a
 Huffman code; all others share one escape symbol and are then spelled
 (``spelling``).  Every bit of a code is predicted by ``PREDICTORS`` contexts:
-none, the previous word, the two previous words, and the word before the
-previous one.  Each looks up how often 0 and 1 followed its hashed context at
-this place of the code.  Their log odds are summed with weights that a gate
-selects (how often the two longer contexts were seen, and the bit's depth);
-the weights are learned online, by the coding error of each mini-batch of
-bits in the order of the text.  A last table, gated the same way, refines the
-mixed probability towards the rate observed where it was given.
+none, the previous word, and the two previous words.  Each looks up how often
+0 and 1 followed its hashed context at this place of the code.  Their log odds
+are summed with weights that a gate selects (how often the two longer contexts
+were seen, and the bit's depth).  A last table, gated the same way, refines
+the mixed probability towards the rate observed where it was given.  Weights
+and table adapt online: once a mini-batch of words is coded, they learn from
+the bits of training texts.
 
 Passages that the corpus holds elsewhere are found at anchors: places whose
 last ``ANCHOR`` words hash to 0 modulo ``EVERY``.  The words up to the next
@@ -25,10 +25,10 @@ have 8 slots a training word up to 2^``MOST_BITS``.  All of them cover all
 training texts.  Predictions for a training text leave out the occurrence
 they predict; bits, anchors and segments of held-out texts leave out nothing.
 
-Learning runs over shards of about ``SHARD`` training words (2^14 shards at
-most).  A text's shard and its place there are a hash of its id and text, so
-results do not depend on the number of tasks.  The shards' weights are
-averaged by what they saw.
+Texts are coded in shards of about ``SHARD`` training words (2^16 shards at
+most); each shard adapts from the same start.  A text's shard and its place
+there are a hash of its id and text, so results do not depend on the number
+of tasks.
 
 Defined results.  A null or empty text is the end word alone.  Every input
 row gives one row, also without an id (held out) or with a repeated one.
@@ -56,15 +56,16 @@ from riskframe.llm.terms import HEAD, term_counts
 
 END = b"\n"                 # the end word: no word holds it
 RARE = 1 << 20              # rare words are told apart as contexts by a hash of this range
-PREDICTORS = 4
+PREDICTORS = 3
 HASHED = PREDICTORS - 1     # the first predictor counts per place of the code, exactly
 MOST_BITS = 21              # a hashed context's table has at most 2^this slots
 BLOCK = 1 << 13             # slots of a block that travels as one row
-SEEN = np.array([1, 3, 20])             # steps of a context's count
+SEEN = (1, 3, 20)                       # steps of a context's count
 DEPTH = np.array([1, 4, 8])             # steps of a bit's place in the code
 GATES = 64
 LEVELS = 24                 # steps of the refining table
 SLICE = 1 << 12             # words that are predicted together
+GROUP = 1 << 17             # words of texts that are held at a time (one text may be longer)
 RATE = 0.03
 SHARD = 1 << 22
 ANCHOR, EVERY = 4, 32
@@ -122,7 +123,7 @@ def contexts(ids: np.ndarray, place: np.ndarray) -> list[np.ndarray]:
     last = np.where(place >= 1, np.roll(x, 1), np.uint64(0))
     before = np.where(place >= 2, np.roll(x, 2), np.uint64(0))
     out = []
-    for k, h in enumerate((last, last * ODD + before, before)):
+    for k, h in enumerate((last, last * ODD + before)):
         h = (h + np.uint64(k + 1)) * np.uint64(0xD6E8FEB86659FD93)
         h = (h ^ (h >> np.uint64(29))) * ODD
         out.append((h >> np.uint64(32)).astype(np.uint32))
@@ -135,7 +136,7 @@ def slot(context: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
 
 
 def level(z: np.ndarray) -> np.ndarray:
-    return np.clip(z * (LEVELS / 24) + LEVELS / 2, 0, LEVELS - 1).astype(np.int64)
+    return np.clip(z * np.float32(LEVELS / 24) + np.float32(LEVELS / 2), 0, LEVELS - 1).astype(np.int32)
 
 
 class Mixer:
@@ -145,14 +146,15 @@ class Mixer:
         self.code = code
         self.pairs = [c.view(np.int64) for c in counts]     # the two counts of a slot as one number
         self.bits = [int(len(c) // 2).bit_length() - 1 for c in counts]
-        self.mix = np.full((GATES, PREDICTORS), 1 / PREDICTORS, dtype=np.float32)
-        self.seen = np.zeros((GATES * LEVELS, 2))           # refining table: weight, weight of ones
+        self.mix = np.full((PREDICTORS, GATES), 1 / PREDICTORS, dtype=np.float32)
+        self.seen = np.zeros((2, GATES * LEVELS), dtype=np.float32)     # refining table: weight, weight of ones
+        self.past = np.full((PREDICTORS, GATES), 1e-4)
 
     def predict(self, node, bit, depth, context, own):
         """Log odds of each predictor, and the gate.  ``own`` is 1 where the
         counts hold the bit itself."""
         x = np.empty((PREDICTORS, len(node)), dtype=np.float32)
-        gate = depth.astype(np.int64)
+        gate = depth.copy()
         own1 = own * bit
         own0 = own - own1
         for k in range(PREDICTORS):
@@ -160,52 +162,84 @@ class Mixer:
             n = self.pairs[k].take(at).view(np.uint32)
             n0, n1 = n[::2].astype(np.float32) - own0, n[1::2].astype(np.float32) - own1
             x[k] = np.log((n1 + np.float32(0.05)) / (n0 + np.float32(0.05)))
-            if k in (1, 2):
-                gate += np.searchsorted(SEEN, n0 + n1, side="right") * (4 if k == 1 else 16)
+            if k:
+                n0 += n1
+                for least in SEEN:
+                    gate += (n0 >= least).view(np.uint8) * np.uint8(4 ** k)
         return x, gate
 
     def mixed(self, x, gate):
-        return np.clip(np.einsum("kn,nk->n", x, self.mix.take(gate, axis=0)), -16, 16)
+        z = self.mix[0].take(gate) * x[0]
+        for k in range(1, PREDICTORS):
+            z += self.mix[k].take(gate) * x[k]
+        return np.clip(z, -16, 16)
 
     def refined(self, z, gate):
+        """The mixed and the refined probability of a 1, and the refining table's cell."""
         p = 1 / (1 + np.exp(-z))
-        seen = self.seen.take(gate * LEVELS + level(z), axis=0)
-        q = (seen[:, 1] + 20 * p) / (seen[:, 0] + 20)
-        return np.clip((p + q) / 2, 1e-7, 1 - 1e-7)
-
-    def learn(self, x, gate, bit, past, total):
-        """One step against the coding error of a mini-batch."""
-        z = self.mixed(x, gate)
-        cell = gate * LEVELS + level(z)
-        self.seen[:, 0] += np.bincount(cell, minlength=GATES * LEVELS)
-        self.seen[:, 1] += np.bincount(cell, weights=bit, minlength=GATES * LEVELS)
-        e = bit - 1 / (1 + np.exp(-z))
-        n = np.bincount(gate, minlength=GATES)
-        g = np.stack([np.bincount(gate, weights=e * x[k], minlength=GATES) for k in range(PREDICTORS)], axis=1)
-        g /= np.maximum(n, 1)[:, None]
-        past += g ** 2
-        self.mix += (RATE * g / np.sqrt(past)).astype(np.float32)
-        total += n
+        cell = gate * np.int32(LEVELS) + level(z)
+        q = (self.seen[1].take(cell) + 20 * p) / (self.seen[0].take(cell) + 20)
+        return p, np.clip((p + q) / 2, np.float32(1e-7), np.float32(1 - 1e-7)), cell
+
+    def learn(self, x, gate, bit, p, cell, own):
+        """One step against the coding error of a mini-batch, over the bits that ``own`` marks."""
+        if not own.any():
+            return
+        self.seen[0] += np.bincount(cell, weights=own, minlength=GATES * LEVELS)
+        self.seen[1] += np.bincount(cell, weights=own * bit, minlength=GATES * LEVELS)
+        e = (bit - p) * own
+        n = np.maximum(np.bincount(gate, weights=own, minlength=GATES), 1)
+        for k in range(PREDICTORS):
+            g = np.bincount(gate, weights=e * x[k], minlength=GATES) / n
+            self.past[k] += g ** 2
+            self.mix[k] += (RATE * g / np.sqrt(self.past[k])).astype(np.float32)
+
+    def code_texts(self, ids: np.ndarray, place: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """The bits of each word; learns from the words that ``own`` marks."""
+        out = np.zeros(len(ids))
+        for node, bit, depth, ctx, word in slices(self.code, ids, place):
+            if len(word):
+                mine = own.take(word)
+                x, gate = self.predict(node, bit, depth, ctx, mine)
+                p, q, cell = self.refined(self.mixed(x, gate), gate)
+                got = np.bincount(word - word[0], weights=-np.log2(np.abs(q - (1 - bit).astype(np.float32))))
+                out[word[0]:word[0] + len(got)] += got
+                self.learn(x, gate, bit, p, cell, mine)
+        return out
 
 
 def slices(code: Code, ids: np.ndarray, place: np.ndarray) -> Iterator[tuple]:
     """``(node, bit, depth, contexts, word)`` for the bits of bounded slices of words."""
-    ctx = contexts(ids, place)
-    sym = np.minimum(ids, len(code.start) - 2)      # ids of rare words mean the last symbol, the escape
+    escape = len(code.start) - 2        # ids of rare words mean the last symbol
     for a in range(0, len(ids), SLICE):
-        at, word = code.expand(sym[a:a + SLICE])
-        yield code.nodes[at], code.bits[at], code.depth[at], [c[a:a + SLICE][word] for c in ctx], word + a
-
-
-def texts(batch: pa.RecordBatch, col: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The word ids of a batch's texts end to end, each word's number in its
-    text, and the texts' lengths."""
-    part = [zlib.decompress(x) for x in batch.column(col).to_pylist()]
-    size = np.fromiter((len(x) // 3 for x in part), dtype=np.int64, count=len(part))
-    raw = np.zeros((int(size.sum()), 4), dtype=np.uint8)
-    raw[:, :3] = np.frombuffer(b"".join(part), dtype=np.uint8).reshape(-1, 3)
-    first = np.cumsum(size) - size
-    return raw.view("<u4").ravel().astype(np.int64), np.arange(len(raw)) - np.repeat(first, size), size
+        back = max(0, a - 2)
+        part = ids[back:a + SLICE]
+        at, word = code.expand(np.minimum(part[a - back:], escape))
+        ctx = [c[a - back:].take(word) for c in contexts(part, place[back:a + SLICE])]
+        yield code.nodes.take(at), code.bits.take(at), code.depth.take(at), ctx, word + a
+
+
+def texts(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """``(rows, ids, place, size)`` for groups of a batch's texts: the rows, the
+    word ids of their texts end to end, each word's number in its text, and
+    the texts' lengths."""
+    first, part, held = 0, [], 0
+    packed = batch.column("ids")
+
+    def out(end: int) -> tuple:
+        size = np.fromiter((len(x) // 3 for x in part), dtype=np.int64, count=len(part))
+        raw = np.zeros((int(size.sum()), 4), dtype=np.uint8)
+        raw[:, :3] = np.frombuffer(b"".join(part), dtype=np.uint8).reshape(-1, 3)
+        place = (np.arange(len(raw)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
+        return batch.slice(first, end - first), raw.view("<u4").ravel().astype(np.int32), place, size
+    for i in range(batch.num_rows):
+        part.append(zlib.decompress(packed[i].as_py()))
+        held += len(part[-1]) // 3
+        if held >= GROUP:
+            yield out(i + 1)
+            first, part, held = i + 1, [], 0
+    if part:
+        yield out(batch.num_rows)
 
 
 def encode(docs: DataFrame, head: Broadcast, shards: int) -> DataFrame:
@@ -218,18 +252,19 @@ def encode(docs: DataFrame, head: Broadcast, shards: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, base = head.value
-        number = {x: i for i, x in enumerate(names)}
         k = len(names)
+
+        class Numbers(dict):
+            def __missing__(self, x: bytes) -> int:
+                return k + zlib.crc32(x) % RARE
+        number = Numbers((x, i) for i, x in enumerate(names))
         for b in batches:
             cols: list[list] = [[] for _ in range(6)]
             for t in b.column("t").to_pylist():
                 words = words_of(t)
-                got = list(map(number.get, words))
-                rest = [x for x, i in zip(words, got) if i is None]
-                if rest:
-                    got = [k + zlib.crc32(x) % RARE if i is None else i for x, i in zip(words, got)]
-                ids = np.array(got, dtype="<u4")
+                ids = np.fromiter(map(number.__getitem__, words), dtype="<u4", count=len(words))
                 common = ids[ids < k]
+                rest = [words[i] for i in np.flatnonzero(ids >= k)]
                 packed = zlib.compress(ids.view(np.uint8).reshape(-1, 4)[:, :3].tobytes(), 1)
                 values = (len(t), len(ids), float(len(common)), float(base[common].sum()), packed, zlib.compress(b" ".join(rest), 1))
                 for c, v in zip(cols, values):
@@ -244,7 +279,7 @@ def encode(docs: DataFrame, head: Broadcast, shards: int) -> DataFrame:
             .sortWithinPartitions("key", "rid"))
 
 
-def bit_counts(train: DataFrame, code: Broadcast, bits: int) -> list[np.ndarray]:
+def bit_counts(train: DataFrame, code: Broadcast, bits: int, tasks: int) -> list[np.ndarray]:
     """How often 0 and 1 followed each context, over all training texts: the
     first predictor's per place of the code, the others' per slot."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,11 +287,11 @@ def bit_counts(train: DataFrame, code: Broadcast, bits: int) -> list[np.ndarray]
         words = np.zeros(len(c.start) - 1, dtype=np.int64)
         t = [np.zeros(2 << bits, dtype=np.uint32) for _ in range(HASHED)]
         for b in batches:
-            ids, place, _ = texts(b, "ids")
-            words += np.bincount(np.minimum(ids, len(words) - 1), minlength=len(words))
-            for node, bit, _, ctx, _ in slices(c, ids, place):
-                for k in range(HASHED):
-                    np.add.at(t[k], slot(ctx[k], node, bits).astype(np.int64) * 2 + bit, np.uint32(1))
+            for _, ids, place, _ in texts(b):
+                words += np.bincount(np.minimum(ids, len(words) - 1), minlength=len(words))
+                for node, bit, _, ctx, _ in slices(c, ids, place):
+                    for k in range(HASHED):
+                        np.add.at(t[k], slot(ctx[k], node, bits).astype(np.int64) * 2 + bit, np.uint32(1))
         size = np.diff(c.start)
         exact = np.bincount(c.nodes.astype(np.int64) * 2 + c.bits, weights=np.repeat(words, size), minlength=2 * c.places)
         for k, x in enumerate([exact.astype(np.uint32), *t]):
@@ -272,7 +307,8 @@ def bit_counts(train: DataFrame, code: Broadcast, bits: int) -> list[np.ndarray]
         return pa.table({"k": t["k"][:1], "i": t["i"][:1], "x": pa.array([zlib.compress(x.tobytes(), 1)], pa.binary())})
     schema = "k int, i int, x binary"
     out = [np.zeros(2 * code.value.places, dtype=np.uint32)] + [np.zeros(2 << bits, dtype=np.uint32) for _ in range(HASHED)]
-    rows = train.select("ids").mapInArrow(run, schema).groupBy("k", "i").applyInArrow(add, schema)
+    # sums of whole numbers: the tasks' number only says how many tables travel
+    rows = train.select("ids").coalesce(tasks).mapInArrow(run, schema).groupBy("k", "i").applyInArrow(add, schema)
     for r in rows.toLocalIterator():        # tables of bounded size
         x = np.frombuffer(zlib.decompress(bytes(r["x"])), dtype=np.uint32)
         out[r["k"]][2 * r["i"] * BLOCK:2 * r["i"] * BLOCK + len(x)] = x
@@ -283,50 +319,6 @@ def unpacked(shared: Broadcast) -> list[np.ndarray]:
     return [np.frombuffer(zlib.decompress(c), dtype=np.uint32) for c in shared.value]
 
 
-def fit_weights(train: DataFrame, code: Broadcast, counts: Broadcast) -> tuple[np.ndarray, np.ndarray]:
-    """One online pass a shard; weights averaged by what they saw, the
-    refining tables added up."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, tables, shard, m = code.value, unpacked(counts), None, None
-
-        def out() -> pa.RecordBatch:
-            one = [shard, *[x.astype("<f8").tobytes() for x in (m.mix * total[:, None], total, m.seen)]]
-            return pa.RecordBatch.from_arrays([pa.array([one[0]], pa.int32()), *[pa.array([x], pa.binary()) for x in one[1:]]],
-                                              names=["shard", "mix", "total", "seen"])
-        for b in batches:
-            of = np.array(b.column("shard").to_pylist())
-            cut = np.flatnonzero(of[1:] != of[:-1]) + 1
-            for i, j in zip([0, *cut], [*cut, len(of)]):
-                if i == j:
-                    continue
-                if of[i] != shard:
-                    if m is not None:
-                        yield out()
-                    shard, m = int(of[i]), Mixer(c, tables)
-                    past, total = np.full((GATES, PREDICTORS), 1e-4), np.zeros(GATES)
-                ids, place, _ = texts(b.slice(i, j - i), "ids")
-                for node, bit, depth, ctx, _ in slices(c, ids, place):
-                    m.learn(*m.predict(node, bit, depth, ctx, np.ones(len(bit), dtype=np.float32)), bit, past, total)
-        if m is not None:
-            yield out()
-    schema = "shard int, mix binary, total binary, seen binary"
-
-    def add(t: pa.Table) -> pa.Table:
-        t = t.sort_by("shard")
-        return pa.table({"shard": t["shard"][:1]} | {
-            c: pa.array([sum(np.frombuffer(v, "<f8") for v in t[c].to_pylist()).tobytes()], pa.binary())
-            for c in ("mix", "total", "seen")})
-    # partial sums, so that no task or driver holds a row of every shard
-    rows = (train.select("shard", "ids").mapInArrow(run, schema).groupBy((F.col("shard") % 32).alias("g"))
-            .applyInArrow(add, schema).collect())
-    rows.sort(key=lambda r: r["shard"])
-    mix, total, seen = (sum((np.frombuffer(bytes(r[c]), "<f8") for r in rows), np.zeros(n)) for c, n in (
-        ("mix", GATES * PREDICTORS), ("total", GATES), ("seen", GATES * LEVELS * 2)))
-    total = total.reshape(-1, 1)
-    mix = np.where(total > 0, mix.reshape(GATES, PREDICTORS) / np.maximum(total, 1), 1 / PREDICTORS)
-    return mix.astype(np.float32), seen.reshape(-1, 2)
-
-
 def segments(ids: np.ndarray, place: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
     """``(text, anchor, segment, first, end)`` of each anchor: hashes of the
     words that end there and of those up to the next anchor or the text's end,
@@ -357,32 +349,33 @@ def segments(ids: np.ndarray, place: np.ndarray, size: np.ndarray) -> tuple[np.n
     return text[found], h[found].view(np.int64), s.view(np.int64), first, end
 
 
-def text_bits(streams: DataFrame, code: Broadcast, counts: Broadcast, weights: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def text_bits(streams: DataFrame, code: Broadcast, counts: Broadcast) -> DataFrame:
     """``(rid, w, bits, parts)``: the bits of each text's symbols, and its
     segments ``(anchor, segment, bits)``."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Mixer(code.value, unpacked(counts))
-        m.mix, m.seen = weights
-        for b in batches:
-            ids, place, size = texts(b, "ids")
-            own = np.repeat(np.array(b.column("w").to_pylist(), dtype=np.float32), size)
-            bits = np.zeros(len(ids))
-            for node, bit, depth, ctx, word in slices(m.code, ids, place):
-                x, gate = m.predict(node, bit, depth, ctx, own[word])
-                p = m.refined(m.mixed(x, gate), gate)
-                if len(word):
-                    a = word[0]
-                    got = np.bincount(word - a, weights=-np.log2(np.where(bit == 1, p, 1 - p)))
-                    bits[a:a + len(got)] += got
+    def coded(m: Mixer, b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for rows, ids, place, size in texts(b):
+            bits = m.code_texts(ids, place, np.repeat(np.array(rows.column("w").to_pylist(), dtype=np.float32), size))
             text, anchor, segment, first, end = segments(ids, place, size)
             run_bits = np.concatenate([[0.0], np.cumsum(bits)])
             cut = np.concatenate([[0], np.cumsum(size)])
             part = pa.StructArray.from_arrays([pa.array(anchor), pa.array(segment), pa.array(run_bits[end] - run_bits[first])],
                                               names=["anchor", "segment", "bits"])
             offsets = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(size)))]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("w"), pa.array(run_bits[cut[1:]] - run_bits[cut[:-1]]),
-                                              pa.ListArray.from_arrays(pa.array(offsets), part)], names=["rid", "w", "bits", "parts"])
-    return streams.select("rid", "w", "ids").mapInArrow(
+            yield pa.RecordBatch.from_arrays(
+                [rows.column("rid"), rows.column("w"), pa.array(run_bits[cut[1:]] - run_bits[cut[:-1]]),
+                 pa.ListArray.from_arrays(pa.array(offsets), part)], names=["rid", "w", "bits", "parts"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables, shard, m = unpacked(counts), None, None
+        for b in batches:
+            of = np.array(b.column("shard").to_pylist(), dtype=np.int64)
+            cut = np.flatnonzero(of[1:] != of[:-1]) + 1
+            for i, j in zip([0, *cut], [*cut, len(of)]):
+                if i < j:
+                    if of[i] != shard:
+                        shard, m = of[i], Mixer(code.value, tables)
+                    yield from coded(m, b.slice(i, j - i))
+    return streams.select("rid", "w", "shard", "ids").mapInArrow(
         run, "rid long, w boolean, bits double, parts array<struct<anchor: long, segment: long, bits: double>>")
 
 
@@ -449,13 +442,11 @@ def lm_score(docs: DataFrame, folds: int = 10, id_col: str = "doc_id", text_col:
     often = [-n for n, _ in rows]
     head = sc.broadcast(([x for _, x in rows], np.log10((np.array(often, dtype=np.float64) + 0.1) / below)))
     code = sc.broadcast(Code(often + [n_all - sum(often) + 1]))
-    shards = min(max(1, -(-n_all // SHARD)), 1 << 14)
+    shards = min(max(1, -(-n_all // SHARD)), 1 << 16)
     streams = materialise(encode(d, head, shards), "lm-streams")
-    train = streams.where("w")
     bits = min(max(14, (8 * n_all).bit_length()), MOST_BITS)
-    counts = sc.broadcast([zlib.compress(c.tobytes(), 1) for c in bit_counts(train, code, bits)])
-    weights = fit_weights(train, code, counts)
-    scored = materialise(text_bits(streams, code, counts, weights), "lm-bits")
+    counts = sc.broadcast([zlib.compress(c.tobytes(), 1) for c in bit_counts(streams.where("w"), code, bits, max(sc.defaultParallelism, shards // 8))])
+    scored = materialise(text_bits(streams, code, counts), "lm-bits")
 
     costs = materialise(spelling_bits(words.where(F.col("n") < least), n_distinct), "lm-spelling")
     base = F.log10((F.col("n") + F.lit(0.1)) / F.lit(below))
