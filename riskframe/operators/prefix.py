@@ -7,7 +7,8 @@ groups are: a group of a third of all rows spans many slices, small groups
 share one.  The sliced table is written once into the checkpoint folder, so
 every reader sees the same slices.  Each ``(slice, group)`` part is summed by
 an ordinary partitioned window, and the totals of a group's earlier slices
-are added back; these totals are at most slices + groups rows.
+are added back; these totals are at most slices + groups rows and are
+written too, so that joining them moves no rows if they are few.
 
 ``prefix_sums`` expects one row per ``(by..., order)`` value — a histogram
 built with ``groupBy(by..., order).agg(...)`` — so the ``ROWS`` frame equals
@@ -51,6 +52,9 @@ def _with_offsets(rows: DataFrame, tot: DataFrame, by: list[str], totals: list[s
     # null-safe: rows of a NULL group stay
     keys = [*by, "_slice"]
     offs = offs.withColumnsRenamed({c: f"_k{i}" for i, c in enumerate(keys)})
+    # written, so that its real size is known: a small one is broadcast and
+    # the rows are not shuffled and sorted a second time
+    offs = materialise(offs, "slice-offsets")
     return rows.join(offs, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)], "inner")
 
 

@@ -116,3 +116,17 @@ def test_row_positions(spark):
             mine = sorted((r for r in got if r.g == g), key=lambda r: (r.v, r.id))
             assert [r.position for r in mine] == list(range(len(mine)))
     assert row_positions(df.limit(0), ["v"], ["g"]).count() == 0
+
+
+def test_offsets_are_joined_without_moving_the_rows(spark):
+    """The slices' offsets are few: no second shuffle of the rows, even if
+    the rows are above the broadcast threshold."""
+    key, old = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set(key, "60000")
+    try:
+        df = spark.range(40_000).select(F.col("id"), (F.col("id") % 3).alias("g"), F.md5(F.col("id").cast("string")).alias("t"))
+        for out in (row_positions(df, ["t", "id"], ["g"], buckets=4), prefix_sums(df, "id", ["id"], ["g"], buckets=4)):
+            assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+            assert out.count() == 40_000
+    finally:
+        spark.conf.set(key, old)
