@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 
 from riskframe.operators.prefix import bucket_index, prefix_sums, row_positions
 from riskframe.operators.quantiles import quantiles
+from riskframe.session import materialise
+
+#: A score with at least this share (one in so many) of the rows is ranked without a shuffle.
+HOT = 1 << 14
 
 
 def average_rank(scores: DataFrame, score: str = "score", by: list[str] | None = None,
@@ -21,18 +25,27 @@ def average_rank(scores: DataFrame, score: str = "score", by: list[str] | None =
 
     Built from the score histogram: ``rank = below + (ties + 1) / 2`` where
     ``below`` is a bucketed prefix count, then joined back on
-    ``(by..., score)`` (AQE splits a hot score's partition).  Every row
-    stays: a NULL score gets a NULL rank, NULL group values are a group.
+    ``(by..., score)``: scores that hold at least ``1 / HOT`` of all rows, so
+    at most ``HOT`` of them, are looked up where the rows lie; only rows of
+    other scores are shuffled, so a hot score does not fill a task.  Every
+    row stays: a NULL score gets a NULL rank, NULL group values are a group.
     """
     by = list(by or [])
     hist = scores.where(F.col(score).isNotNull()).groupBy(*by, score).agg(F.count(F.lit(1)).alias("_n"))
     cum = prefix_sums(hist, score, ["_n"], by=by)
     avg_rank = F.col("_n_cum") - F.col("_n") + (F.col("_n") + 1) / 2.0
     keys = [*by, score]
-    r = cum.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)],
+    r = cum.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], F.col("_n"),
                    (avg_rank / F.col("_n_tot") if per_n else avg_rank).alias(name))
-    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(keys)]
-    return scores.join(r, same, "left").drop(*[f"_k{i}" for i in range(len(keys))])
+    r = materialise(r, "ranks")
+    total = r.agg(F.sum("_n")).first()[0] or 0
+    hot = F.col("_n") * F.lit(HOT) >= F.lit(total)
+    drop = [f"_k{i}" for i in range(len(keys))]
+    same = [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(keys, drop)]
+    looked = scores.join(F.broadcast(r.where(hot).drop("_n").withColumn("_hot", F.lit(True))), same, "left").drop(*drop)
+    done = F.col("_hot").isNotNull() | F.col(score).isNull()
+    rest = looked.where(~done).drop("_hot", name).join(r.where(~hot).drop("_n"), same, "left").drop(*drop)
+    return looked.where(done).drop("_hot").unionByName(rest)
 
 
 def latest_per_key(log: DataFrame, key: list[str], ts: str) -> DataFrame:

@@ -177,3 +177,17 @@ def test_weight_search_over_many_slices(spark, monkeypatch):
             pos, neg = s[y == 1], s[y == 0]
             want = ((pos[:, None] > neg[None]).sum() + (pos[:, None] == neg[None]).sum() / 2) / (len(pos) * len(neg))
             assert got[i] == pytest.approx(want if u or v else 0.0, abs=1e-12)
+
+
+def test_average_rank_looks_up_frequent_scores(spark, monkeypatch):
+    """Frequent and other scores, NULL scores and groups: the same ranks,
+    and rows of frequent scores are not in the shuffled join."""
+    monkeypatch.setattr(rk, "HOT", 8)
+    rows = [(i, m, i % 2, [0.5, 0.5, 0.25, i / 97][i % 4]) for i in range(80) for m in ("a", None)] + [(80, "a", 1, None)]
+    got = rk.average_rank(_scores(spark, rows), by=["model"]).collect()
+    assert len(got) == len(rows)
+    for m in ("a", None):
+        s = np.array([r[3] for r in rows if r[1] == m and r[3] is not None])
+        for r in (r for r in got if r.model == m):
+            want = None if r.score is None else ((s < r.score).sum() + ((s == r.score).sum() + 1) / 2) / len(s)
+            assert r.rank_pct == (want if want is None else pytest.approx(want))
