@@ -61,25 +61,51 @@ def weighted_blend(scores: DataFrame, weights: dict[str, float], normalise: bool
     """``sum(w * score)`` per row; weights normalised to sum 1.
 
     The weights are a plan-time literal map (one entry per model)."""
+    src = scores.where(F.col("model").isin(list(weights)))
+    return src.groupBy("row_id").agg(F.first("y").alias("y"),
+                                     F.sum(_weight_of(weights, normalise)[F.col("model")] * F.col("score")).alias(name))
+
+
+def _weight_of(weights: dict[str, float], normalise: bool = True) -> Column:
     tot = sum(weights.values())
     ws = {m: (w / tot if normalise and tot else w) for m, w in weights.items()}
-    wmap = F.create_map(*[x for m, w in ws.items() for x in (F.lit(m), F.lit(float(w)))])
-    src = scores.where(F.col("model").isin(list(ws)))
-    return src.groupBy("row_id").agg(F.first("y").alias("y"),
-                                     F.sum(wmap[F.col("model")] * F.col("score")).alias(name))
+    return F.create_map(*[x for m, w in ws.items() for x in (F.lit(m), F.lit(float(w)))])
 
 
 def rank_blend(scores: DataFrame, weights: dict[str, float] | None = None, name: str = "score",
                per_n: bool = True) -> DataFrame:
     """Mean (or weighted mean) of per-model ``rank / n`` (W1,
     computed once; ``per_n=False`` blends raw average ranks)."""
-    ranked = average_rank(scores, "score", ["model"], "rank_pct", per_n)
-    r = ranked.select("row_id", "y", "model", F.col("rank_pct").alias("score"))
+    r = model_ranks(scores, per_n)
     if weights is None:
         return mean_blend(r, name)
     return weighted_blend(r, weights, True, name)
 
 
+def model_ranks(scores: DataFrame, per_n: bool = True) -> DataFrame:
+    """``(row_id, y, model, score)`` with W1's per-model ``rank / n`` (or raw
+    average rank) in place of the score."""
+    ranked = average_rank(scores, "score", ["model"], "rank_pct", per_n)
+    return ranked.select("row_id", "y", "model", F.col("rank_pct").alias("score"))
+
+
+def rank_blends(scores: DataFrame, blends: dict[str, dict[str, float] | None], per_n: bool = True) -> DataFrame:
+    """Several ``rank_blend`` of the same scores, ``(row_id, y, score,
+    model=<blend>)``: ranked once, all blends in one ``groupBy(row_id)``."""
+    parts = []
+    for i, (blend, weights) in enumerate(blends.items()):
+        if weights is None:
+            on, score = F.lit(True), F.avg("score")
+        else:
+            on = F.col("model").isin(list(weights))
+            score = F.sum(F.when(on, _weight_of(weights)[F.col("model")] * F.col("score")))
+        parts += [score.alias(f"_s{i}"), F.max(on).alias(f"_in{i}")]
+    wide = model_ranks(scores, per_n).groupBy("row_id").agg(F.first("y").alias("y"), *parts)
+    rows = F.array(*[F.struct(F.col(f"_s{i}").alias("score"), F.lit(b).alias("model"), F.col(f"_in{i}").alias("_in"))
+                     for i, b in enumerate(blends)])
+    return wide.select("row_id", "y", F.inline(rows)).where("_in").drop("_in")
+
+
 # ---- E5 weight search ------------------------------------------------------
 
 def simplex_grid(n_models: int, steps: int) -> list[tuple[float, ...]]:

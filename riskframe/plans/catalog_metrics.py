@@ -403,9 +403,8 @@ def f4_no_survivor_lineitem(spark, sf):
                      max(roc_auc) AS roc_auc FROM m""")
 def e6_pick_method_lineitem(spark, sf):
     s = long_scores(spark, sf)
-    eq = en.rank_blend(s).withColumn("model", F.lit("equal_rank"))
-    wt = en.rank_blend(s, {"price": 0.6, "discount": 0.1, "quantity": 0.3}).withColumn("model", F.lit("weighted_rank"))
-    aucs = round_doubles(mt.ranking_metrics(eq.unionByName(wt)))
+    blends = en.rank_blends(s, {"equal_rank": None, "weighted_rank": {"price": 0.6, "discount": 0.1, "quantity": 0.3}})
+    aucs = round_doubles(mt.ranking_metrics(blends))
     res = aucs.select(F.col("model").alias("method"),
                       F.when(F.col("model") == "equal_rank", 0).otherwise(1).alias("priority"), "roc_auc")
     return en.pick_method(res, "roc_auc", "priority")

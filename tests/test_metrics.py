@@ -191,3 +191,13 @@ def test_average_rank_looks_up_frequent_scores(spark, monkeypatch):
         for r in (r for r in got if r.model == m):
             want = None if r.score is None else ((s < r.score).sum() + ((s == r.score).sum() + 1) / 2) / len(s)
             assert r.rank_pct == (want if want is None else pytest.approx(want))
+
+
+def test_rank_blends_are_each_the_rank_blend(spark):
+    rows = [(i, m, i % 2, float((i * k) % 7)) for i in range(40) for m, k in (("a", 3), ("b", 5), ("c", 2))]
+    blends = {"even": None, "two": {"a": 3.0, "b": 1.0}}
+    both = en.rank_blends(_scores(spark, rows + [(99, "c", 1, 3.0)]), blends)
+    got = {(r.model, r.row_id): (r.y, r.score) for r in both.collect()}
+    want = {(b, r.row_id): (r.y, pytest.approx(r.score))
+            for b, w in blends.items() for r in en.rank_blend(_scores(spark, rows + [(99, "c", 1, 3.0)]), w).collect()}
+    assert got == want and ("two", 99) not in got
