@@ -35,6 +35,21 @@ def assemble(df: DataFrame, features: list[str], out: str = "features") -> DataF
     return VectorAssembler(inputCols=features, outputCol=out, handleInvalid="keep").transform(df)
 
 
+#: Rows that a task of a tree fit is dealt, about, and the most that it takes as they come.
+TASK_ROWS, MOST_ROWS = 1 << 18, 1 << 21
+
+
+def _fit_rows(df: DataFrame, features: list[str], others: list[str]) -> DataFrame:
+    """``(features, others...)`` of a tree fit.  Trees keep every partition's
+    rows in memory, and columns that compress well put many rows into a
+    partition of a file; rows of too large ones are assembled and dealt anew."""
+    others = list(dict.fromkeys(others))
+    rows = assemble(df.select(*dict.fromkeys([*features, *others])), features).select("features", *others)
+    sizes = df.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("most"), F.sum("n").alias("n"))
+    size = sizes.first()
+    return rows.repartition(-(-size.n // TASK_ROWS)) if (size.most or 0) > MOST_ROWS else rows
+
+
 def fit_logistic(df: DataFrame, features: list[str], label: str = "y", weight: str | None = None,
                  C: float = 0.01, max_iter: int = 1000) -> Model:
     """M1: L2 logistic regression with the ``C`` convention
@@ -70,7 +85,7 @@ def fit_boosted(df: DataFrame, features: list[str], label: str = "y", weight: st
         gbt = gbt.setWeightCol(weight)
     if valid_col:
         gbt = gbt.setValidationIndicatorCol(valid_col)
-    return gbt.fit(assemble(df, features))
+    return gbt.fit(_fit_rows(df, features, [c for c in (label, weight, valid_col) if c]))
 
 
 @dataclass(frozen=True)

@@ -22,6 +22,7 @@ from riskframe.operators.quantiles import quantiles
 from riskframe.plans.common import LINEITEM_V, lineitem, round_doubles, table
 from riskframe.plans.fraud import fraud_scoring
 from riskframe.plans.registry import register
+from riskframe.session import materialise
 
 SPLIT = "2000-01-01"
 GBT = {"maxIter": 5, "maxDepth": 3, "stepSize": 0.3}
@@ -65,7 +66,8 @@ def m2_forest_lineitem(spark, sf):
 def m3_boosted_lineitem(spark, sf):
     train, test = split(spark, sf)
     train = rk.stratified_folds(st.with_class_weight(train, "y", "w"), "y", 5, 42)
-    train = train.withColumn("is_valid", F.col("fold") == 0)
+    # written once: the fit reads its training and its validation rows apart
+    train = materialise(train.select("y", "w", (F.col("fold") == 0).alias("is_valid"), *LINEITEM_V), "boost-train")
     m = md.fit_boosted(train, LINEITEM_V, weight="w", valid_col="is_valid", **GBT)
     return _eval(md.predict_proba(m, test, LINEITEM_V), "boosted")
 
