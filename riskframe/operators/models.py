@@ -147,6 +147,17 @@ def predict_proba(model: Model, df: DataFrame, features: list[str], name: str =
     return out.select(*keep, vector_to_array("probability")[1].alias(name))
 
 
+def _predict_each(models: list[Model], names: list[str], df: DataFrame, features: list[str], keep: list[str]) -> DataFrame:
+    """``(keep..., model, score)``: positive-class probabilities by every
+    model, from one pass over ``df``."""
+    out = assemble(df.select(*dict.fromkeys([*keep, *features])), features)
+    for i, m in enumerate(models):
+        out = m.copy({m.rawPredictionCol: f"_raw{i}", m.probabilityCol: f"_prob{i}", m.predictionCol: f"_pred{i}"}).transform(out)
+    rows = F.array(*[F.struct(F.lit(n).alias("model"), vector_to_array(f"_prob{i}")[1].alias("score"))
+                     for i, n in enumerate(names)])
+    return out.select(*keep, F.inline(rows))
+
+
 FitFn = Callable[[DataFrame], Model]
 
 
@@ -156,16 +167,15 @@ def oof_scores(df: DataFrame, features: list[str], fit: FitFn, k: int = 5, fold:
     """M5: out-of-fold scores (each row scored by the model that did not
     see it) and, when ``test`` is given, the mean of the k fold models'
     test scores.  Returns long ``(row_id, model, y, score)`` frames."""
-    oof, tests = None, None
+    oof, tests, models = None, None, []
     for f in range(k):
         m = fit(df.where(F.col(fold) != f))
         part = predict_proba(m, df.where(F.col(fold) == f), features, keep=["row_id", label])
         oof = part if oof is None else oof.unionByName(part)
-        if test is not None:
-            tp = predict_proba(m, test, features, keep=["row_id", label])
-            tests = tp if tests is None else tests.unionByName(tp)
+        models.append(m)
     oof = oof.select("row_id", F.lit(model_name).alias("model"), F.col(label).alias("y"), "score")
-    if tests is not None:
+    if test is not None:
+        tests = _predict_each(models, [str(f) for f in range(k)], test, features, ["row_id", label])
         tests = (tests.groupBy("row_id").agg(F.first(label).alias("y"), F.avg("score").alias("score"))
                  .select("row_id", F.lit(model_name).alias("model"), "y", "score"))
     return oof, tests

@@ -77,7 +77,9 @@ def fraud_scoring(train: DataFrame, test: DataFrame, v_cols: list[str], amount:
     for name, fit in fits.items():
         _, ts = md.oof_scores(train, feats, fit, k, test=test, model_name=name)
         tests = ts if tests is None else tests.unionByName(ts)
+    # written once: ranks, blend and metrics below read the scores several times
+    tests = materialise(tests, "fraud-scores")
     blend = en.rank_blend(tests).select("row_id", F.lit("rank_blend").alias("model"), "y", "score")
-    scores = tests.unionByName(blend)
+    scores = tests.unionByName(materialise(blend, "fraud-blend"))
     results = mt.evaluate(scores, 0.5, notes="fraud scoring", with_timestamp=True)
     return results, scores
