@@ -185,13 +185,10 @@ def seed_average(train: DataFrame, test: DataFrame, features: list[str], fit_see
                  seeds: list[int], model_name: str = "seed_avg",
                  label: str = "y") -> tuple[DataFrame, DataFrame]:
     """M6: models differing only in seed; test scores averaged per row and
-    the spread of their AUCs (min, max, population std)."""
-    per = None
-    for s in seeds:
-        m = fit_seeded(train, s)
-        sc = predict_proba(m, test, features, keep=["row_id", label]).withColumn("model", F.lit(f"seed_{s}"))
-        per = sc if per is None else per.unionByName(sc)
-    per = per.withColumnRenamed(label, "y")
+    the spread of their AUCs (min, max, population std).  ``test`` is read
+    once for all models."""
+    models = [fit_seeded(train, s) for s in seeds]
+    per = _predict_each(models, [f"seed_{s}" for s in seeds], test, features, ["row_id", label]).withColumnRenamed(label, "y")
     aucs = ranking_metrics(per, ["model"])
     by_seed = aucs.agg(F.map_from_entries(F.collect_list(F.struct("model", "roc_auc"))).alias("auc_by_seed"))
     spread = score_spread(aucs, "roc_auc").select("*", by_seed.select("auc_by_seed").scalar().alias("auc_by_seed"))
