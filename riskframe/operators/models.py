@@ -274,10 +274,14 @@ def ablation(frames: dict[str, DataFrame], fit: Callable[[DataFrame, list[str]],
              feature_sets: dict[str, list[str]], valid_fold: int = 0, fold: str = "fold",
              label: str = "y") -> DataFrame:
     """M9: the same model family on feature sets A / B / C; one long score
-    table ``(row_id, model=<set>, y, score)`` for side-by-side metrics."""
-    out = None
+    table ``(row_id, model=<set>, y, score)`` for side-by-side metrics.
+    A frame is written once, however many sets it serves."""
+    out, held = None, {}
     for name, feats in feature_sets.items():
         df = frames[name]
+        if id(df) not in held:
+            held[id(df)] = materialise(df, "ablation-rows")
+        df = held[id(df)]
         m = fit(df.where(F.col(fold) != valid_fold), feats)
         sc = (predict_proba(m, df.where(F.col(fold) == valid_fold), feats, keep=["row_id", label])
               .select("row_id", F.lit(name).alias("model"), F.col(label).alias("y"), "score"))
