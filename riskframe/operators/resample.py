@@ -23,6 +23,10 @@ from riskframe.operators.prefix import row_positions
 from riskframe.session import materialise
 
 BLOCK_SIZE = 4_096
+#: Copies of a query that the second search makes on average before it takes wider blocks, at least.
+SPREAD = 24
+#: Bytes of a wide block's vectors, at most about; rows that a task copies at a time.
+WIDE_BYTES, REACHED = 1 << 25, 1 << 17
 #: Pivots at most: a matrix of so many points goes to every task.
 PIVOTS = 512
 
@@ -46,30 +50,67 @@ def _matrix(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def _reached(found: DataFrame, pivots: np.ndarray, radius: dict[int, float], blocks: dict[int, int]) -> DataFrame:
+def _reached(found: DataFrame, pivots: np.ndarray, radius: dict[int, float], blocks: dict[int, int],
+             first: dict[int, int] | None = None, counted: bool = False) -> DataFrame:
     """``(x, within, cell, block)``: the blocks, but the own one, that can
     hold a point nearer than ``kth``.  A point of cell j is at least
     ``d(q, p_j) - radius_j`` away, and at least half of what p_j is farther
-    than the own pivot."""
+    than the own pivot.
+
+    With ``first``, cell j lies in the ``blocks[j]`` wide blocks from
+    ``first[j]`` on: ``cell`` is a wide block's number, each once, the own one
+    included.  ``counted`` gives ``(cell, n)`` in place of the rows."""
     r = np.array([radius.get(j, -np.inf) for j in range(len(pivots))])
+    parts = np.array([blocks.get(j, 0) for j in range(len(pivots))], dtype=np.int64)
+    start = None if first is None else np.array([first.get(j, 0) for j in range(len(pivots))], dtype=np.int64)
+    step = max(1, REACHED // max(1, int(parts.sum())))      # copies of a piece are bounded
 
     def run(batches):
         for b in batches:
-            if not b.num_rows:
-                continue
-            x, own, block, kth = (b.column(i) for i in range(4))
-            d = pivot_distances(_matrix(x), pivots)
-            home = d[np.arange(len(d)), own.to_numpy()]
-            least = np.maximum(d - r[None], (d - home[:, None]) / 2)
-            row, cell = np.nonzero(least <= kth.to_numpy()[:, None] * (1 + 1e-9))
-            n = np.array([blocks.get(int(c), 0) for c in cell], dtype=np.int64)
-            row, cell = np.repeat(row, n), np.repeat(cell, n)
-            part = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            other = (cell != own.to_numpy()[row]) | (part != block.to_numpy()[row])
-            row = pa.array(row[other])
-            yield pa.RecordBatch.from_arrays([x.take(row), kth.take(row), pa.array(cell[other].astype(np.int32)),
-                                              pa.array(part[other].astype(np.int32))], names=["x", "within", "cell", "block"])
-    return found.select("x", "cell", "block", "kth").mapInArrow(run, "x array<double>, within double, cell int, block int")
+            for lo in range(0, b.num_rows, step):
+                x, own, block, kth = (b.column(i).slice(lo, step) for i in range(4))
+                own = own.to_numpy()
+                d = pivot_distances(_matrix(x), pivots)
+                home = d[np.arange(len(d)), own]
+                least = np.maximum(d - r[None], (d - home[:, None]) / 2)
+                row, cell = np.nonzero(least <= kth.to_numpy()[:, None] * (1 + 1e-9))
+                n = parts[cell]
+                row, cell = np.repeat(row, n), np.repeat(cell, n)
+                part = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                if start is None:
+                    other = (cell != own[row]) | (part != block.to_numpy()[row])
+                    row, cell, part = row[other], cell[other], part[other]
+                else:
+                    both = np.unique(np.stack([row, start[cell] + part]), axis=1)
+                    row, cell, part = both[0], both[1], np.zeros(both.shape[1], dtype=np.int64)
+                if counted:
+                    cell, n = np.unique(cell, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(n.astype(np.int64))], names=["cell", "n"])
+                else:
+                    row = pa.array(row)
+                    yield pa.RecordBatch.from_arrays([x.take(row), kth.take(row), pa.array(cell.astype(np.int32)),
+                                                      pa.array(part.astype(np.int32))], names=["x", "within", "cell", "block"])
+    return found.select("x", "cell", "block", "kth").mapInArrow(
+        run, "cell int, n long" if counted else "x array<double>, within double, cell int, block int")
+
+
+def _reach_counts(*args) -> dict[int, int]:
+    """Rows of ``_reached`` a cell (or wide block)."""
+    return {r.cell: r.n for r in _reached(*args, counted=True).groupBy("cell").agg(F.sum("n").alias("n")).collect()}
+
+
+def _wide(sizes: dict[int, int], rows: int) -> tuple[dict[int, int], dict[int, int]]:
+    """``(first, parts)``: small cells are put together into wide blocks of
+    at most ``rows`` points, larger ones are cut."""
+    first, parts, at, held = {}, {}, 0, 0
+    for c, n in sorted(sizes.items()):
+        if held and held + n > rows:
+            at, held = at + 1, 0
+        first[c], parts[c] = at, math.ceil(n / rows)
+        held += n
+        if n > rows:
+            at, held = at + parts[c], 0
+    return first, parts
 
 
 def _number(of: dict[int, int]) -> Column:
@@ -119,14 +160,28 @@ def knn(query: DataFrame, candidates: DataFrame, k: int, exclude_self: bool = Tr
     chunks = {c: math.ceil(m / (blocks[c] * query_chunk)) for c, m in _counts(asked).items()}
     near = _met(own, held, chunks, most, itype)
     near = materialise(near, "knn-own")
-    reached = _reached(own.drop("within").join(near.select("x", "kth"), "x"), pivots, radius, blocks)
-    reached = materialise(reached, "knn-reached")
-    chunks = {c: math.ceil(m / (blocks[c] * query_chunk)) for c, m in _counts(reached).items()}
+    # a first pass only counts the copies; many go straight into the shuffle
+    own = own.drop("within").join(near.select("x", "kth"), "x")
+    met = _reach_counts(own, pivots, radius, blocks)
+    found = near.select("x", "nn")
+    rows = max(block_size, min(math.ceil(n / SPREAD), WIDE_BYTES // (8 * max(1, pivots.shape[1]))))
+    if sum(met.values()) > SPREAD * near.count() and rows > block_size:
+        # the bound leaves out little: the same search over fewer, wider blocks, the own ones again among them
+        first, parts = _wide({s.cell: s.n for s in stats}, rows)
+        met = _reach_counts(own, pivots, radius, parts, first)
+        reached = _reached(own, pivots, radius, parts, first)
+        group = _number(first) + F.pmod(F.xxhash64(F.lit(3), "x"), _number(parts))
+        held = cand.select(group.cast("int").alias("cell"), F.lit(0).alias("block"), F.col("x").alias("cx"), "ids")
+        chunks = {g: math.ceil(m / max(query_chunk, rows)) for g, m in met.items()}
+        found = found.limit(0)
+    else:
+        reached = materialise(_reached(own, pivots, radius, blocks), "knn-reached")
+        chunks = {c: math.ceil(m / (blocks[c] * query_chunk)) for c, m in met.items()}
     far = _met(reached, held, chunks, most, itype)
 
     pairs = F.flatten(F.transform(F.flatten(F.collect_list("nn")), lambda e: F.transform(
         e["ids"], lambda i: F.struct(e["dist"].alias("dist"), i.alias("nid")))))
-    best = near.select("x", "nn").unionByName(far.where(F.size("nn") > 0).select("x", "nn")).groupBy("x").agg(
+    best = found.unionByName(far.where(F.size("nn") > 0).select("x", "nn")).groupBy("x").agg(
         F.slice(F.array_sort(pairs), 1, most).alias("nn"))
     out = query.select("id", "x").join(best, "x")
     others = F.filter("nn", lambda e: e["nid"] != F.col("id")) if exclude_self else F.col("nn")
