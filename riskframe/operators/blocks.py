@@ -7,11 +7,16 @@ becomes rows or interpreted lambdas.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskframe.session import materialise
+
 
 def _chunks(n: int, step: int):
     for i in range(0, n, step):
@@ -146,3 +151,127 @@ def topk_cogroup(query: DataFrame, candidates: DataFrame, keys: list[str], k: in
         return pd.DataFrame({"x": qpdf["x"], "kth": kth, "nn": nn})
     return query.groupBy(*keys).cogroup(candidates.groupBy(*keys)).applyInPandas(
         fn, f"x array<double>, kth double, nn array<struct<dist: double, ids: array<{id_type}>>>")
+
+
+# ---- boxes that come near --------------------------------------------------------
+
+BLOCKS = 64                             # blocks aimed at
+BLOCK_LEAST, BLOCK_MOST = 1 << 11, 1 << 16      # rows of a block, about
+TREE_SAMPLE = 20_000                    # rows that bound the blocks
+CELLS = 1 << 20                         # pairs that are compared at a time
+
+
+def _median_tree(X: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(dimension, cut)`` of each node of a tree of median cuts, the widest
+    dimension first; node ``k`` has the children ``2k + 1`` and ``2k + 2``."""
+    dims, cuts = np.zeros((1 << depth) - 1, dtype=np.int64), np.zeros((1 << depth) - 1)
+    at = np.zeros(len(X), dtype=np.int64)
+    for k in range(len(dims)):
+        mine = np.flatnonzero(at == k)
+        if len(mine):
+            dims[k] = np.ptp(X[mine], axis=0).argmax()
+            cuts[k] = np.median(X[mine, dims[k]])
+            at[mine] = 2 * k + 1 + (X[mine, dims[k]] > cuts[k])
+    return dims, cuts
+
+
+def _matrix(column) -> np.ndarray:
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _gaps2(alo, ahi, blo, bhi) -> np.ndarray:
+    """Squared gaps of boxes; corners' last axis is the dimension."""
+    out = 0.0
+    for k in range(alo.shape[-1]):
+        step = np.maximum(np.maximum(alo[..., k] - bhi[..., k], blo[..., k] - ahi[..., k]), 0.0)
+        out = out + step * step
+    return out
+
+
+def near_boxes(rows: DataFrame, d: int, eps: float, lo: str, hi: str, keep: list[str]) -> DataFrame:
+    """``(a_..., b_..., dist)``: the columns ``keep`` of each unordered pair of
+    rows whose boxes (``lo`` to ``hi``, arrays of ``d`` numbers; a point has
+    ``lo = hi``) are at most ``eps`` apart, once, in any order, and their
+    distance.
+
+    Rows are dealt to blocks by a tree of median cuts that a bounded sample
+    gives; a block of too many rows (equal ones cannot be cut) is dealt by
+    chance.  Each pair of blocks whose rows' bounds come near is a group.
+    Products of centres find what may be near, corners decide, so only true
+    pairs become rows.  A row travels once a partner block: about ``BLOCKS``
+    times at most, up to ``BLOCKS * BLOCK_MOST`` rows."""
+    spark = rows.sparkSession
+    whole = rows.where(F.forall(lo, lambda v: v.isNotNull() & ~F.isnan(v)) & F.forall(hi, lambda v: v.isNotNull() & ~F.isnan(v)))
+    cols = list(dict.fromkeys([*keep, lo, hi]))
+    whole = materialise(whole.select(*cols), "near-boxes")
+    n = whole.count()
+    size = min(max(n // BLOCKS, BLOCK_LEAST), BLOCK_MOST)
+    depth = int(np.ceil(np.log2(max(1.0, n / size))))
+    some = whole.sample(min(1.0, TREE_SAMPLE / max(1, n)), seed=7).select(lo).limit(2 * TREE_SAMPLE).collect() if depth else []
+    dims, cuts = _median_tree(np.array([r[0] for r in some], dtype=np.float64).reshape(len(some), d), depth)
+
+    def leaf_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = _matrix(b.column(lo))
+            at = np.zeros(b.num_rows, dtype=np.int64)
+            for _ in range(depth if b.num_rows else 0):
+                at = 2 * at + 1 + (x[np.arange(len(x)), dims[at]] > cuts[at])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at, pa.int64())], names=[*cols, "_leaf"])
+    kinds = {f.name: f.dataType.simpleString() for f in whole.schema.fields}
+    kept = ", ".join(f"{c} {kinds[c]}" for c in cols)
+    placed = materialise(whole.mapInArrow(leaf_of, f"{kept}, _leaf long").withColumn("_r", F.rand(7)), "near-boxes")
+    bounds = [F.min(F.col(lo)[k]) for k in range(d)] + [F.max(F.col(hi)[k]) for k in range(d)]
+    leaves = placed.groupBy("_leaf").agg(F.count(F.lit(1)), F.array(*bounds)).collect()     # one row a block
+    parts = [max(1, -(-r[1] // (2 * size))) for r in leaves]
+    first = np.cumsum([0, *parts])
+    corner = np.array([r[2] for r in leaves], dtype=np.float64).reshape(len(leaves), 2, d)
+    i, j = np.triu_indices(len(leaves))
+    with np.errstate(invalid="ignore"):
+        near = ~(_gaps2(corner[i, 0], corner[i, 1], corner[j, 0], corner[j, 1]) > eps * eps * (1 + 1e-9))
+    met = [(int(a), int(b)) for x, y in zip(i[near], j[near]) for a in range(first[x], first[x + 1])
+           for b in range(first[y], first[y + 1]) if a <= b]
+    pairs = F.broadcast(spark.createDataFrame(pd.DataFrame(met, columns=["_a", "_b"], dtype="int64"), "_a long, _b long"))
+    of = F.broadcast(spark.createDataFrame(pd.DataFrame(
+        {"_leaf": [r[0] for r in leaves], "_first": first[:-1], "_n": parts}, dtype="int64"), "_leaf long, _first long, _n long"))
+    block = (F.col("_first") + F.floor(F.col("_r") * F.col("_n"))).alias("_block")
+    dealt = placed.join(of, "_leaf").select(*cols, block)
+    sides = [dealt.join(pairs.where(on), F.col("_block") == F.col(c)).select("_a", "_b", F.lit(s).alias("_side"), *cols)
+             for s, c, on in ((False, "_a", F.lit(True)), (True, "_b", F.col("_a") != F.col("_b")))]
+    out = ", ".join(f"{s}_{c} {kinds[c]}" for s in "ab" for c in keep) + ", dist double"
+    point = lo == hi
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches))
+        side = t["_side"].to_numpy()
+        one, own = t.filter(pa.array(~side)), not side.any()
+        two = one if own else t.filter(pa.array(side))
+        if not one.num_rows or not two.num_rows:
+            return
+        one, two = one.combine_chunks(), two.combine_chunks()
+        alo, ahi, blo, bhi = _matrix(one[lo]), _matrix(one[hi]), _matrix(two[lo]), _matrix(two[hi])
+        origin = alo.mean(axis=0)       # products lose least about the middle
+        a, b = (alo + ahi) / 2 - origin, (blo + bhi) / 2 - origin
+        ar, br = (np.sqrt(((hi_ - lo_) ** 2).sum(axis=1)) / 2 for lo_, hi_ in ((alo, ahi), (blo, bhi)))
+        aa, bb = np.einsum("nd,nd->n", a, a), np.einsum("nd,nd->n", b, b)
+        for sl in _chunks(len(a), max(1, CELLS // len(b))):
+            # not above the limit: what is not a number goes on to the corners
+            reach = (eps if point else eps + ar[sl, None] + br[None, :]) ** 2
+            d2 = a[sl] @ (-2.0 * b.T)
+            d2 += (aa[sl] * (1 - 1e-9))[:, None]
+            d2 += (bb * (1 - 1e-9))[None, :]
+            i, j = np.nonzero(~(d2 > reach * (1 + 1e-9)))
+            i += sl.start
+            if own:
+                i, j = i[i < j], j[i < j]
+            dist = np.sqrt(_gaps2(alo[i], ahi[i], blo[j], bhi[j]))
+            ok = dist <= eps * (1 if point else 1 + 1e-9)
+            i, j, dist = pa.array(i[ok]), pa.array(j[ok]), pa.array(dist[ok])
+            yield pa.RecordBatch.from_arrays([*(_taken(one[c], i) for c in keep), *(_taken(two[c], j) for c in keep), dist],
+                                             names=[*(f"{s}_{c}" for s in "ab" for c in keep), "dist"])
+    return sides[0].unionByName(sides[1]).groupBy("_a", "_b").applyInArrow(compare, out)
+
+
+def _taken(column: pa.ChunkedArray, at: pa.Array) -> pa.Array:
+    return column.combine_chunks().take(at)

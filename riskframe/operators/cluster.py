@@ -4,10 +4,11 @@
 Points are ``(id, x array<double>)`` of any dimension d.  DBSCAN and the
 range join work on cells of side ``eps / sqrt(d)``: their diameter is at most
 ``eps``, so every point of a cell is within ``eps`` of every other.  Occupied
-cells find their neighbours through a coarse index on the (at most 3) widest
-dimensions and are then compared by the gap between their boxes in all d; no
-list of d-dimensional offsets is formed.  That keeps the work off point
-pairs:
+cells find their neighbours, in up to 3 dimensions, through a coarse index and
+are then compared by the gap between their boxes.  In more dimensions cells are
+many, of few points each, and far wider than their points: there the bounds of
+the points are compared, block by block of cells in tasks (``near_boxes``).  No
+list of d-dimensional offsets is formed.  That keeps the work off point pairs:
 
 * equal points are one point with a weight;
 * a cell holding ``min_samples`` points makes all of them core, with no
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.operators.blocks import cluster_sums, worst_ratios
+from riskframe.operators.blocks import cluster_sums, near_boxes, worst_ratios
 from riskframe.operators.prefix import row_positions
 from riskframe.session import checkpoint_dir, materialise
 
@@ -80,7 +81,7 @@ def pca_embed(points: DataFrame, k: int, out: str = "x") -> DataFrame:
 # ---- cells ------------------------------------------------------------------------
 
 MARGIN = 1e-9       # floor() may round either way: boxes are taken this much wider
-INDEXED = 3         # dimensions of the coarse index, at most
+INDEXED = 3         # dimensions that the coarse index is used for, at most
 
 
 def _dim(points: DataFrame) -> int:
@@ -99,31 +100,30 @@ def _gap2(a: Column, b: Column, d: int, side: float) -> Column:
     return sum((s * s for s in steps), F.lit(0)) * F.lit(side * side)
 
 
-def _widest(cells: DataFrame, d: int) -> list[int]:
-    """The dimensions over which cells spread most."""
-    row = cells.agg(*[(F.max(F.col("f")[i]) - F.min(F.col("f")[i])).alias(str(i)) for i in range(d)]).first()
-    return sorted(range(d), key=lambda i: (-(row[i] or 0), i))[:INDEXED]
-
-
 def _cell_pairs(cells: DataFrame, d: int, eps: float, side: float) -> DataFrame:
     """``(a_..., b_...)``: each unordered pair of different cells of
-    ``cells(f, ...)`` whose boxes come within ``eps``, once.
+    ``cells(f, cell, lo, hi, ...)`` that may hold points within ``eps``, once.
 
     Cells that near differ by at most ``ceil(sqrt d) + 1`` steps in any
     dimension, so by one step of an index that coarse; of the index's
-    neighbours the later half is probed."""
+    neighbours the later half is probed.  Dimensions that it could not index
+    would let most pairs through: above ``INDEXED`` the points' bounds ``lo``
+    and ``hi`` are compared instead."""
+    kept = [c for c in cells.columns if c not in ("cell", "lo", "hi")]
+    if d > INDEXED:
+        return near_boxes(cells, d, eps, "lo", "hi", kept).drop("dist")
     step = math.ceil(math.sqrt(d)) + 1
-    wide = _widest(cells, d)
-    at = [F.floor(F.col("f")[i] / F.lit(float(step))).cast("long") for i in wide]
-    ahead = [o for o in itertools.product((-1, 0, 1), repeat=len(wide)) if o >= (0,) * len(wide)]
+    at = [F.floor(F.col("cell")[i] / F.lit(float(step))).cast("long") for i in range(d)]
+    ahead = [o for o in itertools.product((-1, 0, 1), repeat=d) if o >= (0,) * d]
     offs = F.array(*[F.array(*[F.lit(v) for v in o]) for o in ahead])
     probe = (cells.select("*", F.explode(offs).alias("_o"))
-             .select(*[F.col(c).alias(f"a_{c}") for c in cells.columns],
+             .select(*[F.col(c).alias(f"a_{c}") for c in [*kept, "cell"]],
                      F.array(*[q + F.col("_o")[k] for k, q in enumerate(at)]).alias("_q"),
                      F.forall("_o", lambda v: v == 0).alias("_own")))
-    held = cells.select(*[F.col(c).alias(f"b_{c}") for c in cells.columns], F.array(*at).alias("_q"))
-    near = _gap2(F.col("a_f"), F.col("b_f"), d, side) <= F.lit(eps * eps * (1 + MARGIN))
-    return probe.join(held, "_q").where((~F.col("_own") | (F.col("a_f") < F.col("b_f"))) & near).drop("_q", "_own")
+    held = cells.select(*[F.col(c).alias(f"b_{c}") for c in [*kept, "cell"]], F.array(*at).alias("_q"))
+    near = _gap2(F.col("a_cell"), F.col("b_cell"), d, side) <= F.lit(eps * eps * (1 + MARGIN))
+    met = probe.join(held, "_q").where((~F.col("_own") | (F.col("a_cell") < F.col("b_cell"))) & near)
+    return met.drop("_q", "_own", "a_cell", "b_cell")
 
 
 def _swapped(pairs: DataFrame) -> DataFrame:
@@ -142,14 +142,20 @@ def neighbour_pairs(points: DataFrame, eps: float, include_self: bool = False) -
     """Every unordered pair ``(id_a < id_b)`` within ``eps``, with its
     distance.  Output-sensitive: points of a cell are all within eps; other
     candidates come from neighbouring occupied cells.  The joins are plain
-    equi-joins on cells, which AQE splits where a cell is hot."""
+    equi-joins on cells, which AQE splits where a cell is hot.  In more than
+    ``INDEXED`` dimensions points are compared block by block in tasks, and
+    only the pairs found become rows."""
     d = _dim(points)
     none = points.select(F.col("id").alias("id_a"), F.col("id").alias("id_b"), F.lit(0.0).alias("dist"))
     if d == 0:
         return none.limit(0)
     side = _side(eps, d)
+    if d > INDEXED:
+        met = near_boxes(points, d, eps, "x", "x", ["id"]).where(F.col("a_id") != F.col("b_id"))
+        found = met.select(F.least("a_id", "b_id").alias("id_a"), F.greatest("a_id", "b_id").alias("id_b"), "dist")
+        return found.unionByName(none) if include_self else found
     g = points.select("id", "x", _cell(F.col("x"), d, side).alias("f"))
-    pairs = _cell_pairs(g.select("f").distinct(), d, eps, side)
+    pairs = _cell_pairs(g.select("f", F.col("f").alias("cell")).distinct(), d, eps, side)
     pa, pb = (g.select(F.col("f").alias(f"{k}_f"), F.col("id").alias(f"{k}_id"), F.col("x").alias(f"{k}_x")) for k in "ab")
     dist = euclid_d(F.col("a_x"), F.col("b_x"), d)
     same = pa.join(pb, F.col("a_f") == F.col("b_f")).where(F.col("a_id") < F.col("b_id"))
@@ -231,19 +237,24 @@ def dbscan(points: DataFrame, eps: float, min_samples: int, parts: int = 4) -> D
         return points.select("id", F.lit(-1).alias("cluster"))
     side = _side(eps, d)
     one = points.groupBy("x").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("w"))
-    one = materialise(one.withColumn("f", _cell(F.col("x"), d, side)), "dbscan-points")
-    cells = one.groupBy("f").agg(F.sum("w").alias("n")).withColumn("dense", F.col("n") >= min_samples)
+    one = materialise(one.withColumn("cell", _cell(F.col("x"), d, side)), "dbscan-points")
+    # a point that is not a number is near to none: it has no part in a cell's bounds
+    known = [F.when(~F.isnan(F.col("x")[i]), F.col("x")[i]) for i in range(d)]
+    cells = one.groupBy("cell").agg(F.sum("w").alias("n"), F.array(*map(F.min, known)).alias("lo"),
+                                    F.array(*map(F.max, known)).alias("hi"))
+    # cells go by a number from here on
+    cells = cells.select(F.monotonically_increasing_id().alias("f"), "*", (F.col("n") >= min_samples).alias("dense"))
     cells = materialise(cells, "dbscan-cells")
-    pairs = materialise(_cell_pairs(cells.select("f", "dense"), d, eps, side), "dbscan-pairs")
+    pairs = materialise(_cell_pairs(cells.drop("n"), d, eps, side), "dbscan-pairs")
 
     # a point of a sparse cell counts its own cell and, in neighbouring ones,
     # the points within eps: how many for a dense cell, which ones for a
     # sparse cell, as borders need to know which of those are core
-    at = one.join(cells, "f")
+    at = one.join(cells.select("cell", "f", "n", "dense"), "cell")
     sparse = at.where(~F.col("dense"))
     both = _swapped(pairs).where(~F.col("a_dense"))
     a = sparse.select(F.col("f").alias("a_f"), F.col("id").alias("a_id"), F.col("x").alias("a_x"))
-    b = one.select(F.col("f").alias("b_f"), F.col("id").alias("b_id"), F.col("x").alias("b_x"), F.col("w").alias("b_w"))
+    b = at.select(F.col("f").alias("b_f"), F.col("id").alias("b_id"), F.col("x").alias("b_x"), F.col("w").alias("b_w"))
     met = both.join(a, "a_f").join(b, "b_f").where(euclid_d(F.col("a_x"), F.col("b_x"), d) <= F.lit(eps))
     met = met.groupBy("a_id", "b_f", F.when(~F.col("b_dense"), F.col("b_id")).alias("b_id")).agg(F.sum("b_w").alias("n"))
     met = materialise(met, "dbscan-near")

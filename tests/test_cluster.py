@@ -198,3 +198,35 @@ def test_squared_silhouette_matches_pairs(spark, monkeypatch):
         monkeypatch.setattr(cl, "CENTROID_BLOCK", block)
         r = cl.silhouette_squared(_points(spark, X), labels).first()
         assert r.silhouette == pytest.approx(np.mean(s), rel=1e-6) and (r.n_sample, r.n_clusters) == (int(keep.sum()), len(set(names)))
+
+
+@pytest.mark.parametrize("copies", [1, 40])
+def test_near_boxes_across_blocks_match_bruteforce(spark, monkeypatch, copies):
+    from riskframe.operators import blocks
+    monkeypatch.setattr(blocks, "BLOCK_LEAST", 32)      # several blocks, some dealt by chance
+    monkeypatch.setattr(blocks, "CELLS", 500)
+    rng = np.random.default_rng(8)
+    X = np.vstack([rng.normal(0, 0.4, size=(250, 5)), np.tile(rng.normal(0, 0.4, size=(3, 5)), (copies, 1))])
+    W = np.where(rng.random(X.shape) < 0.3, 0.1, 0.0)
+    rows = [(i, [float(v) for v in x], [float(v) for v in x + w]) for i, (x, w) in enumerate(zip(X, W))]
+    boxes = spark.createDataFrame(rows + [(-1, None, None), (-2, [1.0, None, 0.0, 0.0, 0.0], [1.0] * 5)],
+                                  "id long, lo array<double>, hi array<double>")
+    for hi, top in (("lo", X), ("hi", X + W)):
+        found = blocks.near_boxes(boxes, 5, 0.3, "lo", hi, ["id"]).collect()
+        got = {(min(r.a_id, r.b_id), max(r.a_id, r.b_id)): r.dist for r in found}
+        gap = np.maximum(np.maximum(X[:, None] - top[None], X[None] - top[:, None]), 0.0)
+        D = np.sqrt((gap ** 2).sum(-1))
+        i, j = np.nonzero(np.triu(D <= 0.3, 1))
+        assert len(found) == len(got) and set(got) == set(zip(i.tolist(), j.tolist()))
+        assert all(got[a, b] == pytest.approx(D[a, b], abs=1e-12) for a, b in got)
+
+
+def test_cells_meet_by_their_points_in_seven_dimensions(spark):
+    # boxes of cells come near almost everywhere, points hardly anywhere
+    rng = np.random.default_rng(9)
+    X = rng.normal(0, 0.38, size=(300, 7))
+    pts = _points(spark, X).select("x", F.col("x").alias("lo"), F.col("x").alias("hi"), F.col("id").alias("f"))
+    side = cl._side(0.45, 7)
+    cells = pts.select("f", cl._cell(F.col("x"), 7, side).alias("cell"), "lo", "hi")
+    D = np.sqrt(((X[:, None] - X[None]) ** 2).sum(-1))
+    assert cl._cell_pairs(cells, 7, 0.45, side).count() == (np.triu(D <= 0.45, 1)).sum()
