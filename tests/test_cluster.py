@@ -221,12 +221,10 @@ def test_near_boxes_across_blocks_match_bruteforce(spark, monkeypatch, copies):
         assert all(got[a, b] == pytest.approx(D[a, b], abs=1e-12) for a, b in got)
 
 
-def test_cells_meet_by_their_points_in_seven_dimensions(spark):
-    # boxes of cells come near almost everywhere, points hardly anywhere
+def test_near_boxes_skip_pairs_of_marked_rows(spark):
     rng = np.random.default_rng(9)
-    X = rng.normal(0, 0.38, size=(300, 7))
-    pts = _points(spark, X).select("x", F.col("x").alias("lo"), F.col("x").alias("hi"), F.col("id").alias("f"))
-    side = cl._side(0.45, 7)
-    cells = pts.select("f", cl._cell(F.col("x"), 7, side).alias("cell"), "lo", "hi")
+    X, mark = rng.normal(0, 0.38, size=(300, 7)), rng.random(300) < 0.5
+    pts = _points(spark, X).join(spark.createDataFrame([(i, bool(m)) for i, m in enumerate(mark)], "id long, m boolean"), "id")
     D = np.sqrt(((X[:, None] - X[None]) ** 2).sum(-1))
-    assert cl._cell_pairs(cells, 7, 0.45, side).count() == (np.triu(D <= 0.45, 1)).sum()
+    exp = np.triu((D <= 0.6) & ~(mark[:, None] & mark[None]), 1).sum()
+    assert cl.near_boxes(pts, 7, 0.6, "x", "x", ["id", "m"], "m").count() == exp
