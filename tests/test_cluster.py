@@ -228,3 +228,12 @@ def test_near_boxes_skip_pairs_of_marked_rows(spark):
     D = np.sqrt(((X[:, None] - X[None]) ** 2).sum(-1))
     exp = np.triu((D <= 0.6) & ~(mark[:, None] & mark[None]), 1).sum()
     assert cl.near_boxes(pts, 7, 0.6, "x", "x", ["id", "m"], "m").count() == exp
+
+
+def test_neighbour_pairs_of_unknown_points_stay_within_their_cell(spark):
+    nan = float("nan")
+    x = {0: [None] * 5, 1: [None] * 5, 2: [nan] * 5, 3: [0.01] * 5, 4: [0.02] * 5, 5: [9.0] * 5}
+    got = {(r.id_a, r.id_b): r.dist for r in cl.neighbour_pairs(
+        spark.createDataFrame(list(x.items()), "id long, x array<double>"), 0.5).collect()}
+    assert set(got) == {(0, 1), (2, 3), (2, 4), (3, 4)}
+    assert got[0, 1] is None and got[2, 3] != got[2, 3] and got[3, 4] == pytest.approx(0.01 * 5 ** 0.5)
