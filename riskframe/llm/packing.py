@@ -14,6 +14,10 @@ table gives an empty result.  Extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
+import json
+import re
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -31,10 +35,102 @@ CACHE = 800_000         # distinct chunks whose ids a worker keeps at most,
 CACHE_BYTES = 1 << 26   # and their bytes
 BATCH = 10_000
 ROWS = 64               # rows whose chunks are tokenised together
+WORDS = 300_000         # words of plain chunks whose ids a worker keeps, about,
+WORD = 64               # and their length at most
+LINE = 200              # words that are tokenised as one line
 
 _ids: dict[str, dict[bytes, bytes]] = {}
+_word_ids: dict[str, dict[str, bytes]] = {}
 _kept_bytes: dict[str, int] = {}
 
+#: What a tokenizer file must say for ``plain_words`` to cut as it does.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+@functools.cache
+def plain_characters() -> tuple[re.Pattern, re.Pattern]:
+    """A pattern of texts that any Unicode version lower-cases and classes
+    alike, one character at a time (with spaces), and one of their words in
+    lower case (a space is one, too)."""
+    old = unicodedata.ucd_3_2_0
+    letters, digits, others = [], [], []
+    for c in map(chr, range(0x21, 0x20000)):
+        kind, low = old.category(c)[0], c.lower()
+        to = letters if kind == "L" else digits if kind == "N" else others
+        # a capital sigma's lower case depends on what follows
+        if (kind in "LNPS" and c != "\u03a3" and len(low) == 1
+                and kind == unicodedata.category(c)[0] == unicodedata.category(low)[0]):
+            to += [c, low]
+
+    def ranges(chars: list[str]) -> str:
+        at = sorted(set(map(ord, chars)))
+        cuts = [i for i in range(1, len(at)) if at[i] != at[i - 1] + 1]
+        return "".join(f"\\U{at[i]:08x}-\\U{at[j - 1]:08x}" for i, j in zip([0, *cuts], [*cuts, len(at)]))
+    of, num = ranges(letters), ranges(digits)
+    return (re.compile(f"[ {of}{num}{ranges(others)}]*"),
+            re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{of}]+|[{num}]|[^ {of}{num}]+| "))
+
+
+@functools.cache
+def words_tokenizer(path: str):
+    """The file's model behind a split at spaces only, for words that are
+    normalised and cut already, and which ids end a word; None for a file of
+    another format."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    try:
+        parts = spec["pre_tokenizer"]["pretokenizers"]
+        known = (spec["normalizer"] == {"type": "Sequence", "normalizers": NORMALIZERS} and len(parts) == 2
+                 and parts[0] == {"type": "Split", "pattern": {"Regex": PATTERN}, "behavior": "Removed", "invert": True}
+                 and parts[1]["type"] == "ByteLevel" and not parts[1]["add_prefix_space"] and not parts[1]["use_regex"]
+                 and spec["model"]["type"] == "BPE" and spec["model"]["end_of_word_suffix"] == "</w>"
+                 and not spec["truncation"] and not spec["padding"] and not spec["post_processor"])
+    except (KeyError, TypeError):
+        known = False
+    if not known:
+        return None
+    from tokenizers import Tokenizer
+    vocab = spec["model"]["vocab"]
+    ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+    ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
+    added = [t["content"].encode() for t in spec["added_tokens"]]
+    spec |= {"normalizer": None, "added_tokens": [],
+             "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, parts[1]]}}
+    return Tokenizer.from_str(json.dumps(spec)), ends, added
+
+
+def is_plain(text: bytes, added: list[bytes]) -> bool:
+    try:
+        s = text.decode()
+    except UnicodeDecodeError:
+        return False
+    # NFC leaves it as it is, and no added token's string is in it
+    return (s.isascii() or unicodedata.is_normalized("NFC", s)) and not any(a in text for a in added) \
+        and plain_characters()[0].fullmatch(s) is not None
+
+
+def plain_ids(chunks: list[bytes], path: str) -> list[bytes]:
+    """Ids of plain chunks: cut into words all at once, each new word
+    tokenised once, a line of many at a time (a word's last id says so)."""
+    light, ends, _ = words_tokenizer(path)
+    kept = _word_ids.setdefault(path, {" ": b""})
+    words = plain_characters()[1].findall(b" ".join(chunks).decode().lower())
+    new = list(set(words).difference(kept))
+    lines = [new[i:i + LINE] for i in range(0, len(new), LINE)]
+    found = {}
+    for line, e in zip(lines, light.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False)):
+        ids = np.array(e.ids, dtype="<u4")
+        at, b = (4 * (1 + np.flatnonzero(ends[ids]))).tolist(), ids.tobytes()
+        found |= zip(line, (b[x:y] for x, y in zip([0, *at], at)), strict=True)
+    of = [kept[w] if w in kept else found[w] for w in words]
+    if len(kept) < WORDS:
+        kept |= ((w, i) for w, i in found.items() if len(w) <= WORD)
+    size = np.cumsum([0, *map(len, of)])
+    gaps = [i for i, w in enumerate(words) if w == " "]
+    cut, b = size[[0, *gaps, len(words)]].tolist(), b"".join(of)
+    return [b[x:y] for x, y in zip(cut, cut[1:])]
+
 
 def chunk_ids(chunks: set[bytes], path: str) -> dict[bytes, bytes]:
     """Ids (little-endian unsigned 32 bits) of chunks between ASCII spaces.
@@ -47,9 +143,17 @@ def chunk_ids(chunks: set[bytes], path: str) -> dict[bytes, bytes]:
         for c in list(kept)[len(kept) // 2:]:
             del kept[c]
         _kept_bytes[path] = sum(map(len, kept))
-    new = [c for c in chunks if c not in kept]
-    t = tokenizer(path)
+    new = list(chunks.difference(kept))
+    if not new:
+        return kept
     _kept_bytes[path] = _kept_bytes.get(path, 0) + sum(map(len, new))
+    light = words_tokenizer(path)
+    if light is not None:
+        plain = new if is_plain(b" ".join(new), light[2]) else [c for c in new if is_plain(c, light[2])]
+        if plain:
+            kept |= zip(plain, plain_ids(plain, path), strict=True)
+            new = [c for c in new if c not in kept] if len(plain) < len(new) else []
+    t = tokenizer(path)
     for i in range(0, len(new), BATCH):
         part = new[i:i + BATCH]
         got = t.encode_batch_fast([c.decode("utf-8", "replace") for c in part], add_special_tokens=False)

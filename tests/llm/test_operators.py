@@ -453,6 +453,37 @@ def test_packing_loses_nothing(docs, empty):
     assert packing.pack(empty, path).count() == 0
 
 
+def test_chunk_ids_are_those_of_the_library_and_plain_words_are_tokenised_once(monkeypatch):
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    monkeypatch.setattr(packing, "_ids", {})
+    monkeypatch.setattr(packing, "_word_ids", {})
+    fits = [c for c in map(chr, range(0x21, 0x20000)) if packing.plain_characters()[0].fullmatch(c)]
+    texts = {f for c in fits for f in (c, f"a{c}B", f"3{c}'s{c}")} | {
+        "ΟΔΟΣ", "İx", "e\u0301a", "\u1112\u1161\u11ab", "K", "a<|endoftext|>b", "<|EndOfText|>", "x\x01y", "a\x85b", "\ufb01", "😀b"}
+    chunks = sorted(c for x in texts for c in x.encode().split()) + [b"\xff\xfea", b"ab\xc3"]
+    for at in range(0, len(chunks), 5000):
+        part = chunks[at:at + 5000]
+        got = packing.chunk_ids(set(part), path)
+        for c, e in zip(part, t.encode_batch([c.decode("utf-8", "replace") for c in part], add_special_tokens=False)):
+            assert got[c] == np.array(e.ids, "<u4").tobytes(), c
+    seen = []
+    light, *rest = packing.words_tokenizer(path)
+
+    class Counting:
+        def encode_batch_fast(self, lines, **how):
+            seen.extend(w for x in lines for w in x.split())
+            return light.encode_batch_fast(lines, **how)
+    monkeypatch.setattr(packing, "words_tokenizer", lambda _: (Counting(), *rest))
+    monkeypatch.setattr(packing, "tokenizer", lambda _: None)       # not needed for plain chunks
+    monkeypatch.setattr(packing, "_ids", {})
+    monkeypatch.setattr(packing, "_word_ids", {})
+    for part in ({b"Wizards", b"wizards,", b"WIZARDS'll"}, {b"(wizards)", b"potions,"}):
+        packing.chunk_ids(part, path)
+    assert sorted(seen) == sorted(["wizards", ",", "'ll", "(", ")", "potions"])
+
+
 def test_first_fit_decreasing_matches_plain_search():
     sizes = np.sort(np.random.default_rng(4).integers(1, 100, 300))[::-1]
     room, want = [], []
