@@ -27,6 +27,7 @@ from riskframe.llm.terms import document_terms, head_terms, term_counts
 #: The pre-token pattern of byte-level BPE (a fixed value of its format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BATCH = 10_000
+LINES = 20_000      # chunks that are cut together
 #: A space followed by white space or nothing (bytes of UTF-8; control characters count).
 JOINED = re.compile(rb" (?:[\x00-\x20]|\Z|\xc2[\x80-\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\xaf]|\xe2\x81\x9f|\xe3\x80\x80)")
 
@@ -51,17 +52,28 @@ def _added(path: str) -> list[bytes]:
 
 
 @functools.cache
-def _newer():
-    """Characters that Unicode 3.2 did not have: libraries of other Unicode
-    versions may class them differently."""
+def _newer_ranges() -> str:
     import sys
     from unicodedata import ucd_3_2_0
-
-    import regex
     known = [ucd_3_2_0.category(chr(c)) != "Cn" for c in range(sys.maxunicode + 1)]
     cuts = [c for c in range(1, len(known)) if known[c] != known[c - 1]] + [len(known)]
     ranges = [(a, b - 1) for a, b in zip(cuts, cuts[1:]) if not known[a]]
-    return regex.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges) + "]")
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in ranges)
+
+
+@functools.cache
+def _newer():
+    """Characters that Unicode 3.2 did not have: libraries of other Unicode
+    versions may class them differently."""
+    return re.compile(f"[{_newer_ranges()}]")
+
+
+@functools.cache
+def _even():
+    """Texts without these, control characters but for line breaks, and white
+    space but for spaces."""
+    spaces = r"\x00-\x09\x0b-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+    return re.compile(f"[^{spaces}{_newer_ranges()}]*")
 
 
 def _cut(s: str, path: str, pattern) -> list[str]:
@@ -104,6 +116,46 @@ def parts(chunk: bytes, path: str) -> tuple[bytes, ...]:
     return tuple(x.encode() for x in _cut(" " + chunk.decode("utf-8", "replace"), path, _splitter(path)[2]))
 
 
+def _cut_lines(chunks: list[bytes], path: str) -> list[tuple[bytes, ...]] | None:
+    """The pre-tokens of chunks as lines of one string, each behind a space:
+    a line break between them is a pre-token.  None if a chunk holds white
+    space, a control character or one newer than Unicode 3.2."""
+    s = b"\n".join([b" " + c for c in chunks]).decode("utf-8", "replace")
+    if s.count("\n") != len(chunks) - 1 or s.count(" ") != len(chunks) or not _even().fullmatch(s):
+        return None
+    # no chunk holds a zero byte
+    found = "\x00".join(_splitter(path)[2].findall(s)).encode()
+    return [tuple(x.split(b"\x00")) for x in found.split(b"\x00\n\x00")]
+
+
+def parts_of_all(chunks: list[bytes], path: str) -> list[tuple[bytes, ...]]:
+    """``parts`` of many chunks, most of them cut together."""
+    out: list = [None] * len(chunks)
+    rest = []
+    for i, c in enumerate(chunks):
+        if c.isalpha():
+            out[i] = (b" " + c,)
+        elif c.startswith(b"  "):
+            out[i] = (c[2:],)
+        else:
+            rest.append(i)
+    for at in range(0, len(rest), LINES):
+        some = rest[at:at + LINES]
+        cut = _cut_lines([chunks[i] for i in some], path)
+        if cut is None:
+            odd = [" " in s or "\n" in s or not _even().fullmatch(s) for s in (chunks[i].decode("utf-8", "replace") for i in some)]
+            for i, o in zip(some, odd):
+                if o:
+                    out[i] = parts(chunks[i], path)
+            some = [i for i, o in zip(some, odd) if not o]
+            cut = _cut_lines([chunks[i] for i in some], path) if some else []
+            if cut is None:
+                cut = [parts(chunks[i], path) for i in some]
+        for i, x in zip(some, cut):
+            out[i] = x
+    return out
+
+
 def count_pieces(terms: DataFrame, path: str) -> DataFrame:
     """``(term, n, pieces)`` for ``terms(term, n)``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,8 +174,8 @@ def token_counts(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
     def chunks_of(t: bytes) -> list[bytes]:
         return chunks(t, path)
 
-    def parts_of(chunk: bytes) -> tuple[bytes, ...]:
-        return parts(chunk, path)
+    def parts_of(chunks: list[bytes]) -> list[tuple[bytes, ...]]:
+        return parts_of_all(chunks, path)
     d = docs.select(F.lit(1).alias("w"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("t"))
     table = materialise(count_pieces(term_counts(d, chunks_of, parts_of), path), "token-pieces")
     rows = document_terms(d, chunks_of, head_terms(table, ["pieces"]), 1, parts_of)

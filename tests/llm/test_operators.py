@@ -426,6 +426,21 @@ def test_pre_tokens_agree_with_the_library_on_all_kinds_of_characters():
             assert token_counts.pre_tokens(s.encode(), path) == [s[a:b] for _, (a, b) in pre.pre_tokenize_str(s)]
 
 
+def test_chunks_are_cut_together_as_one_by_one(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    points = [chr(c) for c in range(0x21, 0x3200)] + ["\U0001f600", "\ud55c", "\uff21", "\U00010400"]
+    chunks = [x.encode() for c in points for x in (c, f"a{c}'s", f"'re{c}{c}1", f"one\n{c}")]
+    chunks += [b"  kept", b"\xff\xfea", b"ab\xc3", b"a\n", b"\tb", b"'s"]
+    for step in (1000, len(chunks)):
+        for at in range(0, len(chunks), step):
+            part = chunks[at:at + step]
+            assert token_counts.parts_of_all(part, path) == [token_counts.parts(c, path) for c in part]
+    assert token_counts.parts_of_all([], path) == []
+    monkeypatch.setattr(token_counts, "parts", None)        # not needed for plain chunks
+    plain = ["l'été", "(don't)", "x=1", "abc", "über,"]
+    assert [b"".join(x).decode() for x in token_counts.parts_of_all([c.encode() for c in plain], path)] == [" " + c for c in plain]
+
+
 def test_packing_loses_nothing(docs, empty):
     from tokenizers import Tokenizer
     path = public_tokenizers.path("word_bpe_49k.json")
@@ -459,7 +474,7 @@ def test_chunk_ids_are_those_of_the_library_and_plain_words_are_tokenised_once(m
     t = Tokenizer.from_file(path)
     monkeypatch.setattr(packing, "_ids", {})
     monkeypatch.setattr(packing, "_word_ids", {})
-    fits = [c for c in map(chr, range(0x21, 0x20000)) if packing.plain_characters()[0].fullmatch(c)]
+    fits = [c for c in map(chr, range(0x21, 0x20000)) if packing.plain_characters()[0].fullmatch(c)][::5]
     texts = {f for c in fits for f in (c, f"a{c}B", f"3{c}'s{c}")} | {
         "ΟΔΟΣ", "İx", "e\u0301a", "\u1112\u1161\u11ab", "K", "a<|endoftext|>b", "<|EndOfText|>", "x\x01y", "a\x85b", "\ufb01", "😀b"}
     chunks = sorted(c for x in texts for c in x.encode().split()) + [b"\xff\xfea", b"ab\xc3"]
