@@ -70,9 +70,9 @@ def _newer():
 
 @functools.cache
 def _even():
-    """Texts without these, control characters but for line breaks, and white
-    space but for spaces."""
-    spaces = r"\x00-\x09\x0b-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+    """Texts without these, control characters and white space but for
+    spaces, tabs, line breaks and the vertical tab between chunks."""
+    spaces = r"\x00-\x08\x0c\x0e-\x1f\x7f-\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
     return re.compile(f"[^{spaces}{_newer_ranges()}]*")
 
 
@@ -117,15 +117,15 @@ def parts(chunk: bytes, path: str) -> tuple[bytes, ...]:
 
 
 def _cut_lines(chunks: list[bytes], path: str) -> list[tuple[bytes, ...]] | None:
-    """The pre-tokens of chunks as lines of one string, each behind a space:
-    a line break between them is a pre-token.  None if a chunk holds white
-    space, a control character or one newer than Unicode 3.2."""
-    s = b"\n".join([b" " + c for c in chunks]).decode("utf-8", "replace")
-    if s.count("\n") != len(chunks) - 1 or s.count(" ") != len(chunks) or not _even().fullmatch(s):
+    """The pre-tokens of chunks that white space neither begins nor ends, as
+    parts of one string, each behind a space: a vertical tab between them is a pre-token.
+    None if a chunk holds a character that ``_even`` leaves out."""
+    s = b"\x0b".join([b" " + c for c in chunks]).decode("utf-8", "replace")
+    if s.count("\x0b") != len(chunks) - 1 or s.count(" ") != len(chunks) or not _even().fullmatch(s):
         return None
     # no chunk holds a zero byte
     found = "\x00".join(_splitter(path)[2].findall(s)).encode()
-    return [tuple(x.split(b"\x00")) for x in found.split(b"\x00\n\x00")]
+    return [tuple(x.split(b"\x00")) for x in found.split(b"\x00\x0b\x00")]
 
 
 def parts_of_all(chunks: list[bytes], path: str) -> list[tuple[bytes, ...]]:
@@ -137,13 +137,15 @@ def parts_of_all(chunks: list[bytes], path: str) -> list[tuple[bytes, ...]]:
             out[i] = (b" " + c,)
         elif c.startswith(b"  "):
             out[i] = (c[2:],)
+        elif c[:1] <= b" " or c[-1:] <= b" ":
+            out[i] = parts(c, path)
         else:
             rest.append(i)
     for at in range(0, len(rest), LINES):
         some = rest[at:at + LINES]
         cut = _cut_lines([chunks[i] for i in some], path)
         if cut is None:
-            odd = [" " in s or "\n" in s or not _even().fullmatch(s) for s in (chunks[i].decode("utf-8", "replace") for i in some)]
+            odd = [" " in s or "\x0b" in s or not _even().fullmatch(s) for s in (chunks[i].decode("utf-8", "replace") for i in some)]
             for i, o in zip(some, odd):
                 if o:
                     out[i] = parts(chunks[i], path)
@@ -151,7 +153,7 @@ def parts_of_all(chunks: list[bytes], path: str) -> list[tuple[bytes, ...]]:
             cut = _cut_lines([chunks[i] for i in some], path) if some else []
             if cut is None:
                 cut = [parts(chunks[i], path) for i in some]
-        for i, x in zip(some, cut):
+        for i, x in zip(some, cut, strict=True):
             out[i] = x
     return out
 

@@ -430,14 +430,14 @@ def test_chunks_are_cut_together_as_one_by_one(monkeypatch):
     path = public_tokenizers.path("byte_bpe_50k.json")
     points = [chr(c) for c in range(0x21, 0x3200)] + ["\U0001f600", "\ud55c", "\uff21", "\U00010400"]
     chunks = [x.encode() for c in points for x in (c, f"a{c}'s", f"'re{c}{c}1", f"one\n{c}")]
-    chunks += [b"  kept", b"\xff\xfea", b"ab\xc3", b"a\n", b"\tb", b"'s"]
+    chunks += [b"  kept", b"\xff\xfea", b"ab\xc3", b"a\n", b"\tb", b"'s", b"a\x0bb", b"a\r\nb", b"\n\n."]
     for step in (1000, len(chunks)):
         for at in range(0, len(chunks), step):
             part = chunks[at:at + step]
             assert token_counts.parts_of_all(part, path) == [token_counts.parts(c, path) for c in part]
     assert token_counts.parts_of_all([], path) == []
     monkeypatch.setattr(token_counts, "parts", None)        # not needed for plain chunks
-    plain = ["l'été", "(don't)", "x=1", "abc", "über,"]
+    plain = ["one\ntwo.\n\n3", "l'été", "(don't)", "x=1", "abc", "über,"]
     assert [b"".join(x).decode() for x in token_counts.parts_of_all([c.encode() for c in plain], path)] == [" " + c for c in plain]
 
 
