@@ -2,8 +2,8 @@
 
 Scores are long ``(row_id, model, y, score)``.  Blends that only combine a
 row's own scores are a ``groupBy(row_id)`` (or a plain expression on a
-wide frame); the weight search blends each distinct score tuple for all
-candidates where it lies, and ships sorted slices of scores as arrays.
+wide frame); the weight search writes distinct score tuples once, as blocks
+that tasks read again for their candidates.
 """
 
 from __future__ import annotations
@@ -144,12 +144,18 @@ def line_grid(n: int) -> list[tuple[float, float]]:
     return [(float(w), float(1.0 - w)) for w in np.linspace(0.0, 1.0, n)]
 
 
-#: Scores of a candidate that one task of the second step ranks, about.
-SLICE_ROWS = 1 << 18
-#: Rows of the sample whose blends bound the slices.
+#: Distinct tuples of a candidate that are ranked at a time, about.
+SLICE_ROWS = 1 << 22
+#: Rows of the sample whose blends bound the slices, about.
 BOUND_ROWS = 20_000
-#: Cells (rows x candidates) of a step.
-CELLS = 1 << 21
+#: Scores (rows x candidates) that a task holds, about.
+CELLS = 3 << 23
+#: Tuples of a block, and of those that are cut into blocks together.
+BLOCK_ROWS, CUT_ROWS = 1 << 14, 1 << 20
+#: Tuples that a block gives to the sample.
+BLOCK_SAMPLE = 16
+#: Scans of the blocks in one job.
+SCANS = 64
 
 
 def weight_search(wide: DataFrame, cols: list[str], candidates: list[tuple[float, ...]],
@@ -158,71 +164,203 @@ def weight_search(wide: DataFrame, cols: list[str], candidates: list[tuple[float
     ``(candidate, weights array<double>, roc_auc)``, exact with ties.
 
     Rows are first reduced to distinct ``(y, s_1..s_k)`` tuples with counts:
-    the only shuffle of rows, whatever the number of candidates.  Each task
-    then blends its tuples for all candidates, sorts, and ships one row a
-    (candidate, score slice) that holds the slice's distinct scores and
-    counts as arrays.  A slice is ranked in one task; the AUC adds up from
-    slices and the counts below them.  Slices are bounded by a sample of
-    blends, which only balances them; equal scores of a batch are one entry,
-    so a hot score does not fill a slice.  Rows without a score or label are
-    skipped."""
-    import pandas as pd
-    import pyarrow as pa
+    the only shuffle, whatever the number of candidates.  The tuples are
+    written once, as blocks of near ones with their bounds.  A task then reads
+    the blocks for a few candidates and one score slice of each, and passes
+    over a block whose bounds put it elsewhere; it blends, sorts and ranks
+    what is left, and returns three numbers a candidate.  The AUC adds up from
+    slices and the counts below them.  So neither scores nor copies of tuples
+    are shuffled or written; tasks read the blocks about ``n / SLICE_ROWS``
+    times a group of candidates.  Slices are bounded by a sample of blends,
+    which only balances them; where a hot score fills a slice, equal scores
+    become one entry.  Rows without a score or label are skipped.  Runs when
+    it is called."""
+    spark = wide.sparkSession
     weights = np.array([list(w) for w in candidates], dtype=np.float64).reshape(len(candidates), len(cols))
     ok = F.col(y).isNotNull()
     for c in cols:
         ok = ok & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
     src = wide.where(ok).select(F.col(y).cast("int").alias("y"), *[F.col(c).cast("double").alias(f"s{i}") for i, c in enumerate(cols)])
     scores = [f"s{i}" for i in range(len(cols))]
-    tuples = materialise(src.groupBy("y", *scores).agg(F.count(F.lit(1)).alias("n")), "score-tuples")
-    n = tuples.count()
+    tuples = src.groupBy("y", *scores).agg(F.count(F.lit(1)).alias("n"))
+    blocks = materialise(tuples.select("n", "y", *scores).mapInArrow(
+        _tuple_blocks, "size long, some array<double>, lo array<double>, hi array<double>, kind string, p binary, q binary, s binary"),
+        "score-blocks")
+    n, n_blocks = blocks.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
     n_slices = max(1, -(-n // SLICE_ROWS))
-    bounds = None
+    bounds = np.full((len(weights), n_slices + 1), np.inf)
     if n_slices > 1:
-        some = tuples.sample(min(1.0, BOUND_ROWS / n), seed=7).select(*scores).limit(2 * BOUND_ROWS).collect()
-        some = np.array([tuple(r) for r in some], dtype=np.float64).reshape(len(some), len(cols))
+        share = min(1.0, BOUND_ROWS / BLOCK_SAMPLE / n_blocks)
+        some = blocks.sample(share, seed=7).select("some").limit(2 * BOUND_ROWS // BLOCK_SAMPLE).collect()
+        some = np.concatenate([np.array(r[0], dtype=np.float64) for r in some] or [np.zeros(0)]).reshape(-1, len(cols))
         at = [k / n_slices for k in range(1, n_slices)]
-        bounds = [np.quantile(_blend(some, w), at, method="nearest") for w in weights]
-
-    def blends(batches):
-        step = max(1, CELLS // max(1, len(weights)))
-        for b in batches:
-            for lo in range(0, b.num_rows, step):
-                part = b.slice(lo, step)
-                pos = part.column(0).to_numpy() * part.column(len(cols) + 1).to_numpy()
-                neg = part.column(len(cols) + 1).to_numpy() - pos
-                s = np.stack([part.column(i + 1).to_numpy() for i in range(len(cols))], axis=1)
-                out = []
-                for c, w in enumerate(weights):
-                    v, of = np.unique(_blend(s, w), return_inverse=True)
-                    p, q = (np.bincount(of, weights=x, minlength=len(v)).astype(np.int64) for x in (pos, neg))
-                    cut = [0, *np.searchsorted(v, bounds[c], "right"), len(v)] if bounds else [0, len(v)]
-                    out += [(c, j, v[a:z].tobytes(), p[a:z].tobytes(), q[a:z].tobytes())
-                            for j, (a, z) in enumerate(zip(cut, cut[1:])) if z > a]
-                kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)],
-                                                 names=["candidate", "slice", "v", "p", "q"])
-
-    def rank(pdf: pd.DataFrame) -> pd.DataFrame:
-        v, p, q = (np.frombuffer(b"".join(pdf[c]), dtype=k) for c, k in (("v", np.float64), ("p", np.int64), ("q", np.int64)))
-        _, of = np.unique(v, return_inverse=True)
-        p, q = (np.bincount(of, weights=x).astype(np.int64) for x in (p, q))
-        below = np.cumsum(q) - q
-        return pd.DataFrame({"candidate": pdf["candidate"].iloc[:1], "slice": pdf["slice"].iloc[:1], "pos": [p.sum()],
-                             "neg": [q.sum()], "inner": [float((p * (below + q / 2.0)).sum())]})
-    parts = tuples.select("y", *scores, "n").mapInArrow(blends, "candidate int, slice int, v binary, p binary, q binary")
-    ranked = parts.groupBy("candidate", "slice").applyInPandas(rank, "candidate int, slice int, pos long, neg long, inner double")
-    # one row a (candidate, slice) from here on
-    before = Window.partitionBy("candidate").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    below = F.coalesce(F.sum("neg").over(before), F.lit(0))
-    auc = (ranked.select("candidate", "pos", "neg", (F.col("inner") + F.col("pos") * below).alias("a")).groupBy("candidate")
-           .agg(F.try_divide(F.sum("a"), F.sum("pos").cast("double") * F.sum("neg")).alias("roc_auc")))
+        if len(some):
+            bounds[:, 1:-1] = [np.quantile(_blend(some, w), at, method="nearest") for w in weights]
+
+    # a task: some candidates, one slice of each
+    few = max(1, min(CELLS // max(1, min(n, SLICE_ROWS)), -(-len(weights) // spark.sparkContext.defaultParallelism)))
+    tasks = [(np.arange(lo, min(lo + few, len(weights))), j) for j in range(n_slices) for lo in range(0, len(weights), few)] if n else []
+    ranked = []
+    for lo in range(0, len(tasks), SCANS):
+        scans = [blocks.drop("some").coalesce(1).mapInArrow(
+            _slice_ranker(of, j, n_slices, weights[of], bounds[of, j], bounds[of, j + 1]),
+            "candidate int, slice int, pos long, neg long, inner double") for of, j in tasks[lo:lo + SCANS]]
+        # a union of frames would put scans of one partition each into one task
+        ranked += spark.sparkContext.union([scan.rdd for scan in scans]).collect()     # one row a (candidate, slice)
+    aucs = [None] * len(weights)
+    for c, parts in itertools.groupby(sorted(ranked), lambda r: r.candidate):
+        pos, neg, area = 0, 0, 0.0
+        for r in parts:
+            area += r.inner + float(r.pos) * neg
+            pos, neg = pos + r.pos, neg + r.neg
+        aucs[c] = area / (float(pos) * neg) if pos * neg else None
     # a draw whose weights are all zero scores 0 (it defines no blend)
-    table = local_frame(wide.sparkSession, [(i, *map(float, w), 0 if any(w) else 1) for i, w in enumerate(candidates)],
-                        [("candidate", "int"), *[(f"w{i}", "double") for i in range(len(cols))], ("zero", "int")])
-    return table.join(auc, "candidate").select(
-        "candidate", F.array(*[f"w{i}" for i in range(len(cols))]).alias("weights"),
-        F.when(F.col("zero") == 1, F.lit(0.0)).otherwise(F.col("roc_auc")).alias("roc_auc"))
+    table = local_frame(spark, [(i, *map(float, w), a if any(w) else 0.0) for i, (w, a) in enumerate(zip(candidates, aucs))],
+                        [("candidate", "int"), *[(f"w{i}", "double") for i in range(len(cols))], ("roc_auc", "double")])
+    return table.where(F.lit(bool(tasks))).select("candidate", F.array(*[f"w{i}" for i in range(len(cols))]).alias("weights"), "roc_auc")
+
+
+def _near_pieces(s: np.ndarray, rows: np.ndarray):
+    """``rows`` in pieces of at most ``BLOCK_ROWS``, cut at the median of the
+    widest column of ``s`` each time."""
+    if len(rows) <= BLOCK_ROWS:
+        yield rows
+        return
+    part = s[:, rows]
+    with np.errstate(invalid="ignore"):
+        wide = np.nan_to_num(np.ptp(part, axis=1), nan=np.inf).argmax()
+    order = np.argpartition(part[wide], len(rows) // 2)
+    yield from _near_pieces(s, rows[order[:len(rows) // 2]])
+    yield from _near_pieces(s, rows[order[len(rows) // 2:]])
+
+
+def _tuple_blocks(batches):
+    """Tuples ``(n, y, s_1..s_k)`` as blocks: ``size`` rows, ``some`` of their
+    scores, each score's bounds, then weights of positives and negatives
+    (numbers of the type ``kind``) and scores, column by column, as bytes."""
+    import pyarrow as pa
+    kinds = {"size": pa.int64(), "some": pa.list_(pa.float64()), "lo": pa.list_(pa.float64()), "hi": pa.list_(pa.float64()),
+             "kind": pa.string(), "p": pa.binary(), "q": pa.binary(), "s": pa.binary()}
+
+    def cut(held):
+        t = pa.Table.from_batches(held)
+        num = t["n"].to_numpy()
+        pos = t["y"].to_numpy() * num
+        neg = num - pos
+        s = np.stack([t.column(i).to_numpy() for i in range(2, t.num_columns)])
+        rng = np.random.default_rng(7)
+        out = []
+        for rows in _near_pieces(s, np.arange(len(num))):
+            p, q, part = pos[rows], neg[rows], np.ascontiguousarray(s[:, rows])
+            kind = "u1" if min(p.min(), q.min()) >= 0 and max(p.max(), q.max()) < 256 else "i8"
+            some = part[:, rng.integers(0, len(rows), BLOCK_SAMPLE)].T.ravel()
+            out.append((len(rows), some, part.min(axis=1), part.max(axis=1), kind, p.astype(kind).tobytes(), q.astype(kind).tobytes(), part.tobytes()))
+        for r in out:
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(r, kinds.values())], names=list(kinds))
+
+    held = []
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+        if sum(x.num_rows for x in held) >= CUT_ROWS:
+            yield from cut(held)
+            held = []
+    if held:
+        yield from cut(held)
+
+
+def _slice_ranker(of: np.ndarray, j: int, n_slices: int, weights: np.ndarray, above: np.ndarray, upto: np.ndarray):
+    """Ranks the tuples of all blocks whose blends for the candidates ``of``
+    lie in their slice ``j``, above ``above`` and up to ``upto``."""
+    first, last = j == 0, j == n_slices - 1
+
+    def held_as_one(parts):
+        v = np.concatenate([x[0] for x in parts])
+        v, at = np.unique(v, return_inverse=True)
+        return [(v, *(np.bincount(at, weights=np.concatenate([x[i] for x in parts])).astype(np.int64) for i in (1, 2)))]
+
+    def rank(batches):
+        import pyarrow as pa
+        held, size, most = [[] for _ in of], np.zeros(len(of), dtype=np.int64), np.full(len(of), 4 * SLICE_ROWS)
+        for b in batches:
+            for r in range(b.num_rows):
+                lo, hi = (np.array(b.column(c)[r].as_py(), dtype=np.float64) for c in ("lo", "hi"))
+                p, q = (np.frombuffer(b.column(c)[r].as_buffer(), dtype=b.column("kind")[r].as_py()) for c in ("p", "q"))
+                s = np.frombuffer(b.column("s")[r].as_buffer(), dtype=np.float64).reshape(len(lo), -1).T
+                with np.errstate(invalid="ignore", over="ignore"):
+                    # rounding keeps the order, so the corners' blends bound those between
+                    least, largest = (_blend_each(np.where(weights >= 0, x, z), weights) for x, z in ((lo, hi), (hi, lo)))
+                    for c in np.flatnonzero(~((least > upto) & ~last | (largest <= above) & ~first)):
+                        v = _blend(s, weights[c])
+                        inside = None
+                        if not first and not least[c] > above[c]:
+                            inside = ~(v <= above[c])
+                        if not last and not largest[c] <= upto[c]:
+                            inside = (v <= upto[c]) if inside is None else inside & (v <= upto[c])
+                        held[c].append((v, p, q) if inside is None else (v[inside], p[inside], q[inside]))
+                        size[c] += len(held[c][-1][0])
+                        if size[c] > most[c]:
+                            held[c] = held_as_one(held[c])
+                            size[c] = len(held[c][0][0])
+                            most[c] = max(most[c], 2 * size[c])
+        out = []
+        for c, parts in enumerate(held):
+            held[c] = None
+            if size[c]:
+                out.append((int(of[c]), j, *_ranked(*(np.concatenate([x[i] for x in parts]) for i in range(3)))))
+        if out:
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)],
+                                             names=["candidate", "slice", "pos", "neg", "inner"])
+    return rank
+
+
+def _ranked(v: np.ndarray, p: np.ndarray, q: np.ndarray) -> tuple[int, int, float]:
+    """Weights of positives and of negatives, and the pairs of both in which
+    the positive is above, a tie counting half.  NaN are equal and last."""
+    v = v + 0.0     # one zero
+    if np.isnan(v).any():
+        v[np.isnan(v)] = np.nan
+    if p.min() >= 0 and q.min() >= 0 and p.sum(dtype=np.int64) + q.sum(dtype=np.int64) <= 2 * len(v):
+        # few repeat: rows of one label each, which goes with the score as its last bit
+        if not np.all((p | q == 1) & (p != q)):
+            n = [x.sum(dtype=np.int64) for x in (p, q)]
+            v, p = np.concatenate([np.repeat(v, p), np.repeat(v, q)]), np.repeat(np.array([1, 0], dtype=np.uint8), n)
+        key = v.view(np.int64)
+        key = key ^ ((key >> 63) & np.int64(0x7FFFFFFFFFFFFFFF))
+        key = key.view(np.uint64) - key.min().view(np.uint64)
+        if key.max() < 1 << 63:
+            key = (key << np.uint64(1)) | p.astype(np.uint64)
+            key.sort()
+            pos = (key & np.uint64(1)).astype(bool)
+            below = np.cumsum(~pos)
+            n = int(below[-1])
+            inner = float(below[pos].sum())
+            key >>= np.uint64(1)
+            tied = np.flatnonzero(key[1:] == key[:-1])
+            if len(tied):
+                # positives come after equal negatives, which count half
+                runs = np.flatnonzero(np.diff(tied, prepend=-2) > 1)
+                starts = tied[runs]
+                ends = tied[np.append(runs[1:], len(tied)) - 1] + 1
+                negs = below[ends] - below[starts] + ~pos[starts]
+                inner -= float((negs * (ends - starts + 1 - negs)).sum()) / 2
+            return len(key) - n, n, inner
+        q = 1 - p.astype(np.int64)
+    order = np.argsort(v)
+    v, p, q = v[order], p[order].astype(np.int64), q[order].astype(np.int64)
+    starts = np.append(0, np.flatnonzero((v[1:] != v[:-1]) & ~np.isnan(v[:-1])) + 1)
+    p, q = np.add.reduceat(p, starts), np.add.reduceat(q, starts)
+    below = np.cumsum(q) - q
+    return int(p.sum()), int(q.sum()), float((p * (below + q / 2.0)).sum())
+
+
+def _blend_each(s: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """``_blend`` of row ``i`` of ``s`` by row ``i`` of ``weights``."""
+    out = weights[:, 0] * s[:, 0]
+    for i in range(1, weights.shape[1]):
+        out = out + weights[:, i] * s[:, i]
+    return out
 
 
 def _blend(s: np.ndarray, w: np.ndarray) -> np.ndarray:

@@ -179,6 +179,41 @@ def test_weight_search_over_many_slices(spark, monkeypatch):
             assert got[i] == pytest.approx(want if u or v else 0.0, abs=1e-12)
 
 
+def test_weight_search_ships_no_scores(spark, monkeypatch):
+    """Only tuples are shuffled, whatever the number of candidates; exact
+    with blocks, slices, hot tuples, negative weights and infinite scores."""
+    rng = np.random.default_rng(4)
+    a, b, y = rng.normal(size=900), np.round(rng.random(900), 1), rng.integers(0, 2, 900)
+    a[:400], b[:400], a[400], b[401] = 0.25, 0.5, np.inf, -np.inf
+    rows = [(int(i), int(t), float(u), float(v)) for i, (t, u, v) in enumerate(zip(y, a, b))]
+    wide = spark.createDataFrame(rows, "row_id long, y int, a double, b double")
+    cand = [(0.3, 0.7), (-0.5, 1.5), (0.6, -0.2), (0.0, 0.0)]
+    for name, size in (("SLICE_ROWS", 60), ("BLOCK_ROWS", 16), ("CUT_ROWS", 64), ("CELLS", 150), ("SCANS", 7)):
+        monkeypatch.setattr(en, name, size)
+    out = en.weight_search(wide, ["a", "b"], cand)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "FlatMapGroups" not in plan, plan
+    got = {r.candidate: r.roc_auc for r in out.collect()}
+    for i, (u, v) in enumerate(cand):
+        s = u * a + v * b if u or v else np.zeros(len(a))
+        pos, neg = s[y == 1], s[y == 0]
+        want = ((pos[:, None] > neg[None]).sum() + (pos[:, None] == neg[None]).sum() / 2) / (len(pos) * len(neg))
+        assert got[i] == pytest.approx(want if u or v else 0.0, abs=1e-12)
+
+
+def test_ranked_counts_ties_zeros_and_nan():
+    rng = np.random.default_rng(5)
+    for k in range(60):
+        v = rng.integers(-3, 4, 40) / 3 * rng.choice([1e-300, 1.0, 1e300], 40)
+        v[:k % 3] = np.nan
+        p = rng.integers(0, 2 + k % 2, 40)
+        q = 1 - p if k % 2 == 0 else rng.integers(0, 3, 40)
+        last = np.isnan(v)
+        above = (v[:, None] > v[None]) | (last[:, None] & ~last[None])
+        equal = (v[:, None] == v[None]) | (last[:, None] & last[None])
+        assert en._ranked(v, p, q) == (p.sum(), q.sum(), (p[:, None] * q[None] * (above + equal / 2)).sum())
+
+
 def test_average_rank_looks_up_frequent_scores(spark, monkeypatch):
     """Frequent and other scores, NULL scores and groups: the same ranks,
     and rows of frequent scores are not in the shuffled join."""
