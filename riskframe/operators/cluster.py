@@ -36,6 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.operators.blocks import cluster_sums, near_boxes, worst_ratios
+from riskframe.operators.farfield import silhouette_parts
 from riskframe.operators.prefix import row_positions
 from riskframe.session import checkpoint_dir, materialise
 
@@ -303,6 +304,7 @@ def dbscan(points: DataFrame, eps: float, min_samples: int, parts: int = 4) -> D
 # ---- A25 / A26 ----------------------------------------------------------------------
 
 SILHOUETTE_BLOCK = 8192  # points of a chunk and of a block whose distances one task sums
+FAR_ROWS = 1 << 15      # above so many points in 1 or 2 dimensions, blocks far apart are not compared point by point
 
 
 def silhouette(points: DataFrame, labels: DataFrame, sample_size: int | None = None, seed: int = 42,
@@ -313,14 +315,24 @@ def silhouette(points: DataFrame, labels: DataFrame, sample_size: int | None = N
 
     Every pair of point blocks is one task that sums its rows' distances per
     cluster with numpy — no pair rows are formed; the work is quadratic in
-    the number of points.  Only if the caller names a ``sample_size``, a
+    the number of points.  More than ``FAR_ROWS`` points of one or two finite
+    numbers are summed by ``farfield``, whose error is that of rounding, with
+    equal points as one.  Only if the caller names a ``sample_size``, a
     seeded hash-ordered sample of at most so many points, distances within
     the sample, takes their place, and a column ``share`` tells its share of
     the non-noise points.
     """
     j = points.join(labels.select("id", F.col(label).alias("_l")), "id").where(F.col("_l") != -1)
     j = j.select("id", "x", F.col("_l").cast("int").alias("l"))
-    n = total = j.count()
+    odd = F.coalesce(F.exists("x", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == F.lit(math.inf))), F.lit(True))
+    n, least, most, bad = j.agg(F.count(F.lit(1)), F.min(F.size("x")), F.max(F.size("x")), F.count_if(odd)).first()
+    total = n
+    if sample_size is None and n > FAR_ROWS and 1 <= least == most <= 2 and not bad:
+        points = j.groupBy("l", "x").agg(F.count(F.lit(1)).alias("w"))
+        k = j.agg(F.count_distinct("l")).first()[0]
+        parts = silhouette_parts(points) if 2 <= k <= n - 1 else None
+        if parts is not None:
+            return parts.agg((F.sum("s") / F.sum("n")).alias("silhouette"), F.sum("n").alias("n_sample"), F.lit(k).cast("bigint").alias("n_clusters"))
     if sample_size is not None:
         j = (j.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}-"), F.col("id").cast("string"))))
              .orderBy("_h").limit(sample_size).drop("_h"))

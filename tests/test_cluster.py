@@ -112,6 +112,42 @@ def test_silhouette_counts_all_rows_across_blocks(spark):
     assert cl.silhouette(pts, labels, 1260).first().share == 0.5
 
 
+@pytest.mark.parametrize("d", [1, 2])
+def test_silhouette_of_far_blocks_is_that_of_all_pairs(spark, monkeypatch, d):
+    """Blocks far apart are not compared point by point; the sums stay those
+    of all pairs to rounding, with repeated points, small clusters inside
+    large ones and clusters of one point."""
+    from riskframe.operators import farfield as ff
+    rng = np.random.default_rng(8)
+    X = np.vstack([rng.normal(c, s, size=(n, d)) for c, s, n in ((0, 1, 3200), (9, 0.5, 1600), (4, 0.1, 40), (30, 0.0, 7), (-20, 1, 1))])
+    X = np.vstack([X, X[:300]])
+    lab = np.concatenate([np.repeat([0, 1, 2, 3, 4], [3200, 1600, 40, 7, 1]), np.zeros(300, dtype=int)])
+    lab[:20] = 5
+    lab[-300:-280] = 5
+    pts = _points(spark, X)
+    labels = spark.createDataFrame([(i, int(v)) for i, v in enumerate(lab)], "id long, cluster int")
+    monkeypatch.setattr(cl, "FAR_ROWS", 100)
+    monkeypatch.setattr(ff, "LEAF_LEAST", 550)
+    monkeypatch.setattr(cl, "cluster_sums", None)       # all pairs of blocks are not to be formed
+    out = cl.silhouette(pts, labels).first()
+    assert (out.n_sample, out.n_clusters) == (len(X), 6)
+    assert out.silhouette == pytest.approx(_np_silhouette(X, lab), abs=1e-12)
+
+
+def test_far_sums_are_those_of_all_pairs():
+    from riskframe.operators import farfield as ff
+    rng = np.random.default_rng(9)
+    for shift in ((4.0, 0.0), (0.3, 4.1), (-3.0, 90.0)):
+        x, at = rng.uniform(-1, 1, size=(2000, 2)), rng.uniform(-1, 1, size=(500, 2)) + np.array(shift) * 1.001
+        lo, hi = x.min(axis=0), x.max(axis=0)
+        far = ff._basis(x[:, 0], lo[0], hi[0]).T @ ff._basis(x[:, 1], lo[1], hi[1])
+        a, z = at.min(axis=0), at.max(axis=0)
+        seen = ff._sums(ff._nodes(a, z), ff._nodes(lo, hi), far.ravel()).reshape(ff.ORDER, ff.ORDER)
+        got = ((ff._basis(at[:, 0], a[0], z[0]) @ seen) * ff._basis(at[:, 1], a[1], z[1])).sum(axis=1)
+        want = np.sqrt(((at[:, None] - x[None]) ** 2).sum(-1)).sum(axis=1)
+        assert np.abs(got / want - 1).max() < 1e-12
+
+
 def test_pca_embed_shape(spark):
     rng = np.random.default_rng(2)
     X = rng.normal(size=(50, 5)) @ rng.normal(size=(5, 5))
