@@ -190,18 +190,42 @@ def _gaps2(alo, ahi, blo, bhi) -> np.ndarray:
     return out
 
 
-def near_boxes(rows: DataFrame, d: int, eps: float, lo: str, hi: str, keep: list[str], skip: str | None = None) -> DataFrame:
+class Found:
+    """What a task makes of the near pairs ``(i, j)`` of rows of its tables
+    ``one`` and ``two`` (``two is one`` within a block): here a row a pair."""
+
+    def __init__(self, keep: list[str], one: pa.Table, two: pa.Table):
+        self.keep, self.one, self.two = keep, one, two
+
+    def wanted(self, i: np.ndarray, j: np.ndarray) -> np.ndarray | None:
+        """Which pairs to look at; None: all."""
+        return None
+
+    def add(self, i: np.ndarray, j: np.ndarray, dist: np.ndarray) -> Iterator[pa.RecordBatch]:
+        i, j = pa.array(i), pa.array(j)
+        yield pa.RecordBatch.from_arrays([*(_taken(self.one[c], i) for c in self.keep), *(_taken(self.two[c], j) for c in self.keep), pa.array(dist)],
+                                         names=[*(f"{s}_{c}" for s in "ab" for c in self.keep), "dist"])
+
+    def end(self) -> Iterator[pa.RecordBatch]:
+        yield from ()
+
+
+def near_boxes(rows: DataFrame, d: int, eps: float, lo: str, hi: str, keep: list[str], skip: str | None = None,
+               made: tuple[type[Found], str] | None = None) -> DataFrame:
     """``(a_..., b_..., dist)``: the columns ``keep`` of each unordered pair of
     rows whose boxes (``lo`` to ``hi``, arrays of ``d`` numbers; a point has
     ``lo = hi``) are at most ``eps`` apart, once, in any order, and their
     distance.  Of two rows with ``skip`` (one of ``keep``) no pair is made.
+    ``made``, a kind of ``Found`` and its columns, makes something less of
+    the pairs where they are found.
 
     Rows are dealt to blocks by a tree of median cuts that a bounded sample
     gives; a block of too many rows (equal ones cannot be cut) is dealt by
-    chance.  Each pair of blocks whose rows' bounds come near is a group.
+    chance.  Each pair of blocks whose rows' bounds come near is a group, of
+    those rows of either that come near the other's bounds.
     Products of centres find what may be near, corners decide, so only true
-    pairs become rows.  A row travels once a partner block: about ``BLOCKS``
-    times at most, up to ``BLOCKS * BLOCK_MOST`` rows."""
+    pairs become rows.  A row travels once a partner block that it is near:
+    about ``BLOCKS`` times at most, up to ``BLOCKS * BLOCK_MOST`` rows."""
     spark = rows.sparkSession
     whole = rows.where(F.forall(lo, lambda v: v.isNotNull() & ~F.isnan(v)) & F.forall(hi, lambda v: v.isNotNull() & ~F.isnan(v)))
     cols = list(dict.fromkeys([*keep, lo, hi]))
@@ -225,37 +249,47 @@ def near_boxes(rows: DataFrame, d: int, eps: float, lo: str, hi: str, keep: list
     bounds = [F.min(F.col(lo)[k]) for k in range(d)] + [F.max(F.col(hi)[k]) for k in range(d)]
     leaves = placed.groupBy("_leaf").agg(F.count(F.lit(1)), F.array(*bounds)).collect()     # one row a block
     parts = [max(1, -(-r[1] // (2 * size))) for r in leaves]
-    first = np.cumsum([0, *parts])
+    first, many = np.cumsum([0, *parts]), np.array(parts, dtype=np.int64)
     corner = np.array([r[2] for r in leaves], dtype=np.float64).reshape(len(leaves), 2, d)
-    i, j = np.triu_indices(len(leaves))
-    with np.errstate(invalid="ignore"):
-        near = ~(_gaps2(corner[i, 0], corner[i, 1], corner[j, 0], corner[j, 1]) > eps * eps * (1 + 1e-9))
-    met = [(int(a), int(b)) for x, y in zip(i[near], j[near]) for a in range(first[x], first[x + 1])
-           for b in range(first[y], first[y + 1]) if a <= b]
-    pairs = F.broadcast(spark.createDataFrame(pd.DataFrame(met, columns=["_a", "_b"], dtype="int64"), "_a long, _b long"))
-    of = F.broadcast(spark.createDataFrame(pd.DataFrame(
-        {"_leaf": [r[0] for r in leaves], "_first": first[:-1], "_n": parts}, dtype="int64"), "_leaf long, _first long, _n long"))
-    block = (F.col("_first") + F.floor(F.col("_r") * F.col("_n"))).alias("_block")
-    dealt = placed.join(of, "_leaf").select(*cols, block)
-    sides = [dealt.join(pairs.where(on), F.col("_block") == F.col(c)).select("_a", "_b", F.lit(s).alias("_side"), *cols)
-             for s, c, on in ((False, "_a", F.lit(True)), (True, "_b", F.col("_a") != F.col("_b")))]
-    out = ", ".join(f"{s}_{c} {kinds[c]}" for s in "ab" for c in keep) + ", dist double"
+    leaf_ids = np.array([r[0] for r in leaves], dtype=np.int64)
+    order = np.argsort(leaf_ids)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a row goes only to blocks whose bounds it comes near
+        for b in batches:
+            los, his = _matrix(b.column(lo)), _matrix(b.column(hi))
+            leaf = order[np.searchsorted(leaf_ids, b.column("_leaf").to_numpy(), sorter=order)]
+            block = first[leaf] + np.floor(b.column("_r").to_numpy() * many[leaf]).astype(np.int64)
+            for sl in _chunks(b.num_rows, max(1, (CELLS >> 3) // max(1, len(leaves)))):
+                with np.errstate(invalid="ignore"):
+                    apart = _gaps2(los[sl, None], his[sl, None], corner[None, :, 0], corner[None, :, 1])
+                i, x = np.nonzero(~(apart > eps * eps * (1 + 1e-9)))
+                n = many[x]
+                at = np.repeat(first[x] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                i = np.repeat(i + sl.start, n)
+                own = block[i]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.minimum(own, at)), pa.array(np.maximum(own, at)), pa.array(own > at), *(b.column(c).take(pa.array(i)) for c in cols)],
+                    names=["_a", "_b", "_side", *cols])
+    kind, out = made or (Found, ", ".join(f"{s}_{c} {kinds[c]}" for s in "ab" for c in keep) + ", dist double")
     point = lo == hi
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(list(batches))
         side = t["_side"].to_numpy()
-        one, own = t.filter(pa.array(~side)), not side.any()
+        one, own = t.filter(pa.array(~side)), t["_a"][0].as_py() == t["_b"][0].as_py()
         two = one if own else t.filter(pa.array(side))
         if not one.num_rows or not two.num_rows:
             return
-        one, two = one.combine_chunks(), two.combine_chunks()
+        one = one.combine_chunks()
+        two = one if own else two.combine_chunks()
         alo, ahi, blo, bhi = _matrix(one[lo]), _matrix(one[hi]), _matrix(two[lo]), _matrix(two[hi])
         one_skips, two_skips = (t[skip].to_numpy() if skip else None for t in (one, two))
         origin = alo.mean(axis=0)       # products lose least about the middle
         a, b = (alo + ahi) / 2 - origin, (blo + bhi) / 2 - origin
         ar, br = (np.sqrt(((hi_ - lo_) ** 2).sum(axis=1)) / 2 for lo_, hi_ in ((alo, ahi), (blo, bhi)))
         aa, bb = np.einsum("nd,nd->n", a, a), np.einsum("nd,nd->n", b, b)
+        found = kind(keep, one, two)
         for sl in _chunks(len(a), max(1, CELLS // len(b))):
             # not above the limit: what is not a number goes on to the corners
             reach = (eps if point else eps + ar[sl, None] + br[None, :]) ** 2
@@ -266,14 +300,20 @@ def near_boxes(rows: DataFrame, d: int, eps: float, lo: str, hi: str, keep: list
             i += sl.start
             if own:
                 i, j = i[i < j], j[i < j]
+            if skip:
+                ok = ~(one_skips[i] & two_skips[j])
+                i, j = i[ok], j[ok]
+            ok = found.wanted(i, j)
+            if ok is not None:
+                i, j = i[ok], j[ok]
             dist = np.sqrt(_gaps2(alo[i], ahi[i], blo[j], bhi[j]))
             ok = dist <= eps * (1 if point else 1 + 1e-9)
-            if skip:
-                ok &= ~(one_skips[i] & two_skips[j])
-            i, j, dist = pa.array(i[ok]), pa.array(j[ok]), pa.array(dist[ok])
-            yield pa.RecordBatch.from_arrays([*(_taken(one[c], i) for c in keep), *(_taken(two[c], j) for c in keep), dist],
-                                             names=[*(f"{s}_{c}" for s in "ab" for c in keep), "dist"])
-    return sides[0].unionByName(sides[1]).groupBy("_a", "_b").applyInArrow(compare, out)
+            yield from found.add(i[ok], j[ok], dist[ok])
+        yield from found.end()
+    # few bytes, much work: AQE is not to put the groups into a task or two
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = placed.mapInArrow(deal, f"_a long, _b long, _side boolean, {kept}").repartition(tasks, "_a", "_b")
+    return dealt.groupBy("_a", "_b").applyInArrow(compare, out)
 
 
 def _taken(column: pa.ChunkedArray, at: pa.Array) -> pa.Array:

@@ -273,3 +273,27 @@ def test_neighbour_pairs_of_unknown_points_stay_within_their_cell(spark):
         spark.createDataFrame(list(x.items()), "id long, x array<double>"), 0.5).collect()}
     assert set(got) == {(0, 1), (2, 3), (2, 4), (3, 4)}
     assert got[0, 1] is None and got[2, 3] != got[2, 3] and got[3, 4] == pytest.approx(0.01 * 5 ** 0.5)
+
+
+def test_dbscan_above_three_dimensions_forms_no_pairs(spark, monkeypatch):
+    """What tasks return grows with the points, not with near pairs, and a
+    chain of points through many blocks is one cluster."""
+    from riskframe.operators import blocks
+    rng = np.random.default_rng(13)
+    dense, t = rng.normal(0, 0.12, size=(700, 7)), np.linspace(0, 60, 900)
+    chain = np.column_stack([t, np.sin(t), np.cos(t / 7), *[np.full(900, 5.0)] * 4])
+    X = np.vstack([dense, chain, rng.uniform(-30, 30, size=(50, 7)), chain[3:4] + 0.4 * np.eye(7)[6]])
+    found, write = {}, cl.materialise
+    monkeypatch.setattr(blocks, "BLOCK_LEAST", 100)
+
+    def kept(df, label):
+        out = write(df, label)
+        found[label] = found.get(label, 0) + out.count()
+        return out
+    monkeypatch.setattr(cl, "materialise", kept)
+    eps, ms = 0.45, 3
+    got = {r.id: r.cluster for r in cl.dbscan(_points(spark, X), eps, ms).collect()}
+    D = np.sqrt(((X[:, None, :] - X[None, :, :]) ** 2).sum(-1))
+    near = int((D <= eps).sum() - len(X)) // 2
+    assert near > 20 * len(X) and found["dbscan-near"] < near / 3 and found["component-edges"] < near
+    assert [got[i] for i in range(len(X))] == list(_np_dbscan(X, eps, ms))
