@@ -275,6 +275,23 @@ def test_neighbour_pairs_of_unknown_points_stay_within_their_cell(spark):
     assert got[0, 1] is None and got[2, 3] != got[2, 3] and got[3, 4] == pytest.approx(0.01 * 5 ** 0.5)
 
 
+def test_range_join_in_two_dimensions_forms_only_its_pairs(spark):
+    """No join makes candidates; points of many blocks, of hot cells and
+    with odd coordinates pair as those of all pairs do."""
+    rng = np.random.default_rng(12)
+    X = np.vstack([rng.uniform(0, 30, size=(5000, 2)), np.full((40, 2), 3.0), rng.normal(9, 0.01, size=(60, 2))])
+    eps = 0.2
+    out = cl.neighbour_pairs(_points(spark, X), eps)
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    D = np.sqrt(((X[:, None, :] - X[None, :, :]) ** 2).sum(-1))
+    i, j = np.nonzero(np.triu(D <= eps, 1))
+    rows = out.collect()
+    assert len(rows) == len(i) and {(r.id_a, r.id_b): r.dist for r in rows} == {(a, b): D[a, b] for a, b in zip(i.tolist(), j.tolist())}
+    odd = spark.createDataFrame([(1, [float("nan"), 1.0]), (2, [float("nan"), 1.0]), (3, [None, 1.0]), (4, [None, 1.0]), (5, [0.5, 1.0]), (6, [0.55, 1.0])],
+                                "id long, x array<double>")
+    assert {(r.id_a, r.id_b) for r in cl.neighbour_pairs(odd, eps).collect()} == {(1, 2), (3, 4), (5, 6)}
+
+
 def test_dbscan_above_three_dimensions_forms_no_pairs(spark, monkeypatch):
     """What tasks return grows with the points, not with near pairs, and a
     chain of points through many blocks is one cluster."""
